@@ -7,6 +7,9 @@ import importlib
 #: module -> names of its queries
 _MODULES = {
     "near_dedup": ["op1_near_dedup"],
+    "sharding": ["op6_sharding"],
+    "exact_dedup": ["op7_exact_dedup"],
+    "packing": ["op8_packing"],
 }
 
 
