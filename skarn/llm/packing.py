@@ -18,7 +18,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import string
 import zlib
 from collections.abc import Iterator
 
@@ -27,84 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, saved, table
+from .bpe import Ids
+from .common import arrow_map, saved, slices, table, utf8
 
 SIZE = 4096
 END = 2
 RANK_CELLS = 64
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's word caches, which are emptied when full.
-CACHED = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Words:
-    """Token ids of texts, as little-endian 32-bit bytes, by a cache of white-space separated words.
-
-    The tokenizer drops white space and never joins what it separates, so a text's ids
-    are those of its words in order. Words without apostrophes or marks of special tokens
-    also fall apart at the punctuation around them.
-    """
-
-    _own: dict[str, "Words"] = {}
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    @classmethod
-    def of(cls, path: str) -> "Words":
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        if "'" in word or "<" in word or not (word.isascii() or max(word) < "ɐ"):
-            return (word,)
-        core = word.strip(string.punctuation)
-        if not core or not (core[0].isalnum() and core[-1].isalnum() and core[0] != "\xaa" and core[-1] != "\xaa"):
-            return (word,)
-        at = word.index(core)
-        return tuple(x for x in (word[:at], core.lower(), word[at + len(core) :]) if x)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*split).difference(self.words) if split else set()
-        if len(self.words) + len(fresh) > CACHED:
-            self.words.clear()
-            fresh = set().union(*split)
-        by = {w: self.parts(w) for w in fresh if w}
-        need = {p for x in by.values() for p in x}
-        new = [p for p in need if p not in self.cores]
-        if len(self.cores) + len(new) > CACHED:
-            self.cores.clear()
-            new = list(need)
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cores[p] = np.array(e.ids, "<u4").tobytes()
-        cores = self.cores
-        self.words[""] = b""
-        for w, x in by.items():
-            self.words[w] = b"".join([cores[p] for p in x])
-        get = self.words.__getitem__
-        return [b"".join(map(get, x)) for x in split]
-
-
 def _lengths(path: str):
     end = np.array([END], "<u4").tobytes()
     window = 4 * SIZE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words.of(path)
+        words = Ids.of(path)
         for batch in batches:
-            texts = batch.column(2).fill_null("")
-            for lo in range(0, len(batch), 200):
-                part = texts[lo : lo + 200].to_pylist()
+            data, offsets = utf8(batch.column(2))
+            for lo, hi in slices(np.diff(offsets)):
                 total, full, rest, crc = [], [], [], []
-                for raw in words.ids(part):
+                for raw in words.ids(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
                     raw += end
                     n = len(raw) // 4
                     total.append(n)
@@ -112,7 +54,7 @@ def _lengths(path: str):
                     rest.append(n % SIZE)
                     crc.append(zlib.crc32(raw[n // SIZE * window :]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo : lo + 200], batch.column(1)[lo : lo + 200], pa.array(total, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64())],
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(total, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64())],
                     ["doc_id", "key", "doc_tokens", "full", "rest", "crc"],
                 )
 
@@ -256,11 +198,12 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     cut = placed.where("ids_crc32 is null")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = Words.of(path), np.array([END], "<u4").tobytes()
+        words, end = Ids.of(path), np.array([END], "<u4").tobytes()
         for batch in batches:
             crcs = []
-            for text, start, n in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                raw = words.ids([text or ""])[0] + end
+            data, offsets = utf8(batch.column(0))
+            for i, (start, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                raw = words.ids(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0] + end
                 crcs.append(zlib.crc32(raw[4 * start : 4 * (start + n)]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(crcs, pa.int64()), *(batch.column(i) for i in (4, 5, 6))], SCHEMA.replace(" long", "").split(", "))
 

@@ -7,6 +7,7 @@ import importlib
 #: module -> names of its queries
 _MODULES = {
     "near_dedup": ["op1_near_dedup"],
+    "decontaminate": ["op2_decontaminate"],
     "sharding": ["op6_sharding"],
     "exact_dedup": ["op7_exact_dedup"],
     "packing": ["op8_packing"],

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from skarn.llm import exact_dedup, packing, sharding
+from skarn.llm.bpe import Ids
 
 SCHEMA = "doc_id long, text string, cell int, h string, rank long, key string, n long"
 
@@ -77,9 +78,12 @@ def test_cached_words_are_the_tokenizers_ids(rows):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(packing.VOCABULARY)
-    plain, ours = Tokenizer.from_file(path), packing.Words.of(path)
+    plain, ours = Tokenizer.from_file(path), Ids.of(path)
     texts = [r[1] or "" for r in rows] + ["a b", "x\x1cy", "́a b", "İi ΑΣ ΑΣ.", "'s 's' don't", "٣٤ ½ ª.ª", "ℌ!a", "..a..b!!", "(a'll)", "≠ a", "a\r\nb c"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    texts += ["Plain text, 12 words; ÀÉß þÿ×÷ ü!", "x" * 90 + " ok", "", "\x00\x01 a\x7f", "Ünïcödé##", "9 9a a9", "a\u00a0b", "tab\tand\x0bmore"]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(data, at)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_fill_is_a_subset_sum():
