@@ -14,8 +14,10 @@ similarity says.
    the full sets.
 4. Components of the confirmed links. Buckets that still hold several components are
    compared in blocks: everything outside the representative's component against the
-   bucket, on sketches, a bounded number of members in memory at a time; survivors are
-   confirmed on the full sets and the components are taken again.
+   bucket, on sketches, a bounded number of members in memory at a time. A member's best
+   partners of other components are confirmed first; since a link merges components, few
+   of the others need to be. Rounds go on, with more partners each, until every likely
+   pair of different components has been confirmed or refuted.
 
 A pair at the threshold misses every band with probability (1 - t**ROWS)**BANDS, which is
 7e-9 for t = 0.85 and 3e-6 for t = 0.8.
@@ -46,6 +48,8 @@ B = 1.1
 RATIO = 26.0
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 256
+#: Partners that a member outside gets in the first round; eight times as many in each later one.
+FIRST = 2
 _A = np.random.default_rng(7).integers(0, 1 << 32, M, dtype=np.uint32) | np.uint32(1)
 _C = np.random.default_rng(8).integers(0, 1 << 32, M, dtype=np.uint32)
 
@@ -178,33 +182,38 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _tiles(num: int, den: int):
-    """Candidates of tiles (band, tile) that arrive sorted, members outside the main component first."""
+def _tiles(num: int, den: int, most: int):
+    """Likely pairs of tiles (band, tile) that arrive sorted, members outside the main component first.
+
+    A member outside gets the best `most` partners of other components at a time; more
+    says that it has further ones.
+    """
     threshold = num / den
 
-    def close(rows: list[tuple]) -> tuple[list, list]:
+    def close(rows: list[tuple]) -> tuple[list, list, list]:
         side = np.array([r[3] for r in rows])
         ids, n, comp = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
         regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, M)
-        left = np.flatnonzero(side == 0)
-        a, b = [], []
-        for i in left:
+        a, b, more = [], [], []
+        for i in np.flatnonzero(side == 0):
             j = np.flatnonzero((comp != comp[i]) & ((side == 1) | (np.arange(len(ids)) > i)))
             j = j[den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i])]
             if not len(j):
                 continue
             d = regs[j]
-            _, lost = estimate((d > regs[i]).sum(1), (d < regs[i]).sum(1), n[j].astype(float), np.full(len(j), float(n[i])), threshold)
-            j = j[lost <= RATIO]
-            a += [int(ids[i])] * len(j)
-            b += ids[j].tolist()
-        return a, b
+            est, lost = estimate((d > regs[i]).sum(1), (d < regs[i]).sum(1), n[j].astype(float), np.full(len(j), float(n[i])), threshold)
+            j, est = j[lost <= RATIO], est[lost <= RATIO]
+            best = j[np.argsort(-est, kind="stable")[:most]]
+            a += [int(ids[i])] * len(best)
+            b += ids[best].tolist()
+            more += [len(best) < len(j)] * len(best)
+        return a, b, more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, rest = None, [], []
 
-        def out(pair: tuple[list, list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], ["a", "b"])
+        def out(pairs: tuple[list, list, list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(pairs[2], pa.bool_())], ["a", "b", "more"])
 
         for batch in batches:
             for band, tile, side, i, n, comp, regs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -243,20 +252,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     y = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     likely = kept(arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb"), _likely(threshold), "a long, b long, estimate double").select("a", "b"))
-    first = confirmed(likely)
-    comp = kept(components(first))
-    # buckets that still hold several components: what is outside the representative's, against the bucket
-    placed = bands.join(stars.where("size > 2"), "band").select("band", "id", "n", "rep")
-    placed = placed.join(comp.select("id", F.col("component").alias("c")), "id", "left").join(comp.select(F.col("id").alias("rep"), F.col("component").alias("rc")), "rep", "left")
-    placed = kept(placed.select("band", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("rc", "rep").alias("main")))
-    # outsiders fall into blocks by a hash, of BLOCK members on average
-    blocks = placed.where("c <> main").groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
-    split = placed.join(blocks, "band").withColumn("blk", F.when(F.col("c") == F.col("main"), F.col("nb")).otherwise(F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")))
-    tiled = split.withColumn("tile", F.explode(F.sequence(F.lit(0), F.least("blk", F.col("nb") - 1)))).withColumn("side", (F.col("tile") != F.col("blk")).cast("int"))
-    tiled = tiled.join(nodes.select("id", "regs"), "id").select("band", "tile", "side", "id", "n", "c", "regs")
-    more = arrow_map(tiled.repartition("band", "tile").sortWithinPartitions("band", "tile", "side"), _tiles(num, den), "a long, b long")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    comp = kept(components(first.unionByName(confirmed(kept(more)))))
+    none = docs.sparkSession.createDataFrame([], "id long, component long")
+
+    def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after more links: the links join components, which then take new names."""
+        end = lambda df, c: df.join(comp.select(F.col("id").alias(c), F.col("component").alias("c" + c)), c, "left").withColumn(c, F.coalesce("c" + c, c)).drop("c" + c)
+        new = kept(components(end(end(links, "a"), "b")))
+        moved = comp.join(new.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        return kept(moved.unionByName(new.join(comp, "id", "left_anti").select("id", "component")))
+
+    comp = merged(none, confirmed(likely))
+    tried = [likely]
+    members = kept(bands.join(stars.where("size > 2").select("band", "rep"), "band").select("band", "id", "n", "rep"))
+    most = FIRST
+    while True:
+        # buckets that still hold several components: what is outside the representative's, against the bucket
+        placed = members.join(comp.select("id", F.col("component").alias("c")), "id", "left").join(comp.select(F.col("id").alias("rep"), F.col("component").alias("rc")), "rep", "left")
+        placed = kept(placed.select("band", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("rc", "rep").alias("main")))
+        # outsiders fall into blocks by a hash, of BLOCK members on average
+        blocks = placed.where("c <> main").groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
+        split = placed.join(blocks, "band").withColumn("blk", F.when(F.col("c") == F.col("main"), F.col("nb")).otherwise(F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")))
+        tiled = split.withColumn("tile", F.explode(F.sequence(F.lit(0), F.least("blk", F.col("nb") - 1)))).withColumn("side", (F.col("tile") != F.col("blk")).cast("int"))
+        tiled = tiled.join(nodes.select("id", "regs"), "id").select("band", "tile", "side", "id", "n", "c", "regs")
+        found = arrow_map(tiled.repartition("band", "tile").sortWithinPartitions("band", "tile", "side"), _tiles(num, den, most), "a long, b long, more boolean")
+        found = kept(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more")))
+        more = found.select("a", "b")
+        for seen in tried:
+            more = more.join(seen, ["a", "b"], "left_anti")
+        more = kept(more)
+        comp = merged(comp, confirmed(more))
+        if found.where("more").isEmpty():
+            break
+        tried.append(more)
+        most *= 8
     placed = nodes.select("id", "doc_id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(least, "component").select("id", "component_id")
