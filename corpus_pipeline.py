@@ -1,14 +1,68 @@
-"""The corpus pipeline: stages of the training-data operators, each written and read again."""
+"""The corpus pipeline: five stages, each written as Parquet and read again by the next.
+
+quality -> exact_dedup -> near_dedup -> decontamination -> packing. All stages but the
+last return the columns of documents. A stage works on every row its predecessor kept:
+
+- quality drops documents that the classifier scores below its threshold;
+- exact_dedup keeps one row of equal texts;
+- near_dedup keeps the first document of each group (five words, similarity 0.8);
+- decontamination cuts benchmark passages out of the texts and keeps every document;
+- packing returns the pieces of the token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from skarn.llm import decontaminate, exact_dedup, near_dedup, packing, quality
+from skarn.llm.common import saved, table
+
+#: No SQL for these rows: a trained network decides in the first stage.
 ORACLE_SQL = None
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at its threshold or above."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where(F.col("score") >= quality.CUT).select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    return exact_dedup.distinct_texts(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the passages of benchmark cut out."""
+    return decontaminate.without_hits(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, f"stage-{k}-{name}")
     return docs

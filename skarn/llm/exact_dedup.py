@@ -22,6 +22,7 @@ from .common import saved, table
 
 #: A text that makes up this part of all rows is frequent.
 SUPPORT = 0.001
+_NO_ID = -(1 << 63)
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
@@ -68,5 +69,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return settled.unionByName(rest).withColumnRenamed("h", "text_sha256")
 
 
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns."""
+    found = exact_duplicates(docs, id_col, text_col).where("kept").select(F.coalesce("keep_id", F.lit(_NO_ID)).alias("_id"), F.col("text_sha256").alias("_h"))
+    text = F.col(text_col).cast("string")
+    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_h", F.sha2(normalised(text).cast("binary"), 256)).withColumn("_c", F.length(F.coalesce(text, F.lit(""))))
+    kept = rows.join(found, ["_id", "_h"], "left_semi")
+    by = Window.partitionBy("_id", "_h").orderBy(F.col("_c").desc())
+    return kept.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(*docs.columns)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))

@@ -8,6 +8,8 @@ import importlib
 _MODULES = {
     "near_dedup": ["op1_near_dedup"],
     "decontaminate": ["op2_decontaminate"],
+    "quality": ["op3_quality"],
+    "substring_dedup": ["op5_substring_dedup"],
     "sharding": ["op6_sharding"],
     "exact_dedup": ["op7_exact_dedup"],
     "packing": ["op8_packing"],
