@@ -12,12 +12,11 @@ similarity says.
 3. A pair's similarity is estimated from all registers jointly, by likelihood given both
    set sizes; pairs that the likelihood ratio excludes go, all others are confirmed on
    the full sets.
-4. Components of the confirmed links. Buckets that still hold several components are
-   compared in blocks: everything outside the representative's component against the
-   bucket, on sketches, a bounded number of members in memory at a time. A member's best
-   partners of other components are confirmed first; since a link merges components, few
-   of the others need to be. Rounds go on, with more partners each, until every likely
-   pair of different components has been confirmed or refuted.
+4. Components of the confirmed links. Where a bucket still holds several components, all
+   outside its representative's component are compared, on full sets, with each other and
+   with that component's members in such buckets: about BLOCK of them stay in memory, the
+   others stream by, once for each main component whatever the number of bands, and only
+   links that join components come out. Then the components are taken again.
 
 A pair at the threshold misses every band with probability (1 - t**ROWS)**BANDS, which is
 7e-9 for t = 0.85 and 3e-6 for t = 0.8.
@@ -46,10 +45,8 @@ M = ROWS * BANDS
 B = 1.1
 #: Twice the log-likelihood by which the best similarity may beat the threshold before a pair goes.
 RATIO = 26.0
-#: Members of a bucket that are compared with each other at once.
+#: Documents whose sets stay in memory while others stream by.
 BLOCK = 256
-#: Partners that a member outside gets in the first round; eight times as many in each later one.
-FIRST = 2
 _A = np.random.default_rng(7).integers(0, 1 << 32, M, dtype=np.uint32) | np.uint32(1)
 _C = np.random.default_rng(8).integers(0, 1 << 32, M, dtype=np.uint32)
 
@@ -182,48 +179,72 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _tiles(num: int, den: int, most: int):
-    """Likely pairs of tiles (band, tile) that arrive sorted, members outside the main component first.
+def _tiles(num: int, den: int):
+    """Links between components of tiles (main, tile) that arrive sorted, outsiders first.
 
-    A member outside gets the best `most` partners of other components at a time; more
-    says that it has further ones.
+    The outsiders' sets, about BLOCK of them, stay in memory; every row of the tile is
+    intersected with all of them at once and goes by. Only links that join components
+    not yet joined in the tile come out, so their number is below that of the outsiders.
     """
-    threshold = num / den
 
-    def close(rows: list[tuple]) -> tuple[list, list, list]:
-        side = np.array([r[3] for r in rows])
-        ids, n, comp = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, M)
-        a, b, more = [], [], []
-        for i in np.flatnonzero(side == 0):
-            j = np.flatnonzero((comp != comp[i]) & ((side == 1) | (np.arange(len(ids)) > i)))
-            j = j[den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i])]
-            if not len(j):
-                continue
-            d = regs[j]
-            est, lost = estimate((d > regs[i]).sum(1), (d < regs[i]).sum(1), n[j].astype(float), np.full(len(j), float(n[i])), threshold)
-            j, est = j[lost <= RATIO], est[lost <= RATIO]
-            best = j[np.argsort(-est, kind="stable")[:most]]
-            a += [int(ids[i])] * len(best)
-            b += ids[best].tolist()
-            more += [len(best) < len(j)] * len(best)
-        return a, b, more
+    class Tile:
+        def __init__(self) -> None:
+            self.ids, self.comps, self.sets, self.up = [], [], [], {}
+            self.index = None
+
+        def find(self, c: int) -> int:
+            while self.up.setdefault(c, c) != c:
+                self.up[c] = self.up[self.up[c]]
+                c = self.up[c]
+            return c
+
+        def match(self, i: int, comp: int, own: np.ndarray, after: int, out: tuple[list, list]) -> None:
+            if self.index is None:
+                everything = np.concatenate(self.sets)
+                owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+                order = np.argsort(everything, kind="stable")
+                self.index = everything[order], owner[order], np.array([len(x) for x in self.sets])
+            values, owner, sizes = self.index
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = hi - lo
+            ends = np.cumsum(n)
+            common = np.bincount(owner[np.arange(ends[-1]) + np.repeat(lo - ends + n, n)], minlength=len(sizes))
+            for j in np.flatnonzero(den * common >= num * (sizes + len(own) - common)):
+                x, y = self.find(comp), self.find(self.comps[j])
+                if j > after and x != y:
+                    self.up[x] = y
+                    out[0].append(i)
+                    out[1].append(self.ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, rest = None, [], []
+        key, tile = None, Tile()
+        out: tuple[list, list] = ([], [])
 
-        def out(pairs: tuple[list, list, list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(pairs[2], pa.bool_())], ["a", "b", "more"])
+        def inner() -> None:
+            for j, own in enumerate(tile.sets[:-1]):
+                tile.match(tile.ids[j], tile.comps[j], own, j, out)
 
         for batch in batches:
-            for band, tile, side, i, n, comp, regs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, tile) != key or len(rest) >= 4 * BLOCK:
-                    if held:
-                        yield out(close(held + rest))
-                    held, rest, key = (held if (band, tile) == key else []), [], (band, tile)
-                (held if side == 0 else rest).append((i, n, comp, side, regs))
-        if held:
-            yield out(close(held + rest))
+            out = ([], [])
+            for main, t, side, i, comp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (main, t) != key:
+                    if tile.index is None and len(tile.sets) > 1:
+                        inner()
+                    key, tile = (main, t), Tile()
+                own = np.frombuffer(raw, np.uint64)
+                if side == 0:
+                    tile.ids.append(i)
+                    tile.comps.append(comp)
+                    tile.sets.append(own.copy())
+                elif tile.sets:
+                    if tile.index is None:
+                        inner()
+                    tile.match(i, comp, own, -1, out)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+        out = ([], [])
+        if tile.index is None and len(tile.sets) > 1:
+            inner()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     return run
 
@@ -240,51 +261,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = kept(bands.groupBy("band").agg(F.count("*").alias("size"), rep).where("size > 1").select("band", "size", F.col("rep.id").alias("rep"), F.col("rep.n").alias("rep_n")))
     pairs = bands.join(stars, "band").where(f"id <> rep and {den} * least(n, rep_n) >= {num} * greatest(n, rep_n)").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        need = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    def full_sets(need: DataFrame) -> DataFrame:
+        """(id, set) of these classes, from the text of one document each."""
+        need = kept(need.distinct())
         reps = nodes.join(need, "id", "left_semi").select("doc_id")
         sets = arrow_map(docs.join(reps, "doc_id", "left_semi").select("text"), _sets(shingle), "id long, set binary")
-        sets = saved(sets.join(need, "id", "left_semi"), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        return kept(arrow_map(both.select("a", "b", "x", "y"), _confirm(num, den), "a long, b long").distinct())
+        return saved(sets.join(need, "id", "left_semi"), "sets")
 
     x = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     y = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     likely = kept(arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb"), _likely(threshold), "a long, b long, estimate double").select("a", "b"))
-    none = docs.sparkSession.createDataFrame([], "id long, component long")
-
-    def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-        """Components after more links: the links join components, which then take new names."""
-        end = lambda df, c: df.join(comp.select(F.col("id").alias(c), F.col("component").alias("c" + c)), c, "left").withColumn(c, F.coalesce("c" + c, c)).drop("c" + c)
-        new = kept(components(end(end(links, "a"), "b")))
-        moved = comp.join(new.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        return kept(moved.unionByName(new.join(comp, "id", "left_anti").select("id", "component")))
-
-    comp = merged(none, confirmed(likely))
-    tried = [likely]
-    members = kept(bands.join(stars.where("size > 2").select("band", "rep"), "band").select("band", "id", "n", "rep"))
-    most = FIRST
-    while True:
-        # buckets that still hold several components: what is outside the representative's, against the bucket
-        placed = members.join(comp.select("id", F.col("component").alias("c")), "id", "left").join(comp.select(F.col("id").alias("rep"), F.col("component").alias("rc")), "rep", "left")
-        placed = kept(placed.select("band", "id", "n", F.coalesce("c", "id").alias("c"), F.coalesce("rc", "rep").alias("main")))
-        # outsiders fall into blocks by a hash, of BLOCK members on average
-        blocks = placed.where("c <> main").groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
-        split = placed.join(blocks, "band").withColumn("blk", F.when(F.col("c") == F.col("main"), F.col("nb")).otherwise(F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")))
-        tiled = split.withColumn("tile", F.explode(F.sequence(F.lit(0), F.least("blk", F.col("nb") - 1)))).withColumn("side", (F.col("tile") != F.col("blk")).cast("int"))
-        tiled = tiled.join(nodes.select("id", "regs"), "id").select("band", "tile", "side", "id", "n", "c", "regs")
-        found = arrow_map(tiled.repartition("band", "tile").sortWithinPartitions("band", "tile", "side"), _tiles(num, den, most), "a long, b long, more boolean")
-        found = kept(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more")))
-        more = found.select("a", "b")
-        for seen in tried:
-            more = more.join(seen, ["a", "b"], "left_anti")
-        more = kept(more)
-        comp = merged(comp, confirmed(more))
-        if found.where("more").isEmpty():
-            break
-        tried.append(more)
-        most *= 8
+    sets = full_sets(likely.select(F.explode(F.array("a", "b")).alias("id")))
+    both = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    first = kept(arrow_map(both.select("a", "b", "x", "y"), _confirm(num, den), "a long, b long").distinct())
+    comp = kept(components(first))
+    # buckets that still hold several components: all that is outside the representative's,
+    # and the members of its component in such buckets, meet once for each main component
+    placed = bands.join(stars.where("size > 2").select("band", "rep"), "band").select("band", "id", "rep")
+    placed = placed.join(comp.select("id", F.col("component").alias("c")), "id", "left").join(comp.select(F.col("id").alias("rep"), F.col("component").alias("rc")), "rep", "left")
+    placed = kept(placed.select("band", "id", F.coalesce("c", "id").alias("c"), F.coalesce("rc", "rep").alias("main")))
+    mixed = placed.where("c <> main").select("band").distinct()
+    met = kept(placed.join(mixed, "band", "left_semi").select("main", "id", "c").distinct())
+    # outsiders fall into blocks by a hash, of BLOCK members on average
+    blocks = met.where("c <> main").groupBy("main").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
+    split = met.join(blocks, "main").withColumn("blk", F.when(F.col("c") == F.col("main"), F.col("nb")).otherwise(F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")))
+    tiled = split.withColumn("tile", F.explode(F.sequence(F.lit(0), F.least("blk", F.col("nb") - 1)))).withColumn("side", (F.col("tile") != F.col("blk")).cast("int"))
+    tiled = tiled.join(full_sets(met.select("id")), "id").select("main", "tile", "side", "id", "c", "set")
+    second = arrow_map(tiled.repartition("main", "tile").sortWithinPartitions("main", "tile", "side"), _tiles(num, den), "a long, b long")
+    comp = kept(components(first.unionByName(second)))
     placed = nodes.select("id", "doc_id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(least, "component").select("id", "component_id")
