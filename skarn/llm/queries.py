@@ -10,6 +10,9 @@ _MODULES = {
     "decontaminate": ["op2_decontaminate"],
     "quality": ["op3_quality"],
     "substring_dedup": ["op5_substring_dedup"],
+    "pii": ["op4_pii"],
+    "secrets": ["op9_secrets"],
+    "warc": ["op10_warc"],
     "sharding": ["op6_sharding"],
     "exact_dedup": ["op7_exact_dedup"],
     "packing": ["op8_packing"],
