@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 _ZETA2 = 1.64493406685
@@ -82,7 +83,7 @@ def porter(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_english(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")
 

@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsp
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that never change a page's content.
 NOISE_PARAMS = [
@@ -49,7 +50,7 @@ def _noise(param: Column) -> Column:
     return F.lower(F.substring_index(param, "=", 1)).isin(NOISE_PARAMS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _requoted(urls: pd.Series) -> pd.Series:
     """Canonical form of URLs whose kept parameters need quoting."""
 
@@ -139,12 +140,12 @@ def private_literal(h: str | None, multicast: bool = False) -> bool:
     return a.is_private or a.is_link_local or a.is_loopback or a.is_reserved or (multicast and a.is_multicast)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_private(hosts: pd.Series) -> pd.Series:
     return hosts.map(private_literal).astype(bool)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def joined(base: pd.Series, ref: pd.Series) -> pd.Series:
     """RFC 3986 reference resolution."""
     return pd.Series([None if a is None or b is None else urljoin(a, b) for a, b in zip(base, ref, strict=True)])
