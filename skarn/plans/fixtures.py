@@ -15,7 +15,7 @@ SQL = {
       FROM documents d JOIN src s ON s.name = d.source)""",
     "ck": """ck AS (SELECT p.id AS chunk_id, p.id AS page_id, p.source_id, p.url, p.text AS content, p.fts_config, e.embedding FROM pg p LEFT JOIN embeddings e ON e.vec_id = p.id)""",
     "tok": r"""tok AS (SELECT chunk_id, lexeme, count(*) AS tf FROM (SELECT chunk_id, unnest(list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS lexeme FROM ck) GROUP BY ALL)""",
-    "prev": """prev AS (SELECT id, source_id, url, sha256(CASE WHEN id % 5 = 0 THEN upper(text) ELSE text END) AS content_hash FROM pg WHERE id % 7 <> 0)""",
+    "prev": """prev AS (SELECT id, source_id, url, sha256(CASE WHEN id % 5 = 0 THEN '~' || text ELSE text END) AS content_hash FROM pg WHERE id % 7 <> 0)""",
     "runs": """runs AS (SELECT 'u' || user_id AS source, date_trunc('day', ts) AS finished_at,
         count(*) FILTER (event_type = 'purchase') AS fetched, count(*) FILTER (event_type = 'view') AS skipped,
         count(*) FILTER (event_type = 'click') AS not_modified, count(*) FILTER (event_type = 'error') AS soft_failed,
@@ -63,7 +63,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def previous(spark: SparkSession, sf: str) -> DataFrame:
     p = pages(spark, sf).where("id % 7 <> 0")
-    return p.select("id", "source_id", "url", F.sha2(F.when(F.col("id") % 5 == 0, F.upper("text")).otherwise(F.col("text")), 256).alias("content_hash"))
+    return p.select("id", "source_id", "url", F.sha2(F.when(F.col("id") % 5 == 0, F.concat(F.lit("~"), "text")).otherwise(F.col("text")), 256).alias("content_hash"))
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
