@@ -99,7 +99,7 @@ def breadcrumbs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         out = out.withColumn(f"h{k}", last)
         levels.append(k)
     for k in levels:
-        above = F.greatest(*[F.coalesce(F.last(F.when(F.col("level") == j, F.col("line_no")), ignorenulls=True).over(w), F.lit(-1)) for j in range(1, k)], F.lit(-1))
+        above = F.greatest(*[F.coalesce(F.last(F.when(F.col("level") == j, F.col("line_no")), ignorenulls=True).over(w), F.lit(-1)) for j in range(1, k)], F.lit(-1), F.lit(-1))
         keep = (F.col("level") >= k) & (F.col(f"h{k}.line_no") > above)
         out = out.withColumn(f"p{k}", F.when(keep & (F.col(f"h{k}.title") != ""), F.col(f"h{k}.title")))
     return out.select(id_col, "line_no", F.concat_ws(" > ", *[f"p{k}" for k in levels]).alias("path"))

@@ -88,7 +88,7 @@ def canonical(url: Column) -> Column:
 
 
 def _bounded(p: Column, prefix: Column) -> Column:
-    bare = F.rtrim(F.lit("/"), prefix)
+    bare = F.rtrim(prefix, F.lit("/"))
     return (bare == "") | (p == bare) | p.startswith(F.concat(bare, F.lit("/")))
 
 
@@ -112,7 +112,7 @@ def is_placeholder(h: Column) -> Column:
 
 
 def slugify(text: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def derived_name(url: Column) -> Column:
