@@ -73,7 +73,7 @@ def porter(word: str) -> str:
     for least, rules in steps:
         for a, b in sorted(rules, key=lambda r: -len(r[0])):
             if w.endswith(a):
-                keep = len(a) - 3 if a in ("sion", "tion") else len(a)
+                keep = 3 if a in ("sion", "tion") else len(a)
                 stem = w[: len(w) - keep]
                 if _measure(stem) > least:
                     w = stem + b

@@ -105,25 +105,49 @@ def split_prefixes(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-# Embedding models by name: width, memory of ingestion and retrieval.
+# Embedding models: width, memory of ingestion and retrieval, query and passage prompts.
+_BGE_PROMPT = "Represent this sentence for searching relevant passages: "
+DEFAULT_MODEL = "BAAI/bge-small-en-v1.5"
 MODELS = {
-    "bge-small": (384, "1500m", "1g"),
-    "bge-base": (768, "1500m", "1g"),
-    "bge-large": (1024, "3g", "2g"),
-    "mxbai-large": (1024, "3g", "2g"),
+    "mixedbread-ai/mxbai-embed-large-v1": (1024, "3g", "2g", _BGE_PROMPT, ""),
+    "intfloat/multilingual-e5-large": (1024, "3g", "2g", "query: ", "passage: "),
+    "BAAI/bge-base-en-v1.5": (768, "1500m", "1g", _BGE_PROMPT, ""),
+    "BAAI/bge-small-en-v1.5": (384, "1500m", "1g", _BGE_PROMPT, ""),
 }
 
 
-def resolve_model(name: str) -> tuple[int, str, str]:
+def resolve_model(name: str | None = None) -> tuple[int, str, str, str, str]:
+    name = name or DEFAULT_MODEL
     if name not in MODELS:
         raise ValueError(f"unknown model {name}; known: {', '.join(MODELS)}")
     return MODELS[name]
 
 
 def model_slug(name: str) -> str:
+    """The last part of a model's name as an image tag."""
     import re
 
-    return re.sub("[^a-z0-9]+", "-", name.lower()).strip("-")
+    return re.sub("[^a-z0-9._-]", "-", name.rsplit("/", 1)[-1].lower())
+
+
+def models(spark: SparkSession) -> DataFrame:
+    """(name, dim, slug, is_default, ord): the default first, then as declared."""
+    rows = [(n, m[0], model_slug(n), n == DEFAULT_MODEL, i) for i, (n, m) in enumerate(MODELS.items())]
+    return spark.createDataFrame(rows, "name string, dim int, slug string, is_default boolean, ord int").orderBy(F.desc("is_default"), "ord")
+
+
+def slug_clashes(rows: DataFrame) -> DataFrame:
+    """Pairs of slugs of which one equals the other or begins it up to a dash."""
+    a, b = rows.select(F.col("name").alias("a"), F.col("slug").alias("sa")), rows.select(F.col("name").alias("b"), F.col("slug").alias("sb"))
+    return F.broadcast(a).join(b, (F.col("a") != F.col("b")) & ((F.col("sa") == F.col("sb")) | F.col("sb").startswith(F.concat("sa", F.lit("-"))))).select("a", "b")
+
+
+def manifest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pipe-delimited lines, with a flag for values that hold a pipe or a line end."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & ~F.col(c).cast("string").rlike("[|\n]")
+    return rows.select(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("line"), ok.alias("ok"))
 
 
 def resolve_targets(sources: DataFrame, wanted: list[str] | None = None) -> DataFrame:
