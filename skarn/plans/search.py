@@ -125,3 +125,12 @@ def recall_by_source(spark, sf):
 @query("vector_literals", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x::DOUBLE, 6) AS DECIMAL(18,6))::VARCHAR), ',') || ']' AS literal FROM embeddings")
 def vector_literals(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", text.vector_literal(F.col("embedding")).alias("literal"))
+
+
+@query("vector_topk_ivf")
+def vector_topk_ivf(spark, sf):
+    from skarn.operators import ivf
+
+    c = fx.chunks(spark, sf)
+    centres = ivf.fit(c, 32)
+    return ivf.search(ivf.assign(c, centres), centres, query_vector(spark, sf))

@@ -279,3 +279,18 @@ def test_health(spark):
     assert [(r.source, r.total) for r in health.ratio_alert(runs, "soft_failed").orderBy("finished_at").collect()] == [("a", 35), ("a", 37)]
     assert [r.source for r in health.indexed_nothing(runs).collect()] == ["b"]
     assert [r.source for r in health.stale(runs, F.lit(datetime(2024, 1, 5))).collect()] == ["a"]
+
+
+def test_ivf_recall(spark):
+    from skarn.operators import ivf
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    centres = ivf.fit(e, 32)
+    index = ivf.assign(e, centres).cache()
+    assert index.count() == e.count() and index.where("cell < 0").isEmpty()
+    found = total = 0
+    for r in e.where("chunk_id % 100 = 0").collect():
+        want = {x.chunk_id for x in search.vector_candidates(e, list(r.embedding), limit=10).collect()}
+        got = {x.chunk_id for x in ivf.search(index, centres, list(r.embedding), limit=10).collect()}
+        found, total = found + len(want & got), total + len(want)
+    assert found / total >= 0.9
