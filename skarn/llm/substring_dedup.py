@@ -11,8 +11,8 @@ A sparse suffix array over minimizer positions, partitioned by range:
    are range-partitioned by their leading bytes with sampled splitters. A bucket's
    windows are sorted locally, multikey: by their leading 8-byte token and, among
    equals, by the digest of all LENGTH bytes; equal neighbours repeat. Groups of leading bytes that
-   touch a bucket's first or last place are compared across the boundaries instead, by a
-   count of their windows' digests; so are groups above CHUNK bytes. The range key goes on
+   touch a bucket's first or last place are compared across the boundaries too, by a
+   count of the digests of their distinct windows; so are groups above CHUNK bytes. The range key goes on
    with the segment's digest, so one frequent passage spreads over many buckets.
 4. Covered bytes are merged and cut out of each text.
 
@@ -156,12 +156,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, key, begin = pa.array([r[0] for r in rows], pa.int64()), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(seg), kind, np.int32)), pa.array(digest.view(np.int64)), doc.take(pa.array(seg)), pa.array(key[seg]), pa.array((begin[seg] + first).astype(np.int32)), pa.array(size.astype(np.int32))], names)
 
-    def across(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(rows), 2000):
-            seg, off, _, digest = _windows(rows[lo : lo + 2000])
-            yield rows_of(1, rows[lo : lo + 2000], seg, digest, off, np.ones(len(seg)))
-
-    def local(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def local(rows: list[tuple], border: bool = False) -> Iterator[pa.RecordBatch]:
+        """Runs of windows that repeat among these rows; at a border also one row for each distinct window."""
         if not rows:
             return
         seg, off, lead, digest = _windows(rows)
@@ -170,12 +166,17 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.zeros(len(seg), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        # runs of repeated windows of a segment
-        edge = twice & ~np.concatenate([[False], twice[:-1] & (seg[1:] == seg[:-1])])
-        at = np.flatnonzero(edge)
+        at = np.flatnonzero(twice & ~np.concatenate([[False], twice[:-1] & (seg[1:] == seg[:-1])]))
         last = np.flatnonzero(twice & ~np.concatenate([twice[1:] & (seg[1:] == seg[:-1]), [False]]))
         if len(at):
             yield rows_of(0, rows, seg[at], np.zeros(len(at), np.int64), off[at], off[last] - off[at] + LENGTH)
+        if border:
+            one = order[np.concatenate([[True], ~same])]
+            yield rows_of(1, rows, seg[one], digest[one], off[one], (~twice[one]).astype(np.int32))
+
+    def across(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(rows), 8000):
+            yield from local(rows[lo : lo + 8000], border=True)
 
     lead, group, size, done, done_size, boundary = None, [], 0, [], 0, True
     for batch in batches:
@@ -249,7 +250,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     compared = saved(arrow_map(ranged.select("doc_id", "key", "first", "size", "lead1", "lead2", "raw"), _bucket, BUCKET), "buckets")
     border = compared.where("kind = 1")
     twice = border.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    spans = compared.where("kind = 0").select("doc_id", "key", "first", "size").unionByName(border.join(twice, "digest").select("doc_id", "key", "first", F.lit(LENGTH).alias("size")))
+    spans = compared.where("kind = 0").select("doc_id", "key", "first", "size").unionByName(border.where("size = 1").join(twice, "digest").select("doc_id", "key", "first", F.lit(LENGTH).alias("size")))
     more = spans.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "size")).alias("more"))
     nothing = F.array().cast("array<struct<first:int,size:int>>")
     settled = joined.where("coalesce(size(parts), 0) <= 0").select("doc_id", "text", F.coalesce("spans", nothing).alias("spans"))
