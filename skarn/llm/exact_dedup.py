@@ -71,12 +71,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    found = exact_duplicates(docs, id_col, text_col).where("kept").select(F.coalesce("keep_id", F.lit(_NO_ID)).alias("_id"), F.col("text_sha256").alias("_h"))
+    found = exact_duplicates(docs, id_col, text_col).where("kept").select(F.coalesce("keep_id", F.lit(_NO_ID)).alias("_skarn_id"), F.col("text_sha256").alias("_skarn_h"))
     text = F.col(text_col).cast("string")
-    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_h", F.sha2(normalised(text).cast("binary"), 256)).withColumn("_c", F.length(F.coalesce(text, F.lit(""))))
-    kept = rows.join(found, ["_id", "_h"], "left_semi")
-    by = Window.partitionBy("_id", "_h").orderBy(F.col("_c").desc())
-    return kept.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(*docs.columns)
+    rows = docs.withColumn("_skarn_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_skarn_h", F.sha2(normalised(text).cast("binary"), 256)).withColumn("_skarn_c", F.length(F.coalesce(text, F.lit(""))))
+    kept = rows.join(found, ["_skarn_id", "_skarn_h"], "left_semi")
+    by = Window.partitionBy("_skarn_id", "_skarn_h").orderBy(F.col("_skarn_c").desc())
+    return kept.withColumn("_skarn_n", F.row_number().over(by)).where("_skarn_n = 1").select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ TRAIN_BYTES = 1 << 16
 STEPS = 640
 EMBED, WIDTH, STRIDE, FILTERS, BLOCK = 8, 8, 2, 32, 128
 CUT = 0.7
+#: The column that holds a score, of a name that no input has.
+SCORE = "_skarn_score"
 _STEP = BLOCK * STRIDE
 
 
@@ -166,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
 
 
 def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """The rows with all their columns and a score."""
-    at, names = docs.columns.index(text_col), [*docs.columns, "score"]
+    """The rows with all their columns and SCORE."""
+    at, names = docs.columns.index(text_col), [*docs.columns, SCORE]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +184,11 @@ def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels)
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= CUT).cast("int").alias("predicted"))

@@ -16,7 +16,7 @@
 The result follows the merged histories and comes from what was read back, never from
 the input. Ties in (URL key, timestamp) go by page_id; a null url has an empty key;
 repeated rows become records of their own, and rows that repeat the response's page_id
-are responses too. Page ids must not be null. Other columns are ignored.
+are responses too, and so are rows without a page_id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,18 +59,18 @@ def url_key(url: str | None) -> str:
     return (key + (f"?{parts.query}" if parts.query else "")).lower()
 
 
-def stamp(page_id: int) -> str:
+def stamp(page_id: int | None) -> str:
     """The capture time of a page without one: seconds since 2024 by page_id."""
     import datetime as dt
 
-    return (dt.datetime(2024, 1, 1) + dt.timedelta(seconds=page_id % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return (dt.datetime(2024, 1, 1) + dt.timedelta(seconds=(page_id or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324  the format's own digest
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member."""
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
@@ -83,7 +83,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
-        f"WARC-Page-ID: {page_id}",
+        f"WARC-Page-ID: {"" if page_id is None else page_id}",
     ]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"WARC-Refers-To-Page: {refers_to}"]
@@ -127,7 +127,7 @@ def _capture(archive: str, offset: int, headers: dict[str, str], block: bytes) -
     if headers["WARC-Type"] == "response" and (len(payload) != size or digest(payload) != found):
         raise ValueError(f"a payload differs from its digest: {archive} at {offset}")
     refers = headers.get("WARC-Refers-To-Page")
-    return (url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], int(headers["WARC-Page-ID"]), size, found, headers["WARC-Type"], int(refers) if refers else None, archive, offset)
+    return (url_key(headers["WARC-Target-URI"]), headers["WARC-Date"], int(headers["WARC-Page-ID"]) if headers["WARC-Page-ID"] else None, size, found, headers["WARC-Type"], int(refers) if refers else None, archive, offset)
 
 
 class LoserTree:
@@ -178,11 +178,16 @@ def _line(row: tuple) -> bytes:
 
 def _row(line: bytes) -> tuple:
     f = line.decode().split("\t")
-    return (f[0], f[1], int(f[2]), int(f[3]), f[4], f[5], int(f[6]) if f[6] else None, f[7], int(f[8]))
+    return (f[0], f[1], int(f[2]) if f[2] else None, int(f[3]), f[4], f[5], int(f[6]) if f[6] else None, f[7], int(f[8]))
+
+
+def _key(row: tuple) -> tuple:
+    """Order of captures; rows without a page_id come first."""
+    return row[0], row[1], -1 << 63 if row[2] is None else row[2]
 
 
 def _rank(row: tuple) -> tuple:
-    return row[0], row[1], row[2], row[7], row[8]
+    return *_key(row), row[7], row[8]
 
 
 def write_run(root: str, name: str, rows: Iterator[tuple]) -> tuple[str, int, list]:
@@ -196,7 +201,7 @@ def write_run(root: str, name: str, rows: Iterator[tuple]) -> tuple[str, int, li
             if buffer:
                 raw = b"\n".join(buffer)
                 f.write(struct.pack("<I", len(raw)) + raw)
-                index.append((first[:3], at))
+                index.append((_key(first), at))
                 at += 4 + len(raw)
                 buffer, first = [], None
 
@@ -219,9 +224,9 @@ def read_run(url: str, offset: int, low: tuple | None, high: tuple | None) -> It
         while head := f.read(4):
             for line in f.read(struct.unpack("<I", head)[0]).split(b"\n"):
                 row = _row(line)
-                if high is not None and row[:3] >= high:
+                if high is not None and _key(row) >= high:
                     return
-                if low is None or row[:3] >= low:
+                if low is None or _key(row) >= low:
                     yield row
 
 

@@ -49,9 +49,9 @@ def test_constant_without_two_labels(spark):
     same = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (3, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, same)
     assert model == 1.0
-    assert [r.score for r in quality.scored(docs, model).collect()] == [1.0] * 3
+    assert [r[quality.SCORE] for r in quality.scored(docs, model).collect()] == [1.0] * 3
     net = quality.Network()
-    assert len({round(r.score, 6) for r in quality.scored(docs.where("doc_id > 1"), net).collect()}) == 1
+    assert len({round(r[quality.SCORE], 6) for r in quality.scored(docs.where("doc_id > 1"), net).collect()}) == 1
 
 
 def test_stages_after_the_classifier(spark, tmp_path):

@@ -12,10 +12,11 @@ from skarn.llm import warc
 def want(rows):
     by = {}
     for i, _, h in rows:
-        by.setdefault(h or "", []).append(i)
+        if i is not None:
+            by.setdefault(h or "", []).append(i)
     out = []
     for i, _, h in rows:
-        raw, first = (h or "").encode(), min(by[h or ""])
+        raw, first = (h or "").encode(), i if i is None else min(by[h or ""])
         out.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == first else "revisit", None if i == first else first))
     return sorted(out, key=str)
 
@@ -23,13 +24,13 @@ def want(rows):
 def test_round_trip(spark, monkeypatch):
     rnd = random.Random(1)
     rows = [(i, f"https://www.h{rnd.randint(0, 5)}.example.com/p{rnd.randint(0, 20)}?q=ü{i % 3}", "é<p>\r\n\r\n" * rnd.randint(0, 6)) for i in range(400)]
-    rows += [(500, None, None), (501, "not a url\nat all", ""), (502, "http://[bad", "x" * 300_000), (503, "http://a:8080/b", "x"), (503, "http://a:8080/b", "x")]
+    rows += [(500, None, None), (501, "not a url\nat all", ""), (502, "http://[bad", "x" * 300_000), (503, "http://a:8080/b", "x"), (503, "http://a:8080/b", "x"), (None, "http://a/", "x"), (None, None, None)]
     monkeypatch.setattr(warc, "FAN_IN", 2)
     monkeypatch.setattr(warc, "RANGE_LINES", 60)
     df = spark.createDataFrame([(c, b, a, 1) for a, b, c in rows], "html string, url string, page_id long, archive int").repartition(5)
     got = warc.archive_pages(df).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == want(rows)
-    keys = [(r.url_key, r.timestamp, r.page_id) for r in got]
+    keys = [(r.url_key, r.timestamp, -1 if r.page_id is None else r.page_id) for r in got]
     assert keys == sorted(keys)
     assert warc.archive_pages(df.limit(0)).collect() == []
 
