@@ -141,6 +141,15 @@ def term_weight(tf: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.least(tf.cast("int"), F.lit(MAX_TF))), F.lit(0.0), lambda s, j: s + F.lit(1.0) / (j * j)) * 0.1 / _ZETA2
 
 
+def weights() -> list[float]:
+    """term_weight of 0 to MAX_TF occurrences."""
+    out, total = [0.0], 0.0
+    for j in range(1, MAX_TF + 1):
+        total += 1.0 / (j * j)
+        out.append(total * 0.1 / _ZETA2)
+    return out
+
+
 def rank_any(index: DataFrame, words: list[str], id_col: str = "chunk_id") -> DataFrame:
     """(chunk_id, rank): default weights, no normalisation, for single and OR terms."""
     return index.where(F.col("lexeme").isin(words)).groupBy(id_col).agg(F.round(F.sum(term_weight(F.col("tf"))) / len(words), 9).alias("rank"))

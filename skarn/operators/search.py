@@ -23,23 +23,28 @@ def vector_candidates(chunks: DataFrame, query: list[float], source_id: int | No
 def text_candidates(chunks: DataFrame, words: list[str], source_id: int | None = None, limit: int = CANDIDATES) -> DataFrame:
     """(chunk_id, rank) of the chunks that hold any of the words, best first.
 
-    Only the query's words are counted: the words are picked from the token array before
-    anything is exploded or grouped, so no row leaves its partition but the candidates.
+    Only the query's words are counted, in the token array of each row, so nothing is
+    exploded or grouped and no row leaves its partition but the candidates.
     """
     if source_id is not None:
         chunks = chunks.where(F.col("source_id") == source_id)
-    toks = fts.tokens(F.col("content"))
-    counts = [F.size(F.array_compact(F.transform("t", _same(w)))) for w in words]
+    weights = F.array(*[F.lit(w) for w in fts.weights()])
+    found = chunks.select("chunk_id", F.filter(fts.tokens(F.col("content")), lambda x: x.isin(words)).alias("t"))
     total = F.lit(0.0)
-    for c in [F.col(f"c{i}") for i in range(len(words))]:
-        total = total + F.when(c > 0, fts.term_weight(F.greatest(c, F.lit(1)))).otherwise(0.0)
-    any_ = F.greatest(*[F.col(f"c{i}") for i in range(len(words))], F.lit(0))
-    out = chunks.select("chunk_id", F.filter(toks, lambda x: x.isin(words)).alias("t")).select("chunk_id", *[c.alias(f"c{i}") for i, c in enumerate(counts)])
-    return out.where(any_ > 0).select("chunk_id", F.round(total / len(words), 9).alias("rank")).orderBy(F.desc("rank"), "chunk_id").limit(limit)
+    for w in words:
+        total = total + F.get(weights, F.least(F.size(F.filter("t", _is(w))), F.lit(fts.MAX_TF)))
+    # chunks without any of the words rank 0, last; the filter above the limit keeps the array from being built twice
+    ranked = found.select("chunk_id", F.round(total / len(words), 9).alias("rank")).orderBy(F.desc("rank"), "chunk_id").limit(limit)
+    return ranked.where("rank > 0")
 
 
-def _same(word: str):
-    return lambda x: F.when(x == word, x)
+def indexed_candidates(index: DataFrame, words: list[str], limit: int = CANDIDATES) -> DataFrame:
+    """The same from stored postings: clustered by lexeme, a search reads the query's words only."""
+    return fts.rank_any(index, words).orderBy(F.desc("rank"), "chunk_id").limit(limit)
+
+
+def _is(word: str):
+    return lambda x: x == word
 
 
 def fused(near: DataFrame, matched: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -46,6 +46,11 @@ def fts_topk_simple(spark, sf):
     return search.text_candidates(fx.chunks(spark, sf), WORDS)
 
 
+@query("fts_topk_postings", _chain("tok", _TXT, "SELECT chunk_id, rank FROM ta"))
+def fts_topk_postings(spark, sf):
+    return search.indexed_candidates(fts.postings(fx.chunks(spark, sf)), WORDS)
+
+
 @query("rrf_fused", _chain("tok", _BOTH, "SELECT * FROM rr"))
 def rrf_fused(spark, sf):
     c = fx.chunks(spark, sf)
