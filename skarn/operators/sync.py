@@ -113,3 +113,25 @@ def sync(fetched: DataFrame, pages: DataFrame, seen: DataFrame | None = None, al
     counters = outcome_counters(out)
     rows = counters.select("source", *[F.col(f"pages_{k}").alias(k) for k in ("fetched", "skipped", "not_modified", "soft_failed", "failed")])
     return kept.unionByName(fresh), out, with_status(rows)
+
+
+def retry_shells(outcomes: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Outcomes after a second look at likely script shells, by pages rendered elsewhere (url, html).
+
+    Only pages of a shell group are looked at, in url order and until the renderer fails
+    BREAKER times in a row for a source; a page whose rendered text is long enough counts
+    as fetched or, with an unchanged hash, as skipped.
+    """
+    from .chunk import extract
+
+    flagged = outcomes.where("outcome = 'soft_failed'").join(shells(outcomes).select("source", "length"), ["source", "length"], "left_semi")
+    w = Window.partitionBy("source").orderBy("url")
+    tried = flagged.select("source", "url").join(rendered.select("url", "html"), "url", "left").withColumn("ord", F.row_number().over(w)).withColumn("ok", F.col("html").isNotNull())
+    tripped = breaker_trips(tried.select("source", "ord", "ok"))
+    tried = tried.join(tripped, "source", "left").where("ok and (tripped_at is null or ord <= tripped_at)")
+    numbered = tried.select(F.xxhash64("url").alias("page_id"), "url", "html")
+    better = extract(numbered).where("status = 'ok'").select(F.col("id").alias("page_id"), "markdown")
+    found = numbered.select("page_id", "url").join(better, "page_id").select("url", F.col("markdown").alias("_md"), F.sha2("markdown", 256).alias("_h"))
+    old = outcomes.join(found, "url", "left")
+    moved = F.when(F.col("_md").isNull(), F.col("outcome")).when(F.col("_h") == F.col("old_hash"), "skipped").otherwise("fetched") if "old_hash" in outcomes.columns else F.when(F.col("_md").isNull(), F.col("outcome")).otherwise("fetched")
+    return old.withColumn("outcome", moved).withColumn("markdown", F.coalesce("_md", "markdown")).withColumn("content_hash", F.coalesce("_h", "content_hash")).drop("_md", "_h")

@@ -294,3 +294,20 @@ def test_ivf_recall(spark):
         got = {x.chunk_id for x in ivf.search(index, centres, list(r.embedding), limit=10).collect()}
         found, total = found + len(want & got), total + len(want)
     assert found / total >= 0.9
+
+
+def test_sync_end_to_end(spark):
+    long = "word " * 60
+    pages = spark.createDataFrame([(1, "u1", "old"), (1, "u2", "old"), (1, "gone", "old"), (2, "v1", "old")], "source_id int, url string, content_hash string")
+    rows = [
+        (1, "a", "u1", True, False, long), (1, "a", "u2", True, True, None), (1, "a", "u3", True, False, "short"), (1, "a", "u4", True, False, "other"),
+        (1, "a", "u5", True, False, "third"), (1, "a", "u6", False, False, None), (2, "b", "v1", False, False, None),
+    ]
+    fetched = spark.createDataFrame(rows, "source_id int, source string, url string, fetch_ok boolean, not_modified boolean, markdown string")
+    after, outcomes, runs = sync.sync(fetched, pages)
+    assert sorted((r.url, r.content_hash == "old") for r in after.collect()) == [("u1", False), ("u2", True), ("v1", True)]
+    assert {r.url: r.outcome for r in outcomes.collect()} == {"u1": "fetched", "u2": "not_modified", "u3": "soft_failed", "u4": "soft_failed", "u5": "soft_failed", "u6": "fetch_failed", "v1": "fetch_failed"}
+    assert {r.source: r.status for r in runs.collect()} == {"a": "partial", "b": "failed"}
+    shown = spark.createDataFrame([("u3", f"<article><p>{long}</p></article>"), ("u9", "x")], "url string, html string")
+    again = sync.retry_shells(outcomes, shown)
+    assert {r.url: r.outcome for r in again.collect()}["u3"] == "fetched" and again.count() == 7
