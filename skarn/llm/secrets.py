@@ -9,8 +9,11 @@ usual false positives (digests, identifiers, file names, versions, addresses); a
 (before, candidate, after, secret) replaces them.
 
 The transition model and the dictionary are fitted on the words of those findings'
-contexts and of at most SAMPLE_ROWS documents, those of smallest id hash and at most
-SAMPLE_BYTES bytes each; every text is scanned whole.
+contexts and of all documents, each row counted. Tasks count words and transitions of
+their rows first (words are emitted whenever HELD distinct ones are held), so the shuffle
+sees partial counts. The transition table is 28 by 28; the dictionary has the words that
+occur twice at least and make up SHARE of all words, 1 / SHARE of them at most. Every
+text is scanned whole.
 
 Null and empty texts have no candidates; a longer run than 512 is scanned in pieces of
 512; repeated rows are scanned one by one; other columns are ignored.
@@ -23,17 +26,17 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, saved, table
 
 TREES, DEPTH, LEAF = 40, 8, 4
-SAMPLE_ROWS, SAMPLE_BYTES = 500, 1 << 15
+SHARE, HELD = 5e-7, 1 << 18
 CUT = 0.5
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_.\-]{16,512}")
 _CUES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "credential", "bearer", "private")
@@ -63,18 +66,37 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str,
     return out
 
 
+def tally(texts: Iterable[str]) -> Counter:
+    """How often each word occurs."""
+    words: Counter = Counter()
+    for t in texts:
+        if len(t) > 1 << 20:  # without a list of all words
+            words.update(m[0] for m in re.finditer(r"[a-z]{2,20}", t.lower()))
+        else:
+            words.update(re.findall(r"[a-z]{2,20}", t.lower()))
+    return words
+
+
+def transitions(words: Counter) -> np.ndarray:
+    """How often a character follows another in words; 0 stands for their ends."""
+    counts = np.zeros((28, 28), np.int64)
+    for w, n in words.items():
+        x = [0, *(ord(c) - 96 for c in w), 0]
+        for a, b in zip(x, x[1:]):
+            counts[a, b] += n
+    return counts
+
+
 class Language:
-    """Character transitions and frequent words of some texts."""
-
-    def __init__(self, texts: list[str]):
-        words = Counter(w for t in texts for w in re.findall(r"[a-z]{2,20}", t.lower()))
-        counts = np.ones((28, 28))
-        for w, n in words.items():
-            x = [0, *(ord(c) - 96 for c in w), 0]
-            for a, b in zip(x, x[1:]):
-                counts[a, b] += n
+    """Character transitions and frequent words of some texts, and of counts made before."""
+
+    def __init__(self, texts: list[str], counts: np.ndarray | None = None, words: Counter | None = None):
+        own = tally(texts)
+        counts = 1 + transitions(own) + (0 if counts is None else counts)
         self.cost = -np.log2(counts / counts.sum(1, keepdims=True))
-        self.words = {w for w, n in words.most_common(20_000) if n > 1 and len(w) > 2}
+        words = own if words is None else words + own
+        least = frequent(int(counts[0].sum()) - counts.shape[1])
+        self.words = {w for w, n in words.items() if n >= least and len(w) > 2}
 
     def surprise(self, s: str) -> float:
         x = [(ord(c) - 96) if "a" <= c <= "z" else 27 if c.isdigit() else 0 for c in s.lower()]
@@ -163,12 +185,51 @@ def scan(text: str, language: Language, forest: Forest) -> tuple[int, list[tuple
     return len(found), [(m.start(), m.end(), float(s)) for m, s in zip(found, forest.score(x), strict=True) if s >= CUT]
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(a, b, word, n) over all texts: transitions a to b with a null word, and words of three letters or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, words = np.zeros((28, 28), np.int64), Counter()
+
+        def emit() -> pa.RecordBatch:
+            nonlocal counts
+            counts = counts + transitions(words)
+            kept = [(w, n) for w, n in words.items() if len(w) > 2]
+            words.clear()
+            none = pa.nulls(len(kept), pa.int32())
+            return pa.RecordBatch.from_arrays([none, none, pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["a", "b", "word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                words.update(tally([t.as_py() or ""]))
+                if len(words) >= HELD:
+                    yield emit()
+        yield emit()
+        a, b = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.nulls(len(a), pa.string()), pa.array(counts[a, b], pa.int64())], ["a", "b", "word", "n"])
+
+    return arrow_map(docs.select("text"), run, "a int, b int, word string, n long").groupBy("a", "b", "word").agg(F.sum("n").alias("n"))
+
+
+def frequent(total: int) -> int:
+    """The occurrences that a word of the dictionary needs, of total words."""
+    return max(2, math.ceil(SHARE * total))
+
+
+def corpus_language(docs: DataFrame, contexts: list[str]) -> Language:
+    found = saved(word_counts(docs), "words")
+    counts = np.zeros((28, 28), np.int64)
+    for r in found.where("word is null").collect():
+        counts[r.a, r.b] = r.n
+    own = tally(contexts)
+    least = frequent(int(counts[0].sum()) + sum(own.values()))
+    near = found.where(F.col("word").isNotNull() & ((F.col("n") >= least) | F.col("word").isin(list(own))))
+    return Language(contexts, counts, Counter({r.word: r.n for r in near.select("word", "n").collect()}))
+
+
 def fit(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = None) -> tuple[Language, Forest]:
     findings = findings or labelled_findings()
-    short = docs.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("doc_id").isNotNull())
-    picked = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)  # ids alone go to the driver's top-k
-    some = short.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text").collect()
-    language = Language([r[0] for r in some] + [b + " " + a for b, _, a, _ in findings])
+    language = corpus_language(docs, [b + " " + a for b, _, a, _ in findings])
     x = np.array([features(b, c, a, language) for b, c, a, _ in findings])
     return language, Forest(x, np.array([f[3] for f in findings], float))
 
@@ -176,7 +237,7 @@ def fit(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = None
 def find_secrets(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_candidates, n_secrets, spans) for each row; spans are start:end:score, comma-joined."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, findings))  # at most 20,000 words and TREES trees
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, findings))  # at most 1 / SHARE words and TREES trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language, forest = model.value

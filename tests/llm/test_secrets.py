@@ -1,5 +1,7 @@
 """op9: accuracy on findings it has not seen, and odd rows."""
 
+from collections import Counter
+
 import numpy as np
 
 from skarn.llm import secrets as s
@@ -25,3 +27,18 @@ def test_rows(spark):
     assert len(one) == 2 and all(r.n_candidates == 3 and r.n_secrets == 1 and r.spans.startswith(f"{at}:{at + 40}:") for r in one)
     assert all(r.n_secrets == 0 and r.spans == "" for r in got if r.doc_id in (2, 3, None))
     assert s.find_secrets(df.limit(0)).collect() == []
+
+
+def test_language_covers_all_documents(spark, monkeypatch):
+    """Every row counts, also behind the 500th and over 32 KiB, and whenever a task emits its words."""
+    rows = [(i, f"common words here {'zyxwv' if i > 700 else ''}") for i in range(800)] + [(9000, "qqxqq filler " * 4000), (9001, None), (None, "vvjvv vvjvv"), (5, "common")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter(w for _, t in rows for w in s.re.findall(r"[a-z]{2,20}", t or ""))
+    for held in (s.HELD, 2):
+        monkeypatch.setattr(s, "HELD", held)
+        got = s.word_counts(df).collect()
+        assert {r.word: r.n for r in got if r.word} == {w: n for w, n in want.items() if len(w) > 2}
+        assert {(r.a, r.b): r.n for r in got if r.word is None} == {(a, b): n for (a, b), n in np.ndenumerate(s.transitions(want)) if n}
+    language = s.corpus_language(df, ["some context"])
+    assert {"zyxwv", "qqxqq", "vvjvv"} <= language.words and "some" not in language.words
+    assert np.allclose(language.cost, s.Language([t or "" for _, t in rows] + ["some context"]).cost)
