@@ -36,6 +36,8 @@ from .words import _M2, _P, _PINV, _power, mix
 
 LENGTH = 200
 K = 32
+#: Windows of a long text that are handled at once; positions in a piece take PLACE bits of a minimizer's key.
+PIECE, PLACE = 8 << 20, 24
 CHUNK = 4 << 20
 ANCHORS = "kind int, gram long, seg long, cnt long, doc_id long, key long, at int, first int, size int"
 
@@ -52,7 +54,24 @@ def _digest(sums: np.ndarray, first: np.ndarray, size) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments of the rows: (row, anchor, first window, windows, gram digest, segment digest)."""
+    """Segments of the rows: (row, anchor, first window, windows, gram digest, segment digest).
+
+    More bytes than positions fit beside a hash are handled in pieces that overlap by
+    LENGTH - 1 bytes, so each window is in one piece, and a segment that a piece's end
+    cuts goes on as another segment of the same anchor.
+    """
+    found, begin = [], 0
+    while True:
+        end = min(len(data), begin + PIECE + LENGTH - 1)
+        row, anchor, first, *rest = _anchors(data[begin:end], np.clip(offsets - begin, 0, end - begin))
+        found.append((row, anchor + begin, first + begin, *rest))
+        if end == len(data):
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        begin += PIECE
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    assert len(data) < 1 << PLACE
     n, w = len(data), LENGTH - K + 1
     starts = n - LENGTH + 1
     none = np.zeros(0, np.int64)
@@ -60,13 +79,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = _sums(data)
     grams = _digest(sums, np.arange(n - K + 1), K)
-    keys = (grams & ~np.uint64((1 << 24) - 1)) | np.arange(n - K + 1, dtype=np.uint64)
+    keys = (grams & ~np.uint64((1 << PLACE) - 1)) | np.arange(n - K + 1, dtype=np.uint64)
     pad = -len(keys) % w
     tiles = np.concatenate([keys, np.full(pad, ~np.uint64(0))]).reshape(-1, w)
     ahead = np.minimum.accumulate(tiles, axis=1).ravel()
     behind = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[:starts], ahead[w - 1 : w - 1 + starts])
-    owner = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+    owner = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:starts]
     valid = np.arange(starts) + LENGTH <= offsets[1:][row]
     s = np.flatnonzero(valid)

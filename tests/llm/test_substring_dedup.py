@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from skarn.llm import substring_dedup as s
 
 
@@ -61,3 +63,25 @@ def test_one_passage_over_many_buckets(spark):
         assert sorted((tuple(r)[:5] for r in s.repeated_passages(df).collect()), key=str) == brute(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_windows_own_the_same_anchors_in_pieces(monkeypatch):
+    raws = [(t or "").encode() for _, t in corpus()]
+    data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+
+    def owned():
+        row, anchor, first, count, gram, _ = s.anchors(data, offsets)
+        return sorted((int(r), int(f) + j, int(a), int(g)) for r, a, f, n, g in zip(row, anchor, first, count, gram, strict=True) for j in range(n))
+
+    whole = owned()
+    monkeypatch.setattr(s, "PIECE", 700)
+    assert owned() == whole
+
+
+def test_passage_behind_16_mib(spark):
+    rng = np.random.default_rng(6)
+    say = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    passage, head = say(900), say((1 << 24) + 5000)
+    df = spark.createDataFrame([(1, head + passage + say(700)), (2, passage), (3, say(900))], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in s.repeated_passages(df).collect()}
+    assert got == {1: [(len(head), len(head) + 900)], 2: [(0, 900)], 3: []}
