@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skarn.functions import vector
+
 from .search import CANDIDATES, vector_candidates
 
 SAMPLE, ROUNDS = 20_000, 15
@@ -54,3 +56,21 @@ def search(indexed: DataFrame, centres: np.ndarray, query: list[float], probes:
     """The nearest rows of the cells nearest to the query, by exact distance."""
     near = np.argsort(-(centres @ np.array(query)))[:probes].tolist()
     return vector_candidates(indexed.where(F.col("cell").isin(near)), query, limit=limit)
+
+
+def batch_search(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, probes: int = 12, limit: int = CANDIDATES) -> DataFrame:
+    """(query_id, chunk_id, rnk, distance) of many query vectors (query_id, vector), each in its nearest cells.
+
+    Queries stay rows, as many as there are; they meet the vectors of their cells by a join.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def near(v: pd.Series) -> pd.Series:
+        return pd.Series(np.argsort(-(np.stack(v.to_numpy()) @ centres.T), axis=1)[:, :probes].astype(np.int32).tolist())
+
+    asked = queries.where("vector is not null").select("query_id", "vector", vector.norm(F.col("vector")).alias("size"), F.explode(near("vector")).alias("cell"))
+    pairs = indexed.where("embedding is not null").select("chunk_id", "cell", "embedding").join(asked, "cell")
+    d = vector.cosine_distance(F.col("embedding"), F.col("vector"), norm_b=F.col("size"))
+    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    best = pairs.select("query_id", "chunk_id", F.round(d, 9).alias("distance")).withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= limit)
+    return best.select("query_id", "chunk_id", F.col("rnk").cast("long").alias("rnk"), "distance")

@@ -79,6 +79,17 @@ def batch_nearest(chunks: DataFrame, queries: DataFrame, limit: int = 5) -> Data
     return out.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= limit).select("query_id", "chunk_id", F.col("rnk").cast("long").alias("rnk"), "distance")
 
 
+def batch_text(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """(query_id, chunk_id, rnk) of many texts (query_id, text): text_candidates of each one's distinct words."""
+    words = queries.select("query_id", F.array_distinct(fts.tokens(F.col("text"))).alias("ws"))
+    words = words.select("query_id", F.size("ws").alias("of"), F.explode("ws").alias("lexeme"))
+    weight = F.get(F.array(*[F.lit(w) for w in fts.weights()]), F.least(F.col("tf"), F.lit(fts.MAX_TF)).cast("int"))
+    index = fts.postings(chunks).select("chunk_id", "lexeme", weight.alias("weight"))
+    ranked = index.join(words, "lexeme").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight") / F.first("of"), 9).alias("rank"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("rank"), "chunk_id")
+    return ranked.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= limit).select("query_id", "chunk_id", F.col("rnk").cast("long").alias("rnk"))
+
+
 def recall(hits: DataFrame, cases: DataFrame) -> DataFrame:
     """Per expected source: cases and those whose snippet is in a hit of theirs."""
     found = hits.join(cases, "case_id").groupBy("case_id", "expected_source").agg(F.max(F.lower("content").contains(F.lower(F.col("snippet"))).cast("int")).alias("ok"))

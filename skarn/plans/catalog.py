@@ -179,6 +179,12 @@ def run_totals(spark, sf):
     return sync.totals(runs_with_status(spark, sf).where("finished_at < timestamp_ntz'2024-01-10 00:00:00'"))
 
 
+@query("run_totals_all", _with("runs", f"{_FLAGS}, {_STATUS}", """SELECT sum(fetched)::BIGINT AS fetched, sum(skipped)::BIGINT AS skipped, sum(not_modified)::BIGINT AS not_modified, sum(soft_failed)::BIGINT AS soft_failed, sum(failed)::BIGINT AS failed,
+  string_agg(CASE WHEN status = 'failed' THEN source END, '; ' ORDER BY source) AS errors, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'ok' END AS status FROM rs"""))
+def run_totals_all(spark, sf):
+    return sync.totals(runs_with_status(spark, sf))
+
+
 @query("last_status_gauge", _with("runs", f"{_FLAGS}, {_STATUS}", "SELECT source, arg_max(status, finished_at) AS status, max(finished_at) AS finished_at FROM rs GROUP BY 1"))
 def last_status_gauge(spark, sf):
     return health.last_status(runs_with_status(spark, sf))

@@ -71,6 +71,19 @@ def rrf_batch_queries(spark, sf):
     return search.batch_nearest(fx.chunks(spark, sf), queries)
 
 
+def batch_vectors(spark, sf):
+    """Every 20th vector, as queries."""
+    return fx.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("rrf_batch_queries_all", fx.sql("ck", """SELECT query_id, chunk_id, rnk, distance FROM (
+  SELECT q.vec_id AS query_id, c.chunk_id, round(list_cosine_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), c.chunk_id) AS rnk
+  FROM ck c, embeddings q WHERE q.vec_id % 20 = 0 AND c.embedding IS NOT NULL) WHERE rnk <= 5"""))
+def rrf_batch_queries_all(spark, sf):
+    return search.batch_nearest(fx.chunks(spark, sf), batch_vectors(spark, sf))
+
+
 @query("search_snippet", fx.sql("pg", """SELECT id, CASE WHEN length(t) > 200 THEN t[1:197] || '...' ELSE t END AS snippet
   FROM (SELECT id, trim(replace(text, chr(10), ' '), ' ') AS t FROM pg)"""))
 def search_snippet(spark, sf):
@@ -127,6 +140,22 @@ def recall_by_source(spark, sf):
     return search.recall(hits.select("case_id", "content"), cases)
 
 
+@query("recall_by_source_searched", _chain("tok", "cs AS (SELECT b.item_id AS case_id, b.text AS snippet, 'src' || b.item_id % 20 AS expected_source FROM benchmark b)", rf"""SELECT expected_source, count(*) AS cases, count(*) FILTER (ok)::BIGINT AS passed FROM (
+  SELECT cs.case_id, expected_source, coalesce(bool_or(contains(lower(c.content), lower(snippet))), false) AS ok FROM cs LEFT JOIN (
+    SELECT case_id, chunk_id, row_number() OVER (PARTITION BY case_id ORDER BY rank DESC, chunk_id) AS rnk FROM (
+      SELECT case_id, chunk_id, round(sum({_WEIGHT}) / any_value(n), 9) AS rank FROM (
+        SELECT case_id, len(ws) AS n, unnest(ws) AS lexeme FROM (SELECT case_id, list_distinct(list_filter(string_split_regex(lower(snippet), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS ws FROM cs)) q JOIN tok USING (lexeme) GROUP BY 1, 2)) h
+    ON h.case_id = cs.case_id AND rnk <= 10 LEFT JOIN ck c ON c.chunk_id = h.chunk_id GROUP BY 1, 2) GROUP BY 1"""))
+def recall_by_source_searched(spark, sf):
+    """The recall of the search itself: the best ten chunks of each case's words."""
+    b = fx.table(spark, sf, "benchmark")
+    cases = b.select(F.col("item_id").alias("case_id"), F.col("text").alias("snippet"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("expected_source"))
+    c = fx.chunks(spark, sf)
+    found = search.batch_text(c, cases.select(F.col("case_id").alias("query_id"), F.col("snippet").alias("text")), limit=10)
+    hits = found.join(c.select("chunk_id", "content"), "chunk_id").select(F.col("query_id").alias("case_id"), "content")
+    return search.recall(hits, cases)
+
+
 @query("vector_literals", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x::DOUBLE, 6) AS DECIMAL(18,6))::VARCHAR), ',') || ']' AS literal FROM embeddings")
 def vector_literals(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", text.vector_literal(F.col("embedding")).alias("literal"))
@@ -138,4 +167,4 @@ def vector_topk_ivf(spark, sf):
 
     c = fx.chunks(spark, sf)
     centres = ivf.fit(c, 32)
-    return ivf.search(ivf.assign(c, centres), centres, query_vector(spark, sf))
+    return ivf.batch_search(ivf.assign(c, centres), centres, batch_vectors(spark, sf))

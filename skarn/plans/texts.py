@@ -116,6 +116,13 @@ def bfs_levels(spark, sf):
     return discovery.reach(li, spark.range(1, 2).select(F.col("id").alias("node")), 3)
 
 
+@query("bfs_levels_all", """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 10 + 1 AS dst FROM lineitem), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node WHERE r.depth < 3)
+  SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1""")
+def bfs_levels_all(spark, sf):
+    li = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 10 + 1).alias("dst")).distinct()
+    return discovery.reach(li, spark.range(1, 2).select(F.col("id").alias("node")), 3)
+
+
 _CRON = "(VALUES ('0 0 * * *'), ('*/15 * * * *'), ('30 6 1,15 * *'), ('0 12 * * 1'), ('5 4 * 1 0'), ('1-5 * * * *'), ('60 0 * * *'), ('* * * *')) t(expr)"
 
 

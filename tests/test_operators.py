@@ -311,3 +311,28 @@ def test_sync_end_to_end(spark):
     shown = spark.createDataFrame([("u3", f"<article><p>{long}</p></article>"), ("u9", "x")], "url string, html string")
     again = sync.retry_shells(outcomes, shown)
     assert {r.url: r.outcome for r in again.collect()}["u3"] == "fetched" and again.count() == 7
+
+
+def test_batch_ivf(spark):
+    """Every 20th vector as a query: over all cells the exact search, over a few the single searches."""
+    from skarn.operators import ivf
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    centres = ivf.fit(e, 32)
+    index = ivf.assign(e, centres).cache()
+    rows = lambda df: sorted((r.query_id, r.rnk, r.chunk_id) for r in df.collect())
+    assert rows(ivf.batch_search(index, centres, asked, probes=32, limit=10)) == rows(search.batch_nearest(e, asked, limit=10))
+    got = rows(ivf.batch_search(index, centres, asked, limit=10))
+    assert {q for q, _, _ in got} == {r.query_id for r in asked.collect()}
+    for r in asked.where("query_id % 100 = 0").collect():
+        want = [x.chunk_id for x in ivf.search(index, centres, list(r.vector), limit=10).orderBy("distance", "chunk_id").collect()]
+        assert [c for q, _, c in got if q == r.query_id] == want
+
+
+def test_vector_topk_ivf_asks_every_20th_vector(spark):
+    from skarn.plans.search import vector_topk_ivf
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r.query_id for r in vector_topk_ivf(spark, sf).select("query_id").distinct().collect()}
+    assert ids == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
