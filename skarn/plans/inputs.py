@@ -29,6 +29,11 @@ def prefix_lists(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", F.array_join(configs.split_prefixes(F.substring("text", 1, 200)), "|").alias("prefixes"))
 
 
+@query("prefix_lists_whole", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[,\n]'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS prefixes FROM documents")
+def prefix_lists_whole(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", F.array_join(configs.split_prefixes(F.col("text")), "|").alias("prefixes"))
+
+
 @query("config_errors")
 def config_errors(spark, sf):
     s = fx.sources(spark, sf)

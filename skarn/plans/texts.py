@@ -87,6 +87,11 @@ def slugify(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", urls.slugify(F.substring("text", 1, 80)).alias("slug"))
 
 
+@query("slugify_whole", f"SELECT doc_id, {_SLUG % 'text'} AS slug FROM documents")
+def slugify_whole(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", urls.slugify(F.col("text")).alias("slug"))
+
+
 @query("upload_urls", fx.sql("pg", "SELECT p.id, 'upload://' || s.name || '/' || p.id || '.md' AS url FROM pg p JOIN src s ON s.id = p.source_id"))
 def upload_urls(spark, sf):
     p = fx.pages(spark, sf).join(fx.sources(spark, sf).select(F.col("id").alias("source_id"), "name"), "source_id")

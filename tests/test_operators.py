@@ -336,3 +336,16 @@ def test_vector_topk_ivf_asks_every_20th_vector(spark):
     sf = "/root/testdata/sf0.001"
     ids = {r.query_id for r in vector_topk_ivf(spark, sf).select("query_id").distinct().collect()}
     assert ids == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+
+
+def test_prefixes_and_slugs_of_whole_texts(spark, tmp_path):
+    """What stands behind the first 200 characters reaches both operators."""
+    from skarn.plans.inputs import prefix_lists_whole
+    from skarn.plans.texts import slugify_whole
+
+    text = "Some words, " * 40 + "the LAST one\n, end!"
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = {r.doc_id: r.prefixes for r in prefix_lists_whole(spark, str(tmp_path)).collect()}
+    assert parts[1] == "|".join(["Some words"] * 40 + ["the LAST one", "end!"]) and parts[3] == ""
+    slugs = {r.doc_id: r.slug for r in slugify_whole(spark, str(tmp_path)).collect()}
+    assert slugs[1] == "some-words-" * 40 + "the-last-one-end" and slugs[2] is None
