@@ -11,11 +11,13 @@ dropped without retries) come from one pass of built-in functions over each whol
 The patterns that run are rewritten so that each text is scanned in linear time and
 without recursion (separators inside a match are first replaced by a mark).
 
-Bootstrapping: candidates are tokens of 5 to 64 characters with a digit; a candidate's
-lexical pattern is the one or two words before it. Base matches seed the pattern-instance
+Bootstrapping: candidates are tokens with a digit, of 5 characters or more, and
+those without an ASCII letter are joined over blanks and the separators `( ) . / -`; a run that overlaps a base span is taken
+token by token. A candidate's lexical pattern is the one or two words before it. Base matches seed the pattern-instance
 graph. In each of ROUNDS rounds a pattern scores, for a kind, the mean confidence of its
 instances (each distinct instance counts once), and an unseen instance the mean score of
-its patterns. Patterns with MIN_SEEDS distinct seeds of one kind and a score of MIN_SCORE
+its patterns. An unseen instance of MIN_SCORE counts as a seed in the next round.
+Patterns with MIN_SEEDS distinct seeds of one kind and a score of MIN_SCORE
 mark the candidates behind them; a mark that overlaps a base span is dropped. Pattern and
 instance statistics cover all documents and are combined before each shuffle.
 
@@ -42,7 +44,11 @@ _EMAIL = f"(?:\\G|(?<![A-Za-z0-9._%+\\-{_JOIN}]))[A-Za-z0-9._%+\\-{_JOIN}]++@[A-
 _IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 _CARD = f"(?<![0-9{_JOIN}])[0-9{_JOIN}]{{13,}}+"
 _PHONE = "\\+[0-9][ ().0-9-]+[0-9]"
-_TOKEN = "(?<!\\S)(?=\\S*[0-9])\\S{5,64}+(?!\\S)"
+_NUMBER = "(?<!\\S)(?=[^\\sA-Za-z]*[0-9])[^\\sA-Za-z]++(?!\\S)"
+_MIXED = "(?<!\\S)(?=\\S*[0-9])(?=\\S*[A-Za-z])\\S++"
+#: between two marked numbers of one run
+_GAP = f"{_CUT}([ \\t()./-]++){_CUT}"
+_CAND = "struct<start:int,end:int,s:string,before:string>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -94,33 +100,38 @@ def _left(text: Column) -> Column:
     return F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
 
 
-def candidates(text: Column) -> Column:
-    """Tokens with digits and the words before them: (start, end, s, left)."""
-    parts = F.split(F.regexp_replace(text, _TOKEN, f"{_CUT}$0{_CUT}"), _CUT)
-    kind = "struct<start:int,end:int,s:string,left:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"), F.lit(False).alias("odd"), F.lit("").alias("before"))
+def candidates(text: Column, at: Column | None = None, before: Column | None = None, joined: bool = True) -> Column:
+    """Runs of tokens with digits, or single ones, and the text before them: (start, end, s, before)."""
+    marked = F.regexp_replace(text, _NUMBER, f"{_CUT}$0{_CUT}")
+    marked = F.regexp_replace(marked, _GAP, "$1") if joined else marked
+    parts = F.split(F.regexp_replace(marked, _MIXED, f"{_CUT}$0{_CUT}"), _CUT)
+    start = F.struct((F.lit(0) if at is None else at).alias("at"), F.array().cast(f"array<{_CAND}>").alias("found"), F.lit(False).alias("odd"), (F.lit("") if before is None else before).alias("before"))
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("s"), _left(acc["before"]).alias("left"))
-        return F.struct(end.alias("at"), F.when(acc["odd"], F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"), (~acc["odd"]).alias("odd"), part.alias("before"))
+        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("s"), acc["before"].alias("before"))
+        return F.struct(end.alias("at"), F.when(acc["odd"] & (F.length(part) >= 5), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"), (~acc["odd"]).alias("odd"), F.right(F.concat(acc["before"], F.right(part, F.lit(60))), F.lit(60)).alias("before"))
 
     return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
 
 def bootstrap(edges: DataFrame) -> DataFrame:
     """Trusted (left, kind) of edges (left, s, kind or null): patterns scored by their instances, and back."""
-    graph = edges.groupBy("left", "s").agg(F.max("kind").alias("kind"))
+    graph = kept(edges.groupBy("left", "s").agg(F.max("kind").alias("kind")))
     sizes = graph.groupBy("left").agg(F.count("*").alias("size"))
-    seeds = graph.where("kind is not null").groupBy("left", F.col("kind").alias("k")).agg(F.count("*").alias("seeds")).where(f"seeds >= {MIN_SEEDS}")
-    # only patterns with enough seeds can come to be trusted; all their instances take part
-    graph = kept(graph.join(seeds.select("left", "k", "seeds"), "left").join(sizes, "left"))
-    unseen = graph.where("kind is null").select("s", "k").distinct().withColumn("conf", F.lit(0.0))
-    scores = None
+    known = graph.where("kind is not null").select("left", F.col("kind").alias("k"))
+    unseen = scores = None
     for _ in range(ROUNDS):
-        own = graph.join(unseen, ["s", "k"], "left").withColumn("c", F.when(F.col("kind") == F.col("k"), 1.0).when(F.col("kind").isNotNull(), 0.0).otherwise(F.coalesce("conf", F.lit(0.0))))
+        seeds = known
+        if unseen is not None:
+            seeds = known.unionByName(graph.where("kind is null").join(unseen.where(f"conf >= {MIN_SCORE}"), "s").select("left", "k"))
+        # only patterns with enough seeds can come to be trusted; all their instances take part
+        seeds = seeds.groupBy("left", "k").agg(F.count("*").alias("seeds")).where(f"seeds >= {MIN_SEEDS}")
+        own = graph.join(seeds, "left").join(sizes, "left")
+        own = own.withColumn("conf", F.lit(0.0)) if unseen is None else own.join(unseen, ["s", "k"], "left")
+        own = own.withColumn("c", F.when(F.col("kind") == F.col("k"), 1.0).when(F.col("kind").isNotNull(), 0.0).otherwise(F.coalesce("conf", F.lit(0.0))))
         scores = kept(own.groupBy("left", "k").agg((F.sum("c") / F.max("size")).alias("score"), F.max("seeds").alias("seeds")))
-        unseen = kept(graph.where("kind is null").join(scores.select("left", "k", "score"), ["left", "k"]).groupBy("s", "k").agg(F.avg("score").alias("conf")))
+        unseen = kept(graph.where("kind is null").join(scores.select("left", "k", "score"), "left").groupBy("s", "k").agg(F.avg("score").alias("conf")))
     return scores.where(f"score >= {MIN_SCORE}").select("left", F.col("k").alias("kind"))
 
 
@@ -146,9 +157,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("doc_id", "key", *[v.alias(k) for k, v in spans.items()], "t")
     rows = saved(rows.select("doc_id", "key", *KINDS, F.concat(*[_seeds(k) for k in KINDS]).cast("array<struct<left:string,s:string,kind:string>>").alias("seeds"), F.when(F.col("t").rlike("[0-9]"), candidates(F.col("t"))).alias("cands")), "spans")
     typed = F.concat(*[_typed(k) for k in KINDS]).cast(_TYPED)
-    hits = rows.select("doc_id", "key", typed.alias("base"), F.explode("cands").alias("c")).where("c.left <> ''").select("doc_id", "key", "base", "c.*")
+    hits = rows.select("doc_id", "key", typed.alias("base"), F.explode("cands").alias("c")).select("doc_id", "key", "base", "c.*")
     over = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    hits = saved(hits.where(~over).select("doc_id", "key", "start", "end", "s", "left"), "candidates")
+    hits = hits.withColumn("over", over)
+    single = candidates(F.col("s"), F.col("start"), F.col("before"), joined=False)
+    parts = hits.where("over").select("doc_id", "key", "base", F.explode(single).alias("c")).select("doc_id", "key", "base", "c.*").where(~over)
+    columns = ["doc_id", "key", "start", "end", "s", "before"]
+    hits = hits.where("not over").select(*columns).unionByName(parts.select(*columns)).withColumn("left", _left(F.col("before"))).drop("before").where("left <> ''")
+    hits = saved(hits, "candidates")
     seeds = rows.select(F.explode("seeds").alias("c")).where("c.left <> ''").select("c.left", "c.s", "c.kind")
     trusted = bootstrap(hits.select("left", "s", F.lit(None).cast("string").alias("kind")).unionByName(seeds))
     found = hits.join(trusted.withColumnRenamed("kind", "k"), "left").groupBy("doc_id", "key").agg(F.collect_set(F.struct(F.col("k").alias("kind"), "start", "end")).alias("found"))

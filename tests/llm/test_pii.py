@@ -58,3 +58,23 @@ def test_bootstrapping_finds_what_the_patterns_mark(spark):
     assert got[100].spans == f"phone:{at}:{at + 12}" and got[100].n_phone == 0
     assert all(not got[i].spans for i in (101, *range(200, 220)))
     assert all(got[i].n_phone == 1 and "," not in got[i].spans for i in range(40))
+
+
+def test_candidates_are_runs_with_the_words_before(spark):
+    rows = [(i, f"some words here Reach me +1 (212) 555-{1000 + i} thanks") for i in range(40)]
+    said = {100: "(212) 555-7788", 101: "212 555 7788", 102: "9" * 80, 103: "212 - 555 - 7799"}
+    rows += [(i, f"other words here reach me {x} thanks") for i, x in said.items()]
+    # digits stand among the words before, as they do before the seeds
+    rows += [(200 + i, f"line a1 +1 (313) 555-{1000 + i} ok") for i in range(40)] + [(300, "line a1 313-555-7788 ok")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in said.items():
+        at = dict(rows)[i].index(x)
+        assert got[i].spans == f"phone:{at}:{at + len(x)}", x
+    assert got[300].spans == "phone:8:20"
+
+
+def test_trusted_instances_seed_patterns(spark):
+    edges = [("reach me", f"base{i}", "phone") for i in range(95)]
+    edges += [(left, f"new{i}", None) for left in ("reach me", "or dial") for i in range(5)]
+    got = pii.bootstrap(spark.createDataFrame(edges, "left string, s string, kind string"))
+    assert {tuple(r) for r in got.collect()} == {("reach me", "phone"), ("or dial", "phone")}
