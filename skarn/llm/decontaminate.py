@@ -10,9 +10,9 @@ once, through the ranks of a wavelet tree over the Burrows-Wheeler transform; oc
 are located by walking to sampled suffix positions, one in SAMPLE; their word ranges are
 merged into removal spans. No shuffle takes place.
 
-The test items are cut into blocks of at most BLOCK_WORDS words, kept in the scratch
-folder and read by the tasks one after another, so neither the driver nor a task holds
-more than a block and nothing is broadcast.
+The test items are cut into blocks of about BLOCK_WORDS words, built in tasks, kept in the
+scratch folder and read by the tasks one after another, so no task holds more than a block
+and nothing is broadcast; the driver sees the blocks' names.
 
 Null and word-free texts have no words and no hits; items without words or without an id
 have no windows; repeated rows are judged one by one; other columns are ignored.
@@ -21,7 +21,9 @@ have no windows; repeated rows are judged one by one; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import arrow_map, local_files, scratch_path, table, utf8
+from .common import arrow_map, local_files, saved, scratch_path, table, utf8
 
 WINDOW = 10
 SAMPLE = 8
@@ -224,28 +226,37 @@ class Hits:
 
 
 def write_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[str]:
-    """The test items as blocks in the scratch folder; the driver holds one at a time."""
+    """The test items as blocks in the scratch folder, each built in a task; their names."""
     root = scratch_path(bench.sparkSession, "blocks")
     fs, path = local_files(root)
     fs.create_dir(path)
-    found, ids, texts, size = [], [], [], 0
-
-    def put() -> None:
-        name = f"{path}/{len(found)}"
-        with fs.open_output_stream(name) as f:
-            f.write(pickle.dumps(Block(ids, texts)))
-        found.append(f"{root}/{len(found)}")
-
-    for r in bench.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        size += len(r[1]) // 4 + 1
-        if size >= BLOCK_WORDS:
+    items = bench.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    words_ = items.agg(F.sum(F.octet_length("text") / 4 + 1)).first()[0] or 0
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = local_files(root)
+        made, ids, texts, size = [], [], [], 0
+
+        def put() -> None:
+            name = uuid.uuid4().hex
+            with fs.open_output_stream(f"{path}/{name}") as f:
+                f.write(pickle.dumps(Block(ids, texts)))
+            made.append(f"{root}/{name}")
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(text)
+                size += len(text) // 4 + 1
+                if size >= BLOCK_WORDS:
+                    put()
+                    ids, texts, size = [], [], 0
+        if ids:
             put()
-            ids, texts, size = [], [], 0
-    if ids:
-        put()
-    return found
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["block"])
+
+    dealt = items.repartition(max(1, math.ceil(words_ / BLOCK_WORDS)))
+    return sorted(r[0] for r in saved(arrow_map(dealt, build, "block string"), "blocks").collect())  # a name for BLOCK_WORDS words
 
 
 _held: dict[str, Block] = {}

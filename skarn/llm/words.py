@@ -25,12 +25,18 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
+#: Bytes whose prefix sums are held at once.
+PIECE_BYTES = 1 << 18
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        step = np.full(max(n, 1 << 16), base, np.uint64)
+        step = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
         step[0] = 1
-        have = _powers[name] = np.cumprod(step, dtype=np.uint64)
+        have = np.cumprod(step, dtype=np.uint64)
+        if n <= 4 * PIECE_BYTES:  # a longer table serves one long word and goes
+            _powers[name] = have
     return have
 
 
@@ -66,11 +72,23 @@ def split(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.n
     if len(joined):
         at = np.sort(np.concatenate([at, joined, joined]))
     first, end = at[0::2], at[1::2]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power("p", _P, n)[:n], out=sums[1:])
-    value = (sums[end] - sums[first]) * _power("inv", _PINV, n)[first]
-    value = mix(value + (end - first).astype(np.uint64) * _M2)
-    return value, first, end, np.searchsorted(first, offsets).astype(np.int64)
+    return _hashes(low, first, end), first, end, np.searchsorted(first, offsets).astype(np.int64)
+
+
+def _hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words low[first:end], for some PIECE_BYTES of them at once."""
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        base = int(first[at])
+        to = max(at + 1, int(np.searchsorted(end, base + PIECE_BYTES, "right")))
+        n = int(end[to - 1]) - base
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((low[base : base + n].astype(np.uint64) + np.uint64(1)) * _power("p", _P, n)[:n], out=sums[1:])
+        a, b = first[at:to] - base, end[at:to] - base
+        out[at:to] = mix((sums[b] - sums[a]) * _power("inv", _PINV, n)[a] + (b - a).astype(np.uint64) * _M2)
+        at = to
+    return out
 
 
 def grams(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +108,9 @@ def grams(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, n
     seed = np.random.default_rng(20240131).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     size = lengths[row]
     total = mix(size.astype(np.uint64) + seed[63])
+    add = seed[(np.arange(k) + 17) % 63] * np.arange(1, k + 1, dtype=np.uint64)
     for j in range(k):
-        piece = hashes[np.minimum(at + j, n - 1)] * seed[j % 63] + seed[(j + 17) % 63] * np.uint64(j + 1)
+        piece = hashes[np.minimum(at + j, n - 1)] * seed[j % 63] + add[j]
         if (counts[counts > 0] < k).any():
             piece[size <= j] = 0
         total += mix(piece)
