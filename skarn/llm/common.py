@@ -1,20 +1,24 @@
-"""What the training-data operators share: scratch tables, components, ranks, Arrow batches."""
+"""What the training-data operators share: scratch tables, components, Arrow batches."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; a longer single text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows and bytes of the batches that Spark sends to a worker; a longer single text goes alone.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+#: Rows of keys that are broadcast.
+FEW = 300_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -46,10 +50,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A small frame (links, labels) as a reliable checkpoint."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def few(keys: DataFrame, name: str) -> DataFrame:
+    """A table of row keys (two numbers) for a join: broadcast where it has FEW rows at most, else shuffled."""
+    keys = saved(keys, name)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -65,9 +69,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with batches of bounded size, so that long texts don't pile up in a worker."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return df.mapInArrow(fn, schema)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):  # only ever lowered: the frame runs later, under the session's settings of then
+            conf.set(key, str(most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give a worker's freed memory back, as it stays alive for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -95,45 +119,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of each node of links (a, b): large-star and small-star rounds.
 
-    Every round is two aggregations whose minima combine before the shuffle and two
-    equi-joins that adaptive execution can split, so a hub's neighbours never meet in
-    one task. Returns (id, component) for the ids that have a link.
+    A round takes the least neighbour of each node. Where every node has larger neighbours
+    only, or exactly one smaller one, all components are stars and the round ends the
+    search. Aggregations combine before the shuffle, equi-joins can be split by adaptive
+    execution, so a hub's neighbours never meet in one task. Returns (id, component) for
+    the ids that have a link to another one.
     """
-    spark = links.sparkSession
-    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-
-    def both(e: DataFrame) -> DataFrame:
-        return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-    mark = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
-        wide = both(edges)
-        low = wide.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = wide.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = kept(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    del spark
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.col("m").alias("component")).unionByName(
-        edges.select(F.col("v").alias("id")).distinct().join(edges.select(F.col("u").alias("id")), "id", "left_anti").select("id", F.col("id").alias("component"))
-    )
-
-
-def ranks(df: DataFrame, keys: list[str], order: list[Column], cells: int, cell: Column, rank: str) -> tuple[DataFrame, list]:
-    """Gapless ranks without a global sort: row numbers in cells, and the count of each cell.
-
-    A cell is (keys, cell % cells); the caller turns cell counts, a table of bounded size,
-    into offsets. Returns (df with _cell and the rank inside it, rows of counts).
-    """
-    from pyspark.sql import Window
-
-    df = df.withColumn("_cell", F.pmod(cell, F.lit(cells)).cast("int"))
-    counts = df.groupBy(*keys, "_cell").agg(F.count("*").alias("n")).collect()
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order)).cast("long") - 1), counts
+        edges = saved(edges, "edges")
+        wide = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = saved(wide.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("z")), "least")
+        if not low.where("m < u and z > m").limit(1).count():
+            return low.select(F.col("u").alias("id"), F.least("u", "m").alias("component"))
+        large = edges.join(low.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", "m").distinct()
+        least = large.groupBy("u").agg(F.min("m").alias("v"))
+        crossed = large.join(least, "u").where("m <> v").select(F.col("m").alias("u"), "v").distinct()
+        edges = least.unionByName(crossed)
 
 
 def local_files(root: str):
@@ -145,7 +147,3 @@ def local_files(root: str):
     if root.startswith("file:"):
         return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(root)
-
-
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))

@@ -12,18 +12,22 @@ similarity says.
 3. A pair's similarity is estimated from all registers jointly, by likelihood given both
    set sizes; pairs that the likelihood ratio excludes go, all others are confirmed on
    the full sets.
-4. Components of the confirmed links. Where a bucket still holds several components, all
-   outside its representative's component are compared, on full sets, with each other and
-   with that component's members in such buckets: about BLOCK of them stay in memory, the
-   others stream by, once for each main component whatever the number of bands, and only
-   links that join components come out. Then the components are taken again.
+4. Components of the confirmed links. Where a representative still has neighbours of other
+   components, those are compared, on full sets, with each other and with its neighbours
+   of its own component: about BLOCK of them stay in memory, the others stream by, once for
+   each main component whatever the number of bands, and only links between components
+   come out. The components of those links join the first ones.
 
 A pair at the threshold misses every band with probability (1 - t**ROWS)**BANDS, which is
 7e-9 for t = 0.85 and 3e-6 for t = 0.8.
 
+Full sets are sets of 64-bit hashes of shingles.
+
 Null or word-free texts have an empty set: n_shingles 0, linked with nothing, kept.
 Every row is returned, rows that repeat a doc_id too, each placed by its own text; a
-component is named by the smallest doc_id in it. Other columns are ignored.
+component is named by the smallest doc_id in it. A row without a doc_id is linked like any
+other and kept only where its whole component has none. Other columns are ignored; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,27 +38,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import arrow_map, components, kept, saved, slices, table, utf8
+from .common import arrow_map, components, few, saved, slices, table, utf8
 
 ROWS, BANDS = 5, 32
 M = ROWS * BANDS
-B = 1.1
+#: So small a base that unrelated sets seldom share a register, let alone a bucket.
+B = 1.02
 #: Twice the log-likelihood by which the best similarity may beat the threshold before a pair goes.
 RATIO = 26.0
-#: Documents whose sets stay in memory while others stream by.
-BLOCK = 256
+#: Documents whose sets stay in memory while STREAM others go by.
+BLOCK, STREAM = 256, 1024
 _A = np.random.default_rng(7).integers(0, 1 << 32, M, dtype=np.uint32) | np.uint32(1)
 _C = np.random.default_rng(8).integers(0, 1 << 32, M, dtype=np.uint32)
 
 
 def registers(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Registers (rows x M, uint8) of non-empty sets of 64-bit hashes, laid end to end."""
+    """Registers (rows x M, uint16) of non-empty sets of 64-bit hashes, laid end to end."""
     low = (sets ^ (sets >> np.uint64(32))).astype(np.uint32)
-    out = np.empty((len(starts), M), np.uint8)
+    out = np.empty((len(starts), M), np.uint16)
     for i in range(M):
         x = low ^ _C[i]
         x *= _A[i]
@@ -87,18 +92,18 @@ def _class(own: np.ndarray) -> int:
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for lo, hi in slices(np.diff(offsets)):
                 sets, at = distinct_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 sizes = np.diff(at)
                 full = np.flatnonzero(sizes)
-                regs = registers(sets, at[:-1][full]) if len(full) else np.zeros((0, M), np.uint8)
+                regs = registers(sets, at[:-1][full]) if len(full) else np.zeros((0, M), np.uint16)
                 packed: list = [None] * len(sizes)
                 ids: list = [None] * len(sizes)
                 for j, r in enumerate(full):
                     packed[r] = regs[j].tobytes()
                     ids[r] = _class(sets[at[r] : at[r + 1]])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "id", "regs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "row", "n", "id", "regs"])
 
     return run
 
@@ -120,10 +125,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
         keys = words.mix((words.mix(regs * seed[:ROWS] + seed[1:]) * seed[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * seed[0]).view(np.int64)
-        ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["band", "id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "id"])
 
 
 def estimate(greater: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +160,7 @@ def _likely(threshold: float):
             if not len(batch):
                 continue
             a, b, na, nb = (batch.column(i) for i in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, M) for i in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, M) for i in (4, 5))
             est, lost = estimate((x > y).sum(1), (x < y).sum(1), na.to_numpy().astype(float), nb.to_numpy().astype(float), threshold)
             ok = pa.array(lost <= RATIO)
             yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok), pa.array(est).filter(ok)], ["a", "b", "estimate"])
@@ -180,7 +184,7 @@ def _confirm(num: int, den: int):
 
 
 def _tiles(num: int, den: int):
-    """Links between components of tiles (main, tile) that arrive sorted, outsiders first.
+    """Links between components, of tiles (main, tile, stream) that arrive sorted, outsiders first.
 
     The outsiders' sets, about BLOCK of them, stay in memory; every row of the tile is
     intersected with all of them at once and goes by. Only links that join components
@@ -189,7 +193,7 @@ def _tiles(num: int, den: int):
 
     class Tile:
         def __init__(self) -> None:
-            self.ids, self.comps, self.sets, self.up = [], [], [], {}
+            self.comps, self.sets, self.up = [], [], {}
             self.index = None
 
         def find(self, c: int) -> int:
@@ -198,7 +202,7 @@ def _tiles(num: int, den: int):
                 c = self.up[c]
             return c
 
-        def match(self, i: int, comp: int, own: np.ndarray, after: int, out: tuple[list, list]) -> None:
+        def match(self, comp: int, own: np.ndarray, after: int, out: tuple[list, list]) -> None:
             if self.index is None:
                 everything = np.concatenate(self.sets)
                 owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
@@ -213,33 +217,34 @@ def _tiles(num: int, den: int):
                 x, y = self.find(comp), self.find(self.comps[j])
                 if j > after and x != y:
                     self.up[x] = y
-                    out[0].append(i)
-                    out[1].append(self.ids[j])
+                    out[0].append(comp)
+                    out[1].append(self.comps[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tile = None, Tile()
         out: tuple[list, list] = ([], [])
 
         def inner() -> None:
+            if key[2]:  # once is enough
+                return
             for j, own in enumerate(tile.sets[:-1]):
-                tile.match(tile.ids[j], tile.comps[j], own, j, out)
+                tile.match(tile.comps[j], own, j, out)
 
         for batch in batches:
             out = ([], [])
-            for main, t, side, i, comp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (main, t) != key:
+            for main, t, stream, side, comp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (main, t, stream) != key:
                     if tile.index is None and len(tile.sets) > 1:
                         inner()
-                    key, tile = (main, t), Tile()
+                    key, tile = (main, t, stream), Tile()
                 own = np.frombuffer(raw, np.uint64)
                 if side == 0:
-                    tile.ids.append(i)
                     tile.comps.append(comp)
                     tile.sets.append(own.copy())
                 elif tile.sets:
                     if tile.index is None:
                         inner()
-                    tile.match(i, comp, own, -1, out)
+                    tile.match(comp, own, -1, out)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
         out = ([], [])
         if tile.index is None and len(tile.sets) > 1:
@@ -249,51 +254,86 @@ def _tiles(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row; links have den * |A & B| >= num * |A | B|."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, row, n_shingles, component, component_id) for each row.
+
+    row is a hash of doc_id and text, component a name of the group (null for empty sets).
+    """
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     threshold = num / den
-    sketches = saved(arrow_map(docs, _sketch(shingle), "doc_id long, n long, id long, regs binary"), "sketches")
-    nodes = saved(sketches.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
-    bands = saved(arrow_map(nodes.select("id", "n", "regs"), _bands, "band long, id long, n long"), "bands")
-    # partial minima combine before the shuffle: a frequent bucket is one row per task here
-    rep = F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n")).alias("rep")
-    stars = kept(bands.groupBy("band").agg(F.count("*").alias("size"), rep).where("size > 1").select("band", "size", F.col("rep.id").alias("rep"), F.col("rep.n").alias("rep_n")))
-    pairs = bands.join(stars, "band").where(f"id <> rep and {den} * least(n, rep_n) >= {num} * greatest(n, rep_n)").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
-
-    def full_sets(need: DataFrame) -> DataFrame:
-        """(id, set) of these classes, from the text of one document each."""
-        need = kept(need.distinct())
-        reps = nodes.join(need, "id", "left_semi").select("doc_id")
-        sets = arrow_map(docs.join(reps, "doc_id", "left_semi").select("text"), _sets(shingle), "id long, set binary")
-        return saved(sets.join(need, "id", "left_semi"), "sets")
-
-    x = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    y = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    likely = kept(arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb"), _likely(threshold), "a long, b long, estimate double").select("a", "b"))
-    sets = full_sets(likely.select(F.explode(F.array("a", "b")).alias("id")))
+    sketches = saved(arrow_map(docs, _sketch(shingle), "doc_id long, row long, n long, id long, regs binary"), "sketches")
+    classes = sketches.where("id is not null").groupBy("id")
+    nodes = saved(classes.agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
+    bands = saved(arrow_map(nodes.select("id", "regs"), _bands, "band long, id long"), "bands")
+    # class ids are digests, so the smallest is as good a representative as any; partial
+    # minima combine before the shuffle: a frequent bucket is one row per task here
+    stars = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("rep")).where("size > 1")
+    near = saved(bands.join(stars, "band").where("id <> rep").groupBy("rep", "id").agg(F.max("size").alias("size")), "near")
+    x = nodes.select(F.col("id").alias("rep"), F.col("n").alias("na"), F.col("regs").alias("ra"))
+    y = nodes.select("id", F.col("n").alias("nb"), F.col("regs").alias("rb"))
+    pairs = near.join(x, "rep").join(y, "id").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select(F.col("rep").alias("a"), F.col("id").alias("b"), "na", "nb", "ra", "rb")
+    likely = saved(arrow_map(pairs, _likely(threshold), "a long, b long, estimate double"), "likely").select("a", "b")
+    # the full sets of all classes that may be compared, from the text of one row each
+    need = near.where("size > 2").select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id")))
+    rows = few(nodes.join(need, "id", "left_semi").select("row"), "needed")
+    sets = arrow_map(docs.join(rows, "row", "left_semi").select("text"), _sets(shingle), "id long, set binary")
+    sets = saved(sets.groupBy("id").agg(F.first("set").alias("set")), "sets")
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    first = kept(arrow_map(both.select("a", "b", "x", "y"), _confirm(num, den), "a long, b long").distinct())
-    comp = kept(components(first))
-    # buckets that still hold several components: all that is outside the representative's,
-    # and the members of its component in such buckets, meet once for each main component
-    placed = bands.join(stars.where("size > 2").select("band", "rep"), "band").select("band", "id", "rep")
-    placed = placed.join(comp.select("id", F.col("component").alias("c")), "id", "left").join(comp.select(F.col("id").alias("rep"), F.col("component").alias("rc")), "rep", "left")
-    placed = kept(placed.select("band", "id", F.coalesce("c", "id").alias("c"), F.coalesce("rc", "rep").alias("main")))
-    mixed = placed.where("c <> main").select("band").distinct()
-    met = kept(placed.join(mixed, "band", "left_semi").select("main", "id", "c").distinct())
-    # outsiders fall into blocks by a hash, of BLOCK members on average
-    blocks = met.where("c <> main").groupBy("main").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
-    split = met.join(blocks, "main").withColumn("blk", F.when(F.col("c") == F.col("main"), F.col("nb")).otherwise(F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")))
-    tiled = split.withColumn("tile", F.explode(F.sequence(F.lit(0), F.least("blk", F.col("nb") - 1)))).withColumn("side", (F.col("tile") != F.col("blk")).cast("int"))
-    tiled = tiled.join(full_sets(met.select("id")), "id").select("main", "tile", "side", "id", "c", "set")
-    second = arrow_map(tiled.repartition("main", "tile").sortWithinPartitions("main", "tile", "side"), _tiles(num, den), "a long, b long")
-    comp = kept(components(first.unionByName(second)))
-    placed = nodes.select("id", "doc_id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(least, "component").select("id", "component_id")
-    out = sketches.select("doc_id", "n", "id").join(named, "id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    comp = components(arrow_map(both.select("a", "b", "x", "y"), _confirm(num, den), "a long, b long"))
+    # representatives with neighbours outside their component: those, and the neighbours
+    # inside it, meet once for each main component
+    mine, its = comp.select("id", F.col("component").alias("c")), comp.select(F.col("id").alias("rep"), F.col("component").alias("rc"))
+    placed = saved(near.where("size > 2").join(mine, "id", "left").join(its, "rep", "left").select("rep", "id", F.coalesce("c", "id").alias("c"), F.coalesce("rc", "rep").alias("main")), "placed")
+    if placed.where("c <> main").limit(1).count():
+        mixed = placed.where("c <> main").select("rep").distinct()
+        met = saved(placed.join(mixed, "rep", "left_semi").select("main", "id", "c").distinct(), "met")
+        # outsiders fall into blocks by a hash, of BLOCK members on average
+        outside = F.count(F.when(F.col("c") != F.col("main"), 1))
+        blocks = met.groupBy("main").agg(F.ceil(outside / F.lit(BLOCK)).cast("int").alias("nb"), F.ceil(F.count("*") / F.lit(STREAM)).cast("int").alias("ns"))
+        split = met.join(blocks, "main").withColumn("blk", F.when(F.col("c") == F.col("main"), F.col("nb")).otherwise(F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")))
+        stays = split.where("blk < nb").select("main", F.col("blk").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("stream"), F.lit(0).alias("side"), "id", "c")
+        passes = split.where("blk > 0").select("main", F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("tile"), F.pmod(F.xxhash64("id", F.lit(5)), F.col("ns")).cast("int").alias("stream"), F.lit(1).alias("side"), "id", "c")
+        key = ["main", "tile", "stream"]
+        tiled = stays.unionByName(passes).join(sets, "id").select(*key, "side", "c", "set")
+        more = components(arrow_map(tiled.repartition(*key).sortWithinPartitions(*key, "side"), _tiles(num, den), "a long, b long"))
+        merged = more.select(F.col("id").alias("c"), F.col("component").alias("d"))
+        linked = mine.unionByName(more.select("id", F.col("id").alias("c"))).distinct().join(merged, "c", "left").select("id", F.coalesce("d", "c").alias("c"))
+    else:
+        linked = mine
+    linked = saved(linked, "linked").join(nodes.select("id", F.col("doc_id").alias("first")), "id")
+    named = linked.join(linked.groupBy("c").agg(F.min("first").alias("least")), "c").select("id", "c", "least")
+    named = nodes.select("id", F.col("doc_id").alias("first")).join(named, "id", "left").select("id", F.coalesce("c", "id").alias("component"), F.when(F.col("c").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    out = sketches.where("id is not null").select("doc_id", "row", F.col("n").alias("n_shingles"), "id").join(named, "id").drop("id")
+    empty = sketches.where("id is null").select("doc_id", "row", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row; links have den * |A & B| >= num * |A | B|."""
+    out = grouped(docs, id_col, text_col, shingle, num, den)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each component, and all rows with empty sets, with all their columns.
+
+    The row with the smallest doc_id stays (null last; of rows that share it the one with
+    the smallest hash; of repeated rows one). Decisions are by row, not by doc_id.
+    """
+    rows = saved(grouped(docs, id_col, text_col, shingle, num, den).where("component is not null").select("component", F.col("doc_id").isNull().alias("x"), "doc_id", "row"), "grouped")
+    best = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("x", "doc_id", "row")).alias("best")).where("n > 1")
+    several = saved(rows.join(best, "component").select(F.coalesce("doc_id", F.lit(-1)).alias("_skarn_id"), F.col("row").alias("_skarn_row"), (F.struct("x", "doc_id", "row") == F.col("best")).alias("stays")), "several")
+    key = ["_skarn_id", "_skarn_row"]
+    lost = few(several.where("not stays").select(*key).distinct(), "lost")
+    twice = several.where("stays").groupBy(*key).count().where("count > 1").select(*key)
+    id_ = F.col(id_col).cast("long")
+    found = docs.withColumn("_skarn_id", F.coalesce(id_, F.lit(-1))).withColumn("_skarn_row", F.xxhash64(id_, F.col(text_col).cast("string")))
+    left = found.join(lost, key, "left_anti")
+    if not twice.limit(1).count():
+        return left.select(*docs.columns)
+    one = left.join(twice, key, "left_semi").withColumn("_skarn_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("_skarn_n = 1")
+    return left.join(twice, key, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

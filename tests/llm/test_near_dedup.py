@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from skarn.llm import near_dedup, words
-from skarn.llm.near_dedup import near_duplicates
+from skarn.llm.near_dedup import distinct_documents, near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, n long, id string"
 
@@ -62,6 +62,7 @@ def test_matches_brute_force(spark):
 
 def test_large_group_without_its_centre_as_representative(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "STREAM", 10)
     rnd = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     rows = [(500, " ".join(base))]
@@ -75,7 +76,27 @@ def test_large_group_without_its_centre_as_representative(spark, monkeypatch):
 
 
 def test_empty_table(spark):
-    assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert near_duplicates(none).collect() == []
+    assert distinct_documents(none).collect() == []
+
+
+def test_rows_without_an_id_link_like_others(spark):
+    words_ = [f"t{i}" for i in range(80)]
+    rows = [(3, " ".join(words_)), (None, " ".join(words_[:-1])), (None, "lonely row without any id here"), (None, None), (7, "another")]
+    got = {r["n_shingles"]: (r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {76: (3, 3, True), 75: (None, 3, False), 2: (None, None, True), 0: (None, None, True), 1: (7, 7, True)}
+
+
+def test_one_row_of_a_component_stays(spark):
+    base = [f"t{i}" for i in range(80)]
+    near, other = " ".join(base[:-1]), " ".join(f"o{i}" for i in range(30))
+    # id 5 has a near copy and a text of its own; id 1 occurs twice as it is
+    rows = [(1, " ".join(base), "p"), (1, " ".join(base), "p"), (5, near, "q"), (5, other, "r"), (None, near, "s"), (8, None, "t"), (9, "", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = distinct_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["row"] for r in got.collect()) == ["p", "r", "t", "u"]
 
 
 def test_sketches_merge_and_estimate():
