@@ -65,6 +65,30 @@ def test_one_passage_over_many_buckets(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_partners_of_both_sides_differ(spark):
+    """A text shares most to the right with one text, most to the left with another, and whole windows with a third."""
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for _ in range(12):
+        t = say(420)
+        rows += [t, say(50) + t[:215] + say(90), say(70) + t[200:], say(40) + t[70:330] + say(60), say(9) + t[30:240] + say(30), say(5) + t[110:320] + say(20)]
+    for n in ("4", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+        assert sorted((tuple(r)[:5] for r in s.repeated_passages(df).collect()), key=str) == brute(list(enumerate(rows)))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_multikey_sorts():
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 3, (500, 6)).astype(np.uint64)
+    order = s.multikey(tokens)
+    assert sorted(order.tolist()) == list(range(500))
+    rows = [tuple(tokens[i]) for i in order]
+    assert rows == sorted(rows)
+
+
 def test_windows_own_the_same_anchors_in_pieces(monkeypatch):
     raws = [(t or "").encode() for _, t in corpus()]
     data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
