@@ -2,26 +2,33 @@
 
 1. A page's payload is its html in UTF-8 (null: empty). Of equal payloads of at least
    MIN_BYTES the smallest page_id becomes a response record, the others revisit it; a count
-   by digest, combined before the shuffle, decides that.
+   by digest, combined before the shuffle, decides that. Marks go back to the rows by
+   page_id and digest, so each row is judged by its own payload.
 2. Every task writes its records, one gzip member each, to archives of at most
    ARCHIVE_BYTES in the shared scratch folder, under a name of its own that is renamed
    when complete; a repeated task leaves a second archive that no one reads.
 3. The archives are read back record by record; each makes a capture run, sorted by
-   (URL key, timestamp, page_id) and written next to it with a sparse index.
-4. Runs are merged: the key space is cut by sampled splitters, and a task merges what its
-   range holds of all runs with a loser tree, reading each run as a stream. More than
-   FAN_IN runs are first merged in groups. Splitters are whole keys, so a URL with very
-   many captures is cut by time.
+   (URL key, timestamp, page_id) and written next to it in blocks of BLOCK_LINES. The
+   first and last key of each block are rows of a table.
+4. The key space is cut into ranges of about RANGE_LINES captures, at most RANGES of them,
+   whose bounds come from a range partitioning of the block table. Runs form groups of
+   about FAN_IN. A task merges one range of one group with a loser tree, reading each run
+   as a stream, into a run of its own; the groups' runs form groups again, until one is
+   left. Every level has ranges x groups tasks, the last one a task for each range. What
+   a task reads is rows of a table; only bounds and counts come to the driver. Bounds are
+   whole keys, so a URL with very many captures is cut by time.
 
 The result follows the merged histories and comes from what was read back, never from
 the input. Ties in (URL key, timestamp) go by page_id; a null url has an empty key;
 repeated rows become records of their own, and rows that repeat the response's page_id
-are responses too, and so are rows without a page_id. Other columns are ignored.
+and payload are responses too, and so are rows without a page_id. Other columns are
+ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import struct
 import uuid
@@ -39,9 +46,9 @@ from .common import arrow_map, local_files, saved, scratch_path, table
 MIN_BYTES = 0
 ARCHIVE_BYTES = 64 << 20
 FAN_IN = 64
-#: Lines of a run between two entries of its sparse index.
-SPARSE = 256
-RANGE_LINES = 50_000
+#: Lines of a run between two places where reading can begin.
+BLOCK_LINES = 256
+RANGE_LINES, RANGES = 50_000, 4096
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, archive string, offset long"
 
 
@@ -190,10 +197,11 @@ def _rank(row: tuple) -> tuple:
     return *_key(row), row[7], row[8]
 
 
-def write_run(root: str, name: str, rows: Iterator[tuple]) -> tuple[str, int, list]:
-    """Sorted rows as blocks of SPARSE lines; (place, lines, sparse index of (key, offset))."""
+def write_run(root: str, rows: Iterator[tuple]) -> tuple[str, list[tuple]]:
+    """Sorted rows as a file of blocks; its name, and (offset, lines, first key, last key) of each block."""
     fs, path = local_files(root)
-    index, at, n, buffer, first = [], 0, 0, [], None
+    name = f"run-{uuid.uuid4().hex}"
+    blocks, at, buffer, first, last = [], 0, [], None, None
     with fs.open_output_stream(f"{path}/{name}.tmp") as f:
 
         def flush() -> None:
@@ -201,19 +209,18 @@ def write_run(root: str, name: str, rows: Iterator[tuple]) -> tuple[str, int, li
             if buffer:
                 raw = b"\n".join(buffer)
                 f.write(struct.pack("<I", len(raw)) + raw)
-                index.append((_key(first), at))
+                blocks.append((at, len(buffer), _key(first), _key(last)))
                 at += 4 + len(raw)
                 buffer, first = [], None
 
         for row in rows:
-            first = first or row
+            first, last = first or row, row
             buffer.append(_line(row))
-            n += 1
-            if len(buffer) == SPARSE:
+            if len(buffer) == BLOCK_LINES:
                 flush()
         flush()
     fs.move(f"{path}/{name}.tmp", f"{path}/{name}")
-    return f"{root}/{name}", n, index
+    return f"{root}/{name}", blocks
 
 
 def read_run(url: str, offset: int, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
@@ -235,16 +242,6 @@ def merge_task(sources: list[tuple[str, int]], low: tuple | None, high: tuple |
     return (r for _, r in LoserTree(streams))
 
 
-def _start(index: list, low: tuple | None) -> int:
-    """Offset of the last block that can hold low."""
-    at = 0
-    for key, offset in index:
-        if low is None or tuple(key) > low:
-            break
-        at = offset
-    return at
-
-
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write, read back, index and merge: FIELDS for each page, in the order of the histories."""
     spark = pages.sparkSession
@@ -253,10 +250,11 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     fs.create_dir(path)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    sums = pages.select("page_id", F.octet_length("html").alias("size"), F.sha1("html").alias("sum"))
+    pages = pages.withColumn("sum", F.sha1("html"))
+    sums = pages.select("page_id", F.octet_length("html").alias("size"), "sum")
     first = sums.where(F.col("size") >= MIN_BYTES).groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sum", "first")
-    again = sums.join(first, "sum").where("page_id <> first").select("page_id", F.col("first").alias("refers_to")).distinct()
-    rows = pages.join(again, "page_id", "left")
+    again = sums.join(first, "sum").where("page_id <> first").select("page_id", "sum", F.col("first").alias("refers_to")).distinct()
+    rows = pages.join(again, ["page_id", "sum"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = local_files(root)
@@ -290,36 +288,51 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 with fs.open_input_stream(f"{path}/{archive}", compression=None) as f:
                     found = [_capture(archive, *x) for x in read_records(f)]
                 found.sort(key=_rank)
-                yield _run_batch([write_run(root, f"run-{uuid.uuid4().hex}", iter(found))])
+                run, blocks = write_run(root, iter(found))
+                columns = list(zip(*((run, at, n, *low, *high) for at, n, low, high in blocks), strict=True)) or [()] * 9
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK_TYPES, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
     count = max(1, archives.count())
-    runs = saved(arrow_map(archives.repartition(count, "archive"), index, RUN), "runs").collect()
-    while len(runs) > FAN_IN:
-        groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
-        tasks = spark.createDataFrame([(i, [(r["run"], 0) for r in g]) for i, g in enumerate(groups)], "id int, sources array<struct<run:string,offset:long>>")
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for sources in batch.column(1).to_pylist():
-                    rows = merge_task([(s["run"], s["offset"]) for s in sources], None, None)
-                    yield _run_batch([write_run(root, f"run-{uuid.uuid4().hex}", rows)])
-
-        runs = saved(arrow_map(tasks.repartition(len(groups), "id"), merge, RUN), "runs").collect()
-    # splitters: evenly spaced keys of the sparse indexes, at most FAN_IN runs of them
-    keys = sorted(tuple(k["key"]) for r in runs for k in r["index"])
-    ranges = max(1, -(-sum(r["lines"] for r in runs) // RANGE_LINES))
-    cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-    edges = [None, *cuts, None]
-    tasks = [(i, edges[i], edges[i + 1], [(r["run"], _start([(tuple(k["key"]), k["offset"]) for k in r["index"]], edges[i])) for r in runs]) for i in range(len(edges) - 1)]
-    key_type = "struct<key:string,stamp:string,page:long>"
-    plan = spark.createDataFrame(tasks, f"id int, low {key_type}, high {key_type}, sources array<struct<run:string,offset:long>>")
+    blocks = saved(arrow_map(archives.repartition(count, "archive"), index, BLOCKS), "blocks")
+    lines = blocks.agg(F.sum("lines")).first()[0] or 0
+    ranges = min(RANGES, max(1, -(-lines // RANGE_LINES)))
+    # the least keys of a range partitioning, at most RANGES or the session's partitions
+    parted = blocks.select("key", "stamp", "page").repartitionByRange(ranges, "key", "stamp", "page").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "stamp", "page")).alias("low"))
+    edges = sorted({tuple(r["low"]) for r in parted.collect()})[1:]
+    groups = -(-count // FAN_IN)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each range that a block has keys of."""
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for run, at, _, *keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for r in range(bisect.bisect_right(edges, tuple(keys[:3])), bisect.bisect_right(edges, tuple(keys[3:])) + 1):
+                    for x, v in zip(out, (r, run, at), strict=True):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.string(), pa.int64()), strict=True)], ["part", "run", "offset"])
+
+    def tasks_of(sources: DataFrame, groups: int) -> DataFrame:
+        """(part, group, sources): a merge for each row."""
+        one = sources.groupBy("part", F.pmod(F.xxhash64("run") if "group" not in sources.columns else F.col("group"), F.lit(groups)).cast("int").alias("group"), "run").agg(F.min("offset").alias("offset"))
+        return one.groupBy("part", "group").agg(F.collect_list(F.struct("run", "offset")).alias("sources"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, group, sources in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                run, _ = write_run(root, merge_task([(s["run"], s["offset"]) for s in sources], *_between(edges, part)))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([group], pa.int32()), pa.array([run]), pa.array([0], pa.int64())], ["part", "group", "run", "offset"])
+
+    sources = arrow_map(blocks, assign, "part int, run string, offset long")
+    while groups > 1:
+        tasks = saved(tasks_of(sources, groups), "merges").repartition(min(MERGES, (len(edges) + 1) * groups), "part", "group")
+        sources = saved(arrow_map(tasks, merge, "part int, group int, run string, offset long"), "merged")
+        groups = -(-groups // FAN_IN)
 
     def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge = lambda x: None if x is None else (x["key"], x["stamp"], x["page"])
         for batch in batches:
-            for low, high, sources in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for part, sources in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held = []
-                for row in merge_task([(s["run"], s["offset"]) for s in sources], edge(low), edge(high)):
+                for row in merge_task([(s["run"], s["offset"]) for s in sources], *_between(edges, part)):
                     held.append(row)
                     if len(held) == 5000:
                         yield _fields(held)
@@ -327,16 +340,19 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 if held:
                     yield _fields(held)
 
-    return arrow_map(plan.repartitionByRange(len(tasks), "id").sortWithinPartitions("id"), histories, FIELDS)
+    last = saved(tasks_of(sources, 1).select("part", "sources"), "merges")
+    return arrow_map(last.repartitionByRange(len(edges) + 1, "part").sortWithinPartitions("part"), histories, FIELDS)
 
 
-RUN = "run string, lines long, index array<struct<key:struct<key:string,stamp:string,page:long>,offset:long>>"
+#: Tasks of a level at most; a task merges several ranges and groups where there are more.
+MERGES = 20_000
+BLOCKS = "run string, offset long, lines long, key string, stamp string, page long, last_key string, last_stamp string, last_page long"
+_BLOCK_TYPES = [pa.string() if x.endswith("string") else pa.int64() for x in BLOCKS.split(", ")]
 
 
-def _run_batch(made: list[tuple[str, int, list]]) -> pa.RecordBatch:
-    rows = [{"run": u, "lines": n, "index": [{"key": {"key": k[0], "stamp": k[1], "page": k[2]}, "offset": o} for k, o in index]} for u, n, index in made]
-    key = pa.struct([("key", pa.string()), ("stamp", pa.string()), ("page", pa.int64())])
-    return pa.RecordBatch.from_pylist(rows, pa.schema([("run", pa.string()), ("lines", pa.int64()), ("index", pa.list_(pa.struct([("key", key), ("offset", pa.int64())])))]))
+def _between(edges: list[tuple], part: int) -> tuple[tuple | None, tuple | None]:
+    """The bounds of a range."""
+    return edges[part - 1] if part else None, edges[part] if part < len(edges) else None
 
 
 def _fields(rows: list[tuple]) -> pa.RecordBatch:

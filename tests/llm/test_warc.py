@@ -35,6 +35,12 @@ def test_round_trip(spark, monkeypatch):
     assert warc.archive_pages(df.limit(0)).collect() == []
 
 
+def test_one_page_id_with_two_payloads(spark):
+    for rows in ([(1, "u", "A"), (5, "u", "A"), (5, "u", "unique")], [(1, "u", "A"), (2, "u", "B"), (5, "u", "A"), (5, "u", "B")]):
+        got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert sorted((tuple(r)[:5] for r in got), key=str) == want(rows)
+
+
 def test_records_are_gzip_members():
     raw = [warc.record(1, "http://a/", b"one\r\n\r\ntwo", None), warc.record(2, "http://a/", b"one\r\n\r\ntwo", 1)]
     assert gzip.decompress(b"".join(raw)).startswith(b"WARC/1.1\r\nWARC-Type: response")
