@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false findings.
 
-Candidates are runs of 16 to 512 of [A-Za-z0-9+/=_.-] that hold letters and digits. A
+Candidates are whole runs of [A-Za-z0-9+/=_.-], 16 long or more, or 8 or more behind `=` or
+`:`; runs of plain lower-case words are none. A
 forest of TREES trees, grown here in numpy, scores each one on its length, the surprise of
 its character transitions under the corpus' language, the part of it that dictionary words cover, signs
 of a path or an address, and the words before it. It is trained from labelled findings:
@@ -15,8 +16,7 @@ sees partial counts. The transition table is 28 by 28; the dictionary has the wo
 occur twice at least and make up SHARE of all words, 1 / SHARE of them at most. Every
 text is scanned whole.
 
-Null and empty texts have no candidates; a longer run than 512 is scanned in pieces of
-512; repeated rows are scanned one by one; other columns are ignored.
+Null and empty texts have no candidates; a run is one candidate however long; repeated rows are scanned one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,11 @@ from .common import arrow_map, saved, table
 TREES, DEPTH, LEAF = 40, 8, 4
 SHARE, HELD = 5e-7, 1 << 18
 CUT = 0.5
-CANDIDATE = re.compile(r"[A-Za-z0-9+/=_.\-]{16,512}")
+_CHARS = r"[A-Za-z0-9+/=_.\-]"
+#: A whole run, however long; a shorter one only as an assigned value (group 1).
+CANDIDATE = re.compile(rf"{_CHARS}{{16,}}|[=:]\s{{0,3}}[\"']?({_CHARS}{{8,15}})(?!{_CHARS})")
+#: What no key looks like: lower-case words, joined or not.
+_WORDS = re.compile(r"[+/=_.\-]*+(?:[A-Za-z]?[a-z]++[+/=_.\-]*+)++|[+/=_.\-]++")
 _CUES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "credential", "bearer", "private")
 _PLAIN = ("commit", "sha", "sha256", "md5", "digest", "checksum", "id", "uuid", "version", "file", "path", "url", "etag", "revision")
 FEATURES = ("length", "surprise", "entropy", "digits", "upper", "classes", "coverage", "slashes", "dots", "dashes", "extension", "hex", "cue", "plain", "assigned", "quoted")
@@ -51,17 +55,17 @@ def labelled_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str,
     pick = lambda chars, k: "".join(rnd.choice(chars) for _ in range(k))
     hexa = lambda k: pick("0123456789abcdef", k)
     word = lambda: "".join(rnd.choice(["the", "ing", "er", "tion", "con", "ment", "re", "data", "file", "user", "page", "index", "main"]) for _ in range(rnd.randint(1, 3)))
-    keys = [lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(alnum, 36), lambda: hexa(rnd.choice([32, 40, 48, 64])), lambda: pick(alnum, rnd.randint(20, 48)), lambda: base64.b64encode(rnd.randbytes(rnd.randint(18, 48))).decode(), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick("0123456789", 11) + "-" + pick(alnum, 24)]
-    plain = [lambda: hexa(rnd.choice([32, 40, 64])), lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", lambda: "/".join(word() for _ in range(rnd.randint(3, 5))) + f"/{word()}{rnd.randint(1, 99)}.html", lambda: f"{word()}-{word()}-{rnd.randint(1, 9)}.{rnd.randint(0, 99)}.{rnd.randint(0, 9)}.tar.gz", lambda: "www." + word() + word() + f"{rnd.randint(1, 99)}.example.com", lambda: word() + "_" + word() + "_" + word() + str(rnd.randint(1, 2024)), lambda: f"2024-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}T{rnd.randint(10, 23)}", lambda: word() + "." + str(rnd.randint(10, 99)) + "." + word() + word(), lambda: pick("0123456789", 16) + "e" + pick("0123456789", 3)]
+    keys = [lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(alnum, 36), lambda: hexa(rnd.choice([32, 40, 48, 64])), lambda: pick(alnum, rnd.randint(20, 48)), lambda: base64.b64encode(rnd.randbytes(rnd.randint(18, 48))).decode(), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick("0123456789", 11) + "-" + pick(alnum, 24), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), lambda: pick(alnum, rnd.randint(9, 15))]
+    plain = [lambda: hexa(rnd.choice([32, 40, 64])), lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}", lambda: "/".join(word() for _ in range(rnd.randint(3, 5))) + f"/{word()}{rnd.randint(1, 99)}.html", lambda: f"{word()}-{word()}-{rnd.randint(1, 9)}.{rnd.randint(0, 99)}.{rnd.randint(0, 9)}.tar.gz", lambda: "www." + word() + word() + f"{rnd.randint(1, 99)}.example.com", lambda: word() + "_" + word() + "_" + word() + str(rnd.randint(1, 2024)), lambda: f"2024-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}T{rnd.randint(10, 23)}", lambda: word() + "." + str(rnd.randint(10, 99)) + "." + word() + word(), lambda: pick("0123456789", 16) + "e" + pick("0123456789", 3), lambda: pick("0123456789", rnd.randint(8, 20)), lambda: "".join(word().upper() + "_" for _ in range(3)) + "NAME", lambda: word() + str(rnd.randint(1, 2024)), lambda: word() + ":" + str(rnd.randint(1000, 9999)), lambda: f"{rnd.randint(1, 9)}.{rnd.randint(0, 99)}.{rnd.randint(0, 99)}-{word()}"]
     out = []
     while len(out) < n:
         if len(out) % 2:
             before = rnd.choice([f"{rnd.choice(_CUES)} = \"", f"{rnd.choice(_CUES)}: ", f"{word()}_{rnd.choice(_CUES)}='", f"{rnd.choice(_CUES).upper()}=", f"set the {rnd.choice(_CUES)} to "])
             cand, label = rnd.choice(keys)(), 1
         else:
-            before = rnd.choice([f"{rnd.choice(_PLAIN)} ", f"{rnd.choice(_PLAIN)}: ", f"{word()} ", f"in {word()} ", "see http://", "the "])
+            before = rnd.choice([f"{rnd.choice(_PLAIN)} ", f"{rnd.choice(_PLAIN)}: ", f"{rnd.choice(_PLAIN)} = \"", f"{word()} ", f"in {word()} ", "see http://", "the "])
             cand, label = rnd.choice(plain)(), 0
-        if CANDIDATE.fullmatch(cand):
+        if len(cand) >= 8 and not _WORDS.fullmatch(cand):
             out.append((before, cand, rnd.choice(["\"", " ", "\n", "'"]), label))
     return out
 
@@ -178,11 +182,12 @@ class Forest:
 
 def scan(text: str, language: Language, forest: Forest) -> tuple[int, list[tuple[int, int, float]]]:
     """(candidates, (start, end, score) of those that are secrets) of a text, in code points."""
-    found = [m for m in CANDIDATE.finditer(text) if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])]
+    found = [m.span(m.lastindex or 0) for m in CANDIDATE.finditer(text)]
+    found = [(a, b) for a, b in found if not _WORDS.fullmatch(text, a, b)]
     if not found:
         return 0, []
-    x = np.array([features(text[max(0, m.start() - 60) : m.start()], m[0], text[m.end() : m.end() + 2], language) for m in found])
-    return len(found), [(m.start(), m.end(), float(s)) for m, s in zip(found, forest.score(x), strict=True) if s >= CUT]
+    x = np.array([features(text[max(0, a - 60) : a], text[a:b], text[b : b + 2], language) for a, b in found])
+    return len(found), [(a, b, float(s)) for (a, b), s in zip(found, forest.score(x), strict=True) if s >= CUT]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

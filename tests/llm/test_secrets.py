@@ -29,6 +29,26 @@ def test_rows(spark):
     assert s.find_secrets(df.limit(0)).collect() == []
 
 
+def test_whole_runs_and_short_values(spark):
+    rnd = s.random.Random(4)
+    long_, short, plain = rnd.randbytes(480).hex(), "x7Kq9Zp2Lm", "AKIA" + "QWERTZUIOPASDFGH"
+    rows = [(1, f'token = "{long_}" end'), (2, f'password = "{short}"'), (3, f"key: {plain} "), (4, "a-very-long-run-of-plain-words/and/paths"), (5, "a" * 200_000 + "1")]
+    got = {r.doc_id: (r.n_candidates, [tuple(map(int, x.split(":")[:2])) for x in r.spans.split(",") if x]) for r in s.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, secret in ((1, long_), (2, short), (3, plain)):
+        at = dict(rows)[i].index(secret)
+        assert got[i] == (1, [(at, at + len(secret))])
+    assert got[4] == (0, []) and got[5][0] == 1
+
+
+def test_planted_secrets_of_the_corpus(spark):
+    """Tokens that the test tables plant; none of them is a training row."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pattern = s.re.compile(r'token = "([0-9a-f]{40})"')
+    planted = {(r.doc_id, m.start(1), m.end(1)) for r in docs.select("doc_id", "text").collect() for m in pattern.finditer(r.text or "")}
+    got = {(r.doc_id, *map(int, x.split(":")[:2])) for r in s.find_secrets(docs).collect() for x in r.spans.split(",") if x}
+    assert len(planted) >= 5 and len(planted & got) >= 0.9 * len(planted)
+
+
 def test_language_covers_all_documents(spark, monkeypatch):
     """Every row counts, also behind the 500th and over 32 KiB, and whenever a task emits its words."""
     rows = [(i, f"common words here {'zyxwv' if i > 700 else ''}") for i in range(800)] + [(9000, "qqxqq filler " * 4000), (9001, None), (None, "vvjvv vvjvv"), (5, "common")]
