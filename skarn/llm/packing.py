@@ -2,15 +2,18 @@
 
 Documents become token ids. A document's whole windows of SIZE ids are sequences of
 their own; what remains, at most SIZE - 1 ids, is packed. The driver sees a histogram of
-the remaining lengths, at most SIZE - 1 by RANK_CELLS numbers whatever the input. For the longest
+the remaining lengths, SIZE - 1 numbers whatever the input. For the longest
 length left, a subset-sum over bitsets finds the multiset of the others that fills the
 window closest to capacity; the counts come from backtracking, and the pattern is used as
 often as the histogram allows. Patterns that leave slack are not used: what is left then
 runs through windows end to end and is cut where they end, and the last window's ids go
 to sequences that are powers of two. So no sequence is padded.
 
-Rows get (length, rank) and find their sequence by arithmetic on the broadcast plan.
-Documents are read in one pass; the few that are cut are read once more for their ids.
+Tasks count their rows of each length as they read them, and sums of the counts of the
+tasks before turn that into ranks: no sort, and no group that holds more rows than a task
+has read. Rows find their sequence by (length, rank) and arithmetic on the broadcast plan.
+Documents are read in one pass; those that are cut are read once more for their ids, by a
+broadcast of their keys where they are few, else by a join.
 
 Null texts are empty and have the end id alone; repeated rows are packed one by one;
 other columns are ignored.
@@ -23,15 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Ids
-from .common import arrow_map, saved, slices, table, utf8
+from .common import arrow_map, few, saved, slices, table, utf8
 
 SIZE = 4096
 END = 2
-RANK_CELLS = 64
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -42,20 +45,25 @@ def _lengths(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Ids.of(path)
+        part, seen, windows = TaskContext.get().partitionId(), [0] * SIZE, 0
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for lo, hi in slices(np.diff(offsets)):
-                total, full, rest, crc = [], [], [], []
+                total, full, rest, crc, rank, at = [], [], [], [], [], []
                 for raw in words.ids(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
                     raw += end
                     n = len(raw) // 4
                     total.append(n)
                     full.append([zlib.crc32(raw[i * window : (i + 1) * window]) for i in range(n // SIZE)])
                     rest.append(n % SIZE)
+                    rank.append(seen[n % SIZE])
+                    at.append(windows)
+                    seen[n % SIZE] += 1
+                    windows += n // SIZE
                     crc.append(zlib.crc32(raw[n // SIZE * window :]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(total, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64())],
-                    ["doc_id", "key", "doc_tokens", "full", "rest", "crc"],
+                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(total, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64()), pa.array([part] * len(total), pa.int32()), pa.array(rank, pa.int64()), pa.array(at, pa.int64())],
+                    ["doc_id", "key", "doc_tokens", "full", "rest", "crc", "part", "rank", "at"],
                 )
 
     return run
@@ -170,31 +178,28 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
         path = public_tokenizers.path(VOCABULARY)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = saved(arrow_map(docs, _lengths(path), "doc_id long, key long, doc_tokens long, full array<long>, rest int, crc long"), "lengths")
-    cell = F.pmod(F.xxhash64("doc_id", "key"), F.lit(RANK_CELLS)).cast("int")
-    rests = rows.where("rest > 0").withColumn("cell", cell)
-    counted = rests.groupBy("rest", "cell").count().collect()
-    base, histogram = {}, {}
-    for r in sorted(counted):
-        base[r[0], r[1]] = histogram.get(r[0], 0)
-        histogram[r[0]] = histogram.get(r[0], 0) + r[2]
-    layout = Layout(histogram)
-    shared = docs.sparkSession.sparkContext.broadcast((layout, base))  # bounded by SIZE and RANK_CELLS
-    ranked = rests.withColumn("rank", F.row_number().over(Window.partitionBy("rest", "cell").orderBy("doc_id", "key")).cast("long") - 1)
+    rows = saved(arrow_map(docs, _lengths(path), "doc_id long, key long, doc_tokens long, full array<long>, rest int, crc long, part int, rank long, at long"), "lengths")
+    counted = saved(rows.groupBy("rest", "part").agg(F.count("*").alias("n"), F.sum(F.size("full")).alias("windows")), "counts")
+    layout = Layout({r[0]: r[1] for r in counted.where("rest > 0").groupBy("rest").agg(F.sum("n")).collect()})
+    shared = docs.sparkSession.sparkContext.broadcast(layout)  # bounded by SIZE
+    # a row for each task that has read documents
+    before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.where("rest > 0").select("rest", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = rows.where("rest > 0").join(bases, ["rest", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, first = shared.value
+        where = shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for doc, key, total, rest, crc, c, rank in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                pieces = where.place(rest, first[rest, c] + rank)
+            out: list[list] = [[] for _ in range(8)]
+            for doc, key, total, rest, crc, rank in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                pieces = where.place(rest, rank)
                 for start, n, sequence, offset in pieces:
-                    for x, v in zip(out, (doc, key, total - rest + start, n, crc if len(pieces) == 1 else None, total, sequence, offset, rank), strict=True):
+                    for x, v in zip(out, (doc, key, total - rest + start, n, crc if len(pieces) == 1 else None, total, sequence, offset), strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    placed = saved(arrow_map(ranked.select("doc_id", "key", "doc_tokens", "rest", "crc", "cell", "rank"), put, SCHEMA.replace("start long", "key long, start long") + ", rank long"), "placed")
-    uncut = placed.where("ids_crc32 is not null").drop("key", "rank")
+    placed = saved(arrow_map(ranked.select("doc_id", "key", "doc_tokens", "rest", "crc", "rank"), put, SCHEMA.replace("start long", "key long, start long")), "placed")
+    uncut = placed.where("ids_crc32 is not null").drop("key")
     cut = placed.where("ids_crc32 is null")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,19 +212,17 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                 crcs.append(zlib.crc32(raw[4 * start : 4 * (start + n)]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(crcs, pa.int64()), *(batch.column(i) for i in (4, 5, 6))], SCHEMA.replace(" long", "").split(", "))
 
-    needed = cut.select("doc_id", "key").distinct()
-    texts = docs.join(needed, (docs["doc_id"].eqNullSafe(needed["doc_id"])) & (docs["key"] == needed["key"]), "left_semi").dropDuplicates(["doc_id", "key"])
-    redone = texts.alias("t").join(cut.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.key") == F.col("c.key"))).select("text", "c.doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
+    id_ = F.coalesce("doc_id", F.lit(-1)).alias("id")  # a null id beside the text's hash
+    needed = few(cut.select(id_, "key").distinct(), "cut")
+    texts = docs.withColumn("id", id_).join(needed, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "key", "text")
+    redone = texts.join(cut.withColumn("id", id_), ["id", "key"]).select("text", "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
     redone = arrow_map(redone, again, SCHEMA)
-    # whole windows: a sequence each, numbered by cell
-    wide = rows.where("size(full) > 0").select("doc_id", "key", "doc_tokens", F.posexplode("full").alias("i", "ids_crc32")).withColumn("cell", F.pmod(F.xxhash64("doc_id", "key", "i"), F.lit(1024)).cast("int"))
-    sums, at = {}, layout.sequences
-    for c, n in sorted(tuple(r) for r in wide.groupBy("cell").count().collect()):
-        sums[c] = at
-        at += n
-    starts = F.element_at(F.array(*[F.lit(sums.get(c, 0)).cast("long") for c in range(1024)]), F.col("cell") + 1)
-    number = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "key", "i")).cast("long") - 1
-    whole = wide.select("doc_id", (F.col("i") * F.lit(SIZE)).cast("long").alias("start"), F.lit(SIZE).cast("long").alias("length"), "ids_crc32", "doc_tokens", (starts + number).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # whole windows: a sequence each, numbered through the tasks
+    parts = counted.groupBy("part").agg(F.sum("windows").alias("windows")).where("windows > 0")
+    through = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = parts.select("part", (F.coalesce(F.sum("windows").over(through), F.lit(0)) + layout.sequences).alias("first"))
+    wide = rows.where("size(full) > 0").join(firsts, "part").select("doc_id", "doc_tokens", (F.col("first") + F.col("at")).alias("first"), F.posexplode("full").alias("i", "ids_crc32"))
+    whole = wide.select("doc_id", (F.col("i") * F.lit(SIZE)).cast("long").alias("start"), F.lit(SIZE).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return uncut.unionByName(redone).unionByName(whole)
 
 
