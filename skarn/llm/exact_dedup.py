@@ -18,11 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import few, saved, table
 
 #: A text that makes up this part of all rows is frequent.
 SUPPORT = 0.001
-_NO_ID = -(1 << 63)
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
@@ -45,38 +44,39 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, h, row, key) for each row; row and key are hashes of (doc_id, text) and text."""
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    columns = [id_.alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("chars"), F.sha2(normalised(text).cast("binary"), 256).alias("h"), F.xxhash64(id_, text).alias("row"), F.xxhash64(text).alias("key")]
+    # numbered as they are written: of rows that repeat the winner one has the least number
+    rows = saved(docs.select(*columns).withColumn("number", F.monotonically_increasing_id()), "digests")
+    candidates = rows.stat.freqItems(["h"], SUPPORT).select(F.explode("h_freqItems").alias("h"))  # at most 1 / SUPPORT
+    best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("x"), "doc_id", "number")).alias("best")
+    heavy = rows.join(F.broadcast(candidates), "h").groupBy("h").agg(F.count("*").alias("size"), best).where(F.col("size") >= rows.count() * SUPPORT)
+    marked = rows.join(F.broadcast(heavy), "h", "left")  # at most 1 / SUPPORT rows
+    light = marked.where("best is null").drop("size", "best")
+    light = light.join(light.groupBy("h").agg(F.count("*").alias("size"), best), "h")
+    out = marked.where("best is not null").unionByName(light)
+    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("number") == F.col("best.number")).alias("kept"), "h", "row", "key")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row."""
-    text = F.col(text_col).cast("string")
-    rows = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("chars"), F.sha2(normalised(text).cast("binary"), 256).alias("h")), "digests")
-    candidates = rows.stat.freqItems(["h"], SUPPORT).select(F.explode("h_freqItems").alias("h"))
-    best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("x"), "doc_id")).alias("best")
-    total = rows.agg(F.count("*").alias("rows"))
-    heavy = rows.join(F.broadcast(candidates), "h").groupBy("h").agg(F.count("*").alias("size"), best)
-    heavy = heavy.join(F.broadcast(total)).where(F.col("size") >= F.col("rows") * SUPPORT).select("h", "size", "best")  # at most 1 / SUPPORT rows
-    marked = rows.join(F.broadcast(heavy), "h", "left")
-    lost = F.coalesce(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("x"), "doc_id") != F.col("best"), F.lit(False))
-    settled = marked.where(lost).select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.lit(False).alias("kept"), "h")
-    by = Window.partitionBy("h")
-    order = by.orderBy(F.col("chars").desc(), F.col("doc_id").asc_nulls_last())
-    rest = marked.where(~lost).select(
-        "doc_id",
-        F.first("doc_id").over(order).alias("keep_id"),
-        F.coalesce("size", F.count("*").over(by)).alias("group_size"),
-        (F.row_number().over(order) == 1).alias("kept"),
-        "h",
-    )
-    return settled.unionByName(rest).withColumnRenamed("h", "text_sha256")
+    return _judged(docs, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", F.col("h").alias("text_sha256"))
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    found = exact_duplicates(docs, id_col, text_col).where("kept").select(F.coalesce("keep_id", F.lit(_NO_ID)).alias("_skarn_id"), F.col("text_sha256").alias("_skarn_h"))
-    text = F.col(text_col).cast("string")
-    rows = docs.withColumn("_skarn_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn("_skarn_h", F.sha2(normalised(text).cast("binary"), 256)).withColumn("_skarn_c", F.length(F.coalesce(text, F.lit(""))))
-    kept = rows.join(found, ["_skarn_id", "_skarn_h"], "left_semi")
-    by = Window.partitionBy("_skarn_id", "_skarn_h").orderBy(F.col("_skarn_c").desc())
-    return kept.withColumn("_skarn_n", F.row_number().over(by)).where("_skarn_n = 1").select(*docs.columns)
+    """The rows that stay, with all their columns; texts move only where many rows go."""
+    key = ["_skarn_row", "_skarn_key"]
+    found = _judged(docs, id_col, text_col).where("group_size > 1").groupBy(F.col("row").alias(key[0]), F.col("key").alias(key[1])).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = saved(found, "repeated")
+    lost, twice = few(found.where("not kept").select(*key), "lost"), found.where("kept and n > 1").select(*key)
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    left = docs.withColumn(key[0], F.xxhash64(id_, text)).withColumn(key[1], F.xxhash64(text)).join(lost, key, "left_anti")
+    if not twice.limit(1).count():
+        return left.select(*docs.columns)
+    one = left.join(twice, key, "left_semi").withColumn("_skarn_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("_skarn_n = 1")
+    return left.join(twice, key, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
