@@ -14,9 +14,10 @@ without recursion (separators inside a match are first replaced by a mark).
 Bootstrapping: candidates are tokens with a digit, of 5 characters or more, and
 those without an ASCII letter are joined over blanks and the separators `( ) . / -`; a run that overlaps a base span is taken
 token by token. A candidate's lexical pattern is the one or two words before it. Base matches seed the pattern-instance
-graph. In each of ROUNDS rounds a pattern scores, for a kind, the mean confidence of its
+graph. In each round a pattern scores, for a kind, the mean confidence of its
 instances (each distinct instance counts once), and an unseen instance the mean score of
-its patterns. An unseen instance of MIN_SCORE counts as a seed in the next round.
+its patterns. An unseen instance of MIN_SCORE counts as a seed in the next round, so what one
+pattern discovers can make another one trusted; rounds go on until none is, ROUNDS at most.
 Patterns with MIN_SEEDS distinct seeds of one kind and a score of MIN_SCORE
 mark the candidates behind them; a mark that overlaps a base span is dropped. Pattern and
 instance statistics cover all documents and are combined before each shuffle.
@@ -30,10 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, saved, table
+from .common import saved, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
+#: Rounds at most; they end as soon as no pattern is newly trusted.
+ROUNDS = 6
 MIN_SEEDS = 5
 MIN_SCORE = 0.9
 
@@ -51,17 +53,39 @@ _GAP = f"{_CUT}([ \\t()./-]++){_CUT}"
 _CAND = "struct<start:int,end:int,s:string,before:string>"
 
 
+def _fold(parts: Column, at: Column, before: Column, short: int, kind: str, span) -> Column:
+    """Every second part with its place, a struct of type kind made by span(start, end, part, before).
+
+    Parts are folded in blocks of about the root of their number, for an append copies the
+    array: the cost stays near the length of the text. before is the last 60 code points
+    in front of a part.
+    """
+    n = F.size(parts)
+    size = (F.ceil(F.sqrt(n.cast("double")) / 2) * 2).cast("int")  # even: a block begins with a gap
+    tail = lambda x: F.right(x, F.lit(60))
+
+    def block(b: Column) -> Column:
+        lead = tail(F.concat(before, F.array_join(F.slice(parts, F.greatest(b * size - 59, F.lit(1)), F.least(b * size, F.lit(60))), "")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"), F.lit(False).alias("odd"), lead.alias("before"))
+
+        def step(acc: Column, part: Column) -> Column:
+            end = acc["at"] + F.length(part)
+            found = F.when(acc["odd"] & (F.length(part) >= short), F.array_append(acc["found"], span(acc["at"], end, part, acc["before"]))).otherwise(acc["found"])
+            return F.struct(end.alias("at"), found.alias("found"), (~acc["odd"]).alias("odd"), tail(F.concat(acc["before"], tail(part))).alias("before"))
+
+        return F.aggregate(F.slice(parts, b * size + 1, size), start, step, lambda acc: F.struct(acc["at"].alias("n"), acc["found"].alias("found")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), block)
+    begin = F.struct(at.alias("at"), F.array().cast(f"array<struct<at:int,found:array<{kind}>>>").alias("all"))
+    placed = F.aggregate(blocks, begin, lambda acc, b: F.struct((acc["at"] + b["n"]).alias("at"), F.array_append(acc["all"], F.struct(acc["at"].alias("at"), b["found"].alias("found"))).alias("all")), lambda acc: acc["all"])
+    moved = lambda m, by: m.withField("start", m["start"] + by).withField("end", m["end"] + by)
+    return F.flatten(F.transform(placed, lambda b: F.transform(b["found"], lambda m: moved(m, b["at"]))))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """The matches as (start, end, s), by cutting the text at each match's ends."""
     parts = F.split(F.regexp_replace(text, pattern, f"{_CUT}$0{_CUT}"), _CUT)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("found"), F.lit(False).alias("odd"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("s"))
-        return F.struct(end.alias("at"), F.when(acc["odd"], F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"), (~acc["odd"]).alias("odd"))
-
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    return _fold(parts, F.lit(0), F.lit(""), 0, _SPAN, lambda a, b, s, _: F.struct(a.alias("start"), b.alias("end"), s.alias("s")))
 
 
 def _digits(s: Column) -> Column:
@@ -105,22 +129,16 @@ def candidates(text: Column, at: Column | None = None, before: Column | None = N
     marked = F.regexp_replace(text, _NUMBER, f"{_CUT}$0{_CUT}")
     marked = F.regexp_replace(marked, _GAP, "$1") if joined else marked
     parts = F.split(F.regexp_replace(marked, _MIXED, f"{_CUT}$0{_CUT}"), _CUT)
-    start = F.struct((F.lit(0) if at is None else at).alias("at"), F.array().cast(f"array<{_CAND}>").alias("found"), F.lit(False).alias("odd"), (F.lit("") if before is None else before).alias("before"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("s"), acc["before"].alias("before"))
-        return F.struct(end.alias("at"), F.when(acc["odd"] & (F.length(part) >= 5), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"), (~acc["odd"]).alias("odd"), F.right(F.concat(acc["before"], F.right(part, F.lit(60))), F.lit(60)).alias("before"))
-
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    span = lambda a, b, s, before: F.struct(a.alias("start"), b.alias("end"), s.alias("s"), before.alias("before"))
+    return _fold(parts, F.lit(0) if at is None else at, F.lit("") if before is None else before, 5, _CAND, span)
 
 
 def bootstrap(edges: DataFrame) -> DataFrame:
     """Trusted (left, kind) of edges (left, s, kind or null): patterns scored by their instances, and back."""
-    graph = kept(edges.groupBy("left", "s").agg(F.max("kind").alias("kind")))
+    graph = saved(edges.groupBy("left", "s").agg(F.max("kind").alias("kind")), "graph")
     sizes = graph.groupBy("left").agg(F.count("*").alias("size"))
     known = graph.where("kind is not null").select("left", F.col("kind").alias("k"))
-    unseen = scores = None
+    unseen = scores = trusted = None
     for _ in range(ROUNDS):
         seeds = known
         if unseen is not None:
@@ -130,8 +148,11 @@ def bootstrap(edges: DataFrame) -> DataFrame:
         own = graph.join(seeds, "left").join(sizes, "left")
         own = own.withColumn("conf", F.lit(0.0)) if unseen is None else own.join(unseen, ["s", "k"], "left")
         own = own.withColumn("c", F.when(F.col("kind") == F.col("k"), 1.0).when(F.col("kind").isNotNull(), 0.0).otherwise(F.coalesce("conf", F.lit(0.0))))
-        scores = kept(own.groupBy("left", "k").agg((F.sum("c") / F.max("size")).alias("score"), F.max("seeds").alias("seeds")))
-        unseen = kept(graph.where("kind is null").join(scores.select("left", "k", "score"), "left").groupBy("s", "k").agg(F.avg("score").alias("conf")))
+        scores = saved(own.groupBy("left", "k").agg((F.sum("c") / F.max("size")).alias("score"), F.max("seeds").alias("seeds")), "scores")
+        unseen = saved(graph.where("kind is null").join(scores.select("left", "k", "score"), "left").groupBy("s", "k").agg(F.avg("score").alias("conf")), "instances")
+        before, trusted = trusted, scores.where(f"score >= {MIN_SCORE}").count()
+        if trusted == before:
+            break
     return scores.where(f"score >= {MIN_SCORE}").select("left", F.col("k").alias("kind"))
 
 
@@ -152,25 +173,25 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found) for each row."""
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     text = F.translate(raw, _CUT + _JOIN, "\x02\x02")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("key"), text.alias("t"))
+    id_ = F.col(id_col).cast("long")
+    rows = docs.select(id_.alias("doc_id"), F.xxhash64(id_, raw).alias("row"), F.xxhash64(raw).alias("key"), text.alias("t"))
     spans = base_spans(F.col("t"))
-    rows = rows.select("doc_id", "key", *[v.alias(k) for k, v in spans.items()], "t")
-    rows = saved(rows.select("doc_id", "key", *KINDS, F.concat(*[_seeds(k) for k in KINDS]).cast("array<struct<left:string,s:string,kind:string>>").alias("seeds"), F.when(F.col("t").rlike("[0-9]"), candidates(F.col("t"))).alias("cands")), "spans")
+    rows = rows.select("doc_id", "row", "key", *[v.alias(k) for k, v in spans.items()], "t")
+    rows = saved(rows.select("doc_id", "row", "key", *KINDS, F.concat(*[_seeds(k) for k in KINDS]).cast("array<struct<left:string,s:string,kind:string>>").alias("seeds"), F.when(F.col("t").rlike("[0-9]"), candidates(F.col("t"))).alias("cands")), "spans")
     typed = F.concat(*[_typed(k) for k in KINDS]).cast(_TYPED)
-    hits = rows.select("doc_id", "key", typed.alias("base"), F.explode("cands").alias("c")).select("doc_id", "key", "base", "c.*")
+    hits = rows.select("row", "key", typed.alias("base"), F.explode("cands").alias("c")).select("row", "key", "base", "c.*")
     over = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     hits = hits.withColumn("over", over)
     single = candidates(F.col("s"), F.col("start"), F.col("before"), joined=False)
-    parts = hits.where("over").select("doc_id", "key", "base", F.explode(single).alias("c")).select("doc_id", "key", "base", "c.*").where(~over)
-    columns = ["doc_id", "key", "start", "end", "s", "before"]
+    parts = hits.where("over").select("row", "key", "base", F.explode(single).alias("c")).select("row", "key", "base", "c.*").where(~over)
+    columns = ["row", "key", "start", "end", "s", "before"]
     hits = hits.where("not over").select(*columns).unionByName(parts.select(*columns)).withColumn("left", _left(F.col("before"))).drop("before").where("left <> ''")
     hits = saved(hits, "candidates")
     seeds = rows.select(F.explode("seeds").alias("c")).where("c.left <> ''").select("c.left", "c.s", "c.kind")
     trusted = bootstrap(hits.select("left", "s", F.lit(None).cast("string").alias("kind")).unionByName(seeds))
-    found = hits.join(trusted.withColumnRenamed("kind", "k"), "left").groupBy("doc_id", "key").agg(F.collect_set(F.struct(F.col("k").alias("kind"), "start", "end")).alias("found"))
+    found = hits.join(trusted.withColumnRenamed("kind", "k"), "left").groupBy("row", "key").agg(F.collect_set(F.struct(F.col("k").alias("kind"), "start", "end")).alias("found"))
     # the join is by row content: rows that repeat share it
-    left, right = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))), found.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
-    joined = left.join(right, ["id", "key"], "left")
+    joined = rows.join(found, ["row", "key"], "left")
     nothing = F.array().cast(_TYPED)
     joined = joined.withColumn("base", typed).withColumn("found", F.coalesce("found", nothing))
 
