@@ -8,6 +8,12 @@ last return the columns of documents. A stage works on every row its predecessor
 - near_dedup keeps the first document of each group (five words, similarity 0.8);
 - decontamination cuts benchmark passages out of the texts and keeps every document;
 - packing returns the pieces of the token sequences.
+
+Rows are judged by their own text, not by doc_id: rows that repeat a doc_id with other
+texts, or have none, are kept or dropped one by one (of equal rows one stays). Null and
+empty texts take part as empty ones: the classifier scores them, exact_dedup keeps one of
+what it is given, near_dedup links none, packing gives each its end id. Empty tables give
+empty results; other columns of documents are carried along up to packing.
 """
 
 from __future__ import annotations
@@ -35,8 +41,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.distinct_documents(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
