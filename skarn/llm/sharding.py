@@ -8,10 +8,12 @@ shard count moves the cells of the new virtual nodes and the overflow only.
 
 The ring is walked for cells, not for rows: the driver sees one count for each cell,
 CELLS numbers whatever the input, and turns them into segments (cell, ranks, shard, first
-slot). Rows get their rank inside the cell from a window over that cell alone.
+slot). Rows get their rank inside the cell from a window over that cell alone; a cell that
+holds far more rows than the others, through repeated or missing doc_ids, is ranked in
+PARTS parts whose counts are summed up.
 
 Null texts have no bytes (size 1, crc 0); null doc_ids share a place; repeated rows are
-ranked one after another; other columns are ignored.
+ranked one after another; other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import saved, table
 
 CELLS = 1 << 16
 VNODES = 128
+#: Rows from which a cell is ranked in parts, if it holds UNEVEN times the mean as well.
+LARGE, UNEVEN, PARTS = 100_000, 8, 256
 
 
 def owners(shards: int) -> np.ndarray:
@@ -64,10 +68,23 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = saved(rows.withColumn("h", F.xxhash64("doc_id")).withColumn("cell", F.shiftrightunsigned("h", 48).cast("int")), "shard-rows")
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("cell", F.shiftrightunsigned("h", 48).cast("int")).withColumn("number", F.monotonically_increasing_id())
+    rows = saved(rows, "shard-rows")  # numbered as they are written
     counts = {r[0]: r[1] for r in rows.groupBy("cell").count().collect()}
     found = spark.createDataFrame(segments(counts, shards), "cell int, lo long, hi long, shard int, first long")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("h", "doc_id", "text_crc32", "size")).cast("long") - 1)
+    many = max(LARGE, UNEVEN * sum(counts.values()) // CELLS)
+    large = spark.createDataFrame([(c,) for c, n in counts.items() if n > many], "cell int")
+    if not large.isEmpty():  # at most CELLS / UNEVEN cells
+        rows = rows.join(F.broadcast(large.withColumn("large", F.lit(True))), "cell", "left").withColumn("part", F.when(F.col("large"), F.pmod("number", F.lit(PARTS))).otherwise(0))
+    else:
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("h", "doc_id", "text_crc32", "size")).cast("long") - 1
+    ranked = rows.withColumn("rank", rank)
+    if not large.isEmpty():
+        before = F.sum("n").over(Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = rows.where("large").groupBy("cell", "part").agg(F.count("*").alias("n")).select("cell", "part", F.coalesce(before, F.lit(0)).alias("base"))
+        split = ranked.where("large").join(parts, ["cell", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base")
+        ranked = ranked.where("large is null").unionByName(split)
     # at most CELLS + shards * VNODES segments: fit to broadcast at any input size
     placed = ranked.join(F.broadcast(found), "cell").where("rank >= lo and rank < hi")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -54,6 +54,20 @@ def test_shards_are_even_and_gapless(spark, rows):
     assert sharding.shard_rows(frame(spark, [])).collect() == []
 
 
+def test_cells_of_many_rows(spark, rows, monkeypatch):
+    """One doc_id on a third of the rows, and rows without one."""
+    monkeypatch.setattr(sharding, "LARGE", 20)
+    monkeypatch.setattr(sharding, "UNEVEN", 1)
+    monkeypatch.setattr(sharding, "PARTS", 7)
+    some = rows[:200] + [(7, f"text {i % 30}") for i in range(130)] + [(None, None)] * 60
+    got = sharding.shard_rows(frame(spark, some)).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((a, len((b or "").encode()) + 1) for a, b in some)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_ring_moves_little():
     rnd = random.Random(0)
     counts = Counter(rnd.randrange(sharding.CELLS) for _ in range(200_000))
