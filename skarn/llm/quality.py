@@ -6,7 +6,8 @@ neighbouring blocks of BLOCK steps) describe the chunks; the mean and the maximu
 document's chunks go through a logistic unit to one probability.
 
 Training uses at most TRAIN_ROWS labelled rows, those of smallest id hash, half of them of
-each label where there are enough, with texts of at most TRAIN_BYTES bytes; rows whose
+each label where there are enough, with texts of at most TRAIN_BYTES bytes (190 MB on the
+driver at worst); rows whose
 crc32(doc_id as text) mod 4 is 2 are held out. The bias is then set to the labels' true
 ratio. Every text is scored whole. Labels, lang, source and doc_id are no inputs.
 

@@ -95,3 +95,63 @@ def test_repeated_rows_keep_one(spark):
 
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "c", "y"), (None, "c", "y"), (2, "ab", "z")], "doc_id long, text string, h string")
     assert sorted(map(tuple, distinct_texts(docs).collect()), key=str) == [(1, "a b", "x"), (None, "c", "y")]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """Texts above TRAIN_BYTES are scored whole but not learned from; other columns of any name stay."""
+    rnd = random.Random(2)
+    good = lambda n: " ".join(rnd.choice(["clear", "sentence", "about", "things"]) for _ in range(n))
+    bad = lambda n: "".join(rnd.choice("$#@!%&") for _ in range(n))
+    rows = [(i, good(40) if i % 2 else bad(200), 0.5, i, "h") for i in range(200)] + [(900, bad(quality.TRAIN_BYTES + 10) + good(9000), 0.5, 1, "h"), (901, good(30_000), 0.5, 1, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int, held_out string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)] + [(900, 1), (901, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    out = quality.scored(docs, model)
+    assert out.columns == [*docs.columns, quality.SCORE]
+    got = {r.doc_id: r[quality.SCORE] for r in out.collect()}
+    assert len(got) == 202 and got[901] >= 0.7 > got[0] and all((got[i] >= 0.5) == bool(i % 2) for i in range(200))
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """run over whole tables: every stage's decisions, on rows with nulls, ties, repeats and extra columns."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(16)
+    vocab = [f"v{i}" for i in range(400)]
+    say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = [(i, say(15)) for i in range(4)]
+    texts = [say(rnd.randint(8, 80)) for _ in range(50)]
+    texts += [texts[1], texts[2] + "  ", texts[3] + " tail", texts[3] + " tail end", items[0][1] + " " + say(20), None, "", say(4000)]
+    rows = [(i, t, "en", "s", len(t or ""), "k", 1, True) for i, t in enumerate(texts)] + [(1, texts[1], "en", "s", 0, "k", 1, True)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, row int, kept boolean").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    best = {}
+    for i, t in enumerate(texts):
+        k = "".join((t or "").split())
+        if k not in best or len(t or "") > len(texts[best[k]] or ""):
+            best[k] = i
+    left = [r[0] for r in brute_near([(i, texts[i]) for i in sorted(best.values())], 5, 80, 100) if r[3]]
+    got = cp.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(left)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    import public_tokenizers
+    import tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    hits = {r[0]: r[2] for r in brute_hits([(i, texts[i]) for i in left], items)}
+    for i in left:
+        pieces = sorted((r.start, r.length, r.ids_crc32) for r in by[i])
+        total = sum(n for _, n, _ in pieces)
+        assert total == by[i][0].doc_tokens and pieces[0][0] == 0
+        if not hits[i]:  # texts without test passages come through untouched
+            ids = np.array([*tok.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4")
+            assert len(ids) == total and all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in pieces)
+    assert any(hits.values())
+    empty = str(tmp_path / "empty")
+    for t in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert cp.run(spark, empty).collect() == []
