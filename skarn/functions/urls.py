@@ -92,10 +92,17 @@ def _bounded(p: Column, prefix: Column) -> Column:
     return (bare == "") | (p == bare) | p.startswith(F.concat(bare, F.lit("/")))
 
 
+def _rooted(prefix: Column) -> Column:
+    """A prefix with its leading and without its trailing slash."""
+    whole = F.when(prefix.startswith("/"), prefix).otherwise(F.concat(F.lit("/"), prefix))
+    bare = F.rtrim(whole, F.lit("/"))
+    return F.when(bare == "", F.lit("/")).otherwise(bare)
+
+
 def in_scope(p: Column, include: Column, exclude: Column) -> Column:
-    """Exclude prefixes win, plain; include prefixes end at a path segment; no include allows all."""
-    out = F.exists(exclude, lambda x: p.startswith(x))
-    return ~out & ((F.size(include) == 0) | F.exists(include, lambda x: _bounded(p, x)))
+    """Exclude prefixes win, at any character; include prefixes end at a path segment; no include allows all."""
+    out = F.exists(exclude, lambda x: p.startswith(_rooted(x)))
+    return ~out & ((F.size(include) == 0) | F.exists(include, lambda x: _bounded(p, _rooted(x))))
 
 
 def in_scope_plain(p: Column, include: Column, exclude: Column) -> Column:
@@ -116,15 +123,48 @@ def slugify(text: Column) -> Column:
 
 
 def derived_name(url: Column) -> Column:
-    """First telling host label and first telling path segment."""
+    """First telling host label and first path segment that is telling and leaves a slug."""
     labels = F.filter(F.split(host(url), "[.]"), lambda x: x != "")
     telling = F.filter(labels, lambda x: ~x.isin(GENERIC_LABELS))
     label = slugify(F.get(F.when(F.size(telling) > 0, telling).otherwise(labels), F.lit(0)))
-    segment = slugify(F.get(F.filter(F.split(path(url), "/"), lambda x: (x != "") & ~F.lower(x).isin(GENERIC_SEGMENTS)), F.lit(0)))
-    both = F.when(segment.isNull() | (segment == "") | (segment == label), label).otherwise(F.concat_ws("-", F.when(label != "", label), segment))
+    segment = slugify(F.get(F.filter(F.split(path(url), "/"), lambda x: (slugify(x) != "") & ~F.lower(x).isin(GENERIC_SEGMENTS)), F.lit(0)))
+    both = F.when(segment.isNull() | (segment == label), label).otherwise(F.concat_ws("-", F.when(label != "", label), segment))
     return F.when(F.coalesce(both, F.lit("")) == "", "source").otherwise(both)
 
 
+def free_name(name: str, taken) -> str:
+    """The name, or with the first of -2, -3, ... that is not taken."""
+    taken, n, found = set(taken), 2, name
+    while found in taken:
+        found, n = f"{name}-{n}", n + 1
+    return found
+
+
+def unique_names(wanted, taken, order: str, name: str = "name"):
+    """The rows of wanted with names of their own, which taken does not have either.
+
+    Of rows that want one name the first in order gets it, unless it is taken, and the
+    others the next numbers -2, -3, ...; a number that a taken or wanted name ends in is
+    passed over.
+    """
+    from pyspark.sql import Window
+
+    held = taken.select(F.col(name)).distinct()
+    number = F.when(F.regexp_extract(name, r"-([1-9][0-9]{0,8})$", 1) != "", F.regexp_extract(name, r"-([1-9][0-9]{0,8})$", 1).cast("int"))
+    used = held.unionByName(wanted.select(name).distinct()).select(F.regexp_replace(name, r"-[1-9][0-9]{0,8}$", "").alias("_base"), number.alias("_no")).where("_no > 1")
+    used = used.unionByName(held.select(F.col(name).alias("_base"), F.lit(1).alias("_no"))).groupBy("_base").agg(F.collect_set("_no").alias("_used"))
+    nth = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    rows = wanted.withColumn("_nth", nth).join(used, F.col(name) == F.col("_base"), "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
+    free = F.filter(F.sequence(F.lit(1), F.col("_nth") + F.size("_used")), lambda k: ~F.array_contains("_used", k))
+    at = F.get(free, F.col("_nth") - 1)
+    return rows.withColumn(name, F.when(at == 1, F.col(name)).otherwise(F.concat(name, F.lit("-"), at.cast("string")))).drop("_nth", "_base", "_used")
+
+
+def final_url_allowed(final: Column, base: Column, include: Column, exclude: Column, private: Column) -> Column:
+    """Whether a page that redirects may be taken: the same host, in scope, on a public address."""
+    return (authority(final) == authority(base)) & in_scope(path(final), include, exclude) & ~private
+
+
 def derived_include(url: Column) -> Column:
     """The start path as the only include prefix, none for a bare host."""
     p = path(url)
