@@ -33,7 +33,7 @@ def page_list(pages: DataFrame, chunks: DataFrame, sources: DataFrame, source_id
     counts = chunks.select("page_id").join(F.broadcast(newest.select(F.col("id").alias("page_id"))), "page_id").groupBy("page_id").agg(F.count("*").alias("chunk_count"))
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     out = newest.join(names, "source_id").join(counts, newest["id"] == counts["page_id"], "left")
-    return out.select("id", "source", "url", "fetched_at", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    return out.select("id", "source", "url", "fetched_at", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")).orderBy(F.desc("fetched_at"), "id")
 
 
 def upsert_sources(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,6 +54,55 @@ def import_classes(table: DataFrame, file: DataFrame, columns: list[str]) -> Dat
     return f.join(t, F.col("t.name") == F.col("f.name"), "left").select(F.col("f.name").alias("name"), cls.alias("class"))
 
 
+#: Settings of a source that a change or an import may write.
+SETTINGS = ("base_url", "sitemap", "include_prefixes", "exclude_prefixes", "max_pages", "language", "rate_limit_rps", "llms_txt", "js_render", "source_type")
+
+
+def update_source(sources: DataFrame, source_id: int, fields: dict) -> DataFrame:
+    """Settings of one source; the result must pass the checks of a new one."""
+    from skarn.sources import configs
+
+    if unknown := set(fields) - set(SETTINGS):
+        raise ValueError(f"no settings: {', '.join(sorted(unknown))}")
+    row = sources.where(F.col("id") == source_id).first()
+    if row is None:
+        raise LookupError(f"no source {source_id}")
+    now = row.asDict() | fields
+    checked = configs.frame(sources.sparkSession, [{k: now[k] for k in ("name", *SETTINGS) if now.get(k) is not None}]).first()
+    is_ = F.col("id") == source_id
+    for k in fields:
+        value = checked[k]
+        lit = F.lit(value) if not isinstance(value, list) else F.array(*[F.lit(x) for x in value])
+        sources = sources.withColumn(k, F.when(is_, lit.cast(sources.schema[k].dataType)).otherwise(F.col(k)))
+    return sources
+
+
+def import_sources(sources: DataFrame, file: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources after an import, and (name, class): new names are active, changed settings are written, all else stays."""
+    columns = [c for c in SETTINGS if c in sources.columns and c in file.columns]
+    classes = import_classes(sources, file, columns)
+    new = file.select("name", *[F.col(c).alias(f"_{c}") for c in columns]).join(classes, "name")
+    changed = new.where("class = 'updated'").withColumn("_hit", F.lit(True)).drop("class")
+    out = sources.join(changed, "name", "left")
+    for c in columns:
+        out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)))
+    out = out.select(*sources.columns)
+    top = sources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    made = new.where("class = 'created'").withColumn("id", F.row_number().over(Window.orderBy("name"))).join(F.broadcast(top)).withColumn("id", F.col("id") + F.col("top"))
+    known = {"id": F.col("id"), "name": F.col("name"), "status": F.lit("active")} | {c: F.col(f"_{c}") for c in columns}
+    made = made.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in sources.schema.fields])
+    return out.unionByName(made), classes
+
+
+def index_validators(sources: DataFrame, source_id: int, etag: str | None, last_modified: str | None) -> DataFrame:
+    """The validators of a source's index file."""
+    is_ = F.col("id") == source_id
+    for c, v in (("llms_etag", etag), ("llms_last_modified", last_modified)):
+        held = F.col(c) if c in sources.columns else F.lit(None).cast("string")
+        sources = sources.withColumn(c, F.when(is_, F.lit(v).cast("string")).otherwise(held))
+    return sources
+
+
 def replace_pages(pages: DataFrame, fresh: DataFrame) -> DataFrame:
     return pages.join(fresh.select("url"), "url", "left_anti").unionByName(fresh)
 
@@ -83,7 +132,16 @@ def stamp(sources: DataFrame, outcome: DataFrame, at: Column) -> DataFrame:
     """last_synced and last_status of the sources a run touched (name, status)."""
     o = outcome.select("name", F.col("status").alias("_s"))
     hit = F.col("_s").isNotNull()
-    return sources.join(F.broadcast(o), "name", "left").withColumn("last_synced", F.when(hit, at).otherwise(F.col("last_synced"))).withColumn("last_status", F.coalesce("_s", "last_status")).drop("_s")
+    return sources.join(o, "name", "left").withColumn("last_synced", F.when(hit, at).otherwise(F.col("last_synced"))).withColumn("last_status", F.coalesce("_s", "last_status")).drop("_s")
+
+
+def set_schedule(table: DataFrame, source_id: int, schedule: str | None) -> DataFrame:
+    """The schedule of one source; one that can't be read is refused, null clears it."""
+    from skarn.functions import cron
+
+    if schedule is not None and table.sparkSession.range(1).select(cron.fields(F.lit(schedule)).isNull()).first()[0]:
+        raise ValueError(f"the schedule {schedule} can't be read")
+    return set_column(table, source_id, "schedule_cron", schedule)
 
 
 def set_column(table: DataFrame, source_id: int, column: str, value, allowed: tuple | None = None) -> DataFrame:
@@ -119,5 +177,5 @@ def duplicate_names(rows: DataFrame) -> DataFrame:
 
 def dedupe_first(urls: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in the given order."""
-    w = Window.partitionBy(key).orderBy(order)
-    return urls.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*urls.columns), F.col(order)).alias("r")
+    return urls.groupBy(F.col(key).alias("_k")).agg(first).select("r.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the rules.
 STALE_SECONDS, WINDOW_SECONDS, RATIO, MIN_TOTAL = 172_800, 30 * 3600, 0.2, 20
+SEARCH_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
 BUCKETS = (1, 5, 10, 30, 60, 300, 900, 3600)
 
 
@@ -64,3 +65,20 @@ def held(samples: DataFrame, hold_seconds: int) -> DataFrame:
 def no_metrics(runs: DataFrame, start: Column, end: Column) -> DataFrame:
     """One row: whether no run at all finished between start and end."""
     return runs.agg((F.count_if(F.col("finished_at").between(start, end)) == 0).alias("absent"))
+
+
+def counters(runs: DataFrame, columns: list[str]) -> DataFrame:
+    """(source, name, value): each counter summed over all runs of a source."""
+    sums = runs.groupBy("source").agg(*[F.sum(c).cast("long").alias(c) for c in columns])
+    return sums.select("source", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(c, F.lit(0)).alias("value")) for c in columns])))
+
+
+def last_success(runs: DataFrame) -> DataFrame:
+    """(source, last_success): the end of the latest ok or partial run, in seconds."""
+    good = runs.where(F.col("status").isin("ok", "partial"))
+    return good.groupBy("source").agg((F.unix_micros(F.max("finished_at").cast("timestamp")) / 1_000_000).alias("last_success"))
+
+
+def search_metrics(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(status, n) of searches, and the histogram of their seconds."""
+    return log.groupBy("status").agg(F.count("*").alias("n")), histogram(log, "seconds", SEARCH_BUCKETS)

@@ -29,11 +29,12 @@ SOURCE = T.StructType(
         T.StructField("language", T.StringType()),
         T.StructField("rate_limit_rps", T.FloatType()),
         T.StructField("llms_txt", T.StringType()),
+        T.StructField("js_render", T.BooleanType()),
         T.StructField("source_type", T.StringType()),
         T.StructField("schedule_cron", T.StringType()),
     ]
 )
-DEFAULTS = {"include_prefixes": [], "exclude_prefixes": [], "language": "english", "rate_limit_rps": 1.0, "llms_txt": "auto", "source_type": "crawl"}
+DEFAULTS = {"include_prefixes": [], "exclude_prefixes": [], "language": "english", "rate_limit_rps": 1.0, "llms_txt": "auto", "js_render": False, "source_type": "crawl"}
 
 
 def load_sources(spark: SparkSession, path: str) -> DataFrame:

@@ -43,12 +43,25 @@ class Store:
             raise LookupError(f"no table {table}")
         return self.spark.read.parquet(entry[table])
 
-    def commit(self, tables: dict[str, DataFrame], based_on: int | None = None) -> int:
+    def tables(self, version: int | None = None) -> list[str]:
+        return sorted(self._entry(version if version is not None else self.version()))
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """A frame that several tables of a commit read, written once; swept by `sweep`."""
+        path = f"{self.root}/_staged/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def sweep(self) -> None:
+        """Remove staged frames; no commit may be under way."""
+        self._fs.delete(self._path(f"{self.root}/_staged"), True)
+
+    def commit(self, tables: dict[str, DataFrame], based_on: int | None = None, partitioned: dict[str, list[str]] | None = None) -> int:
         base = self.version() if based_on is None else based_on
         entry = self._entry(base)
         for name, df in tables.items():
             entry[name] = f"{self.root}/{name}/v={base + 1}-{uuid.uuid4().hex[:8]}"
-            df.write.parquet(entry[name])
+            df.write.partitionBy(*(partitioned or {}).get(name, [])).parquet(entry[name])
         temp = f"{self.root}/_log/.{uuid.uuid4().hex}"
         self.spark.createDataFrame(list(entry.items()), "name string, path string").coalesce(1).write.json(temp)
         target = self._path(f"{self.root}/_log/{base + 1}")

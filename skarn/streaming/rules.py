@@ -10,8 +10,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 
 def once_a_minute(ticks: DataFrame, key: str = "source", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """At most one tick of a source a minute, late ones included up to the watermark."""
-    return ticks.withColumn("minute", F.date_trunc("minute", ts)).withWatermark("minute", late).dropDuplicatesWithinWatermark([key, "minute"])
+    """At most one tick of a source a minute, in a stream late ones included up to the watermark."""
+    ticks = ticks.withColumn("minute", F.date_trunc("minute", ts))
+    if not ticks.isStreaming:
+        return ticks.dropDuplicates([key, "minute"])
+    return ticks.withWatermark("minute", late).dropDuplicatesWithinWatermark([key, "minute"])
 
 
 def increase(runs: DataFrame, columns: list[str], ts: str = "finished_at", window: str = "30 hours", step: str = "30 minutes", late: str = "1 hour") -> DataFrame:
