@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 _ZETA2 = 1.64493406685
 MAX_TF = 255
+#: Later positions count as this one.
+MAX_POSITION = 16_383
 
 
 def tokens(text: Column) -> Column:
@@ -83,6 +86,11 @@ def porter(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stems_english(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: None if ws is None else [porter(w) for w in ws])
+
+
 @F.pandas_udf(T.StringType())
 def stem_english(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")
@@ -98,42 +106,120 @@ def postings(chunks: DataFrame, config: str | Column = "simple", id_col: str = "
     return words.groupBy(id_col, "lexeme").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"))
 
 
-def parse_query(text: str, config: str = "simple") -> list[list[tuple[bool, list[str]]]]:
-    """A web-style query as alternatives of (negated, phrase words): AND by default, or, quotes, minus."""
-    groups: list[list[tuple[bool, list[str]]]] = [[]]
-    for sign, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
+Query = list[list[tuple[bool, list[str | None]]]]
+
+
+def parse_query(text: str, config: str = "simple") -> Query:
+    """A web-style query as alternatives of (negated, phrase words): AND by default, or, quotes, minus.
+
+    Stop words of the language go; inside a phrase None keeps their place.
+    """
+    groups: Query = [[]]
+    stops = set(stop_words(config))
+    stem = porter if config == "english" else (lambda w: w)
+    for sign, quoted, phrase, word in re.findall(r'(-?)(?:("([^"]*)")|(\S+))', text):
         if word.lower() == "or" and not sign:
             groups.append([])
             continue
-        found = [w for w in re.split(r"[^\w]+|_", (phrase or word).lower()) if w]
-        if config == "english":
-            found = [porter(w) for w in found if w not in stop_words("english")]
+        found: list[str | None] = [None if w in stops else stem(w) for w in re.split(r"[^\w]+|_", (phrase if quoted else word).lower()) if w]
+        while found and found[0] is None:
+            found.pop(0)
+        while found and found[-1] is None:
+            found.pop()
         if found:
             groups[-1].append((sign == "-", found))
     return [g for g in groups if g]
 
 
-def evaluate(index: DataFrame, query: list[list[tuple[bool, list[str]]]], id_col: str = "chunk_id") -> DataFrame:
-    """Ids of chunks that match: postings of the query's words only, gathered for each chunk."""
-    words = sorted({w for g in query for _, p in g for w in p})
-    if not words:
-        return index.select(id_col).limit(0)
-    have = index.where(F.col("lexeme").isin(words)).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("m"))
+def words_of(query: Query) -> list[str]:
+    return sorted({w for g in query for _, p in g for w in p if w is not None})
+
 
-    def phrase(p: list[str]) -> Column:
-        first = F.coalesce(F.col("m")[p[0]], F.array().cast("array<int>"))
-        return F.exists(first, lambda at: F.lit(True) if len(p) == 1 else _all([F.array_contains(F.coalesce(F.col("m")[w], F.array().cast("array<int>")), at + i) for i, w in enumerate(p) if i]))
+def _every(xs: list[Column]) -> Column:
+    out = F.lit(True)
+    for x in xs:
+        out = out & x
+    return out
+
+
+def matches(query: Query, at: Callable[[str], Column]) -> Column:
+    """Whether a row matches; at(word) gives the word's positions in it, an array."""
 
-    def _all(xs: list[Column]) -> Column:
-        out = F.lit(True)
-        for x in xs:
-            out = out & x
-        return out
+    def phrase(p: list[str | None]) -> Column:
+        if len(p) == 1:
+            return F.size(at(p[0])) > 0
+        return F.exists(at(p[0]), lambda i: _every([F.array_contains(at(w), i + k) for k, w in enumerate(p) if k and w is not None]))
 
     ok = F.lit(False)
     for g in query:
-        ok = ok | _all([~phrase(p) if neg else phrase(p) for neg, p in g])
-    return have.where(ok).select(id_col)
+        ok = ok | _every([~phrase(p) if neg else phrase(p) for neg, p in g])
+    return ok
+
+
+def rank(query: Query, at: Callable[[str], Column]) -> Column:
+    """Rank of a row by the query's words, default weights, no normalisation.
+
+    Alternatives, and single words, add falling weights of occurrences over the number of
+    words; words that must all occur are ranked by the distances of their first
+    MAX_TF occurrences, near ones weighing more.
+    """
+    words = words_of(query)
+    if not words:
+        return F.lit(0.0)
+    if len(words) == 1 or len(query) > 1:
+        table = F.array(*[F.lit(w) for w in weights()])
+        total = F.lit(0.0)
+        for w in words:
+            total = total + F.get(table, F.least(F.size(at(w)), F.lit(MAX_TF)))
+        return F.round(total / len(words), 9)
+    held = {w: F.transform(F.slice(at(w), 1, MAX_TF), lambda i: F.least(i, F.lit(MAX_POSITION))) for w in words}
+    total = F.lit(0.0)
+    for i, x in enumerate(words):
+        for y in words[i + 1 :]:
+            total = total + _distances(held[x], held[y])
+    return F.round(F.greatest(F.lit(1.0) - F.exp(total), F.lit(1e-20)), 9)
+
+
+def _distances(x: Column, y: Column) -> Column:
+    """The weights of all pairs of two lists of positions, summed."""
+    return F.aggregate(x, F.lit(0.0), lambda s, p: s + F.aggregate(y, F.lit(0.0), lambda t, q: t + F.when(p == q, 0.0).otherwise(_pair(F.abs(p - q)))))
+
+
+def _pair(d: Column) -> Column:
+    near = F.when(d > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+    return F.log(F.lit(1.0) - F.sqrt(0.1 * 0.1 * near))
+
+
+def lexemes(text: Column, config: str) -> Column:
+    """The tokens of a text with stems for English; positions are places in this array."""
+    return stems_english(tokens(text)) if config == "english" else tokens(text)
+
+
+def evaluate(index: DataFrame, query: Query, id_col: str = "chunk_id") -> DataFrame:
+    """Ids of chunks that match: postings of the query's words only, gathered for each chunk."""
+    return matched(index, {None: query}, id_col).select(id_col)
+
+
+def matched(index: DataFrame, queries: dict[str | None, Query], id_col: str = "chunk_id") -> DataFrame:
+    """(id, rank) of chunks that match the query of their language (fts_config; None: of any).
+
+    Only postings of the queries' words are read and gathered. A chunk that holds none of
+    them has no postings, so alternatives of negations alone find what holds others.
+    """
+    none = F.array().cast("array<int>")
+    wanted, ok, score = F.lit(False), F.lit(False), F.lit(0.0)
+    at = lambda w: F.coalesce(F.try_element_at("m", F.lit(w)), none)
+    for config, query in queries.items():
+        words = words_of(query)
+        own = F.lit(True) if config is None else F.col("fts_config") == config
+        if not words:
+            continue
+        wanted = wanted | (own & F.col("lexeme").isin(words))
+        ok = F.when(own, matches(query, at)).otherwise(ok)
+        score = F.when(own, rank(query, at)).otherwise(score)
+    keys = [id_col] if None in queries else [id_col, "fts_config"]
+    have = index.where(wanted).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("m"))
+    return have.where(ok).select(id_col, score.alias("rank"))
 
 
 def term_weight(tf: Column) -> Column:
@@ -156,10 +242,38 @@ def rank_any(index: DataFrame, words: list[str], id_col: str = "chunk_id") -> Da
 
 
 def rank_all(index: DataFrame, words: list[str], id_col: str = "chunk_id") -> DataFrame:
-    """(chunk_id, rank) for AND terms: pairs of positions, near ones weigh more."""
-    have = index.where(F.col("lexeme").isin(words))
-    a, b = have.select(id_col, F.col("lexeme").alias("x"), F.explode("positions").alias("p")), have.select(id_col, F.col("lexeme").alias("y"), F.explode("positions").alias("q"))
-    d = F.abs(F.col("p") - F.col("q"))
-    near = F.when(d > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
-    pairs = a.join(b, id_col).where("x < y").withColumn("w", F.log(F.lit(1.0) - F.sqrt(0.1 * 0.1 * near)))
-    return pairs.groupBy(id_col).agg(F.round(F.lit(1.0) - F.exp(F.sum("w")), 9).alias("rank"))
+    """(chunk_id, rank) for AND terms, of chunks that hold two of them at least."""
+    query: Query = [[(False, [w]) for w in words]]
+    at = lambda w: F.coalesce(F.try_element_at("m", F.lit(w)), F.array().cast("array<int>"))
+    have = index.where(F.col("lexeme").isin(words)).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("m"))
+    return have.where(F.size("m") > 1).select(id_col, rank(query, at).alias("rank"))
+
+
+def stored(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """Postings of all chunks, each in its own language (fts_config), for the store.
+
+    shard is a hash of the lexeme: written with partitionBy("shard"), a search reads the
+    shards of its words only.
+    """
+    configs = ["simple", *LANGUAGES.values()]
+    out = None
+    for c in configs:
+        own = chunks.where(F.col("fts_config") == c) if c != "simple" else chunks.where(~F.col("fts_config").isin(configs[1:]))
+        part = postings(own, c, id_col, text_col).withColumn("fts_config", F.lit(c))
+        out = part if out is None else out.unionByName(part)
+    out = out.join(chunks.select(id_col, "source_id"), id_col)
+    return out.withColumn("shard", shard(F.col("lexeme")))
+
+
+SHARDS = 64
+
+
+def shard(lexeme: Column) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(SHARDS)).cast("int")
+
+
+def shards_of(spark, words: list[str]) -> list[int]:
+    """The shards of some words."""
+    if not words:
+        return []
+    return sorted({r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(shard(F.col("w"))).collect()})

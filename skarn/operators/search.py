@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,31 +22,55 @@ def vector_candidates(chunks: DataFrame, query: list[float], source_id: int | No
     return chunks.where("embedding is not null").select("chunk_id", F.round(d, 9).alias("distance")).orderBy("distance", "chunk_id").limit(limit)
 
 
-def text_candidates(chunks: DataFrame, words: list[str], source_id: int | None = None, limit: int = CANDIDATES) -> DataFrame:
-    """(chunk_id, rank) of the chunks that hold any of the words, best first.
+def queries_of(text: str, configs: list[str]) -> dict[str, fts.Query]:
+    """The parsed query of each language."""
+    return {c: fts.parse_query(text, c) for c in configs}
 
-    Only the query's words are counted, in the token array of each row, so nothing is
-    exploded or grouped and no row leaves its partition but the candidates.
+
+def text_candidates(chunks: DataFrame, text: str, source_id: int | None = None, limit: int = CANDIDATES) -> DataFrame:
+    """(chunk_id, rank) of the chunks that match a web-style query, each in its own language, best first.
+
+    A scan: the query's words are looked up in the token array of each row, so nothing is
+    exploded or grouped and no row leaves its partition but the candidates. Chunks without
+    fts_config are simple ones. A query without words matches nothing.
     """
     if source_id is not None:
         chunks = chunks.where(F.col("source_id") == source_id)
-    weights = F.array(*[F.lit(w) for w in fts.weights()])
-    found = chunks.select("chunk_id", F.filter(fts.tokens(F.col("content")), lambda x: x.isin(words)).alias("t"))
-    total = F.lit(0.0)
-    for w in words:
-        total = total + F.get(weights, F.least(F.size(F.filter("t", _is(w))), F.lit(fts.MAX_TF)))
-    # chunks without any of the words rank 0, last; the filter above the limit keeps the array from being built twice
-    ranked = found.select("chunk_id", F.round(total / len(words), 9).alias("rank")).orderBy(F.desc("rank"), "chunk_id").limit(limit)
-    return ranked.where("rank > 0")
+    if "fts_config" not in chunks.columns:
+        chunks = chunks.withColumn("fts_config", F.lit("simple"))
+    known = list(fts.LANGUAGES.values())
+    out = None
+    for config, query in queries_of(text, ["simple", *known]).items():
+        words = fts.words_of(query)
+        if not words:
+            continue
+        own = chunks.where(F.col("fts_config") == config) if config != "simple" else chunks.where(~F.col("fts_config").isin(known))
+        places = [_places(F.col("t"), w).alias(f"w{k}") for k, w in enumerate(words)]
+        found = own.select("chunk_id", fts.lexemes(F.col("content"), config).alias("t")).select("chunk_id", *places)
+        at = lambda w, words=words: F.col(f"w{words.index(w)}")
+        part = found.where(fts.matches(query, at)).select("chunk_id", fts.rank(query, at).alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return chunks.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
+    return out.orderBy(F.desc("rank"), "chunk_id").limit(limit)
 
 
-def indexed_candidates(index: DataFrame, words: list[str], limit: int = CANDIDATES) -> DataFrame:
-    """The same from stored postings: clustered by lexeme, a search reads the query's words only."""
-    return fts.rank_any(index, words).orderBy(F.desc("rank"), "chunk_id").limit(limit)
+def _places(tokens: Column, word: str) -> Column:
+    """The positions of a word, from 1."""
+    return F.filter(F.transform(tokens, lambda x, i: F.when(x == word, i + 1)), lambda i: i.isNotNull())
 
 
-def _is(word: str):
-    return lambda x: x == word
+def indexed_candidates(index: DataFrame, text: str, source_id: int | None = None, limit: int = CANDIDATES) -> DataFrame:
+    """The same from stored postings (fts.stored): a search reads the shards of the query's words only."""
+    queries = queries_of(text, ["simple", *fts.LANGUAGES.values()])
+    words = sorted({w for q in queries.values() for w in fts.words_of(q)})
+    if not words:
+        return index.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
+    if "shard" in index.columns:
+        index = index.where(F.col("shard").isin(fts.shards_of(index.sparkSession, words)))
+    if source_id is not None:
+        index = index.where(F.col("source_id") == source_id)
+    return fts.matched(index, queries).orderBy(F.desc("rank"), "chunk_id").limit(limit)
 
 
 def fused(near: DataFrame, matched: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -54,31 +80,74 @@ def fused(near: DataFrame, matched: DataFrame, k: int = RRF_K) -> DataFrame:
     return a.unionByName(b).groupBy("chunk_id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rnk"))), 12).alias("rrf"))
 
 
-def hybrid(chunks: DataFrame, sources: DataFrame, query: list[float], words: list[str], source_id: int | None = None, limit: int = 5) -> DataFrame:
-    """Best chunks with their source and content; the content joins at most 2 * CANDIDATES ids."""
-    best = fused(vector_candidates(chunks, query, source_id), text_candidates(chunks, words, source_id)).orderBy(F.desc("rrf"), "chunk_id").limit(limit)
+def hybrid(chunks: DataFrame, sources: DataFrame, query: list[float], text: str, source_id: int | None = None, limit: int = 5, postings: DataFrame | None = None, cells: tuple | None = None) -> DataFrame:
+    """Best chunks with their source and content, best first; the content joins at most 2 * CANDIDATES ids.
+
+    postings (fts.stored) and cells (a table with a cell for each vector, and its
+    centroids) are what a store keeps for searches; without them all chunks are scanned.
+    """
+    from . import ivf
+
+    if cells is None:
+        near = vector_candidates(chunks, query, source_id)
+    else:
+        own = cells[0] if source_id is None else cells[0].where(F.col("source_id") == source_id)
+        near = ivf.search(own, cells[1], query)
+    matched = text_candidates(chunks, text, source_id) if postings is None else indexed_candidates(postings, text, source_id)
+    best = fused(near, matched).orderBy(F.desc("rrf"), "chunk_id").limit(limit)
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
-    hits = chunks.select("chunk_id", "source_id", "url", "content").join(F.broadcast(best), "chunk_id")
-    return hits.join(names, "source_id").select("chunk_id", "source", "url", "content", "rrf")
+    hits = chunks.join(F.broadcast(best), "chunk_id")
+    heading = [F.col("heading_path")] if "heading_path" in chunks.columns else []
+    return hits.join(names, "source_id").select("chunk_id", "source", "url", *heading, "content", "rrf").orderBy(F.desc("rrf"), "chunk_id")
 
 
-def batch_nearest(chunks: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """(query_id, chunk_id, rnk) of many query vectors (query_id, vector).
+def batch_nearest(chunks: DataFrame, queries: DataFrame, limit: int = 5, block: int = 512) -> DataFrame:
+    """(query_id, chunk_id, rnk, distance) of many query vectors (query_id, vector).
 
-    The stated queries meet all chunks in one pass; each task keeps its best of every
-    query before the shuffle by a bounded ordered list.
+    The stated queries meet all chunks block by block: a task multiplies its vectors with a
+    block of queries and keeps its best of every query, so a task, not a chunk, gives rows.
     """
-    q = queries.select("query_id", "vector").collect()
-    blocks = [q[i : i + 64] for i in range(0, len(q), 64)]
+    asked = queries.where("vector is not null").select("query_id", "vector")
+    held: list = []
     out = None
-    for block in blocks:
-        cols = [F.struct(F.lit(r["query_id"]).alias("query_id"), F.round(vector.cosine_distance(F.col("embedding"), vector.literal(list(r["vector"]))), 9).alias("distance")) for r in block]
-        part = chunks.where("embedding is not null").select("chunk_id", F.inline(F.array(*cols)))
-        out = part if out is None else out.unionByName(part)
+
+    def part() -> DataFrame:
+        ids = np.array([r[0] for r in held], np.int64)
+        vectors = np.array([list(r[1]) for r in held], np.float64)
+        return chunks.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(_nearest(ids, vectors, limit), "query_id long, chunk_id long, distance double")
+
+    for r in asked.toLocalIterator():  # a block is all the driver holds
+        held.append(r)
+        if len(held) == block:
+            out = part() if out is None else out.unionByName(part())
+            held = []
+    if held or out is None:
+        out = (part() if held else chunks.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("distance")).limit(0)) if out is None else out.unionByName(part())
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return out.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= limit).select("query_id", "chunk_id", F.col("rnk").cast("long").alias("rnk"), "distance")
 
 
+def _nearest(ids: np.ndarray, vectors: np.ndarray, limit: int):
+    """Each task's best rows of every query, by rounded distance and id."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+    def run(batches):
+        best_d, best_i = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                rows = batch.slice(lo, 1024)
+                x = np.array(rows.column(1).to_pylist(), np.float64)
+                d = 1.0 - unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                d = np.concatenate([best_d, np.round(d, 9) + 0.0], 1)  # no minus zero
+                i = np.concatenate([best_i, np.broadcast_to(rows.column(0).to_numpy(), (len(ids), len(rows)))], 1)
+                order = np.lexsort((i, d))[:, :limit]
+                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        n = best_d.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", "chunk_id", "distance"])
+
+    return run
+
+
 def batch_text(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, chunk_id, rnk) of many texts (query_id, text): text_candidates of each one's distinct words."""
     words = queries.select("query_id", F.array_distinct(fts.tokens(F.col("text"))).alias("ws"))
