@@ -61,10 +61,15 @@ def is_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return counted.withColumn("is_index", (F.col("links") >= 3) & (F.col("links") * 2 >= F.col("lines")))
 
 
-def index_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, ord, url): web links of bullets outside fences, the first of each url."""
+def index_links(docs: DataFrame, id_col: str, text_col: str, base_col: str | None = None) -> DataFrame:
+    """(id, ord, url): web links of bullets outside fences, the first of each url; others are resolved where a base is given."""
     out = lines(docs, id_col, text_col).where(~F.col("fence") & ~F.col("inside"))
-    out = out.select(id_col, F.col("line_no").alias("ord"), F.regexp_extract("line", r"^\s*[-*+]\s+\[[^\]]+\]\(([^)\s]+)\)", 1).alias("url")).where("url rlike '^https?://'")
+    out = out.select(id_col, F.col("line_no").alias("ord"), F.regexp_extract("line", r"^\s*[-*+]\s+\[[^\]]+\]\(([^)\s]+)\)", 1).alias("url")).where("url <> ''")
+    if base_col is not None:
+        from .urls import joined
+
+        out = out.where("not url like '#%'").join(docs.select(id_col, base_col), id_col).withColumn("url", F.regexp_extract(joined(F.col(base_col), F.col("url")), r"^([^#]*)", 1)).drop(base_col)
+    out = out.where("url rlike '^https?://'")
     return out.groupBy(id_col, "url").agg(F.min("ord").alias("ord"))
 
 

@@ -25,6 +25,22 @@ def count_words(text: str) -> int:
     return len(re.findall(r"\w+|[^\w\s]", text)) + 2
 
 
+def token_counter(path: str) -> TokenCounter:
+    """A counter by a model's tokenizer, special tokens included; path is its tokenizer.json."""
+
+    def count(text: str) -> int:
+        if path not in _tokenizers:
+            from tokenizers import Tokenizer
+
+            _tokenizers[path] = Tokenizer.from_file(path)
+        return len(_tokenizers[path].encode(text).ids)
+
+    return count
+
+
+_tokenizers: dict = {}
+
+
 def segments(markdown: str) -> list[tuple[str, list[str]]]:
     """(breadcrumb, units) by heading; a fenced block is one unit, else paragraphs are."""
     out, trail, units, buffer = [], [], [], []
@@ -122,46 +138,101 @@ def chunks(pages: DataFrame, id_col: str, text_col: str, how: Callable[[str], li
             rows = [(i, *c) for i, t in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True) for c in how(t or "")]
             yield pd.DataFrame(rows, columns=["id", "heading_path", "chunk_index", "content"])
 
-    return pages.select(id_col, text_col).mapInPandas(run, "id long, heading_path string, chunk_index int, content string")
+    return pages.select(id_col, text_col).mapInPandas(run, f"id {_kind(pages, id_col)}, heading_path string, chunk_index int, content string")
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 class _Text(HTMLParser):
-    """Text of a page: everything (plain), or markdown of its main part."""
+    """Text of a page: everything (plain), or markdown of its main part.
+
+    As markdown, headings, list items, fenced blocks, inline code and tables are kept.
+    """
 
     DROP = {"script", "style", "nav", "footer", "header", "aside"}
     BREAK = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "article", "main", "section", "tr", "pre", "title", "ul", "ol", "table"}
 
     def __init__(self, main_only: bool):
         super().__init__()
-        self.main_only, self.depth, self.inside, self.out, self.tag = main_only, 0, 0, [], ""
+        self.main_only, self.depth, self.inside, self.out = main_only, 0, 0, []
+        self.fence: list[str] | None = None
+        self.cells: list[str] | None = None
+        self.fences: list[str] = []
+
+    @property
+    def live(self) -> bool:
+        return self.main_only and not self.depth and bool(self.inside)
 
     def handle_starttag(self, tag, attrs):
         if tag in self.DROP:
             self.depth += 1
         if tag in ("article", "main"):
             self.inside += 1
-        if tag in self.BREAK:
+        if tag == "pre" and self.live and self.fence is None:
+            self.fence = []
+        if self.fence is not None:
+            if tag == "br":
+                self.fence.append("\n")
+            return
+        if tag == "tr" and self.live:
+            self.cells = []
+        elif tag in ("td", "th") and self.cells is not None:
+            self.cells.append("")
+        if tag == "code" and self.live:
+            self._add("`")
+        if tag in self.BREAK and self.cells is None:
             self.out.append("\n")
-            if self.main_only and re.fullmatch("h[1-6]", tag) and not self.depth:
+            if self.live and re.fullmatch("h[1-6]", tag):
                 self.out.append("#" * int(tag[1]) + " ")
-            elif self.main_only and tag == "li" and not self.depth:
+            elif self.live and tag == "li":
                 self.out.append("- ")
 
     def handle_endtag(self, tag):
         if tag in self.DROP:
             self.depth = max(0, self.depth - 1)
+        if self.fence is not None:
+            if tag == "pre":
+                self.fences.append("```\n" + "".join(self.fence).strip("\n") + "\n```")
+                self.out.append(f"\n\x00{len(self.fences) - 1}\n")
+                self.fence = None
+            return
+        if tag == "code" and self.live:
+            self._add("`")
+        if tag == "tr" and self.cells is not None:
+            row = [" ".join(c.split()) for c in self.cells]
+            self.cells = None
+            if any(row):
+                self.out.append("\n| " + " | ".join(row) + " |\n")
         if tag in ("article", "main"):
             self.inside = max(0, self.inside - 1)
-        if tag in self.BREAK:
+        if tag in self.BREAK and self.cells is None:
             self.out.append("\n")
 
-    def handle_data(self, data):
-        if not self.depth and (self.inside or not self.main_only):
+    def _add(self, data: str) -> None:
+        if self.cells is not None:
+            if self.cells:
+                self.cells[-1] += data
+        else:
             self.out.append(data)
 
+    def handle_data(self, data):
+        if self.fence is not None:
+            self.fence.append(data)
+        elif not self.depth and (self.inside or not self.main_only):
+            self._add(data)
+
     def text(self) -> str:
         lines = [re.sub(r"[ \t]+", " ", x).strip() for x in "".join(self.out).split("\n")]
-        return ("\n\n" if self.main_only else "\n").join(x for x in lines if x and x.strip("#- "))
+        whole = lambda x: self.fences[int(x[1:])] if x[:1] == "\x00" else x
+        lines = [x for x in lines if x and x.strip("#- ")]
+        out = ""
+        for x in lines:
+            # rows of a table stay together
+            gap = "\n" if not self.main_only or (x.startswith("| ") and out.endswith(" |")) else "\n\n"
+            out += (gap if out else "") + whole(x)
+        return out
 
 
 def extract_html(html: str | None) -> tuple[str, str | None, str | None, int]:
@@ -169,7 +240,7 @@ def extract_html(html: str | None) -> tuple[str, str | None, str | None, int]:
 
     def read(main: bool) -> str:
         p = _Text(main)
-        p.feed(html or "")
+        p.feed((html or "").replace("\x00", ""))
         p.close()
         return p.text().strip()
 
@@ -190,7 +261,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             rows = [(i, *extract_html(h)) for i, h in zip(f.iloc[:, 0], f.iloc[:, 1], strict=True)]
             yield pd.DataFrame(rows, columns=["id", "status", "markdown", "reason", "length"])
 
-    return pages.select(id_col, html_col).mapInPandas(run, "id long, status string, markdown string, reason string, length int")
+    return pages.select(id_col, html_col).mapInPandas(run, f"id {_kind(pages, id_col)}, status string, markdown string, reason string, length int")
 
 
 def hashing_embedder(dim: int = 384) -> Embedder:
@@ -223,4 +294,4 @@ def embed_passages(chunks: DataFrame, id_col: str, text_col: str, embedder: Embe
                 raise ValueError("the embedder returned a wrong number or width of vectors")
             yield pd.DataFrame({"id": f.iloc[:, 0], "embedding": made})
 
-    return chunks.select(id_col, text_col).mapInPandas(run, "id long, embedding array<float>")
+    return chunks.select(id_col, text_col).mapInPandas(run, f"id {_kind(chunks, id_col)}, embedding array<float>")

@@ -6,10 +6,10 @@ import urllib.robotparser
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,25 +55,34 @@ def discover(docs: DataFrame, roots: DataFrame, include: list[str], exclude: lis
     docs (url, body) are recorded sitemaps, roots (source, url) where each source starts.
     Children are followed one level down; a child that can't be read is skipped.
     """
+    arrays = [F.array(*[F.lit(x) for x in p]) if p else F.array().cast("array<string>") for p in (include, exclude)]
+    each = roots.select(F.col("source").alias("source_id"), F.col("url").alias("sitemap"), arrays[0].alias("include_prefixes"), arrays[1].alias("exclude_prefixes"), F.lit(cap).cast("long").alias("max_pages"))
+    return discover_each(docs, each).withColumnRenamed("source_id", "source")
+
+
+def discover_each(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """discover for roots (source_id, sitemap, include_prefixes, exclude_prefixes, max_pages), each by its own rules."""
+    none = F.array().cast("array<string>")
     parsed = sitemaps(docs)
-    level = roots.join(parsed, "url")
-    found = level.select("source", F.explode("urls").alias("u"))
+    level = roots.select("source_id", F.col("sitemap").alias("url")).join(parsed, "url")
+    found = level.select("source_id", F.explode("urls").alias("u"))
     for _ in range(SITEMAP_DEPTH):
-        level = level.select("source", F.explode("children").alias("url")).distinct().join(parsed.where("error is null"), "url")
-        found = found.unionByName(level.select("source", F.explode("urls").alias("u")))
-    host = roots.select("source", urls.authority(F.col("url")).alias("h"))
-    found = found.withColumn("u", urls.canonical(F.col("u"))).join(host, "source").where(urls.authority(F.col("u")) == F.col("h"))
-    arrays = [F.array(*[F.lit(x) for x in p]) if p else F.array().cast("array<string>") for p in (include, exclude)]
-    found = found.where(urls.in_scope(urls.path(F.col("u")), *arrays)).select("source", F.col("u").alias("url")).distinct()
-    return capped(found, cap)
+        level = level.select("source_id", F.explode("children").alias("url")).distinct().join(parsed.where("error is null"), "url")
+        found = found.unionByName(level.select("source_id", F.explode("urls").alias("u")))
+    own = roots.select("source_id", urls.authority(F.col("sitemap")).alias("h"), F.coalesce("include_prefixes", none).alias("_in"), F.coalesce("exclude_prefixes", none).alias("_ex"), F.col("max_pages").cast("long").alias("cap"))
+    found = found.withColumn("u", urls.canonical(F.col("u"))).join(own, "source_id").where((urls.authority(F.col("u")) == F.col("h")) & urls.in_scope(urls.path(F.col("u")), F.col("_in"), F.col("_ex")))
+    return _capped(found.select("source_id", F.col("u").alias("url"), "cap").distinct(), "source_id", F.coalesce("cap", F.lit((1 << 62) - 1)))
 
 
 def capped(found: DataFrame, cap: int | None) -> DataFrame:
-    """Urls in byte order with their place, cut at cap, and what the cut left out."""
-    w = Window.partitionBy("source")
-    out = found.withColumn("ord", F.row_number().over(w.orderBy("url")).cast("long")).withColumn("n", F.count("*").over(w))
-    cap_ = F.lit(cap if cap is not None else 1 << 62)
-    return out.where(F.col("ord") <= cap_).select("source", "ord", "url", (F.col("n") > cap_).alias("truncated"), F.greatest(F.col("n") - cap_, F.lit(0)).alias("overflow"))
+    """Urls (source, url) in byte order with their place, cut at cap, and what the cut left out."""
+    return _capped(found, "source", F.lit(cap if cap is not None else (1 << 62) - 1))
+
+
+def _capped(found: DataFrame, key: str, cap: Column) -> DataFrame:
+    counts = found.groupBy(key).agg(F.count("*").alias("n"))
+    out = found.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("url")).cast("long")).where(F.col("ord") <= cap)
+    return out.join(counts, key).select(key, "ord", "url", (F.col("n") > cap).alias("truncated"), F.greatest(F.col("n") - cap, F.lit(0)).alias("overflow"))
 
 
 class _Links(HTMLParser):
@@ -87,15 +96,15 @@ class _Links(HTMLParser):
 
 
 def links_of(html: str | None, base: str) -> list[str]:
-    """Absolute links of a page; mail, script and phone links go."""
+    """Absolute links of a page without their fragments; mail, script and phone links go."""
     p = _Links()
     p.feed(html or "")
     out = []
     for href in p.found:
-        if href.lower().startswith(("mailto:", "javascript:", "tel:", "#")):
+        if href.lower().startswith(("mailto:", "javascript:", "tel:")):
             continue
         try:
-            out.append(urljoin(base, href))
+            out.append(urldefrag(urljoin(base, href))[0])
         except ValueError:
             continue
     return out
@@ -128,15 +137,16 @@ def allowed(fetches: DataFrame, robots: DataFrame, agent: str = "*") -> DataFram
 
     @F.pandas_udf(T.BooleanType())
     def ok(status: pd.Series, body: pd.Series, url: pd.Series) -> pd.Series:
-        out = []
+        out, parsed = [], {}
         for s, b, u in zip(status, body, url, strict=True):
             if s != 200 or not b:
                 out.append(True)
                 continue
-            p = urllib.robotparser.RobotFileParser()
-            p.parse(b.splitlines())
-            out.append(p.can_fetch(agent, u))
-        return pd.Series(out)
+            if b not in parsed:
+                parsed[b] = urllib.robotparser.RobotFileParser()
+                parsed[b].parse(b.splitlines())
+            out.append(parsed[b].can_fetch(agent, u))
+        return pd.Series(out, dtype=bool)
 
     return fetches.join(robots, "host", "left").withColumn("allowed", ok(F.coalesce("status", F.lit(404)), "body", "url")).select("host", "url", "allowed")
 
