@@ -1,31 +1,98 @@
-"""Entry points over a store: search, reads, uploads, sync and the run log."""
+"""Entry points over a store: search, reads, uploads, sync, sources and the run log.
+
+Tables of a store: sources, pages (id, source_id, url, content_hash, ...), chunks
+(chunk_id, page_id, source_id, url, heading_path, chunk_index, content, embedding,
+fts_config), sync_runs, search_log and, once `index` has run, postings, cells and
+centroids. Every change commits all tables that it touches at once.
+"""
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.functions import text, urls
-from skarn.operators import catalog, chunk, health, search, sync
-from skarn.sources import uploads
+from skarn.functions import formats, text, urls
+from skarn.operators import catalog, chunk, health, ivf, search, sync
+from skarn.sources import configs, uploads
 from skarn.sources.store import Store
 
+CHUNKS = "chunk_id long, page_id long, source_id int, url string, heading_path string, chunk_index int, content string, embedding array<float>, fts_config string"
+
 
-def search_chunks(store: Store, query: str, source: str | None = None, limit: int = 5, embedder: chunk.Embedder | None = None, dim: int = 384, prompt: str = "") -> DataFrame:
-    """(chunk_id, source, url, content, rrf) of the best chunks; the limit is held to 1..20."""
+def _optional(store: Store, table: str, version: int | None = None) -> DataFrame | None:
+    try:
+        return store.read(table, version)
+    except LookupError:
+        return None
+
+
+def search_chunks(store: Store, query: str, source: str | None = None, limit: int = 5, embedder: chunk.Embedder | None = None, model: str | None = None, prompt: str | None = None) -> DataFrame:
+    """(chunk_id, source, url, heading_path, content, rrf) of the best chunks, best first; the limit is held to 1..20.
+
+    The text arm reads the query as a web search does. The query prompt is the model's
+    unless another is given. Stored postings and cells are used where the store has them.
+    """
     query = search.checked_query(query)
-    vec = (embedder or chunk.hashing_embedder(dim))([prompt + query])[0]
-    sources, chunks = store.read("sources"), store.read("chunks")
+    dim, _, _, own, _ = configs.resolve_model(model)
+    vec = (embedder or chunk.hashing_embedder(dim))([(own if prompt is None else prompt) + query])[0]
+    version = store.version()
+    sources, chunks = store.read("sources", version), store.read("chunks", version)
     sid = None
     if source is not None:
         row = sources.where(F.col("name") == source).select("id").first()
         sid = row[0] if row else -1
-    words = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
-    return search.hybrid(chunks, sources, vec, words, sid, search.clamp(limit))
+    postings, cells, centres = (_optional(store, t, version) for t in ("postings", "cells", "centroids"))
+    if cells is not None and centres is not None:
+        cells = cells, np.array([r["v"] for r in centres.orderBy("cell").collect()])
+    else:
+        cells = None
+    return search.hybrid(chunks, sources, vec, query, sid, search.clamp(limit), postings, cells)
+
+
+def timed_search(store: Store, query: str, **more) -> tuple[list, dict]:
+    """The hits of a search as rows, and its line of the search log (status, seconds)."""
+    began, status, rows = time.monotonic(), "ok", []
+    try:
+        rows = search_chunks(store, query, **more).collect()
+    except ValueError:
+        status = "error"
+    return rows, {"status": status, "seconds": time.monotonic() - began}
+
+
+def log_searches(store: Store, lines: list[dict]) -> None:
+    """Append lines of timed_search to the search log."""
+    base = store.version()
+    new = store.spark.createDataFrame([(x["status"], float(x["seconds"])) for x in lines], "status string, seconds double").withColumn("at", F.current_timestamp())
+    old = _optional(store, "search_log", base)
+    store.commit({"search_log": new if old is None else old.unionByName(new)}, based_on=base)
+
+
+def index(store: Store, cells: int = 64) -> int:
+    """Write postings by shard and vectors by cell for searches; the version they are in."""
+    base = store.version()
+    chunks = store.read("chunks", base)
+    with_vectors = chunks.where("embedding is not null")
+    tables, parts = {"postings": fts_stored(chunks)}, {"postings": ["shard"]}
+    if not with_vectors.isEmpty():
+        centres = ivf.fit(chunks, cells)
+        tables["cells"] = ivf.assign(with_vectors.select("chunk_id", "source_id", "embedding"), centres)
+        tables["centroids"] = store.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, v array<double>")
+        parts["cells"] = ["cell"]
+    return store.commit(tables, based_on=base, partitioned=parts)
+
+
+def fts_stored(chunks: DataFrame) -> DataFrame:
+    from skarn.functions import fts
+
+    return fts.stored(chunks)
 
 
 def format_hits(hits: DataFrame) -> str:
-    rows = hits.withColumn("heading", F.col("source")).agg(search.blocks(hits.withColumn("heading", F.col("source"))).alias("b")).first()
+    heading = F.coalesce(F.when(F.col("heading_path") != "", F.col("heading_path")), F.col("source")) if "heading_path" in hits.columns else F.col("source")
+    rows = hits.withColumn("heading", heading).agg(search.blocks(hits.withColumn("heading", heading)).alias("b")).first()
     return rows[0] or "No matching documentation found."
 
 
@@ -41,39 +108,210 @@ def list_sources(store: Store, status: str | None = None) -> DataFrame:
     return catalog.list_sources(store.read("sources"), status)
 
 
-def run_sync(store: Store, fetched: DataFrame) -> DataFrame:
-    """Sync all fetched pages, commit pages and the run log, return the run rows."""
+def _languages(store: Store, version: int) -> DataFrame:
+    """(source_id, fts_config) of every source."""
+    s = store.read("sources", version)
+    config = F.coalesce(F.col("language"), F.lit("english")) if "language" in s.columns else F.lit("english")
+    return s.select(F.col("id").cast("int").alias("source_id"), config.alias("fts_config"))
+
+
+def _chunked(store: Store, version: int, pages: DataFrame, embedder: chunk.Embedder | None, model: str | None, how=chunk.chunk_text) -> DataFrame:
+    """Chunk rows of pages (id, source_id, url, markdown): split, embedded, ids from page and place."""
+    dim, _, _, _, prompt = configs.resolve_model(model)
+    parts = chunk.chunks(pages, "id", "markdown", how).withColumnRenamed("id", "page_id").withColumn("chunk_id", F.xxhash64("page_id", "chunk_index"))
+    vectors = chunk.embed_passages(parts, "chunk_id", "content", embedder, prompt, dim=dim).withColumnRenamed("id", "chunk_id")
+    rows = parts.join(vectors, "chunk_id").join(pages.select(F.col("id").alias("page_id"), F.col("source_id").cast("int").alias("source_id"), "url"), "page_id")
+    rows = rows.join(_languages(store, version), "source_id", "left").withColumn("fts_config", F.coalesce("fts_config", F.lit("english")))
+    return rows.select(*[x.split()[0] for x in CHUNKS.split(", ")])
+
+
+def _appended(store: Store, version: int, rows: DataFrame) -> DataFrame:
+    log = _optional(store, "sync_runs", version)
+    return rows if log is None else log.unionByName(rows, allowMissingColumns=True)
+
+
+def run_sync(store: Store, fetched: DataFrame, signals: DataFrame | None = None, rendered: DataFrame | None = None, embedder: chunk.Embedder | None = None, model: str | None = None, allow_purge: bool = True) -> DataFrame:
+    """Sync all fetched pages; pages, their chunks, the sources' status and the run log in one commit.
+
+    fetched and signals are those of sync.sync; rendered (url, html) gives pages of script
+    shells a second look. Upload sources are left alone. Returns the run rows.
+    """
     base = store.version()
-    pages, _, rows = sync.sync(fetched, store.read("pages"))
-    rows = rows.withColumn("finished_at", F.current_timestamp())
-    try:
-        log = store.read("sync_runs").unionByName(rows)
-    except LookupError:
-        log = rows
-    store.commit({"pages": pages, "sync_runs": log}, based_on=base)
+    sources, pages = store.read("sources", base), store.read("pages", base)
+    if "source_type" in sources.columns:
+        crawled = sources.where("source_type <> 'upload'").select(F.col("id").alias("source_id"))
+        fetched = fetched.join(F.broadcast(crawled) if crawled.count() <= 100_000 else crawled, "source_id", "left_semi")
+    out = sync.page_outcomes(fetched, pages)
+    if rendered is not None:
+        out = sync.retry_shells(out, rendered)
+    out = store.staged(out, "outcomes")
+    return _commit_run(store, base, out, fetched, signals, embedder, model, allow_purge)
+
+
+def _commit_run(store: Store, base: int, out: DataFrame, fetched: DataFrame, signals: DataFrame | None, embedder, model, allow_purge: bool) -> DataFrame:
+    now = F.current_timestamp()
+    after, _, rows = sync.sync(fetched, store.read("pages", base), signals=signals, allow_purge=allow_purge, at=now, outcomes=out)
+    after = store.staged(after, "pages")
+    done = out.where("outcome = 'fetched'").select(sync.page_id(F.col("url"), F.col("content_hash")).alias("id"), "source_id", "url", "markdown")
+    fresh = store.staged(_chunked(store, base, done, embedder, model), "chunks")
+    old = _optional(store, "chunks", base)
+    chunks = fresh if old is None else sync.replace_chunks(_with_columns(old), after, fresh)
+    made = fresh.join(done.select(F.col("id").alias("page_id"), "source_id").distinct(), ["page_id", "source_id"], "left_semi").groupBy("source_id").agg(F.count("*").alias("chunks_indexed"))
+    names = out.select("source_id", "source").distinct()
+    rows = rows.join(names.join(made, "source_id").select("source", "chunks_indexed"), "source", "left").na.fill(0, ["chunks_indexed"]).withColumn("finished_at", now)
+    rows = store.staged(rows, "runs")
+    sources = store.read("sources", base)
+    for c, t in (("last_synced", "timestamp"), ("last_status", "string")):
+        if c not in sources.columns:
+            sources = sources.withColumn(c, F.lit(None).cast(t))
+    sources = catalog.stamp(sources, rows.select(F.col("source").alias("name"), "status"), now)
+    store.commit({"sources": sources, "pages": after, "chunks": chunks, "sync_runs": _appended(store, base, rows)}, based_on=base)
     return rows
 
 
+def _with_columns(chunks: DataFrame) -> DataFrame:
+    """A chunks table with all of CHUNKS; an older one may lack some."""
+    for x in CHUNKS.split(", "):
+        name, kind = x.split()
+        if name not in chunks.columns:
+            chunks = chunks.withColumn(name, F.lit(None).cast(kind))
+    return chunks.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in CHUNKS.split(", ")])
+
+
+def ingest_uploads(store: Store, source: str, docs: DataFrame, embedder: chunk.Embedder | None = None, model: str | None = None) -> DataFrame:
+    """Documents (member, text, outcome) of an upload batch into an upload source; never purges.
+
+    Unchanged texts are skipped by hash, others chunked, embedded and replaced; failures
+    count as failed pages. Returns the run row.
+    """
+    base = store.version()
+    row = _upload_source(store, base, source)
+    fetched = docs.select(
+        F.lit(row["id"]).cast("int").alias("source_id"), F.lit(source).alias("source"), F.concat(F.lit(f"upload://{source}/"), "member").alias("url"), F.lit(True).alias("fetch_ok"), F.lit(False).alias("not_modified"), F.col("text").alias("markdown"), (F.col("outcome") != "doc").alias("failed"),
+    )
+    out = sync.page_outcomes(fetched, store.read("pages", base))
+    # uploads have no least length: what was read is indexed
+    short = F.when(F.col("outcome") != "soft_failed", F.col("outcome")).when(F.col("failed"), "failed").when(F.col("class") == "same", "skipped").otherwise("fetched")
+    return _commit_run(store, base, store.staged(out.withColumn("outcome", short), "outcomes"), fetched, None, embedder, model, False)
+
+
+def _upload_source(store: Store, version: int, name: str):
+    row = store.read("sources", version).where(F.col("name") == name).first()
+    if row is None:
+        raise LookupError(f"unknown source {name}")
+    if row["source_type"] != "upload":
+        raise PermissionError(f"source {name} does not accept uploads")
+    return row
+
+
+def upload_text(store: Store, source: str, title: str, content: str, embedder: chunk.Embedder | None = None, model: str | None = None) -> DataFrame:
+    """Store one text in an upload source under its title's address, replacing an earlier one; its chunks."""
+    slug, content = uploads.checked_text(title, content)
+    base = store.version()
+    row = _upload_source(store, base, source)
+    url, pages = f"upload://{source}/{slug}.md", store.read("pages", base)
+    one = store.spark.createDataFrame([(url, content, row["id"])], "url string, markdown string, source_id int").withColumn("content_hash", F.sha2("markdown", 256)).withColumn("outcome", F.lit("fetched"))
+    fresh = sync.fresh_pages(one, pages.columns, F.current_timestamp()).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in pages.schema.fields])
+    parts = store.staged(_chunked(store, base, one.select(sync.page_id(F.col("url"), F.col("content_hash")).alias("id"), "source_id", "url", "markdown"), embedder, model, chunk.chunk_short), "chunks")
+    if parts.isEmpty():
+        raise ValueError("the content has no text to index")
+    after = store.staged(catalog.replace_pages(pages, fresh), "pages")
+    old = _optional(store, "chunks", base)
+    store.commit({"pages": after, "chunks": parts if old is None else sync.replace_chunks(_with_columns(old), after, parts)}, based_on=base)
+    return parts
+
+
 def purge(store: Store, source_id: int) -> int:
     base = store.version()
-    sources, pages, n = catalog.purge_source(store.read("sources"), store.read("pages"), source_id)
-    gone = store.read("pages").where(F.col("source_id") == source_id).select(F.col("id").alias("page_id"))
-    store.commit({"sources": sources, "pages": pages, "chunks": store.read("chunks").join(gone, "page_id", "left_anti")}, based_on=base)
+    sources, pages, n = catalog.purge_source(store.read("sources", base), store.read("pages", base), source_id)
+    store.commit({"sources": sources, "pages": pages, "chunks": store.read("chunks", base).join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")}, based_on=base)
     return n
 
 
-def upload_text(store: Store, source: str, title: str, content: str) -> DataFrame:
-    """Chunks of one uploaded text: (url, heading_path, chunk_index, content)."""
-    slug, content = uploads.checked_text(title, content)
-    row = store.read("sources").where((F.col("name") == source) & (F.col("source_type") == "upload")).first()
-    if row is None:
-        raise LookupError(f"no upload source {source}")
-    page = store.spark.createDataFrame([(0, content)], "id long, text string")
-    return chunk.chunks(page, "id", "text", chunk.chunk_short).withColumn("url", F.lit(f"upload://{source}/{slug}.md")).drop("id")
+def reindex(store: Store, fetched: DataFrame, **more) -> DataFrame:
+    """Drop all pages and chunks of crawled sources and sync again from fetched pages."""
+    base = store.version()
+    sources, pages = store.read("sources", base), store.read("pages", base)
+    crawled = sources.where("source_type <> 'upload'").select(F.col("id").alias("source_id"))
+    left = store.staged(pages.join(crawled, "source_id", "left_anti").select(*pages.columns), "pages")
+    chunks = store.read("chunks", base).join(left.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+    store.commit({"pages": left, "chunks": chunks}, based_on=base)
+    return run_sync(store, fetched, **more)
+
+
+def propose_source(store: Store, token: str, base_url: str, name: str | None = None, **fields) -> str:
+    """Add a pending source; what is not given is derived from its address. Returns its name.
+
+    Invalid settings and names that any source has, whatever its status, are refused. The
+    proposer is a digest of the token.
+    """
+    base = store.version()
+    sources = store.read("sources", base)
+    one = store.spark.createDataFrame([(base_url,)], "u string").select(urls.derived_name(F.col("u")).alias("n"), urls.derived_include(F.col("u")).alias("p")).first()
+    if name is None:
+        like = sources.where(F.col("name").startswith(one["n"])).select("name")
+        name = urls.free_name(one["n"], [r[0] for r in like.collect()])
+    elif not sources.where(F.col("name") == name).isEmpty():
+        raise ValueError(f"a source named {name} exists")
+    row = {"name": name, "base_url": base_url, "include_prefixes": one["p"], "max_pages": urls.DEFAULT_PAGE_CAP} | {k: v for k, v in fields.items() if v is not None}
+    return _create(store, base, row, "pending", token)
+
+
+def create_source(store: Store, row: dict, status: str = "active") -> str:
+    """Add a checked source with a status."""
+    return _create(store, store.version(), row, status, None)
+
+
+def _create(store: Store, base: int, row: dict, status: str, token: str | None) -> str:
+    sources = store.read("sources", base)
+    checked = configs.frame(store.spark, [row]).first().asDict()
+    if token is not None:
+        checked["proposed_by"] = store.spark.range(1).select(catalog.proposer(F.lit(token))).first()[0]
+    checked["id"] = (sources.agg(F.max("id")).first()[0] or 0) + 1
+    made = catalog.create_source(sources, {k: v for k, v in checked.items() if k in sources.columns}, status)
+    store.commit({"sources": made}, based_on=base)
+    return row["name"]
+
+
+def update_source(store: Store, source_id: int, **fields) -> None:
+    """Change settings of a source; name, status, schedule and the like are not settings."""
+    base = store.version()
+    store.commit({"sources": catalog.update_source(store.read("sources", base), source_id, fields)}, based_on=base)
+
+
+def import_sources(store: Store, rows: list[dict]) -> DataFrame:
+    """Create or update sources from a checked file; (name, class) of what it held."""
+    base = store.version()
+    file, sources = configs.frame(store.spark, rows), store.read("sources", base)
+    after, classes = catalog.import_sources(sources, file)
+    classes = store.staged(classes, "classes")
+    store.commit({"sources": after}, based_on=base)
+    return classes
+
+
+def set_index_validators(store: Store, source_id: int, etag: str | None, last_modified: str | None) -> None:
+    """What the index file of a source answered with, for the next conditional request."""
+    base = store.version()
+    store.commit({"sources": catalog.index_validators(store.read("sources", base), source_id, etag, last_modified)}, based_on=base)
+
+
+def backup(store: Store, target: str) -> int:
+    """Copy the newest version to another folder; the version there."""
+    base = store.version()
+    return Store(store.spark, target).commit({t: store.read(t, base) for t in store.tables(base)})
+
+
+def restore(store: Store, source: str, version: int | None = None) -> int:
+    """Make a backup's tables the newest version; tables it lacks stay."""
+    other = Store(store.spark, source)
+    return store.commit({t: other.read(t, version) for t in other.tables(version)})
 
 
 def metrics(store: Store) -> DataFrame:
     return health.one_hot(store.read("sync_runs"))
 
 
-__all__ = ["search_chunks", "format_hits", "get_chunk", "source_tree", "list_sources", "run_sync", "purge", "upload_text", "metrics", "text", "urls"]
+__all__ = [
+    "search_chunks", "timed_search", "log_searches", "index", "format_hits", "get_chunk", "source_tree", "list_sources", "run_sync", "ingest_uploads", "upload_text", "purge", "reindex",
+    "propose_source", "create_source", "update_source", "import_sources", "set_index_validators", "backup", "restore", "metrics", "formats", "text", "urls",
+]
