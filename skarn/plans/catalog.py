@@ -105,7 +105,7 @@ def seen_minus_failed(spark, sf):
 
 _SEEN = "sn AS (SELECT url FROM pg WHERE CASE WHEN source_id % 3 = 0 THEN id % 11 = 0 ELSE id % 11 <> 0 END), fl AS (SELECT url FROM pg WHERE id % 13 = 0)"
 _GUARD = """SELECT source_id, existing, would_delete, seen, covered, round(would_delete / existing, 9) AS delete_ratio, round(covered / existing, 9) AS coverage,
-  seen = 0 OR (existing >= 20 AND would_delete / existing > 0.5 AND covered / existing < 0.3) AS refused FROM (
+  seen > 0 AND existing >= 20 AND would_delete / existing > 0.5 AND covered / existing < 0.3 AS guarded, seen = 0 OR (existing >= 20 AND would_delete / existing > 0.5 AND covered / existing < 0.3) AS refused FROM (
   SELECT source_id, count(*) AS existing, count(*) FILTER (sn.url IS NULL) AS would_delete, count(sn.url) AS seen, count(*) FILTER (sn.url IS NOT NULL AND fl.url IS NULL) AS covered
   FROM prev LEFT JOIN sn USING (url) LEFT JOIN fl USING (url) GROUP BY 1)"""
 
@@ -125,7 +125,8 @@ def purge_result(spark, sf):
     return sync.purge(fx.previous(spark, sf), *_seen(spark, sf)).select("id", "url")
 
 
-_OUT = """oc AS (SELECT p.source_id, p.url, length(trim(p.text, ' ')) AS length, CASE WHEN p.id % 13 = 0 THEN 'fetch_failed' WHEN p.id % 17 = 0 THEN 'not_modified' WHEN length(trim(p.text, ' ')) < 200 THEN 'soft_failed'
+_BARE = r"length(regexp_replace(coalesce(p.text, ''), '^\s+|\s+$', '', 'g'))"
+_OUT = f"""oc AS (SELECT p.source_id, p.url, {_BARE} AS length, CASE WHEN p.id % 13 = 0 THEN 'fetch_failed' WHEN p.id % 17 = 0 THEN 'not_modified' WHEN {_BARE} < 200 THEN 'soft_failed'
   WHEN o.content_hash = p.content_hash THEN 'skipped' ELSE 'fetched' END AS outcome FROM pg p LEFT JOIN prev o USING (url))"""
 
 
@@ -158,6 +159,43 @@ def sync_pages_after(spark, sf):
     return sync.sync(_fetched(spark, sf), fx.previous(spark, sf).select("source_id", "url", "content_hash"))[0].select("url", "content_hash")
 
 
+_CRAWLED = "fe AS (SELECT * FROM pg WHERE CASE WHEN source_id % 3 = 0 THEN id % 11 = 0 ELSE id % 11 <> 0 END)"
+_SIGNALS = "sg AS (SELECT id AS source_id, name AS source, id % 11 = 4 AS cancelled, id % 7 = 2 AS aborted, id % 5 = 1 AS truncated, id % 13 = 8 AS unchanged FROM src)"
+_ENDED = f"""{_CRAWLED}, {_OUT.replace("FROM pg p", "FROM fe p")}, {_SIGNALS},
+  ct AS (SELECT source_id, count(*) FILTER (outcome = 'fetched') AS fetched, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'not_modified') AS not_modified, count(*) FILTER (outcome IN ('soft_failed', 'fetch_failed')) AS soft_failed FROM oc GROUP BY 1),
+  sh AS (SELECT source_id, sum(n) AS shell_suspected FROM (SELECT source_id, length, count(*) AS n FROM oc WHERE outcome = 'soft_failed' GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),
+  ex AS (SELECT o.source_id, count(*) AS existing, count(*) FILTER (f.url IS NULL) AS gone FROM prev o LEFT JOIN fe f USING (url) GROUP BY 1),
+  se AS (SELECT source_id, count(*) AS seen, count(*) FILTER (outcome <> 'fetch_failed') AS covered FROM oc GROUP BY 1),
+  gd AS (SELECT *, existing >= 20 AND seen > 0 AND gone / existing > 0.5 AND covered / existing < 0.3 AS guarded FROM ex LEFT JOIN se USING (source_id)),
+  rw AS (SELECT source, coalesce(fetched, 0) AS fetched, coalesce(skipped, 0) AS skipped, CASE WHEN unchanged THEN coalesce(existing, 0) ELSE coalesce(not_modified, 0) END AS not_modified, coalesce(soft_failed, 0) AS soft_failed, 0::BIGINT AS failed,
+    coalesce(shell_suspected, 0)::BIGINT AS shell_suspected, cancelled, aborted, truncated, unchanged, NOT (cancelled OR aborted OR truncated OR unchanged) AS whole, coalesce(guarded, false) AS guarded, coalesce(seen, 0) AS seen, coalesce(gone, 0) AS gone
+    FROM sg LEFT JOIN ct USING (source_id) LEFT JOIN sh USING (source_id) LEFT JOIN gd USING (source_id))"""
+
+
+@query("run_status_end_to_end", _with("prev", _ENDED, """SELECT source, fetched, skipped, not_modified, soft_failed, failed, CASE WHEN whole AND NOT guarded AND seen > 0 THEN gone ELSE 0 END AS pages_removed, shell_suspected, cancelled, whole AND guarded AS purge_refused, aborted, truncated,
+  CASE WHEN unchanged AND NOT cancelled THEN 'ok' WHEN cancelled OR fetched + skipped + not_modified = 0 THEN 'failed' WHEN (whole AND guarded) OR aborted OR truncated THEN 'partial'
+  WHEN soft_failed / greatest(fetched + skipped + not_modified + soft_failed, 1) > 0.2 THEN 'partial' ELSE 'ok' END AS status FROM rw"""))
+def run_status_end_to_end(spark, sf):
+    """Refused, truncated, aborted, cancelled and unchanged runs, from pages to status."""
+    return sync.sync(_crawled(spark, sf), fx.previous(spark, sf), signals=_signals(spark, sf))[2]
+
+
+def _crawled(spark, sf):
+    return _fetched(spark, sf).where(F.when(F.col("source_id") % 3 == 0, F.col("id") % 11 == 0).otherwise(F.col("id") % 11 != 0)).drop("source").join(fx.sources(spark, sf).select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
+
+
+def _signals(spark, sf):
+    i = F.col("id")
+    return fx.sources(spark, sf).select(i.alias("source_id"), F.col("name").alias("source"), (i % 11 == 4).alias("cancelled"), (i % 7 == 2).alias("aborted"), (i % 5 == 1).alias("truncated"), (i % 13 == 8).alias("unchanged"))
+
+
+@query("run_pages_end_to_end", _with("prev", _ENDED, """SELECT p.url, p.content_hash FROM fe p JOIN oc USING (url) WHERE outcome = 'fetched' UNION ALL
+  SELECT o.url, o.content_hash FROM prev o LEFT JOIN fe f USING (url) LEFT JOIN oc USING (url) JOIN src s ON s.id = o.source_id JOIN rw ON rw.source = s.name
+  WHERE coalesce(outcome, '') <> 'fetched' AND NOT (f.url IS NULL AND whole AND NOT guarded AND seen > 0)"""))
+def run_pages_end_to_end(spark, sf):
+    return sync.sync(_crawled(spark, sf), fx.previous(spark, sf), signals=_signals(spark, sf))[0].select("url", "content_hash")
+
+
 _FLAGS = "rf AS (SELECT *, day(finished_at) % 9 = 0 AS cancelled, day(finished_at) % 7 = 3 AS purge_refused, false AS aborted, day(finished_at) % 11 = 5 AS truncated FROM runs)"
 _STATUS = """rs AS (SELECT *, CASE WHEN cancelled THEN 'failed' WHEN fetched + skipped + not_modified = 0 THEN 'failed' WHEN purge_refused OR aborted OR truncated OR failed > 0 THEN 'partial'
   WHEN soft_failed / greatest(fetched + skipped + not_modified + soft_failed + failed, 1) > 0.2 THEN 'partial' ELSE 'ok' END AS status FROM rf)"""
@@ -174,14 +212,8 @@ def classify_runs(spark, sf):
 
 
 @query("run_totals", _with("runs", f"{_FLAGS}, {_STATUS}", """SELECT sum(fetched)::BIGINT AS fetched, sum(skipped)::BIGINT AS skipped, sum(not_modified)::BIGINT AS not_modified, sum(soft_failed)::BIGINT AS soft_failed, sum(failed)::BIGINT AS failed,
-  string_agg(CASE WHEN status = 'failed' THEN source END, '; ' ORDER BY source) AS errors, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'ok' END AS status FROM rs WHERE finished_at < TIMESTAMP '2024-01-10'"""))
-def run_totals(spark, sf):
-    return sync.totals(runs_with_status(spark, sf).where("finished_at < timestamp_ntz'2024-01-10 00:00:00'"))
-
-
-@query("run_totals_all", _with("runs", f"{_FLAGS}, {_STATUS}", """SELECT sum(fetched)::BIGINT AS fetched, sum(skipped)::BIGINT AS skipped, sum(not_modified)::BIGINT AS not_modified, sum(soft_failed)::BIGINT AS soft_failed, sum(failed)::BIGINT AS failed,
   string_agg(CASE WHEN status = 'failed' THEN source END, '; ' ORDER BY source) AS errors, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'ok' END AS status FROM rs"""))
-def run_totals_all(spark, sf):
+def run_totals(spark, sf):
     return sync.totals(runs_with_status(spark, sf))
 
 
@@ -213,17 +245,28 @@ def indexed_nothing_alert(spark, sf):
     return health.indexed_nothing(fx.runs(spark, sf))
 
 
+_BUSY = _INC.replace("FROM runs", "FROM busy")
 _RATIO = "SELECT source, finished_at, total::BIGINT AS total, round(bad / greatest(total, 1), 9) AS ratio FROM (%s) WHERE round(bad / greatest(total, 1), 9) > 0.2 AND total > 20"
 
 
-@query("soft_fail_ratio_alert", fx.sql("runs", _RATIO % (_INC % "sum(fetched + skipped + not_modified + soft_failed) OVER w AS total, sum(soft_failed) OVER w AS bad")))
+@query("soft_fail_ratio_alert", fx.sql("busy", _RATIO % (_BUSY % "sum(fetched + skipped + not_modified + soft_failed) OVER w AS total, sum(soft_failed) OVER w AS bad")))
 def soft_fail_ratio_alert(spark, sf):
-    return health.ratio_alert(fx.runs(spark, sf), "soft_failed")
+    return health.ratio_alert(fx.busy_runs(spark, sf), "soft_failed")
 
 
-@query("shell_ratio_alert", fx.sql("runs", _RATIO % (_INC % "sum(fetched + skipped + not_modified + soft_failed) OVER w AS total, sum(failed) OVER w AS bad")))
+@query("shell_ratio_alert", fx.sql("busy", _RATIO % (_BUSY % "sum(fetched + skipped + not_modified + soft_failed) OVER w AS total, sum(shell_suspected) OVER w AS bad")))
 def shell_ratio_alert(spark, sf):
-    return health.ratio_alert(fx.runs(spark, sf), "failed")
+    return health.ratio_alert(fx.busy_runs(spark, sf), "shell_suspected")
+
+
+@query("run_counters", fx.sql("runs", "SELECT source, t.name, CASE t.name WHEN 'fetched' THEN f WHEN 'skipped' THEN s ELSE d END AS value FROM (SELECT source, sum(fetched)::BIGINT AS f, sum(skipped)::BIGINT AS s, sum(failed)::BIGINT AS d FROM runs GROUP BY 1), (VALUES ('fetched'), ('skipped'), ('failed')) t(name)"))
+def run_counters(spark, sf):
+    return health.counters(fx.runs(spark, sf), ["fetched", "skipped", "failed"])
+
+
+@query("last_success_gauge", _with("runs", f"{_FLAGS}, {_STATUS}", "SELECT source, epoch(max(finished_at))::DOUBLE AS last_success FROM rs WHERE status IN ('ok', 'partial') GROUP BY 1"))
+def last_success_gauge(spark, sf):
+    return health.last_success(runs_with_status(spark, sf))
 
 
 @query("stale_sources", _with("runs", f"{_FLAGS}, {_STATUS}", "SELECT source, max(finished_at) AS last_success FROM rs WHERE status IN ('ok', 'partial') GROUP BY 1 HAVING epoch(TIMESTAMP '2024-01-31') - epoch(max(finished_at)) > 172800"))

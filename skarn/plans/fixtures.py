@@ -20,6 +20,9 @@ SQL = {
         count(*) FILTER (event_type = 'purchase') AS fetched, count(*) FILTER (event_type = 'view') AS skipped,
         count(*) FILTER (event_type = 'click') AS not_modified, count(*) FILTER (event_type = 'error') AS soft_failed,
         count(*) FILTER (event_type = 'signup') AS failed FROM events GROUP BY 1, 2)""",
+    "busy": """busy AS (SELECT 'b' || g AS source, finished_at, fetched, skipped, not_modified, e * (1 + g) AS soft_failed, s * g AS shell_suspected FROM (SELECT user_id % 4 AS g, date_trunc('day', ts) AS finished_at,
+        count(*) FILTER (event_type = 'purchase') AS fetched, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type = 'click') AS not_modified,
+        count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'signup') AS s FROM events GROUP BY 1, 2))""",
     "lines": """md AS (SELECT conv_id, string_agg('## ' || role || ' ' || turn || chr(10) || CASE WHEN turn % 5 = 4 THEN '```' || chr(10) || '# ' || text || chr(10) || '```' ELSE text END, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
       ls AS (SELECT conv_id, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT conv_id, string_split('# conv' || chr(10) || body, chr(10)) AS a FROM md)),
       lf AS (SELECT *, ltrim(line) LIKE '```%' AS fence, sum(CASE WHEN ltrim(line) LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY line_no) % 2 = 1 AS inside FROM ls)""",
@@ -72,6 +75,25 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.date_trunc("day", "ts").alias("finished_at")).agg(*[F.count_if(F.col("event_type") == v).alias(k) for k, v in kinds.items()])
 
 
+def busy_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of four sources with many pages, some with many soft failures and likely shells."""
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    own = F.col("user_id") % 4
+    by = table(spark, sf, "events").withColumn("g", own).groupBy("g", F.date_trunc("day", "ts").alias("finished_at"))
+    out = by.agg(n("purchase").alias("fetched"), n("view").alias("skipped"), n("click").alias("not_modified"), n("error").alias("e"), n("signup").alias("s"))
+    return out.select(F.concat(F.lit("b"), F.col("g").cast("string")).alias("source"), "finished_at", "fetched", "skipped", "not_modified", (F.col("e") * (F.col("g") + 1)).alias("soft_failed"), (F.col("s") * F.col("g")).alias("shell_suspected"))
+
+
+def plain_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks in the simple configuration."""
+    return chunks(spark, sf).withColumn("fts_config", F.lit("simple"))
+
+
+def language_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks in their languages, English ones in the simple configuration, for SQL has no stems."""
+    return chunks(spark, sf).withColumn("fts_config", F.when(F.col("fts_config") == "english", "simple").otherwise(F.col("fts_config")))
+
+
 def markdown(spark: SparkSession, sf: str) -> DataFrame:
     """(conv_id, body): a heading, then a section for each turn, every fifth one fenced."""
     c = table(spark, sf, "conversations")

@@ -91,6 +91,10 @@ def first_available_index(spark, sf):
     return discovery.first_available(full.unionByName(short)).select("source", "url")
 
 
-@query("model_registry")
+#: The registry's fixed values, the default first.
+_REGISTRY = "(VALUES ('BAAI/bge-small-en-v1.5', 384, 'bge-small-en-v1.5', true, 3), ('mixedbread-ai/mxbai-embed-large-v1', 1024, 'mxbai-embed-large-v1', false, 0), ('intfloat/multilingual-e5-large', 1024, 'multilingual-e5-large', false, 1), ('BAAI/bge-base-en-v1.5', 768, 'bge-base-en-v1.5', false, 2)) t(name, dim, slug, is_default, ord)"
+
+
+@query("model_registry", f"SELECT * FROM {_REGISTRY}")
 def model_registry(spark, sf):
     return configs.models(spark)

@@ -11,7 +11,9 @@ from . import fixtures as fx
 from .registry import query
 
 QUERY_VEC = 7
-WORDS = ["the", "de"]
+ANY = "the or de"
+#: French and Spanish rows lose the stop words de and la, and with them the phrase.
+QUERY = 'the with -from or re eau or "de la"'
 _COS = "list_cosine_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _VEC = f"va AS (SELECT chunk_id, round({_COS}, 9) AS distance FROM ck c, embeddings q WHERE q.vec_id = {QUERY_VEC} AND c.embedding IS NOT NULL %s ORDER BY distance, chunk_id LIMIT 30)"
 _WEIGHT = "0.1 * list_sum(list_transform(range(1, least(tf, 255) + 1), lambda j: 1.0::DOUBLE / (j * j))) / 1.64493406685::DOUBLE"
@@ -20,6 +22,13 @@ _RRF = """rr AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rnk)), 12) AS rr
   SELECT chunk_id, row_number() OVER (ORDER BY distance, chunk_id) AS rnk FROM va UNION ALL
   SELECT chunk_id, row_number() OVER (ORDER BY rank DESC, chunk_id) AS rnk FROM ta) GROUP BY 1)"""
 _BOTH = ",".join([_VEC % "", _TXT, _RRF])
+_TF = "coalesce(0.1 * list_sum(list_transform(range(1, least(len(list_filter(a, lambda x: x = '%s')), 255) + 1), lambda j: 1.0::DOUBLE / (j * j))) / 1.64493406685::DOUBLE, 0)"
+_SHORT, _LONG = (" + ".join(_TF % w for w in ws.split()) for ws in ("the with from re eau", "the with from re eau de la"))
+_WEB = rf"""lx AS (SELECT chunk_id, fts_config IN ('french', 'spanish') AS short, list_filter(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS a FROM ck),
+  mt AS (SELECT *, (list_contains(a, 'the') AND list_contains(a, 'with') AND NOT list_contains(a, 'from')) OR (list_contains(a, 're') AND list_contains(a, 'eau')) OR (NOT short AND list_contains(list_transform(range(1, len(a)), lambda i: a[i] = 'de' AND a[i + 1] = 'la'), true)) AS ok FROM lx),
+  wa AS (SELECT chunk_id, round(CASE WHEN short THEN ({_SHORT}) / 5 ELSE ({_LONG}) / 7 END, 9) AS rank FROM mt WHERE ok),
+  ta AS (SELECT * FROM wa ORDER BY rank DESC, chunk_id LIMIT 30)"""
+_WEB_BOTH = ",".join([_VEC % "", _WEB, _RRF])
 
 
 def _chain(views: str, more: str, body: str) -> str:
@@ -43,32 +52,35 @@ def vector_topk_source(spark, sf):
 
 @query("fts_topk_simple", _chain("tok", _TXT, "SELECT chunk_id, rank FROM ta"))
 def fts_topk_simple(spark, sf):
-    return search.text_candidates(fx.chunks(spark, sf), WORDS)
+    return search.text_candidates(fx.plain_chunks(spark, sf), ANY)
 
 
 @query("fts_topk_postings", _chain("tok", _TXT, "SELECT chunk_id, rank FROM ta"))
 def fts_topk_postings(spark, sf):
-    return search.indexed_candidates(fts.postings(fx.chunks(spark, sf)), WORDS)
+    return search.indexed_candidates(fts.stored(fx.plain_chunks(spark, sf)), ANY)
+
+
+@query("fts_topk_web", _chain("ck", _WEB, "SELECT chunk_id, rank FROM ta"))
+def fts_topk_web(spark, sf):
+    """Phrases, minus and or, each row in its language, by a scan."""
+    return search.text_candidates(fx.language_chunks(spark, sf), QUERY)
+
+
+@query("fts_topk_web_stored", _chain("ck", _WEB, "SELECT chunk_id, rank FROM ta"))
+def fts_topk_web_stored(spark, sf):
+    """The same from postings as a store holds them."""
+    return search.indexed_candidates(fts.stored(fx.language_chunks(spark, sf)), QUERY)
 
 
 @query("rrf_fused", _chain("tok", _BOTH, "SELECT * FROM rr"))
 def rrf_fused(spark, sf):
-    c = fx.chunks(spark, sf)
-    return search.fused(search.vector_candidates(c, query_vector(spark, sf)), search.text_candidates(c, WORDS))
+    c = fx.plain_chunks(spark, sf)
+    return search.fused(search.vector_candidates(c, query_vector(spark, sf)), search.text_candidates(c, ANY))
 
 
-@query("rrf_search_hits", _chain("tok", _BOTH, "SELECT c.chunk_id, s.name AS source, c.url, c.content, rr.rrf FROM rr JOIN ck c USING (chunk_id) JOIN src s ON s.id = c.source_id ORDER BY rrf DESC, c.chunk_id LIMIT 5"))
+@query("rrf_search_hits", _chain("ck", _WEB_BOTH, "SELECT c.chunk_id, s.name AS source, c.url, c.content, rr.rrf FROM rr JOIN ck c USING (chunk_id) JOIN src s ON s.id = c.source_id ORDER BY rrf DESC, c.chunk_id LIMIT 5"))
 def rrf_search_hits(spark, sf):
-    return search.hybrid(fx.chunks(spark, sf), fx.sources(spark, sf), query_vector(spark, sf), WORDS)
-
-
-@query("rrf_batch_queries", fx.sql("ck", """SELECT query_id, chunk_id, rnk, distance FROM (
-  SELECT q.vec_id AS query_id, c.chunk_id, round(list_cosine_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance,
-         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), c.chunk_id) AS rnk
-  FROM ck c, embeddings q WHERE q.vec_id < 8 AND c.embedding IS NOT NULL) WHERE rnk <= 5"""))
-def rrf_batch_queries(spark, sf):
-    queries = fx.table(spark, sf, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.batch_nearest(fx.chunks(spark, sf), queries)
+    return search.hybrid(fx.language_chunks(spark, sf), fx.sources(spark, sf), query_vector(spark, sf), QUERY)
 
 
 def batch_vectors(spark, sf):
@@ -76,11 +88,11 @@ def batch_vectors(spark, sf):
     return fx.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-@query("rrf_batch_queries_all", fx.sql("ck", """SELECT query_id, chunk_id, rnk, distance FROM (
+@query("rrf_batch_queries", fx.sql("ck", """SELECT query_id, chunk_id, rnk, distance FROM (
   SELECT q.vec_id AS query_id, c.chunk_id, round(list_cosine_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_distance(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), c.chunk_id) AS rnk
   FROM ck c, embeddings q WHERE q.vec_id % 20 = 0 AND c.embedding IS NOT NULL) WHERE rnk <= 5"""))
-def rrf_batch_queries_all(spark, sf):
+def rrf_batch_queries(spark, sf):
     return search.batch_nearest(fx.chunks(spark, sf), batch_vectors(spark, sf))
 
 
@@ -90,7 +102,7 @@ def search_snippet(spark, sf):
     return fx.pages(spark, sf).select("id", text.snippet(F.col("text")).alias("snippet"))
 
 
-@query("hit_format", _chain("tok", _BOTH, """SELECT string_agg('### ' || s.name || chr(10) || 'Source: [' || s.name || '](' || c.url || ')' || chr(10) || chr(10) || c.content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rrf DESC, c.chunk_id) AS hits
+@query("hit_format", _chain("ck", _WEB_BOTH, """SELECT string_agg('### ' || s.name || chr(10) || 'Source: [' || s.name || '](' || c.url || ')' || chr(10) || chr(10) || c.content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rrf DESC, c.chunk_id) AS hits
   FROM (SELECT * FROM rr ORDER BY rrf DESC, chunk_id LIMIT 5) r JOIN ck c USING (chunk_id) JOIN src s ON s.id = c.source_id"""))
 def hit_format(spark, sf):
     hits = rrf_search_hits(spark, sf).withColumn("heading", F.col("source"))
@@ -117,10 +129,9 @@ def fts_match_websearch(spark, sf):
     return fts.evaluate(fts.postings(fx.chunks(spark, sf)), fts.parse_query('the with -was or "de la"'))
 
 
-@query("fts_rank_and", fx.sql("ck", r"""SELECT x.chunk_id, round(1 - exp(sum(ln(1 - sqrt(0.01::DOUBLE * CASE WHEN abs(x.p - y.p) > 100 THEN 1e-30 ELSE 1.0 / (1.005 + 0.05 * exp(abs(x.p - y.p) / 1.5::DOUBLE - 2)) END)))), 9) AS rank
-  FROM (SELECT chunk_id, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS p FROM (SELECT chunk_id, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a FROM ck)) x
-  JOIN (SELECT chunk_id, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS p FROM (SELECT chunk_id, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a FROM ck)) y ON x.chunk_id = y.chunk_id
-  WHERE x.w = 'by' AND y.w = 'from' GROUP BY 1"""))
+@query("fts_rank_and", fx.sql("ck", r"""SELECT chunk_id, round(greatest(1 - exp(sum(ln(1 - sqrt(0.01::DOUBLE * CASE WHEN abs(p - q) > 100 THEN 1e-30 ELSE 1.0 / (1.005 + 0.05 * exp(abs(p - q) / 1.5::DOUBLE - 2)) END)))), 1e-20), 9) AS rank
+  FROM (SELECT chunk_id, p, unnest(qs) AS q FROM (SELECT chunk_id, unnest(ps) AS p, qs FROM (SELECT chunk_id, list_filter(range(1, len(a) + 1), lambda i: a[i] = 'by')[1:255] AS ps, list_filter(range(1, len(a) + 1), lambda i: a[i] = 'from')[1:255] AS qs
+    FROM (SELECT chunk_id, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a FROM ck)))) GROUP BY 1"""))
 def fts_rank_and(spark, sf):
     return fts.rank_all(fts.postings(fx.chunks(spark, sf)), ["by", "from"])
 
@@ -130,23 +141,13 @@ def fts_english_stems(spark, sf):
     return fts.postings(fx.chunks(spark, sf).where("fts_config = 'english'"), "english").groupBy("lexeme").agg(F.count("*").alias("chunks"))
 
 
-@query("recall_by_source", _chain("pg", "cs AS (SELECT b.item_id AS case_id, b.text AS snippet, 'src' || b.item_id % 20 AS expected_source FROM benchmark b)", """SELECT expected_source, count(*) AS cases, count(*) FILTER (ok)::BIGINT AS passed FROM (
-  SELECT cs.case_id, expected_source, coalesce(bool_or(contains(lower(h.content), lower(snippet))), false) AS ok FROM cs LEFT JOIN (
-    SELECT item_id AS case_id, p.text AS content FROM benchmark b JOIN pg p ON p.id % 50 = b.item_id % 50) h USING (case_id) GROUP BY 1, 2) GROUP BY 1"""))
-def recall_by_source(spark, sf):
-    b = fx.table(spark, sf, "benchmark")
-    cases = b.select(F.col("item_id").alias("case_id"), F.col("text").alias("snippet"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("expected_source"))
-    hits = cases.select("case_id", (F.col("case_id") % 50).alias("m")).join(fx.pages(spark, sf).select((F.col("id") % 50).alias("m"), F.col("text").alias("content")), "m")
-    return search.recall(hits.select("case_id", "content"), cases)
-
-
-@query("recall_by_source_searched", _chain("tok", "cs AS (SELECT b.item_id AS case_id, b.text AS snippet, 'src' || b.item_id % 20 AS expected_source FROM benchmark b)", rf"""SELECT expected_source, count(*) AS cases, count(*) FILTER (ok)::BIGINT AS passed FROM (
+@query("recall_by_source", _chain("tok", "cs AS (SELECT b.item_id AS case_id, b.text AS snippet, 'src' || b.item_id % 20 AS expected_source FROM benchmark b)", rf"""SELECT expected_source, count(*) AS cases, count(*) FILTER (ok)::BIGINT AS passed FROM (
   SELECT cs.case_id, expected_source, coalesce(bool_or(contains(lower(c.content), lower(snippet))), false) AS ok FROM cs LEFT JOIN (
     SELECT case_id, chunk_id, row_number() OVER (PARTITION BY case_id ORDER BY rank DESC, chunk_id) AS rnk FROM (
       SELECT case_id, chunk_id, round(sum({_WEIGHT}) / any_value(n), 9) AS rank FROM (
         SELECT case_id, len(ws) AS n, unnest(ws) AS lexeme FROM (SELECT case_id, list_distinct(list_filter(string_split_regex(lower(snippet), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS ws FROM cs)) q JOIN tok USING (lexeme) GROUP BY 1, 2)) h
     ON h.case_id = cs.case_id AND rnk <= 10 LEFT JOIN ck c ON c.chunk_id = h.chunk_id GROUP BY 1, 2) GROUP BY 1"""))
-def recall_by_source_searched(spark, sf):
+def recall_by_source(spark, sf):
     """The recall of the search itself: the best ten chunks of each case's words."""
     b = fx.table(spark, sf, "benchmark")
     cases = b.select(F.col("item_id").alias("case_id"), F.col("text").alias("snippet"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("expected_source"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import cron, text, urls
 from skarn.operators import catalog, chunk, discovery
+from skarn.sources import configs
 
 from . import fixtures as fx
 from .registry import query
@@ -33,16 +34,16 @@ def url_host_path(spark, sf):
     return pages(spark, sf).select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
 
 
-_IN, _EX = ["/en", "/fr/8/"], ["/en/1"]
+_IN, _EX = ["/en", "/fr/8/", "de"], ["/en/1", "/en/2/", "fr/80"]
 _arr = lambda xs: F.array(*[F.lit(x) for x in xs])
 
 
-@query("scope_allowed", f"WITH {_URLS} SELECT page_id, NOT starts_with(path, '/en/1') AND (path = '/en' OR starts_with(path, '/en/') OR path = '/fr/8' OR starts_with(path, '/fr/8/')) AS allowed FROM u")
+@query("scope_allowed", f"WITH {_URLS} SELECT page_id, NOT (starts_with(path, '/en/1') OR starts_with(path, '/en/2') OR starts_with(path, '/fr/80')) AND (path = '/en' OR starts_with(path, '/en/') OR path = '/fr/8' OR starts_with(path, '/fr/8/') OR path = '/de' OR starts_with(path, '/de/')) AS allowed FROM u")
 def scope_allowed(spark, sf):
     return pages(spark, sf).select("page_id", urls.in_scope(urls.path(F.col("url")), _arr(_IN), _arr(_EX)).alias("allowed"))
 
 
-@query("scope_allowed_plain", f"WITH {_URLS} SELECT page_id, NOT starts_with(path, '/en/1') AND (starts_with(path, '/en') OR starts_with(path, '/fr/8/')) AS allowed FROM u")
+@query("scope_allowed_plain", f"WITH {_URLS} SELECT page_id, NOT (starts_with(path, '/en/1') OR starts_with(path, '/en/2/') OR starts_with(path, 'fr/80')) AND (starts_with(path, '/en') OR starts_with(path, '/fr/8/') OR starts_with(path, 'de')) AS allowed FROM u")
 def scope_allowed_plain(spark, sf):
     return pages(spark, sf).select("page_id", urls.in_scope_plain(urls.path(F.col("url")), _arr(_IN), _arr(_EX)).alias("allowed"))
 
@@ -63,17 +64,14 @@ def placeholder_hosts(spark, sf):
 _SLUG = "trim(regexp_replace(lower(%s), '[^a-z0-9]+', '-', 'g'), '-')"
 _NAMES = f"""nm AS (SELECT page_id, CASE WHEN seg IS NULL OR seg = '' OR seg = lab THEN lab WHEN lab = '' THEN seg ELSE lab || '-' || seg END AS name FROM (SELECT page_id,
   {_SLUG % "CASE WHEN len(list_filter(ls, lambda x: x NOT IN ('www', 'docs', 'doc', 'developers', 'developer', 'platform', 'api'))) > 0 THEN list_filter(ls, lambda x: x NOT IN ('www', 'docs', 'doc', 'developers', 'developer', 'platform', 'api'))[1] ELSE ls[1] END"} AS lab,
-  {_SLUG % "list_filter(string_split(path, '/'), lambda x: x <> '' AND lower(x) NOT IN ('docs', 'doc', 'en', 'api', 'reference', 'guide'))[1]"} AS seg
+  {_SLUG % f"list_filter(string_split(path, '/'), lambda x: {_SLUG % 'x'} <> '' AND lower(x) NOT IN ('docs', 'doc', 'en', 'api', 'reference', 'guide'))[1]"} AS seg
   FROM (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS ls FROM u)))"""
 
 
 @query("derive_names", f"WITH {_URLS}, {_NAMES} SELECT page_id, CASE WHEN n = 1 THEN name ELSE name || '-' || n END AS name FROM (SELECT page_id, CASE WHEN coalesce(name, '') = '' THEN 'source' ELSE name END AS name, row_number() OVER (PARTITION BY name ORDER BY page_id) AS n FROM nm)")
 def derive_names(spark, sf):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("base").orderBy("page_id"))
-    named = pages(spark, sf).select("page_id", urls.derived_name(F.col("url")).alias("base")).withColumn("n", n)
-    return named.select("page_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))).alias("name"))
+    named = pages(spark, sf).select("page_id", urls.derived_name(F.col("url")).alias("name"))
+    return urls.unique_names(named, named.limit(0), "page_id").select("page_id", "name")
 
 
 @query("derived_scope", f"WITH {_URLS} SELECT page_id, CASE WHEN path IN ('', '/') THEN 0 ELSE 1 END::BIGINT AS n, path AS first FROM u WHERE path NOT IN ('', '/')")
@@ -82,13 +80,8 @@ def derived_scope(spark, sf):
     return pages(spark, sf).select("page_id", F.size(inc).cast("long").alias("n"), F.get(inc, F.lit(0)).alias("first")).where("n > 0")
 
 
-@query("slugify", f"SELECT doc_id, {_SLUG % 'text[1:80]'} AS slug FROM documents")
+@query("slugify", f"SELECT doc_id, {_SLUG % 'text'} AS slug FROM documents")
 def slugify(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", urls.slugify(F.substring("text", 1, 80)).alias("slug"))
-
-
-@query("slugify_whole", f"SELECT doc_id, {_SLUG % 'text'} AS slug FROM documents")
-def slugify_whole(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", urls.slugify(F.col("text")).alias("slug"))
 
 
@@ -114,16 +107,9 @@ def sitemap_cap_slice(spark, sf):
     return discovery.capped(found, 20)
 
 
-@query("bfs_levels", """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 10 + 1 AS dst FROM lineitem WHERE l_partkey % 7 = 0), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node WHERE r.depth < 3)
+@query("bfs_levels", """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 10 + 1 AS dst FROM lineitem), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node WHERE r.depth < 3)
   SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1""")
 def bfs_levels(spark, sf):
-    li = fx.table(spark, sf, "lineitem").where("l_partkey % 7 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 10 + 1).alias("dst")).distinct()
-    return discovery.reach(li, spark.range(1, 2).select(F.col("id").alias("node")), 3)
-
-
-@query("bfs_levels_all", """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 10 + 1 AS dst FROM lineitem), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT l.dst, r.depth + 1 FROM r JOIN l ON l.src = r.node WHERE r.depth < 3)
-  SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1""")
-def bfs_levels_all(spark, sf):
     li = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 10 + 1).alias("dst")).distinct()
     return discovery.reach(li, spark.range(1, 2).select(F.col("id").alias("node")), 3)
 
@@ -200,15 +186,20 @@ def paragraph_counts(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", F.size(text.paragraphs(F.replace(F.col("text"), F.lit(". "), F.lit("\n \n")))).alias("n"))
 
 
-@query("manifest_rows", "SELECT s_suppkey, concat_ws('|', s_suppkey, s_name, s_nationkey) AS line, NOT contains(s_name, '|') AND NOT contains(s_name, chr(10)) AS ok FROM supplier")
+@query("manifest_rows", "SELECT concat_ws('|', s_suppkey, s_name, s_nationkey) AS line, NOT contains(s_name, '|') AND NOT contains(s_name, chr(10)) AS ok FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_name || '|x' ELSE s_name END AS s_name, s_nationkey FROM supplier)")
 def manifest_rows(spark, sf):
-    return fx.table(spark, sf, "supplier").select("s_suppkey", F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string")).alias("line"), (~F.col("s_name").contains("|") & ~F.col("s_name").contains("\n")).alias("ok"))
+    s = fx.table(spark, sf, "supplier").withColumn("s_name", F.when(F.col("s_suppkey") % 5 == 0, F.concat("s_name", F.lit("|x"))).otherwise(F.col("s_name")))
+    return configs.manifest(s, ["s_suppkey", "s_name", "s_nationkey"])
+
+
+_SLUGS = f"sl AS (SELECT name, {_SLUG % 'name'} AS slug FROM (SELECT n_name AS name FROM nation UNION ALL SELECT n_name || ' X' FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_name || '!' FROM nation WHERE n_regionkey = 2))"
 
 
-@query("slug_collisions", f"SELECT a.r_name AS a, b.n_name AS b FROM region a JOIN nation b ON starts_with({_SLUG % 'b.n_name'}, {_SLUG % 'a.r_name'}[1:2])")
+@query("slug_collisions", f"WITH {_SLUGS} SELECT a.name AS a, b.name AS b FROM sl a JOIN sl b ON a.name <> b.name AND (a.slug = b.slug OR starts_with(b.slug, a.slug || '-'))")
 def slug_collisions(spark, sf):
-    r, n = fx.table(spark, sf, "region"), fx.table(spark, sf, "nation")
-    return F.broadcast(r).join(n, F.expr("true") & urls.slugify(F.col("n_name")).startswith(F.substring(urls.slugify(F.col("r_name")), 1, 2))).select(F.col("r_name").alias("a"), F.col("n_name").alias("b"))
+    n = fx.table(spark, sf, "nation")
+    names = n.select(F.col("n_name").alias("name")).unionByName(n.where("n_regionkey = 1").select(F.concat("n_name", F.lit(" X")).alias("name"))).unionByName(n.where("n_regionkey = 2").select(F.concat("n_name", F.lit("!")).alias("name")))
+    return configs.slug_clashes(names.select("name", urls.slugify(F.col("name")).alias("slug")))
 
 
 @query("chunk_windows")
@@ -226,7 +217,8 @@ def html_extract(spark, sf):
     return chunk.extract(pages(spark, sf))
 
 
-@query("page_links")
+@query("page_links", r"""SELECT page_id, ord, origin || hs[ord + 1] AS url FROM (SELECT page_id, origin, hs, unnest(range(len(hs)))::INT AS ord FROM (
+  SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) AS origin, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS hs FROM pages))""")
 def page_links(spark, sf):
     return discovery.extract_links(pages(spark, sf))
 

@@ -144,7 +144,7 @@ def test_sitemaps():
 
 
 def test_links_and_robots(spark):
-    assert discovery.links_of('<a href="/x">a</a><a href="mailto:b">b</a><a href="">c</a><a href="y#z">d</a>', "https://h/p/q") == ["https://h/x", "https://h/p/y#z"]
+    assert discovery.links_of('<a href="/x">a</a><a href="mailto:b">b</a><a href="">c</a><a href="y#z">d</a><a href="#top">e</a>', "https://h/p/q") == ["https://h/x", "https://h/p/y", "https://h/p/q"]
     f = spark.createDataFrame([("h", "https://h/a"), ("h", "https://h/b"), ("k", "https://k/b")], "host string, url string")
     r = spark.createDataFrame([("h", 200, "User-agent: *\nDisallow: /b"), ("k", 500, "x")], "host string, status int, body string")
     assert {x.url: x.allowed for x in discovery.allowed(f, r).collect()} == {"https://h/a": True, "https://h/b": False, "https://k/b": True}
@@ -240,7 +240,7 @@ def test_api_round_trip(spark, tmp_path):
     assert "### s" in api.format_hits(hits) and api.format_hits(hits.limit(0)).startswith("No matching")
     assert api.source_tree(store).first().page_count == 3
     assert api.upload_text(store, "s", "My Title", "# A\n\nbody").first().url == "upload://s/my-title.md"
-    assert api.purge(store, 1) == 3 and store.read("chunks").isEmpty()
+    assert api.purge(store, 1) == 4 and store.read("chunks").isEmpty()  # the uploaded text is stored
     with pytest.raises(ValueError):
         api.search_chunks(store, "  ")
     assert search.clamp(99) == 20 and search.clamp(0) == 1
@@ -252,6 +252,22 @@ def test_stems():
     assert {w: fts.porter(w) for w in want} == want
 
 
+def test_html_blocks():
+    from skarn.operators.chunk import extract_html
+
+    html = "<nav>menu</nav><main><h2>T</h2><p>Use <code>x = 1</code> " + "and more words " * 20 + "</p><pre><code>def f():\n    return  1\n\n# no heading</code></pre><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2 <b>x</b></td></tr></table></main>"
+    status, markdown, _, _ = extract_html(html)
+    assert status == "ok" and "menu" not in markdown
+    assert markdown.startswith("## T\n\nUse `x = 1` and more") and "```\ndef f():\n    return  1\n\n# no heading\n```" in markdown
+    assert "| a | b |\n| 1 | 2 x |" in markdown
+
+
+def test_tokenizer_counts():
+    import public_tokenizers
+
+    count = chunk.token_counter(public_tokenizers.path("word_bpe_49k.json"))
+    assert count("") >= 0 and count("one two three") >= 3 and count("x " * 50) > count("x " * 10)
+
 def test_web_queries():
     assert fts.parse_query('a "b c" or -d') == [[(False, ["a"]), (False, ["b", "c"])], [(True, ["d"])]]
     assert fts.parse_query("  ") == []
@@ -281,19 +297,19 @@ def test_health(spark):
     assert [r.source for r in health.stale(runs, F.lit(datetime(2024, 1, 5))).collect()] == ["a"]
 
 
-def test_ivf_recall(spark):
+@pytest.mark.parametrize("cells", [32, 64])
+def test_ivf_recall(spark, cells):
+    """Every 20th vector as a query, against brute force."""
     from skarn.operators import ivf
 
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    centres = ivf.fit(e, 32)
+    centres = ivf.fit(e, cells)
     index = ivf.assign(e, centres).cache()
     assert index.count() == e.count() and index.where("cell < 0").isEmpty()
-    found = total = 0
-    for r in e.where("chunk_id % 100 = 0").collect():
-        want = {x.chunk_id for x in search.vector_candidates(e, list(r.embedding), limit=10).collect()}
-        got = {x.chunk_id for x in ivf.search(index, centres, list(r.embedding), limit=10).collect()}
-        found, total = found + len(want & got), total + len(want)
-    assert found / total >= 0.9
+    asked = e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    pairs = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
+    want = pairs(search.batch_nearest(e, asked, limit=10))
+    assert len(want & pairs(ivf.batch_search(index, centres, asked, limit=10))) >= 0.9 * len(want)
 
 
 def test_sync_end_to_end(spark):
@@ -340,12 +356,12 @@ def test_vector_topk_ivf_asks_every_20th_vector(spark):
 
 def test_prefixes_and_slugs_of_whole_texts(spark, tmp_path):
     """What stands behind the first 200 characters reaches both operators."""
-    from skarn.plans.inputs import prefix_lists_whole
-    from skarn.plans.texts import slugify_whole
+    from skarn.plans.inputs import prefix_lists
+    from skarn.plans.texts import slugify
 
     text = "Some words, " * 40 + "the LAST one\n, end!"
     spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    parts = {r.doc_id: r.prefixes for r in prefix_lists_whole(spark, str(tmp_path)).collect()}
+    parts = {r.doc_id: r.prefixes for r in prefix_lists(spark, str(tmp_path)).collect()}
     assert parts[1] == "|".join(["Some words"] * 40 + ["the LAST one", "end!"]) and parts[3] == ""
-    slugs = {r.doc_id: r.slug for r in slugify_whole(spark, str(tmp_path)).collect()}
+    slugs = {r.doc_id: r.slug for r in slugify(spark, str(tmp_path)).collect()}
     assert slugs[1] == "some-words-" * 40 + "the-last-one-end" and slugs[2] is None
