@@ -56,16 +56,21 @@ _CAND = "struct<start:int,end:int,s:string,before:string>"
 def _fold(parts: Column, at: Column, before: Column, short: int, kind: str, span) -> Column:
     """Every second part with its place, a struct of type kind made by span(start, end, part, before).
 
-    Parts are folded in blocks of about the root of their number, for an append copies the
-    array: the cost stays near the length of the text. before is the last 60 code points
-    in front of a part.
+    Parts are folded in blocks, of about the root of their number where there are many, for
+    an append copies the array: the cost stays near the length of the text. before is the
+    last 60 code points in front of a part.
     """
+    # parts, bound once: the blocks would scan the text again each
+    return F.get(F.transform(F.array(parts), lambda p: _blocks(p, at, before, short, kind, span)), F.lit(0))
+
+
+def _blocks(parts: Column, at: Column, before: Column, short: int, kind: str, span) -> Column:
     n = F.size(parts)
-    size = (F.ceil(F.sqrt(n.cast("double")) / 2) * 2).cast("int")  # even: a block begins with a gap
+    size = F.greatest(F.lit(256), (F.ceil(F.sqrt(n.cast("double")) / 2) * 2).cast("int"))  # even: a block begins with a gap
     tail = lambda x: F.right(x, F.lit(60))
 
     def block(b: Column) -> Column:
-        lead = tail(F.concat(before, F.array_join(F.slice(parts, F.greatest(b * size - 59, F.lit(1)), F.least(b * size, F.lit(60))), "")))
+        lead = F.when(b == 0, before).otherwise(tail(F.concat(before, F.array_join(F.slice(parts, F.greatest(b * size - 59, F.lit(1)), F.least(b * size, F.lit(60))), ""))))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"), F.lit(False).alias("odd"), lead.alias("before"))
 
         def step(acc: Column, part: Column) -> Column:
