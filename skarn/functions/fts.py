@@ -190,9 +190,12 @@ def _pair(d: Column) -> Column:
     return F.log(F.lit(1.0) - F.sqrt(0.1 * 0.1 * near))
 
 
-def lexemes(text: Column, config: str) -> Column:
-    """The tokens of a text with stems for English; positions are places in this array."""
-    return stems_english(tokens(text)) if config == "english" else tokens(text)
+def may_stem_to(token: Column, stems: list[str]) -> Column:
+    """Whether a token can have one of the English stems: all but the stem's last two letters begin it."""
+    out = F.lit(False)
+    for s in stems:
+        out = out | token.startswith(s[: max(1, len(s) - 2)])
+    return out
 
 
 def evaluate(index: DataFrame, query: Query, id_col: str = "chunk_id") -> DataFrame:

@@ -38,23 +38,45 @@ def text_candidates(chunks: DataFrame, text: str, source_id: int | None = None,
         chunks = chunks.where(F.col("source_id") == source_id)
     if "fts_config" not in chunks.columns:
         chunks = chunks.withColumn("fts_config", F.lit("simple"))
-    known = list(fts.LANGUAGES.values())
-    out = None
-    for config, query in queries_of(text, ["simple", *known]).items():
-        words = fts.words_of(query)
-        if not words:
-            continue
-        own = chunks.where(F.col("fts_config") == config) if config != "simple" else chunks.where(~F.col("fts_config").isin(known))
-        places = [_places(F.col("t"), w).alias(f"w{k}") for k, w in enumerate(words)]
-        found = own.select("chunk_id", fts.lexemes(F.col("content"), config).alias("t")).select("chunk_id", *places)
-        at = lambda w, words=words: F.col(f"w{words.index(w)}")
-        part = found.where(fts.matches(query, at)).select("chunk_id", fts.rank(query, at).alias("rank"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    queries = queries_of(text, ["simple", *fts.LANGUAGES.values()])
+    stemmed, plain = queries.pop("english"), {c: q for c, q in queries.items() if fts.words_of(q)}
+    parts = []
+    if plain:
+        parts.append(_scanned(chunks.where(F.col("fts_config") != "english"), plain))
+    if fts.words_of(stemmed):
+        parts.append(_scanned(chunks.where(F.col("fts_config") == "english"), {"english": stemmed}))
+    if not parts:
         return chunks.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.orderBy(F.desc("rank"), "chunk_id").limit(limit)
 
 
+def _scanned(rows: DataFrame, queries: dict[str, fts.Query]) -> DataFrame:
+    """(chunk_id, rank) of the rows that match the query of their language; unknown languages are simple."""
+    words = sorted({w for q in queries.values() for w in fts.words_of(q)})
+    if "english" in queries:
+        # only tokens that a stem can come from leave the JVM
+        near = F.filter(F.transform(fts.tokens(F.col("content")), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), lambda p: fts.may_stem_to(p["x"], words))
+        found = rows.select("chunk_id", "fts_config", near.alias("near")).select("chunk_id", "fts_config", F.col("near.i").alias("at"), fts.stems_english(F.col("near.x")).alias("t"))
+        places = [_where(F.col("at"), F.col("t"), w).alias(f"w{k}") for k, w in enumerate(words)]
+    else:
+        found = rows.select("chunk_id", "fts_config", fts.tokens(F.col("content")).alias("t"))
+        places = [_places(F.col("t"), w).alias(f"w{k}") for k, w in enumerate(words)]
+    found = found.select("chunk_id", "fts_config", *places)
+    at = lambda w: F.col(f"w{words.index(w)}")
+    ok, score = F.lit(False), F.lit(0.0)
+    for config, query in queries.items():
+        own = F.col("fts_config") == config if config != "simple" else ~F.col("fts_config").isin(list(fts.LANGUAGES.values()))
+        ok = F.when(own, fts.matches(query, at)).otherwise(ok)
+        score = F.when(own, fts.rank(query, at)).otherwise(score)
+    return found.where(ok).select("chunk_id", score.alias("rank"))
+
+
+def _where(at: Column, stems: Column, word: str) -> Column:
+    """The positions whose stem is the word."""
+    return F.filter(F.zip_with(at, stems, lambda i, x: F.when(x == word, i)), lambda i: i.isNotNull())
+
+
 def _places(tokens: Column, word: str) -> Column:
     """The positions of a word, from 1."""
     return F.filter(F.transform(tokens, lambda x, i: F.when(x == word, i + 1)), lambda i: i.isNotNull())
@@ -166,7 +188,11 @@ def recall(hits: DataFrame, cases: DataFrame) -> DataFrame:
     return out.groupBy("expected_source").agg(F.count("*").alias("cases"), F.sum(F.coalesce("ok", F.lit(0))).cast("long").alias("passed"))
 
 
-def clamp(n: int, most: int = 20) -> int:
+# Results at most of a tool call and of a request, and the command line's default.
+TOOL_LIMIT, REQUEST_LIMIT, SHELL_LIMIT = 20, 50, 3
+
+
+def clamp(n: int, most: int = TOOL_LIMIT) -> int:
     return max(1, min(int(n), most))
 
 
