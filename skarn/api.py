@@ -29,8 +29,8 @@ def _optional(store: Store, table: str, version: int | None = None) -> DataFrame
         return None
 
 
-def search_chunks(store: Store, query: str, source: str | None = None, limit: int = 5, embedder: chunk.Embedder | None = None, model: str | None = None, prompt: str | None = None) -> DataFrame:
-    """(chunk_id, source, url, heading_path, content, rrf) of the best chunks, best first; the limit is held to 1..20.
+def search_chunks(store: Store, query: str, source: str | None = None, limit: int = 5, embedder: chunk.Embedder | None = None, model: str | None = None, prompt: str | None = None, most: int = search.TOOL_LIMIT) -> DataFrame:
+    """(chunk_id, source, url, heading_path, content, rrf) of the best chunks, best first; the limit is held to 1..most.
 
     The text arm reads the query as a web search does. The query prompt is the model's
     unless another is given. Stored postings and cells are used where the store has them.
@@ -49,7 +49,7 @@ def search_chunks(store: Store, query: str, source: str | None = None, limit: in
         cells = cells, np.array([r["v"] for r in centres.orderBy("cell").collect()])
     else:
         cells = None
-    return search.hybrid(chunks, sources, vec, query, sid, search.clamp(limit), postings, cells)
+    return search.hybrid(chunks, sources, vec, query, sid, search.clamp(limit, most), postings, cells)
 
 
 def timed_search(store: Store, query: str, **more) -> tuple[list, dict]:
@@ -169,6 +169,16 @@ def _commit_run(store: Store, base: int, out: DataFrame, fetched: DataFrame, sig
     return rows
 
 
+def sync_stream(store: Store, fetched: DataFrame, checkpoint: str, **more):
+    """A stream of fetched pages into the store, each micro-batch a sync that purges nothing.
+
+    A micro-batch that runs twice finds its pages unchanged.
+    """
+    from skarn.streaming import rules
+
+    return rules.sync_batches(fetched, lambda frame, _: run_sync(store, frame, allow_purge=False, **more), checkpoint)
+
+
 def _with_columns(chunks: DataFrame) -> DataFrame:
     """A chunks table with all of CHUNKS; an older one may lack some."""
     for x in CHUNKS.split(", "):
@@ -312,6 +322,6 @@ def metrics(store: Store) -> DataFrame:
 
 
 __all__ = [
-    "search_chunks", "timed_search", "log_searches", "index", "format_hits", "get_chunk", "source_tree", "list_sources", "run_sync", "ingest_uploads", "upload_text", "purge", "reindex",
+    "search_chunks", "timed_search", "log_searches", "index", "format_hits", "get_chunk", "source_tree", "list_sources", "run_sync", "sync_stream", "ingest_uploads", "upload_text", "purge", "reindex",
     "propose_source", "create_source", "update_source", "import_sources", "set_index_validators", "backup", "restore", "metrics", "formats", "text", "urls",
 ]

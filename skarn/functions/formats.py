@@ -12,13 +12,36 @@ def source_line(name: Column, base_url: Column, chunks: Column, synced: Column,
     return F.concat_ws(" | ", F.lit(""), name, base_url, chunks.cast("string"), when, F.coalesce(status, F.lit("unknown")), F.lit(""))
 
 
-def compact_hit(id_: Column, source: Column, score: Column, heading: Column) -> Column:
-    """A hit on one line, the score with three decimals."""
-    return F.concat_ws("\t", id_.cast("string"), source, F.format_string("%.3f", score), heading)
+def _or_empty(x: Column) -> Column:
+    return F.coalesce(x.cast("string"), F.lit(""))
+
+
+# The layouts of the command line.
+def compact_hit(id_: Column, source: Column, score: Column, heading: Column, url: Column, snippet: Column) -> Column:
+    return F.format_string("[%d] %s > %s (score: %.3f)\n  %s\n  URL: %s\n", id_, source, _or_empty(heading), score, snippet, url)
 
 
 def long_hit(id_: Column, source: Column, score: Column, heading: Column, url: Column, snippet: Column) -> Column:
-    return F.concat(F.lit("["), id_.cast("string"), F.lit("] "), source, F.lit(" · "), heading, F.lit(" ("), F.format_string("%.3f", score), F.lit(")\n"), url, F.lit("\n"), snippet)
+    return F.format_string("ID: %d | Source: %s | Score: %.3f\nHeading: %s\nURL: %s\nSnippet: %s", id_, source, score, F.coalesce(F.when(heading != "", heading), source), url, snippet)
+
+
+def compact_chunk(id_: Column, source: Column, heading: Column, url: Column, content: Column) -> Column:
+    return F.format_string("# Chunk %d [%s > %s]\nURL: %s\n\n%s", id_, source, _or_empty(heading), url, F.regexp_replace(content, r"^\s+|\s+$", ""))
+
+
+def long_chunk(id_: Column, source: Column, heading: Column, url: Column, fetched_at: Column, content: Column) -> Column:
+    head = F.format_string("ID: %d\nSource: %s\nHeading: %s\nURL: %s\n", id_, source, _or_empty(heading), url)
+    at = F.coalesce(F.concat(F.lit("Fetched At: "), F.date_format(fetched_at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("\n")), F.lit(""))
+    return F.concat(head, at, F.lit("\n---\n\n"), content)
+
+
+def compact_node(name: Column, base_url: Column, pages: Column, chunks: Column) -> Column:
+    return F.format_string("  - %s (pages: %d, chunks: %d) [%s]\n", name, pages, chunks, base_url)
+
+
+def long_node(name: Column, base_url: Column, pages: Column, chunks: Column, synced: Column) -> Column:
+    when = F.coalesce(F.date_format(synced, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("never"))
+    return F.format_string("  - Source: %s\n    Base URL: %s\n    Pages: %d | Chunks: %d\n    Last Synced: %s\n", name, base_url, pages, chunks, when)
 
 
 def bare_title(title: Column) -> Column:

@@ -10,6 +10,48 @@ def list_sources(sources: DataFrame, status: str | None = None) -> DataFrame:
     return (sources if status is None else sources.where(F.col("status") == status)).orderBy("name")
 
 
+def by_id(table: DataFrame, value, column: str = "id") -> DataFrame:
+    """The row of an id; ids are unique, so one at most."""
+    return table.where(F.col(column) == value).limit(1)
+
+
+def by_names(sources: DataFrame, names: list[str]) -> DataFrame:
+    return sources.where(F.col("name").isin(*names))
+
+
+def page_validators(pages: DataFrame, source_id: int) -> DataFrame:
+    """(url, etag, last_modified) of a source's pages, for conditional requests."""
+    return pages.where(F.col("source_id") == source_id).select("url", "etag", "last_modified")
+
+
+def page_chunks(chunks: DataFrame, page_id: int) -> DataFrame:
+    """The chunks of a page in their order."""
+    own = chunks.where(F.col("page_id") == page_id)
+    return own.orderBy("chunk_index" if "chunk_index" in chunks.columns else "chunk_id")
+
+
+def chunk_detail(chunks: DataFrame, sources: DataFrame, chunk_id: int) -> DataFrame:
+    """A chunk with the name of its source."""
+    return by_id(chunks, chunk_id, "chunk_id").join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
+
+
+# Fixed value: addresses of sources that were never real.
+PLACEHOLDER_URL = r"(?i)^https?://([^/]*\.)?example\.com(/|$)"
+
+
+def placeholder_counts(rows: DataFrame, url_col: str = "url") -> DataFrame:
+    """(hit, n): how many addresses a cleanup would remove and leave."""
+    return rows.groupBy(F.coalesce(F.col(url_col).rlike(PLACEHOLDER_URL), F.lit(False)).alias("hit")).agg(F.count("*").alias("n"))
+
+
+def without_placeholders(sources: DataFrame, pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without sources at placeholder addresses and all that hangs on them; a second run changes nothing."""
+    gone = sources.where(F.col("base_url").rlike(PLACEHOLDER_URL)).select(F.col("id").alias("source_id"))
+    lost = pages.join(gone, "source_id", "left_semi").select(F.col("id").alias("page_id"))
+    kept = sources.join(gone, sources["id"] == gone["source_id"], "left_anti")
+    return kept, pages.join(gone, "source_id", "left_anti").select(*pages.columns), chunks.join(lost, "page_id", "left_anti").select(*chunks.columns)
+
+
 def source_counts(sources: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, name, page_count, chunk_count) of every source, zero for empty ones.
 

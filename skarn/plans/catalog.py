@@ -28,12 +28,12 @@ def sources_by_status(spark, sf):
 
 @query("sources_by_names", fx.sql("src", "SELECT id, name FROM src WHERE name IN ('src1', 'src3', 'nowhere')"))
 def sources_by_names(spark, sf):
-    return fx.sources(spark, sf).where(F.col("name").isin("src1", "src3", "nowhere")).select("id", "name")
+    return catalog.by_names(fx.sources(spark, sf), ["src1", "src3", "nowhere"]).select("id", "name")
 
 
 @query("source_by_id", fx.sql("src", "SELECT * FROM src WHERE id = 5"))
 def source_by_id(spark, sf):
-    return fx.sources(spark, sf).where("id = 5").limit(1)
+    return catalog.by_id(fx.sources(spark, sf), 5)
 
 
 @query("list_sources_counts", fx.sql("ck", "SELECT s.id, s.name, count(c.chunk_id) AS chunk_count FROM src s LEFT JOIN pg p ON p.source_id = s.id LEFT JOIN ck c ON c.page_id = p.id GROUP BY 1, 2"))
@@ -46,6 +46,15 @@ def source_tree(spark, sf):
     return catalog.source_counts(fx.sources(spark, sf), fx.pages(spark, sf), fx.chunks(spark, sf))
 
 
+@query("placeholder_sources_cascade", fx.sql("ck", r"""SELECT (SELECT count(*) FROM src WHERE id % 3 <> 0) AS sources, (SELECT count(*) FROM pg WHERE source_id % 3 <> 0) AS pages, (SELECT count(*) FROM ck WHERE source_id % 3 <> 0) AS chunks"""))
+def placeholder_sources_cascade(spark, sf):
+    s = fx.sources(spark, sf)
+    s = s.withColumn("base_url", F.when(F.col("id") % 3 == 0, F.concat(F.lit("HTTPS://Docs.Example.com/"), "name")).otherwise(F.concat(F.lit("https://notexample.com/"), "name")))
+    s, p, c = catalog.without_placeholders(s, fx.pages(spark, sf), fx.chunks(spark, sf))
+    count = lambda df, n: df.agg(F.count("*").alias(n))
+    return count(s, "sources").join(count(p, "pages")).join(count(c, "chunks"))
+
+
 @query("cascade_tree_counts", "SELECT n.n_name, count(DISTINCT c.c_custkey) AS customers, count(o.o_orderkey) AS orders FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1")
 def cascade_tree_counts(spark, sf):
     n, c, o = (fx.table(spark, sf, t) for t in ("nation", "customer", "orders"))
@@ -73,18 +82,18 @@ def page_list_ilike_exists(spark, sf):
 
 @query("page_chunks", fx.sql("ck", "SELECT chunk_id, content FROM ck WHERE page_id = 11"))
 def page_chunks(spark, sf):
-    return fx.chunks(spark, sf).where("page_id = 11").select("chunk_id", "content").orderBy("chunk_id")
+    return catalog.page_chunks(fx.chunks(spark, sf), 11).select("chunk_id", "content")
 
 
 @query("chunk_by_id", fx.sql("ck", "SELECT c.chunk_id, s.name AS source, c.url, c.content FROM ck c JOIN src s ON s.id = c.source_id WHERE c.chunk_id = 17"))
 def chunk_by_id(spark, sf):
-    c = fx.chunks(spark, sf).where("chunk_id = 17")
-    return c.join(fx.sources(spark, sf).select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id").select("chunk_id", "source", "url", "content")
+    return catalog.chunk_detail(fx.chunks(spark, sf), fx.sources(spark, sf), 17).select("chunk_id", "source", "url", "content")
 
 
 @query("page_validators", fx.sql("pg", "SELECT url, 'W/' || content_hash[1:8] AS etag FROM pg WHERE source_id = 2"))
 def page_validators(spark, sf):
-    return fx.pages(spark, sf).where("source_id = 2").select("url", F.concat(F.lit("W/"), F.substring("content_hash", 1, 8)).alias("etag"))
+    p = fx.pages(spark, sf).withColumn("etag", F.concat(F.lit("W/"), F.substring("content_hash", 1, 8))).withColumn("last_modified", F.lit(None).cast("string"))
+    return catalog.page_validators(p, 2).select("url", "etag")
 
 
 @query("hash_diff_classes", fx.sql("prev", "SELECT p.url, CASE WHEN o.url IS NULL THEN 'new' WHEN o.content_hash = p.content_hash THEN 'same' ELSE 'changed' END AS class FROM pg p LEFT JOIN prev o USING (url)"))

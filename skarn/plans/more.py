@@ -55,10 +55,32 @@ def sources_table(spark, sf):
     return fx.sources(spark, sf).join(n, "id").select("id", formats.source_line(F.col("name"), F.col("base_url"), F.col("chunk_count"), at, F.lit(None).cast("string")).alias("line"))
 
 
-@query("cli_lines", fx.sql("pg", "SELECT p.id, p.id || chr(9) || s.name || chr(9) || printf('%.3f', p.id / 8.0) || chr(9) || p.fts_config AS compact FROM pg p JOIN src s ON s.id = p.source_id"))
+@query("cli_lines", fx.sql("pg", r"""SELECT p.id, printf('[%d] %s > %s (score: %.3f)' || chr(10) || '  %s' || chr(10) || '  URL: %s' || chr(10), p.id, s.name, p.fts_config, p.id / 8.0, p.content_hash, p.url) AS compact,
+  printf('ID: %d | Source: %s | Score: %.3f' || chr(10) || 'Heading: %s' || chr(10) || 'URL: %s' || chr(10) || 'Snippet: %s', p.id, s.name, p.id / 8.0, CASE WHEN p.id % 2 = 0 THEN s.name ELSE p.fts_config END, p.url, p.content_hash) AS long FROM pg p JOIN src s ON s.id = p.source_id"""))
 def cli_lines(spark, sf):
     p = fx.pages(spark, sf).join(fx.sources(spark, sf).select(F.col("id").alias("source_id"), "name"), "source_id")
-    return p.select("id", formats.compact_hit(F.col("id"), F.col("name"), F.col("id") / 8.0, F.col("fts_config")).alias("compact"))
+    score, heading = F.col("id") / 8.0, F.when(F.col("id") % 2 == 0, "").otherwise(F.col("fts_config"))
+    return p.select("id", formats.compact_hit(F.col("id"), F.col("name"), score, F.col("fts_config"), F.col("url"), F.col("content_hash")).alias("compact"), formats.long_hit(F.col("id"), F.col("name"), score, heading, F.col("url"), F.col("content_hash")).alias("long"))
+
+
+@query("cli_chunks", fx.sql("ck", r"""SELECT chunk_id, printf('# Chunk %d [%s > %s]' || chr(10) || 'URL: %s' || chr(10) || chr(10) || '%s', chunk_id, s.name, c.fts_config, c.url, regexp_replace(c.content, '^\s+|\s+$', '', 'g')) AS compact,
+  printf('ID: %d' || chr(10) || 'Source: %s' || chr(10) || 'Heading: %s' || chr(10) || 'URL: %s' || chr(10), chunk_id, s.name, '', c.url) || CASE WHEN chunk_id % 2 = 0 THEN 'Fetched At: 2024-01-01T00:00:00' || chr(10) ELSE '' END || chr(10) || '---' || chr(10) || chr(10) || c.content AS long
+  FROM ck c JOIN src s ON s.id = c.source_id"""))
+def cli_chunks(spark, sf):
+    c = fx.chunks(spark, sf).join(fx.sources(spark, sf).select(F.col("id").alias("source_id"), "name"), "source_id")
+    at = F.when(F.col("chunk_id") % 2 == 0, F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    own = [F.col(x) for x in ("chunk_id", "name", "url", "content")]
+    return c.select("chunk_id", formats.compact_chunk(own[0], own[1], F.col("fts_config"), own[2], own[3]).alias("compact"), formats.long_chunk(own[0], own[1], F.lit(None).cast("string"), own[2], at, own[3]).alias("long"))
+
+
+@query("cli_tree", fx.sql("ck", r"""SELECT s.id, printf('  - %s (pages: %d, chunks: %d) [%s]' || chr(10), s.name, count(c.page_id), count(c.chunk_id), s.base_url) AS compact,
+  printf('  - Source: %s' || chr(10) || '    Base URL: %s' || chr(10) || '    Pages: %d | Chunks: %d' || chr(10) || '    Last Synced: %s' || chr(10), s.name, s.base_url, count(c.page_id), count(c.chunk_id), CASE WHEN s.id % 2 = 0 THEN '2024-01-01T00:00:00' ELSE 'never' END) AS long
+  FROM src s LEFT JOIN ck c ON c.source_id = s.id GROUP BY s.id, s.name, s.base_url"""))
+def cli_tree(spark, sf):
+    n = catalog.source_counts(fx.sources(spark, sf), fx.pages(spark, sf), fx.chunks(spark, sf)).drop("name").join(fx.sources(spark, sf), "id")
+    at = F.when(F.col("id") % 2 == 0, F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    own = [F.col(x) for x in ("name", "base_url", "page_count", "chunk_count")]
+    return n.select("id", formats.compact_node(*own).alias("compact"), formats.long_node(*own, at).alias("long"))
 
 
 @query("section_addresses", r"""SELECT doc_id, regexp_replace(title, '\[([^\]]+)\]\([^)]*\)', '\1', 'g') AS bare, CASE doc_id % 3 WHEN 0 THEN 'https://x.dev/' || doc_id WHEN 1 THEN 'https://y.dev/' || doc_id ELSE 'https://b.dev/llms.txt#s-' || doc_id END AS url

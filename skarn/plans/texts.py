@@ -93,7 +93,7 @@ def upload_urls(spark, sf):
 
 @query("placeholder_cleanup", f"WITH {_URLS} SELECT regexp_matches(url, '^https?://([^/]*\\.)?example\\.com(/|$)') AS hit, count(*) AS pages FROM u GROUP BY 1".replace("\\\\", "\\"))
 def placeholder_cleanup(spark, sf):
-    return pages(spark, sf).groupBy(F.col("url").rlike(r"^https?://([^/]*\.)?example\.com(/|$)").alias("hit")).agg(F.count("*").alias("pages"))
+    return catalog.placeholder_counts(pages(spark, sf)).withColumnRenamed("n", "pages")
 
 
 @query("dedupe_first_seen", f"WITH {_CANONED} SELECT page_id, canonical FROM (SELECT page_id, canonical, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS n FROM cn) WHERE n = 1")

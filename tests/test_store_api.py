@@ -133,6 +133,31 @@ def test_search_over_stored_postings(spark, store, tmp_path):
         store.commit({"x": spark.range(1)}, based_on=1)
 
 
+def test_command_line(spark, store, capsys):
+    from skarn import cli
+
+    api.run_sync(store, rows(spark, ("a", "https://a.dev/1", True, False, f"# Joins\n\nshuffled joins {LONG}", None)))
+    run = lambda *args: (cli.main(["--store", store.root, *args], spark), capsys.readouterr().out)[1]
+    chunk_id = store.read("chunks").first().chunk_id
+    assert run("search", "joins").startswith(f"ID: {chunk_id} | Source: a | Score: 0.033\nHeading: Joins\nURL: https://a.dev/1\nSnippet: shuffled joins")
+    assert run("--compact", "search", "joins").startswith(f"[{chunk_id}] a > Joins (score: 0.033)\n  shuffled")
+    assert '"heading_path": "Joins"' in run("--json", "search", "joins", "--source", "a", "--limit", "99")
+    assert run("get", str(chunk_id)).startswith(f"ID: {chunk_id}\nSource: a\nHeading: Joins\nURL: https://a.dev/1\nFetched At: 2")
+    assert "  - a (pages: 1, chunks: 1) [https://a.dev/docs/]\n" in run("--compact", "tree")
+    assert cli.main(["--store", store.root, "search", " "], spark) == 1 and cli.main(["--store", store.root, "get", "5"], spark) == 1
+
+
+def test_stream_into_the_store(spark, store, tmp_path):
+    batch = rows(spark, *[("a", f"https://a.dev/{i}", True, False, f"{LONG}{i}", None) for i in range(6)])
+    src = f"{tmp_path}/in"
+    batch.repartition(2).write.parquet(src)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = api.sync_stream(store, stream, f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert store.read("pages").count() == 6 and store.read("chunks").count() == 6
+    assert {r.pages_removed for r in store.read("sync_runs").collect()} == {0}
+
+
 def test_names_and_scope(spark):
     arr = lambda *xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
     one = lambda c: spark.range(1).select(c).first()[0]
