@@ -55,7 +55,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     s = sources(spark, sf).withColumnRenamed("id", "source_id")
     url = F.concat("base_url", F.lit("docs/"), F.col("doc_id").cast("string"))
-    return d.join(F.broadcast(s), d["source"] == s["name"]).select(F.col("doc_id").alias("id"), "source_id", url.alias("url"), F.sha2("text", 256).alias("content_hash"), "text", lang.alias("fts_config"), "n_chars")
+    return d.join(s, d["source"] == s["name"]).select(F.col("doc_id").alias("id"), "source_id", url.alias("url"), F.sha2("text", 256).alias("content_hash"), "text", lang.alias("fts_config"), "n_chars")
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -138,9 +138,11 @@ def models(spark: SparkSession) -> DataFrame:
 
 
 def slug_clashes(rows: DataFrame) -> DataFrame:
-    """Pairs of slugs of which one equals the other or begins it up to a dash."""
-    a, b = rows.select(F.col("name").alias("a"), F.col("slug").alias("sa")), rows.select(F.col("name").alias("b"), F.col("slug").alias("sb"))
-    return F.broadcast(a).join(b, (F.col("a") != F.col("b")) & ((F.col("sa") == F.col("sb")) | F.col("sb").startswith(F.concat("sa", F.lit("-"))))).select("a", "b")
+    """Pairs of slugs of which one equals the other or begins it up to a dash: an equi-join over what stands before dashes."""
+    parts = F.split("slug", "-")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "-"))
+    b = rows.select(F.col("name").alias("b"), F.explode(F.array_distinct(heads)).alias("slug"))
+    return rows.select(F.col("name").alias("a"), "slug").join(b, "slug").where("a <> b").select("a", "b")
 
 
 def manifest(rows: DataFrame, columns: list[str]) -> DataFrame:
