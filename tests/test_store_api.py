@@ -162,7 +162,7 @@ def test_names_and_scope(spark):
     arr = lambda *xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
     one = lambda c: spark.range(1).select(c).first()[0]
     assert not one(urls.in_scope(F.lit("/compose/releases"), arr(), arr("/compose/releases/")))
-    assert not one(urls.in_scope(F.lit("/traefik/v2.11/x"), arr(), arr("traefik/v2")))
+    assert not one(urls.in_scope(F.lit("/proxy/v2.11/x"), arr(), arr("proxy/v2")))
     assert one(urls.in_scope(F.lit("/a/b"), arr("a/"), arr())) and one(urls.in_scope(F.lit("/a/b"), arr("/"), arr()))
     assert urls.free_name("x", ["x", "x-2", "x-4"]) == "x-3"
     wanted = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "x"), (5, "x-3"), (6, "z")], "i int, name string")
