@@ -14,6 +14,9 @@ The test items are cut into blocks of about BLOCK_WORDS words, built in tasks, k
 scratch folder and read by the tasks one after another, so no task holds more than a block
 and nothing is broadcast; the driver sees the blocks' names.
 
+Words are compared by hashes under a key drawn for each run, and document words in runs that
+can hold a window are compared with the test words byte by byte before they count.
+
 Null and word-free texts have no words and no hits; items without words or without an id
 have no windows; repeated rows are judged one by one; other columns are ignored.
 """
@@ -43,11 +46,13 @@ BLOCK_WORDS = 1 << 20
 class Block:
     """Windows of some test items as codes over the items' own words."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], key: int = 0):
         raw = [t.encode() for t in texts]
         at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        hashes, _, _, starts = words.split(np.frombuffer(b"".join(raw), np.uint8), at, words.ALNUM)
-        self.vocabulary, codes = np.unique(hashes, return_inverse=True)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        hashes, first, end, starts = words.split(data, at, words.ALNUM, key)
+        self.vocabulary, place, codes = np.unique(hashes, return_index=True, return_inverse=True)
+        self.letters, self.first, self.end = words.LOWER[data], first[place], end[place]
         codes = codes + 1
         rows, owner = [], []
         for i, item in enumerate(ids):
@@ -62,7 +67,7 @@ class Block:
         self.windows, which = np.unique(table_, axis=0, return_inverse=True) if len(table_) else (table_, np.zeros(0, np.int64))
         self.sizes = (self.windows > 0).sum(1)
         pairs = sorted(set(zip(which.ravel().tolist(), owner, strict=True)), key=lambda x: x[0])
-        self.items = np.array([p[1] for p in pairs], np.int64)
+        self.items = [p[1] for p in pairs]
         self.item_at = np.searchsorted([p[0] for p in pairs], np.arange(len(self.windows) + 1))
         self.bits = max(1, int(len(self.vocabulary)).bit_length())
 
@@ -135,7 +140,7 @@ def suffix_array(seq: np.ndarray, bits: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     depth = max(1, 62 // bits)
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-    for j in range(depth):
+    for j in range(min(depth, n)):  # the last code is a separator: no suffix is longer
         sym = np.zeros(n, np.int64)
         sym[: n - j] = seq[j:]
         sym[~open_] = 0
@@ -173,26 +178,38 @@ def suffix_array(seq: np.ndarray, bits: int) -> np.ndarray:
 class Hits:
     """What the blocks find in one shard."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.hashes, self.first, self.end, self.starts = words.split(data, offsets, words.ALNUM)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, key: int = 0):
+        self.low = words.LOWER[data]
+        self.hashes, self.first, self.end, self.starts = words.split(data, offsets, words.ALNUM, key)
         self.mask = np.zeros(len(self.hashes), bool)
         self.items: list[set] = [set() for _ in range(len(offsets) - 1)]
 
+    def _runs(self, code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The run of each word, and the words in runs of least test words or more; runs end with documents."""
+        n = len(code)
+        edge = np.zeros(n + 1, bool)
+        edge[self.starts] = True
+        new = (code > 0) & np.concatenate([[True], (code[:-1] == 0) | edge[1:n]])
+        run = np.cumsum(new)
+        sizes = np.bincount(run[code > 0], minlength=run[-1] + 1)
+        return run, np.flatnonzero((code > 0) & (sizes[run] >= least))
+
     def add(self, block: Block) -> None:
         n = len(self.hashes)
         if not n or not len(block.windows):
             return
         at = np.minimum(np.searchsorted(block.vocabulary, self.hashes), len(block.vocabulary) - 1)
         code = np.where(block.vocabulary[at] == self.hashes, at + 1, 0)
-        # runs of test words inside a document that are long enough for some window
-        edge = np.zeros(n + 1, bool)
-        edge[self.starts] = True
-        new = (code > 0) & np.concatenate([[True], (code[:-1] == 0) | edge[1:n]])
-        run = np.cumsum(new)
-        sizes = np.bincount(run[code > 0], minlength=run[-1] + 1)
-        use = np.flatnonzero((code > 0) & (sizes[run] >= block.sizes.min()))
+        run, use = self._runs(code, int(block.sizes.min()))
         if not len(use):
             return
+        own = code[use] - 1
+        same = words.same(self.low, self.first[use], self.end[use], block.letters, block.first[own], block.end[own])
+        if not same.all():  # the same hash, another word
+            code[use[~same]] = 0
+            run, use = self._runs(code, int(block.sizes.min()))
+            if not len(use):
+                return
         # a separator before each run and one at the end
         jump = np.concatenate([[True], run[use[1:]] != run[use[:-1]]])
         place = np.arange(len(use)) + np.cumsum(jump)
@@ -215,7 +232,7 @@ class Hits:
         self.mask |= np.cumsum(step[:-1]) > 0
         doc = np.searchsorted(self.starts, begin, "right") - 1
         for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-            self.items[d].update(block.items[block.item_at[w] : block.item_at[w + 1]].tolist())
+            self.items[d].update(block.items[block.item_at[w] : block.item_at[w + 1]])
 
     def spans(self, row: int, base: int) -> list[tuple[int, int]]:
         """Byte spans of the row's merged hits, from the first byte of a word to the end of one."""
@@ -225,12 +242,12 @@ class Hits:
         return [(int(self.first[lo + a]) - base, int(self.end[lo + b - 1]) - base) for a, b in zip(edge[0::2], edge[1::2], strict=True)]
 
 
-def write_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+def write_blocks(bench: DataFrame, key: int, id_col: str = "item_id", text_col: str = "text") -> list[str]:
     """The test items as blocks in the scratch folder, each built in a task; their names."""
     root = scratch_path(bench.sparkSession, "blocks")
     fs, path = local_files(root)
     fs.create_dir(path)
-    items = bench.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    items = bench.select(F.col(id_col).cast("string").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words_ = items.agg(F.sum(F.octet_length("text") / 4 + 1)).first()[0] or 0
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +257,7 @@ def write_blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "tex
         def put() -> None:
             name = uuid.uuid4().hex
             with fs.open_output_stream(f"{path}/{name}") as f:
-                f.write(pickle.dumps(Block(ids, texts)))
+                f.write(pickle.dumps(Block(ids, texts, key)))
             made.append(f"{root}/{name}")
 
         for batch in batches:
@@ -271,8 +288,8 @@ def _block(url: str) -> Block:
     return _held[url]
 
 
-def find_hits(data: np.ndarray, offsets: np.ndarray, blocks: list[str]) -> Hits:
-    hits = Hits(data, offsets)
+def find_hits(data: np.ndarray, offsets: np.ndarray, blocks: list[str], key: int) -> Hits:
+    hits = Hits(data, offsets, key)
     for url in blocks:
         hits.add(_block(url))
     return hits
@@ -302,15 +319,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     items are the item_ids with occurring windows, sorted as strings; spans are
     (first byte, end byte) of the text.
     """
-    blocks = write_blocks(bench)
+    key = words.fresh_key()
+    blocks = write_blocks(bench, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards(batches, 1):
             data, offsets = utf8(batch.column(1))
-            hits = find_hits(data, offsets, blocks)
+            hits = find_hits(data, offsets, blocks, key)
             total = np.concatenate([[0], np.cumsum(hits.mask)])
             n_hit = total[hits.starts[1:]] - total[hits.starts[:-1]]
-            items = [sorted(map(str, x)) for x in hits.items]
+            items = [sorted(x) for x in hits.items]
             spans = [[{"first": a, "end": b} for a, b in hits.spans(i, int(offsets[i]))] if n_hit[i] else [] for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -336,14 +354,15 @@ def without_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> D
     All columns stay; n_chars, where there is one, follows the text. A text that was
     nothing but test words becomes empty.
     """
-    blocks = write_blocks(bench)
+    key = words.fresh_key()
+    blocks = write_blocks(bench, key)
     at = docs.columns.index(text_col)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards(batches, at):
             data, offsets = utf8(batch.column(at))
-            hits = find_hits(data, offsets, blocks)
+            hits = find_hits(data, offsets, blocks, key)
             total = np.concatenate([[0], np.cumsum(hits.mask)])
             dirty = np.flatnonzero(total[hits.starts[1:]] > total[hits.starts[:-1]])
             changed: dict[int, bytes] = {}
@@ -353,7 +372,7 @@ def without_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> D
                 rows = list(now)
                 joined = np.frombuffer(b"".join(changed[i] for i in rows), np.uint8)
                 ends = np.concatenate([[0], np.cumsum([len(changed[i]) for i in rows])]).astype(np.int64)
-                again = find_hits(joined, ends, blocks)
+                again = find_hits(joined, ends, blocks, key)
                 total = np.concatenate([[0], np.cumsum(again.mask)])
                 now = {i: (changed[i], again.spans(k, int(ends[k]))) for k, i in enumerate(rows) if total[again.starts[k + 1]] > total[again.starts[k]]}
             columns = list(batch.columns)

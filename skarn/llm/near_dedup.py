@@ -21,7 +21,8 @@ similarity says.
 A pair at the threshold misses every band with probability (1 - t**ROWS)**BANDS, which is
 7e-9 for t = 0.85 and 3e-6 for t = 0.8.
 
-Full sets are sets of 64-bit hashes of shingles.
+Full sets are sets of 64-bit hashes of shingles under a key drawn for each run: texts can't be
+made to collide, and two shingles of a run share a hash with probability 2**-64.
 
 Null or word-free texts have an empty set: n_shingles 0, linked with nothing, kept.
 Every row is returned, rows that repeat a doc_id too, each placed by its own text; a
@@ -70,9 +71,9 @@ def registers(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def distinct_sets(data: np.ndarray, offsets: np.ndarray, k: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each row, sorted, end to end; and the n + 1 row offsets."""
-    hashes, _, _, starts = words.split(data, offsets, words.SPACE)
+    hashes, _, _, starts = words.split(data, offsets, words.SPACE, key)
     found, at = words.grams(hashes, starts, k)
     parts, sizes = [], np.zeros(len(at), np.int64)
     for r in range(len(at) - 1):
@@ -89,12 +90,12 @@ def _class(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketch(k: int):
+def _sketch(k: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for lo, hi in slices(np.diff(offsets)):
-                sets, at = distinct_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+                sets, at = distinct_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k, key)
                 sizes = np.diff(at)
                 full = np.flatnonzero(sizes)
                 regs = registers(sets, at[:-1][full]) if len(full) else np.zeros((0, M), np.uint16)
@@ -108,12 +109,12 @@ def _sketch(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for lo, hi in slices(np.diff(offsets)):
-                sets, at = distinct_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+                sets, at = distinct_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k, key)
                 own = [sets[at[i] : at[i + 1]] for i in range(hi - lo) if at[i + 1] > at[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "set"])
 
@@ -261,8 +262,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    threshold = num / den
-    sketches = saved(arrow_map(docs, _sketch(shingle), "doc_id long, row long, n long, id long, regs binary"), "sketches")
+    threshold, key = num / den, words.fresh_key()
+    sketches = saved(arrow_map(docs, _sketch(shingle, key), "doc_id long, row long, n long, id long, regs binary"), "sketches")
     classes = sketches.where("id is not null").groupBy("id")
     nodes = saved(classes.agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
     bands = saved(arrow_map(nodes.select("id", "regs"), _bands, "band long, id long"), "bands")
@@ -277,7 +278,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # the full sets of all classes that may be compared, from the text of one row each
     need = near.where("size > 2").select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id")))
     rows = few(nodes.join(need, "id", "left_semi").select("row"), "needed")
-    sets = arrow_map(docs.join(rows, "row", "left_semi").select("text"), _sets(shingle), "id long, set binary")
+    sets = arrow_map(docs.join(rows, "row", "left_semi").select("text"), _sets(shingle, key), "id long, set binary")
     sets = saved(sets.groupBy("id").agg(F.first("set").alias("set")), "sets")
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     comp = components(arrow_map(both.select("a", "b", "x", "y"), _confirm(num, den), "a long, b long"))
@@ -294,9 +295,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         split = met.join(blocks, "main").withColumn("blk", F.when(F.col("c") == F.col("main"), F.col("nb")).otherwise(F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int")))
         stays = split.where("blk < nb").select("main", F.col("blk").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("stream"), F.lit(0).alias("side"), "id", "c")
         passes = split.where("blk > 0").select("main", F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("tile"), F.pmod(F.xxhash64("id", F.lit(5)), F.col("ns")).cast("int").alias("stream"), F.lit(1).alias("side"), "id", "c")
-        key = ["main", "tile", "stream"]
-        tiled = stays.unionByName(passes).join(sets, "id").select(*key, "side", "c", "set")
-        more = components(arrow_map(tiled.repartition(*key).sortWithinPartitions(*key, "side"), _tiles(num, den), "a long, b long"))
+        by = ["main", "tile", "stream"]
+        tiled = stays.unionByName(passes).join(sets, "id").select(*by, "side", "c", "set")
+        more = components(arrow_map(tiled.repartition(*by).sortWithinPartitions(*by, "side"), _tiles(num, den), "a long, b long"))
         merged = more.select(F.col("id").alias("c"), F.col("component").alias("d"))
         linked = mine.unionByName(more.select("id", F.col("id").alias("c"))).distinct().join(merged, "c", "left").select("id", F.coalesce("d", "c").alias("c"))
     else:

@@ -1,18 +1,20 @@
-"""Words and shingles of many texts at once, as 64-bit hashes, in numpy.
+"""Words and shingles of many texts at once, as keyed 64-bit hashes, in numpy.
 
-A word's hash is a difference of prefix sums of a polynomial over the text's bytes
-(arithmetic modulo 2**64), so the cost is a few passes over the bytes whatever the
-number of words.
+A word is read in lanes of eight bytes; each lane goes through a non-linear step that
+depends on a key. Words of the same number of lanes step together, so the cost is a few
+passes over the words; words of more than LONG bytes are hashed one by one. Operators
+draw a fresh key for each run and hand it to their tasks, so no text can be made to
+collide beforehand; two words of a run then share a hash with probability 2**-64.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 import numpy as np
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 5)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict[str, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -25,19 +27,13 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
-#: Bytes whose prefix sums are held at once.
-PIECE_BYTES = 1 << 18
+#: Words of more bytes are hashed by a digest each.
+LONG = 512
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        step = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
-        step[0] = 1
-        have = np.cumprod(step, dtype=np.uint64)
-        if n <= 4 * PIECE_BYTES:  # a longer table serves one long word and goes
-            _powers[name] = have
-    return have
+def fresh_key() -> int:
+    """A key for the hashes of one run."""
+    return secrets.randbits(64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def split(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def split(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of rows of UTF-8 bytes: (hash, first byte, end byte, first word of each row).
 
     ends says which lower-cased byte values separate words. Rows never share a word.
@@ -72,32 +68,56 @@ def split(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[np.n
     if len(joined):
         at = np.sort(np.concatenate([at, joined, joined]))
     first, end = at[0::2], at[1::2]
-    return _hashes(low, first, end), first, end, np.searchsorted(first, offsets).astype(np.int64)
-
-
-def _hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words low[first:end], for some PIECE_BYTES of them at once."""
-    out = np.empty(len(first), np.uint64)
-    at = 0
-    while at < len(first):
-        base = int(first[at])
-        to = max(at + 1, int(np.searchsorted(end, base + PIECE_BYTES, "right")))
-        n = int(end[to - 1]) - base
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((low[base : base + n].astype(np.uint64) + np.uint64(1)) * _power("p", _P, n)[:n], out=sums[1:])
-        a, b = first[at:to] - base, end[at:to] - base
-        out[at:to] = mix((sums[b] - sums[a]) * _power("inv", _PINV, n)[a] + (b - a).astype(np.uint64) * _M2)
-        at = to
+    return hashes(low, first, end, key), first, end, np.searchsorted(first, offsets).astype(np.int64)
+
+
+def hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """Hashes of the words low[first:end]."""
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(low) + 1, "<u8", padded, 0, (1,))  # eight bytes from each place on
+    keys = mix(np.uint64(key) + np.arange(2, dtype=np.uint64) * _M1)
+    left = end - first
+    out = mix(left.astype(np.uint64) ^ keys[0])
+    for i in np.flatnonzero(left > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(low[first[i] : end[i]].tobytes(), digest_size=8, key=keys.tobytes()).digest(), "little")
+    rows = np.flatnonzero(left <= LONG)
+    at, left = first[rows], left[rows]
+    while len(rows):
+        lane = lanes[at]
+        tail = left < 8
+        lane[tail] &= (np.uint64(1) << (left[tail] * 8).astype(np.uint64)) - np.uint64(1)
+        out[rows] = mix((out[rows] ^ lane) * _M2 + keys[1])
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same(low: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray, other_first: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether the words low[first:end] equal the words other[other_first:other_end], byte by byte."""
+    a, b = (np.ndarray(len(x) + 1, "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), 0, (1,)) for x in (low, other))
+    left = end - first
+    out = left == other_end - other_first
+    for i in np.flatnonzero(out & (left > LONG)):
+        out[i] = np.array_equal(low[first[i] : end[i]], other[other_first[i] : other_end[i]])
+    rows = np.flatnonzero(out & (left <= LONG))
+    step = 0
+    while len(rows):
+        diff = a[first[rows] + step] ^ b[other_first[rows] + step]
+        tail = left[rows] - step < 8
+        diff[tail] &= (np.uint64(1) << ((left[rows[tail]] - step) * 8).astype(np.uint64)) - np.uint64(1)
+        out[rows[diff != 0]] = False
+        step += 8
+        rows = rows[(diff == 0) & (left[rows] > step)]
     return out
 
 
-def grams(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(hashed: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words of each row, and where each row's begin.
 
     A row of fewer words, but not none, has its whole sequence as one.
     """
     counts = np.diff(starts)
-    n = len(hashes)
+    n = len(hashed)
     each = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     out_at = np.concatenate([[0], np.cumsum(each)])
     if not n:
@@ -110,7 +130,7 @@ def grams(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, n
     total = mix(size.astype(np.uint64) + seed[63])
     add = seed[(np.arange(k) + 17) % 63] * np.arange(1, k + 1, dtype=np.uint64)
     for j in range(k):
-        piece = hashes[np.minimum(at + j, n - 1)] * seed[j % 63] + add[j]
+        piece = hashed[np.minimum(at + j, n - 1)] * seed[j % 63] + add[j]
         if (counts[counts > 0] < k).any():
             piece[size <= j] = 0
         total += mix(piece)

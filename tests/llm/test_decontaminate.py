@@ -85,3 +85,33 @@ def test_index_counts_and_locates():
                 sp, ep = index.search(pat[None, :])
                 want = [i for i in range(n - size + 1) if (seq[i : i + size] == pat).all()]
                 assert sorted(index.locate(np.arange(sp[0], ep[0]))) == want
+
+
+def test_suffix_order_of_short_sequences():
+    rng = np.random.default_rng(6)
+    for bits in range(1, 21):
+        for n in (*range(1, 12), 31, 62, 70):
+            seq = rng.integers(0, min(1 << bits, 3), n)
+            seq[-1] = 0
+            ends = [next(j for j in range(i, n) if seq[j] == 0) for i in range(n)]
+            want = sorted(range(n), key=lambda i: (seq[i : ends[i]].tolist() + [0], i))
+            assert d.suffix_array(seq, bits).tolist() == want, (bits, n)
+
+
+def test_short_items_and_names(spark):
+    """One-word items on one-word shards, and item ids that are no numbers."""
+    docs = spark.createDataFrame([(1, "hello world foo"), (2, "world"), (3, "other")], "doc_id long, text string")
+    long = " ".join(f"t{i}" for i in range(1000))
+    for items in ([("a", "world")], [("b", "World!"), ("x-1", long)]):
+        bench = spark.createDataFrame(items, "item_id string, text string")
+        assert sorted(tuple(r)[:6] for r in d.contamination(docs, bench).collect()) == brute([(1, "hello world foo"), (2, "world"), (3, "other")], items)
+        assert {r.doc_id: r.text for r in d.without_hits(docs, bench).collect()} == {1: "hello   foo", 2: " ", 3: "other"}
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(d.words, "hashes", lambda low, first, end, key: np.ones(len(first), np.uint64))
+    item = d.Block(["i"], ["same same"])
+    raw = b"same other same same"
+    hits = d.Hits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    hits.add(item)
+    assert hits.mask.tolist() == [False, False, True, True]

@@ -117,3 +117,17 @@ def test_words_of_bytes():
     h, first, end, starts = words.split(data, at, words.SPACE)
     got = [[bytes(data[first[i] : end[i]]).decode() for i in range(starts[r], starts[r + 1])] for r in range(4)]
     assert got == [["Ab", "c", "d"], [], ["x"], ["Straße", "über"]]
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words collide under every polynomial modulo 2**64."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = near_duplicates(spark.createDataFrame([(1, word), (2, other), (3, word.upper())], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+    made = [other[:n] + x for n in (0, 1, 7, 8, 9, 16, 17, 300, 505) for x in ("a", "b", "aa", "ab", "ba", "\u00e9")]
+    raw = " ".join(made).encode()
+    one, two = (words.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), words.SPACE, key)[0] for key in (1, 2))
+    assert len(set(one.tolist())) == len(set(made)) and not set(one.tolist()) & set(two.tolist())
