@@ -16,6 +16,7 @@ _MODULES = {
     "sharding": ["op6_sharding"],
     "exact_dedup": ["op7_exact_dedup"],
     "packing": ["op8_packing"],
+    "spelling": ["op11_spelling"],
     "line_dedup": ["op12_line_dedup"],
     "fill_middle": ["op13_fill_middle"],
 }
