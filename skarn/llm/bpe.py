@@ -15,7 +15,7 @@ import string
 
 import numpy as np
 
-from .words import _M2, _P, _PINV, _power, mix
+from .words import fresh_key, hashes
 
 _NONE = np.int32(1 << 30)
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
@@ -67,6 +67,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.key = fresh_key()  # of this worker's table of words
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -181,10 +182,8 @@ class Ids:
         first, end = at[:-1], at[1:]
         use = kind[first] != SPACE
         first, end = first[use], end[use]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power("p", _P, n)[:n], out=sums[1:])
         size = end - first
-        h = mix((sums[end] - sums[first]) * _power("inv", _PINV, n)[first] + size.astype(np.uint64) * _M2) | np.uint64(1)
+        h = hashes(low, first, end, self.key) | np.uint64(1)
         number = self._find(h)
         new = np.flatnonzero(number == 0)
         if len(new):

@@ -141,3 +141,16 @@ def test_packing_round_trip(spark, rows):
         assert at <= 4096 and (at == 4096 or at & (at - 1) == 0)
     assert sorted(sequences) == list(range(len(sequences)))
     assert packing.pack(frame(spark, [])).collect() == []
+
+
+def test_ids_of_words_that_a_polynomial_confuses():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    made = Ids(public_tokenizers.path(packing.VOCABULARY))
+    texts = [word, word.translate(str.maketrans("ab", "ba"))]
+    raw = [x.encode() for x in texts]
+    got = made.ids(np.frombuffer(b"".join(raw), np.uint8), np.array([0, 1024, 2048]))
+    assert got == [np.array(made.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts] and got[0] != got[1]
