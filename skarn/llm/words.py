@@ -14,6 +14,8 @@ import secrets
 
 import numpy as np
 
+_P = np.uint64(0x9E3779B97F4A7C15 | 5)
+_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,6 +31,19 @@ ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 #: Words of more bytes are hashed by a digest each.
 LONG = 512
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
+    """Powers of a base modulo 2**64, for hashes that roll over bytes."""
+    have = _powers.get(name)
+    if have is None or len(have) < n:
+        step = np.full(max(n, 1 << 18), base, np.uint64)
+        step[0] = 1
+        have = np.cumprod(step, dtype=np.uint64)
+        if n <= 1 << 20:  # a longer table serves one long text and goes
+            _powers[name] = have
+    return have
 
 
 def fresh_key() -> int:
