@@ -59,7 +59,7 @@ def line_key(line: Column) -> Column:
 
 
 def _dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(doc, key, pos) of the lines that go, of rows (doc, key, text)."""
+    """(doc, key, pos, gone) of lines with long keys, of rows (doc, key, text); a line goes where one of its rows says so."""
     lines = docs.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "key", "pos", line_key(F.col("line")).alias("line"))
     digest = F.substring(F.unhex(F.sha2(F.col("line").cast("binary"), 256)), 1, 16)
     lines = saved(lines.where(F.char_length("line") >= min_chars).select(digest.alias("h"), "doc", "key", "pos"), "lines")
@@ -67,13 +67,14 @@ def _dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     frequent = F.broadcast(frequent)
     heavy = lines.join(frequent, "h")
     held = heavy.groupBy("h", "doc").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("docs"), F.max("doc").alias("keeper"))
-    of_heavy = heavy.join(F.broadcast(held), "h")
+    of_heavy = lines.join(F.broadcast(held), "h", "left")
     light = lines.join(frequent, "h", "left_anti").repartitionByRange("h").sortWithinPartitions("h", F.desc("doc"), "pos")
     order = Window.partitionBy("h").orderBy(F.desc("doc"))
     of_light = light.withColumn("keeper", F.first("doc").over(order)).withColumn("nth", F.dense_rank().over(order))
     of_light = of_light.withColumn("docs", F.max("nth").over(Window.partitionBy("h")))
-    out = ["doc", "key", "pos", "docs", "keeper"]
-    return of_heavy.select(*out).unionByName(of_light.select(*out)).where(f"docs >= {int(min_docs)} and not doc <=> keeper").select("doc", "key", "pos")
+    gone = (F.coalesce("docs", F.lit(0)) >= min_docs) & ~F.col("doc").eqNullSafe(F.col("keeper"))
+    out = ["doc", "key", "pos", gone.alias("gone")]
+    return of_heavy.select(*out).unionByName(of_light.select(*out).where("gone"))
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,9 +88,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep is an array of (word, bits) in order: bit i of a word says whether line
     64 * word + i stays. Words that keep all their lines are left out.
     """
-    gone = _dropped(_read(docs, id_col, text_col), min_chars, min_docs)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)
-    words = gone.groupBy("doc", "key", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(one).alias("gone"))
+    judged = _dropped(_read(docs, id_col, text_col), min_chars, min_docs)
+    bit = F.when(F.col("gone"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64))
+    words = judged.groupBy("doc", "key", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(bit).alias("gone")).where("gone is not null")
     keep = F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits"))))
     return words.groupBy("doc", "key").agg(F.sum(F.bit_count("gone")).cast("long").alias("n_dropped"), keep.alias("keep"))
 
