@@ -65,8 +65,10 @@ def _dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     lines = saved(lines.where(F.char_length("line") >= min_chars).select(digest.alias("h"), "doc", "key", "pos"), "lines")
     frequent = saved(lines.stat.freqItems(["h"], SUPPORT).select(F.explode("h_freqItems").alias("h")), "frequent")  # at most 1 / SUPPORT
     frequent = F.broadcast(frequent)
-    heavy = lines.join(frequent, "h")
-    held = heavy.groupBy("h", "doc").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("docs"), F.max("doc").alias("keeper"))
+    # lines of other digests count under no digest, once for each document and task
+    marked = lines.join(frequent.withColumn("often", F.lit(True)), "h", "left").withColumn("h", F.when(F.col("often"), F.col("h")))
+    held = marked.groupBy("h", "doc").agg(F.max("often").alias("often"))
+    held = held.groupBy("h").agg(F.max("often").alias("often"), F.count("*").alias("docs"), F.max("doc").alias("keeper")).where("often").drop("often")
     of_heavy = lines.join(F.broadcast(held), "h", "left")
     light = lines.join(frequent, "h", "left_anti").repartitionByRange("h").sortWithinPartitions("h", F.desc("doc"), "pos")
     order = Window.partitionBy("h").orderBy(F.desc("doc"))
