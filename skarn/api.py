@@ -2,8 +2,9 @@
 
 Tables of a store: sources, pages (id, source_id, url, content_hash, ...), chunks
 (chunk_id, page_id, source_id, url, heading_path, chunk_index, content, embedding,
-fts_config), sync_runs, search_log and, once `index` has run, postings, cells and
-centroids. Every change commits all tables that it touches at once.
+fts_config), sync_runs, search_log and, once `index` has run, postings in blocks, cells,
+centroids and index_settings. Every change commits all tables that it touches at once, as
+rows added and page ids deleted; postings and cells follow the chunks in the same commit.
 """
 
 from __future__ import annotations
@@ -15,79 +16,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions import formats, text, urls
-from skarn.operators import catalog, chunk, health, ivf, search, sync
+from skarn.operators import blocks, catalog, chunk, health, ivf, search, sync
 from skarn.sources import configs, uploads
-from skarn.sources.store import Store
+from skarn.sources.store import Conflict, Store, difference
 
 CHUNKS = "chunk_id long, page_id long, source_id int, url string, heading_path string, chunk_index int, content string, embedding array<float>, fts_config string"
 
 
-def _optional(store: Store, table: str, version: int | None = None) -> DataFrame | None:
-    try:
-        return store.read(table, version)
-    except LookupError:
-        return None
-
-
 def search_chunks(store: Store, query: str, source: str | None = None, limit: int = 5, embedder: chunk.Embedder | None = None, model: str | None = None, prompt: str | None = None, most: int = search.TOOL_LIMIT) -> DataFrame:
     """(chunk_id, source, url, heading_path, content, rrf) of the best chunks, best first; the limit is held to 1..most.
 
     The text arm reads the query as a web search does. The query prompt is the model's
-    unless another is given. Stored postings and cells are used where the store has them.
+    unless another is given. Stored postings and cells are used where the store has them;
+    content is read only from the files that hold the best chunks.
     """
-    query = search.checked_query(query)
+    query, limit, version = search.checked_query(query), search.clamp(limit, most), store.version()
     dim, _, _, own, _ = configs.resolve_model(model)
     vec = (embedder or chunk.hashing_embedder(dim))([(own if prompt is None else prompt) + query])[0]
-    version = store.version()
-    sources, chunks = store.read("sources", version), store.read("chunks", version)
-    sid = None
+    sources, sid = store.read("sources", version), None
     if source is not None:
         row = sources.where(F.col("name") == source).select("id").first()
         sid = row[0] if row else -1
-    postings, cells, centres = (_optional(store, t, version) for t in ("postings", "cells", "centroids"))
-    if cells is not None and centres is not None:
-        cells = cells, np.array([r["v"] for r in centres.orderBy("cell").collect()])
+    have = store.tables(version)
+    if "cells" in have:
+        centres = np.array([r["v"] for r in store.read("centroids", version).orderBy("cell").collect()])
+        cells = store.read("cells", version)
+        near = ivf.search(cells if sid is None else cells.where(F.col("source_id") == sid), centres, vec)
     else:
-        cells = None
-    return search.hybrid(chunks, sources, vec, query, sid, search.clamp(limit, most), postings, cells)
+        near = search.vector_candidates(store.read("chunks", version), vec, sid)
+    found = blocks.top(*store.raw("postings", version), query, sid) if "postings" in have else None
+    if found is None:
+        matched = search.text_candidates(store.read("chunks", version), query, sid)
+    else:
+        matched = store.spark.createDataFrame(found[0], "chunk_id long, rank double")
+    best = [tuple(r) for r in search.best_of(near, matched, limit).collect()]
+    chunks = store.lookup("chunks", [r[0] for r in best], version)
+    return search.with_content(store.spark.createDataFrame(best, "chunk_id long, rrf double"), chunks, sources)
 
 
 def timed_search(store: Store, query: str, **more) -> tuple[list, dict]:
-    """The hits of a search as rows, and its line of the search log (status, seconds)."""
+    """The hits of a search as rows, and its line of the search log (status, seconds); a search that fails is a line too."""
     began, status, rows = time.monotonic(), "ok", []
     try:
         rows = search_chunks(store, query, **more).collect()
-    except ValueError:
+    except Exception:  # noqa: BLE001  whatever fails is counted
         status = "error"
     return rows, {"status": status, "seconds": time.monotonic() - began}
 
 
 def log_searches(store: Store, lines: list[dict]) -> None:
     """Append lines of timed_search to the search log."""
-    base = store.version()
     new = store.spark.createDataFrame([(x["status"], float(x["seconds"])) for x in lines], "status string, seconds double").withColumn("at", F.current_timestamp())
-    old = _optional(store, "search_log", base)
-    store.commit({"search_log": new if old is None else old.unionByName(new)}, based_on=base)
+    store.commit(added={"search_log": new})
+    _tidy(store)
 
 
 def index(store: Store, cells: int = 64) -> int:
-    """Write postings by shard and vectors by cell for searches; the version they are in."""
+    """Write postings in blocks and vectors by cell for searches; the version they are in. Later commits keep them up."""
     base = store.version()
     chunks = store.read("chunks", base)
+    spread = blocks.cells_for(chunks.count())
     with_vectors = chunks.where("embedding is not null")
-    tables, parts = {"postings": fts_stored(chunks)}, {"postings": ["shard"]}
+    tables = {"postings": store.staged(blocks.build(chunks, spread), "postings"), "index_settings": store.spark.createDataFrame([(spread,)], "cells int")}
     if not with_vectors.isEmpty():
         centres = ivf.fit(chunks, cells)
-        tables["cells"] = ivf.assign(with_vectors.select("chunk_id", "source_id", "embedding"), centres)
+        tables["cells"] = _celled(with_vectors, centres)
         tables["centroids"] = store.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, v array<double>")
-        parts["cells"] = ["cell"]
-    return store.commit(tables, based_on=base, partitioned=parts)
+    return store.commit(tables, based_on=base)
 
 
-def fts_stored(chunks: DataFrame) -> DataFrame:
-    from skarn.functions import fts
+def _celled(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    return ivf.assign(chunks.where("embedding is not null").select("chunk_id", "page_id", "source_id", "embedding"), centres)
 
-    return fts.stored(chunks)
+
+def _commit_change(store: Store, base: int, gone: DataFrame, fresh: DataFrame | None, tables: dict | None = None, added: dict | None = None, deleted: dict | None = None) -> int:
+    """One commit of chunks without the pages gone (page_id) and with the fresh ones, of what follows from them, and of other tables."""
+    have, added, deleted = store.tables(base), dict(added or {}), dict(deleted or {})
+    deleted |= {t: gone for t in ("chunks", "postings", "cells") if t in have}
+    if fresh is not None:
+        added["chunks"] = fresh
+        if "postings" in have:
+            spread = store.read("index_settings", base).first()[0]
+            added["postings"] = store.staged(blocks.build(fresh, spread), "postings")
+        if "cells" in have:
+            added["cells"] = _celled(fresh, np.array([r["v"] for r in store.read("centroids", base).orderBy("cell").collect()]))
+    version = store.commit(tables, based_on=base, added=added, deleted=deleted)
+    _tidy(store)
+    return version
+
+
+def _tidy(store: Store) -> None:
+    """Merge the segments that are due; another writer that comes in between does no harm."""
+    try:
+        store.compact({"postings": blocks.merged})
+    except Conflict:
+        pass
 
 
 def format_hits(hits: DataFrame) -> str:
@@ -97,7 +120,7 @@ def format_hits(hits: DataFrame) -> str:
 
 
 def get_chunk(store: Store, chunk_id: int) -> DataFrame:
-    return store.read("chunks").where(F.col("chunk_id") == chunk_id)
+    return store.lookup("chunks", [chunk_id])
 
 
 def source_tree(store: Store) -> DataFrame:
@@ -125,11 +148,6 @@ def _chunked(store: Store, version: int, pages: DataFrame, embedder: chunk.Embed
     return rows.select(*[x.split()[0] for x in CHUNKS.split(", ")])
 
 
-def _appended(store: Store, version: int, rows: DataFrame) -> DataFrame:
-    log = _optional(store, "sync_runs", version)
-    return rows if log is None else log.unionByName(rows, allowMissingColumns=True)
-
-
 def run_sync(store: Store, fetched: DataFrame, signals: DataFrame | None = None, rendered: DataFrame | None = None, embedder: chunk.Embedder | None = None, model: str | None = None, allow_purge: bool = True) -> DataFrame:
     """Sync all fetched pages; pages, their chunks, the sources' status and the run log in one commit.
 
@@ -137,25 +155,30 @@ def run_sync(store: Store, fetched: DataFrame, signals: DataFrame | None = None,
     shells a second look. Upload sources are left alone. Returns the run rows.
     """
     base = store.version()
-    sources, pages = store.read("sources", base), store.read("pages", base)
+    return _synced(store, base, store.read("pages", base), fetched, signals, rendered, embedder, model, allow_purge)
+
+
+def _synced(store: Store, base: int, pages: DataFrame, fetched: DataFrame, signals=None, rendered=None, embedder=None, model=None, allow_purge: bool = True) -> DataFrame:
+    """A sync that starts from these pages."""
+    sources = store.read("sources", base)
     if "source_type" in sources.columns:
         crawled = sources.where("source_type <> 'upload'").select(F.col("id").alias("source_id"))
         fetched = fetched.join(F.broadcast(crawled) if crawled.count() <= 100_000 else crawled, "source_id", "left_semi")
     out = sync.page_outcomes(fetched, pages)
     if rendered is not None:
         out = sync.retry_shells(out, rendered)
-    out = store.staged(out, "outcomes")
-    return _commit_run(store, base, out, fetched, signals, embedder, model, allow_purge)
+    return _commit_run(store, base, pages, store.staged(out, "outcomes"), fetched, signals, embedder, model, allow_purge)
 
 
-def _commit_run(store: Store, base: int, out: DataFrame, fetched: DataFrame, signals: DataFrame | None, embedder, model, allow_purge: bool) -> DataFrame:
+def _commit_run(store: Store, base: int, pages: DataFrame, out: DataFrame, fetched: DataFrame, signals: DataFrame | None, embedder, model, allow_purge: bool) -> DataFrame:
     now = F.current_timestamp()
-    after, _, rows = sync.sync(fetched, store.read("pages", base), signals=signals, allow_purge=allow_purge, at=now, outcomes=out)
-    after = store.staged(after, "pages")
+    after, _, rows = sync.sync(fetched, pages, signals=signals, allow_purge=allow_purge, at=now, outcomes=out)
+    after, before = store.staged(after, "pages"), store.read("pages", base)
+    changed, old = difference(before, after, "id")
     done = out.where("outcome = 'fetched'").select(sync.page_id(F.col("url"), F.col("content_hash")).alias("id"), "source_id", "url", "markdown")
     fresh = store.staged(_chunked(store, base, done, embedder, model), "chunks")
-    old = _optional(store, "chunks", base)
-    chunks = fresh if old is None else sync.replace_chunks(_with_columns(old), after, fresh)
+    left = before.select("id").join(after.select("id"), "id", "left_anti")
+    gone = store.staged(left.unionByName(fresh.select(F.col("page_id").alias("id"))).distinct(), "gone")
     made = fresh.join(done.select(F.col("id").alias("page_id"), "source_id").distinct(), ["page_id", "source_id"], "left_semi").groupBy("source_id").agg(F.count("*").alias("chunks_indexed"))
     names = out.select("source_id", "source").distinct()
     rows = rows.join(names.join(made, "source_id").select("source", "chunks_indexed"), "source", "left").na.fill(0, ["chunks_indexed"]).withColumn("finished_at", now)
@@ -165,7 +188,7 @@ def _commit_run(store: Store, base: int, out: DataFrame, fetched: DataFrame, sig
         if c not in sources.columns:
             sources = sources.withColumn(c, F.lit(None).cast(t))
     sources = catalog.stamp(sources, rows.select(F.col("source").alias("name"), "status"), now)
-    store.commit({"sources": sources, "pages": after, "chunks": chunks, "sync_runs": _appended(store, base, rows)}, based_on=base)
+    _commit_change(store, base, gone, fresh, {"sources": sources}, {"pages": store.staged(changed, "changed"), "sync_runs": rows}, {"pages": old})
     return rows
 
 
@@ -179,15 +202,6 @@ def sync_stream(store: Store, fetched: DataFrame, checkpoint: str, **more):
     return rules.sync_batches(fetched, lambda frame, _: run_sync(store, frame, allow_purge=False, **more), checkpoint)
 
 
-def _with_columns(chunks: DataFrame) -> DataFrame:
-    """A chunks table with all of CHUNKS; an older one may lack some."""
-    for x in CHUNKS.split(", "):
-        name, kind = x.split()
-        if name not in chunks.columns:
-            chunks = chunks.withColumn(name, F.lit(None).cast(kind))
-    return chunks.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in CHUNKS.split(", ")])
-
-
 def ingest_uploads(store: Store, source: str, docs: DataFrame, embedder: chunk.Embedder | None = None, model: str | None = None) -> DataFrame:
     """Documents (member, text, outcome) of an upload batch into an upload source; never purges.
 
@@ -199,10 +213,11 @@ def ingest_uploads(store: Store, source: str, docs: DataFrame, embedder: chunk.E
     fetched = docs.select(
         F.lit(row["id"]).cast("int").alias("source_id"), F.lit(source).alias("source"), F.concat(F.lit(f"upload://{source}/"), "member").alias("url"), F.lit(True).alias("fetch_ok"), F.lit(False).alias("not_modified"), F.col("text").alias("markdown"), (F.col("outcome") != "doc").alias("failed"),
     )
-    out = sync.page_outcomes(fetched, store.read("pages", base))
+    pages = store.read("pages", base)
+    out = sync.page_outcomes(fetched, pages)
     # uploads have no least length: what was read is indexed
     short = F.when(F.col("outcome") != "soft_failed", F.col("outcome")).when(F.col("failed"), "failed").when(F.col("class") == "same", "skipped").otherwise("fetched")
-    return _commit_run(store, base, store.staged(out.withColumn("outcome", short), "outcomes"), fetched, None, embedder, model, False)
+    return _commit_run(store, base, pages, store.staged(out.withColumn("outcome", short), "outcomes"), fetched, None, embedder, model, False)
 
 
 def _upload_source(store: Store, version: int, name: str):
@@ -225,28 +240,27 @@ def upload_text(store: Store, source: str, title: str, content: str, embedder: c
     parts = store.staged(_chunked(store, base, one.select(sync.page_id(F.col("url"), F.col("content_hash")).alias("id"), "source_id", "url", "markdown"), embedder, model, chunk.chunk_short), "chunks")
     if parts.isEmpty():
         raise ValueError("the content has no text to index")
-    after = store.staged(catalog.replace_pages(pages, fresh), "pages")
-    old = _optional(store, "chunks", base)
-    store.commit({"pages": after, "chunks": parts if old is None else sync.replace_chunks(_with_columns(old), after, parts)}, based_on=base)
+    old = pages.where(F.col("url") == url).select("id").unionByName(fresh.select("id")).distinct()
+    _commit_change(store, base, store.staged(old, "gone"), parts, added={"pages": fresh}, deleted={"pages": old})
     return parts
 
 
 def purge(store: Store, source_id: int) -> int:
     base = store.version()
-    sources, pages, n = catalog.purge_source(store.read("sources", base), store.read("pages", base), source_id)
-    store.commit({"sources": sources, "pages": pages, "chunks": store.read("chunks", base).join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")}, based_on=base)
+    pages = store.read("pages", base)
+    sources, _, n = catalog.purge_source(store.read("sources", base), pages, source_id)
+    gone = store.staged(pages.where(F.col("source_id") == source_id).select("id"), "gone")
+    _commit_change(store, base, gone, None, {"sources": sources}, deleted={"pages": gone})
     return n
 
 
 def reindex(store: Store, fetched: DataFrame, **more) -> DataFrame:
-    """Drop all pages and chunks of crawled sources and sync again from fetched pages."""
+    """Sync as if crawled sources had no pages yet: what they had goes, what was fetched comes, in one commit."""
     base = store.version()
-    sources, pages = store.read("sources", base), store.read("pages", base)
-    crawled = sources.where("source_type <> 'upload'").select(F.col("id").alias("source_id"))
+    crawled = store.read("sources", base).where("source_type <> 'upload'").select(F.col("id").alias("source_id"))
+    pages = store.read("pages", base)
     left = store.staged(pages.join(crawled, "source_id", "left_anti").select(*pages.columns), "pages")
-    chunks = store.read("chunks", base).join(left.select(F.col("id").alias("page_id")), "page_id", "left_semi")
-    store.commit({"pages": left, "chunks": chunks}, based_on=base)
-    return run_sync(store, fetched, **more)
+    return _synced(store, base, left, fetched, **more)
 
 
 def propose_source(store: Store, token: str, base_url: str, name: str | None = None, **fields) -> str:
@@ -305,16 +319,19 @@ def set_index_validators(store: Store, source_id: int, etag: str | None, last_mo
     store.commit({"sources": catalog.index_validators(store.read("sources", base), source_id, etag, last_modified)}, based_on=base)
 
 
+def _whole(store: Store, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables as they read, postings in blocks."""
+    return {t: blocks.merged(*store.raw(t, version)) if t == "postings" else store.read(t, version) for t in store.tables(version)}
+
+
 def backup(store: Store, target: str) -> int:
-    """Copy the newest version to another folder; the version there."""
-    base = store.version()
-    return Store(store.spark, target).commit({t: store.read(t, base) for t in store.tables(base)})
+    """Copy the newest version to another folder, in the same layout; the version there."""
+    return Store(store.spark, target).commit(_whole(store, store.version()))
 
 
 def restore(store: Store, source: str, version: int | None = None) -> int:
     """Make a backup's tables the newest version; tables it lacks stay."""
-    other = Store(store.spark, source)
-    return store.commit({t: other.read(t, version) for t in other.tables(version)})
+    return store.commit(_whole(Store(store.spark, source), version))
 
 
 def metrics(store: Store) -> DataFrame:

@@ -96,14 +96,14 @@ def stem_english(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")
 
 
-def postings(chunks: DataFrame, config: str | Column = "simple", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(chunk_id, lexeme, tf, positions): positions from 1, counted before stop words go."""
-    words = chunks.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("p", "lexeme"))
+def postings(chunks: DataFrame, config: str | Column = "simple", id_col: str = "chunk_id", text_col: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, lexeme, tf, positions) and the carried columns: positions from 1, counted before stop words go."""
+    words = chunks.select(id_col, *carry, F.posexplode(tokens(F.col(text_col))).alias("p", "lexeme"))
     if config == "english":
         words = words.where(~F.col("lexeme").isin(stop_words("english"))).withColumn("lexeme", stem_english("lexeme"))
     elif isinstance(config, str) and config != "simple":
         words = words.where(~F.col("lexeme").isin(stop_words(config)))
-    return words.groupBy(id_col, "lexeme").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"))
+    return words.groupBy(id_col, "lexeme").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"), *[F.first(c).alias(c) for c in carry])
 
 
 Query = list[list[tuple[bool, list[str | None]]]]

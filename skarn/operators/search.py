@@ -116,7 +116,16 @@ def hybrid(chunks: DataFrame, sources: DataFrame, query: list[float], text: str,
         own = cells[0] if source_id is None else cells[0].where(F.col("source_id") == source_id)
         near = ivf.search(own, cells[1], query)
     matched = text_candidates(chunks, text, source_id) if postings is None else indexed_candidates(postings, text, source_id)
-    best = fused(near, matched).orderBy(F.desc("rrf"), "chunk_id").limit(limit)
+    return with_content(best_of(near, matched, limit), chunks, sources)
+
+
+def best_of(near: DataFrame, matched: DataFrame, limit: int) -> DataFrame:
+    """(chunk_id, rrf) of the best chunks of both lists."""
+    return fused(near, matched).orderBy(F.desc("rrf"), "chunk_id").limit(limit)
+
+
+def with_content(best: DataFrame, chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """A few best chunks (chunk_id, rrf) with their source and content, best first."""
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     hits = chunks.join(F.broadcast(best), "chunk_id")
     heading = [F.col("heading_path")] if "heading_path" in chunks.columns else []
