@@ -258,14 +258,26 @@ def stored(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content
     shard is a hash of the lexeme: written with partitionBy("shard"), a search reads the
     shards of its words only.
     """
-    configs = ["simple", *LANGUAGES.values()]
-    out = None
-    for c in configs:
-        own = chunks.where(F.col("fts_config") == c) if c != "simple" else chunks.where(~F.col("fts_config").isin(configs[1:]))
-        part = postings(own, c, id_col, text_col).withColumn("fts_config", F.lit(c))
-        out = part if out is None else out.unionByName(part)
-    out = out.join(chunks.select(id_col, "source_id"), id_col)
-    return out.withColumn("shard", shard(F.col("lexeme")))
+    return by_language(chunks, id_col, text_col, ("source_id",)).withColumn("shard", shard(F.col("lexeme")))
+
+
+def by_language(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, lexeme, tf, positions, fts_config) and the carried columns, each chunk in its own language; unknown ones are simple.
+
+    Two scans: only English tokens leave the JVM, for their stems.
+    """
+    known = list(LANGUAGES.values())
+    config = F.when(F.col("fts_config").isin(known), F.col("fts_config")).otherwise("simple")
+    rows = chunks.select(id_col, *[c for c in carry if c != id_col], F.col(text_col), config.alias("fts_config"))
+    english = rows.where("fts_config = 'english'")
+    words = rows.where("fts_config <> 'english'").select(id_col, *carry, "fts_config", F.posexplode(tokens(F.col(text_col))).alias("p", "lexeme"))
+    for c in known:
+        stops = stop_words(c)
+        if c != "english" and stops:
+            words = words.where((F.col("fts_config") != c) | ~F.col("lexeme").isin(stops))
+    kept = [F.first(c).alias(c) for c in (*carry, "fts_config")]
+    plain = words.groupBy(id_col, "lexeme").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"), *kept)
+    return plain.unionByName(postings(english, "english", id_col, text_col, carry).withColumn("fts_config", F.lit("english")))
 
 
 SHARDS = 64

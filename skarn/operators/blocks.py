@@ -20,6 +20,7 @@ from skarn.functions import fts
 from .search import CANDIDATES, queries_of
 
 #: Chunks of a cell, on average; cells that are opened first; cells whose names the driver may hold.
+#: Each of the first cells brings a chunk of its bound or so: with as many of them as results, few others stay open.
 PER_CELL, FIRST, LISTED = 128, 256, 4096
 #: Parts a shard is written in.
 PARTS = 16
@@ -32,13 +33,8 @@ def cells_for(n_chunks: int) -> int:
 
 def build(chunks: DataFrame, cells: int) -> DataFrame:
     """Blocks of the postings of chunks (chunk_id, page_id, source_id, content, fts_config), each in its own language."""
-    known = list(fts.LANGUAGES.values())
-    out = None
-    for c in ["simple", *known]:
-        own = chunks.where(F.col("fts_config") == c) if c != "simple" else chunks.where(~F.coalesce("fts_config", F.lit("")).isin(known))
-        part = fts.postings(own, c, carry=("page_id", "source_id")).withColumn("fts_config", F.lit(c))
-        out = part if out is None else out.unionByName(part)
-    return blocked(out.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")))
+    rows = fts.by_language(chunks, carry=("page_id", "source_id"))
+    return blocked(rows.withColumn("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")))
 
 
 def blocked(postings: DataFrame) -> DataFrame:

@@ -36,8 +36,7 @@ def text_candidates(chunks: DataFrame, text: str, source_id: int | None = None,
     """
     if source_id is not None:
         chunks = chunks.where(F.col("source_id") == source_id)
-    if "fts_config" not in chunks.columns:
-        chunks = chunks.withColumn("fts_config", F.lit("simple"))
+    chunks = chunks.withColumn("fts_config", F.coalesce("fts_config", F.lit("simple")) if "fts_config" in chunks.columns else F.lit("simple"))
     queries = queries_of(text, ["simple", *fts.LANGUAGES.values()])
     stemmed, plain = queries.pop("english"), {c: q for c, q in queries.items() if fts.words_of(q)}
     parts = []

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skarn.functions import fts, text
-from skarn.operators import search
+from skarn.operators import blocks, search
+from skarn.sources.store import Store, scratch_folder
 
 from . import fixtures as fx
 from .registry import query
@@ -72,6 +73,44 @@ def fts_topk_web_stored(spark, sf):
     return search.indexed_candidates(fts.stored(fx.language_chunks(spark, sf)), QUERY)
 
 
+@query("fts_topk_blocks", _chain("ck", _WEB, "SELECT chunk_id, rank FROM ta"))
+def fts_topk_blocks(spark, sf):
+    """The same from blocks, of which those below the last place stay closed."""
+    chunks = fx.language_chunks(spark, sf)
+    made = blocks.build(chunks, blocks.cells_for(chunks.count()))
+    return spark.createDataFrame(blocks.top(made, None, QUERY)[0], "chunk_id long, rank double")
+
+
+@query("search_after_sync", _chain("ck", _WEB, "SELECT chunk_id, rank FROM ta"))
+def search_after_sync(spark, sf):
+    """A store of yesterday's pages is indexed, then pages change, come and go in one commit; its postings find today's."""
+    store, now = Store(spark, scratch_folder(spark)), fx.language_chunks(spark, sf).drop("embedding")
+    old = F.when(F.col("chunk_id") % 5 == 0, F.concat(F.lit("the water re eau "), "content")).otherwise(F.col("content"))
+    before = now.where("chunk_id % 7 <> 0").withColumn("content", old)
+    # pages that are no more: each with the words of the query
+    stale = now.where("chunk_id % 11 = 0").select((-F.col("chunk_id") - 1).alias("chunk_id"), (-F.col("page_id") - 1).alias("page_id"), "source_id", "url", F.lit("the with re eau de la").alias("content"), "fts_config")
+    before = before.unionByName(stale)
+    spread = blocks.cells_for(before.count())
+    store.commit({"chunks": before, "postings": store.staged(blocks.build(before, spread), "postings")})
+    fresh = store.staged(now.where("chunk_id % 7 = 0 or chunk_id % 5 = 0"), "fresh")
+    gone = store.staged(fresh.select("page_id").unionByName(stale.select("page_id")), "gone")
+    store.commit(added={"chunks": fresh, "postings": store.staged(blocks.build(fresh, spread), "postings")}, deleted={"chunks": gone, "postings": gone})
+    return spark.createDataFrame(blocks.top(*store.raw("postings"), QUERY)[0], "chunk_id long, rank double")
+
+
+@query("store_reads_after_changes", fx.sql("ck", "SELECT chunk_id, page_id, source_id, sha256(content) AS h FROM ck WHERE source_id <> 2"))
+def store_reads_after_changes(spark, sf):
+    """Live rows of a table after changed pages, new ones and a purge, each a commit of its own, and a merge of what they left."""
+    store, now = Store(spark, scratch_folder(spark)), fx.chunks(spark, sf).select("chunk_id", "page_id", "source_id", "content")
+    store.commit({"chunks": now.where("chunk_id % 7 <> 0").withColumn("content", F.concat(F.lit("~"), "content"))})
+    for part in range(4):
+        fresh = store.staged(now.where(F.col("chunk_id") % 4 == part), "fresh")
+        store.commit(added={"chunks": fresh}, deleted={"chunks": fresh.select("page_id")})
+    store.commit(deleted={"chunks": store.read("chunks").where("source_id = 2").select("page_id")})
+    store.compact()
+    return store.read("chunks").select("chunk_id", "page_id", "source_id", F.sha2("content", 256).alias("h"))
+
+
 @query("rrf_fused", _chain("tok", _BOTH, "SELECT * FROM rr"))
 def rrf_fused(spark, sf):
     c = fx.plain_chunks(spark, sf)
