@@ -64,7 +64,7 @@ def _bound(query: fts.Query, most) -> Column:
     if not words:
         return F.lit(0.0)
     if len(words) == 1 or len(query) > 1:  # the same sum as the rank's, so equal where the counts are
-        table, total = F.array(*[F.lit(w) for w in fts.weights()]), F.lit(0.0)
+        table, total = fts.weight_table(), F.lit(0.0)
         for w in words:
             total = total + F.get(table, F.least(most(w), F.lit(fts.MAX_TF)))
         return F.round(total / len(words), 9)

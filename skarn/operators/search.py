@@ -182,7 +182,7 @@ def batch_text(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -
     """(query_id, chunk_id, rnk) of many texts (query_id, text): text_candidates of each one's distinct words."""
     words = queries.select("query_id", F.array_distinct(fts.tokens(F.col("text"))).alias("ws"))
     words = words.select("query_id", F.size("ws").alias("of"), F.explode("ws").alias("lexeme"))
-    weight = F.get(F.array(*[F.lit(w) for w in fts.weights()]), F.least(F.col("tf"), F.lit(fts.MAX_TF)).cast("int"))
+    weight = F.get(fts.weight_table(), F.least(F.col("tf"), F.lit(fts.MAX_TF)).cast("int"))
     index = fts.postings(chunks).select("chunk_id", "lexeme", weight.alias("weight"))
     ranked = index.join(words, "lexeme").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight") / F.first("of"), 9).alias("rank"))
     w = Window.partitionBy("query_id").orderBy(F.desc("rank"), "chunk_id")
