@@ -31,6 +31,8 @@ ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 #: Words of more bytes are hashed by a digest each.
 LONG = 512
+#: Words that step together, so that what a step makes stays small.
+PIECE = 1 << 15
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -95,15 +97,16 @@ def hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray, key: int) -> np.
     out = mix(left.astype(np.uint64) ^ keys[0])
     for i in np.flatnonzero(left > LONG):
         out[i] = int.from_bytes(hashlib.blake2b(low[first[i] : end[i]].tobytes(), digest_size=8, key=keys.tobytes()).digest(), "little")
-    rows = np.flatnonzero(left <= LONG)
-    at, left = first[rows], left[rows]
-    while len(rows):
-        lane = lanes[at]
-        tail = left < 8
-        lane[tail] &= (np.uint64(1) << (left[tail] * 8).astype(np.uint64)) - np.uint64(1)
-        out[rows] = mix((out[rows] ^ lane) * _M2 + keys[1])
-        more = left > 8
-        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for lo in range(0, len(first), PIECE):
+        rows = np.flatnonzero(left[lo : lo + PIECE] <= LONG) + lo
+        at, size = first[rows], left[rows]
+        while len(rows):
+            lane = lanes[at]
+            tail = size < 8
+            lane[tail] &= (np.uint64(1) << (size[tail] * 8).astype(np.uint64)) - np.uint64(1)
+            out[rows] = mix((out[rows] ^ lane) * _M2 + keys[1])
+            more = size > 8
+            rows, at, size = rows[more], at[more] + 8, size[more] - 8
     return out
 
 
@@ -114,15 +117,16 @@ def same(low: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray,
     out = left == other_end - other_first
     for i in np.flatnonzero(out & (left > LONG)):
         out[i] = np.array_equal(low[first[i] : end[i]], other[other_first[i] : other_end[i]])
-    rows = np.flatnonzero(out & (left <= LONG))
-    step = 0
-    while len(rows):
-        diff = a[first[rows] + step] ^ b[other_first[rows] + step]
-        tail = left[rows] - step < 8
-        diff[tail] &= (np.uint64(1) << ((left[rows[tail]] - step) * 8).astype(np.uint64)) - np.uint64(1)
-        out[rows[diff != 0]] = False
-        step += 8
-        rows = rows[(diff == 0) & (left[rows] > step)]
+    for lo in range(0, len(first), PIECE):
+        rows = np.flatnonzero(out[lo : lo + PIECE] & (left[lo : lo + PIECE] <= LONG)) + lo
+        step = 0
+        while len(rows):
+            diff = a[first[rows] + step] ^ b[other_first[rows] + step]
+            tail = left[rows] - step < 8
+            diff[tail] &= (np.uint64(1) << ((left[rows[tail]] - step) * 8).astype(np.uint64)) - np.uint64(1)
+            out[rows[diff != 0]] = False
+            step += 8
+            rows = rows[(diff == 0) & (left[rows] > step)]
     return out
 
 
