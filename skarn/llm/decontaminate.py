@@ -40,6 +40,8 @@ from .common import arrow_map, local_files, saved, scratch_path, table, utf8
 WINDOW = 10
 SAMPLE = 8
 SHARD_BYTES = 8 << 20
+#: The same where whole rows are held and texts are written anew.
+CUT_BYTES = 3 << 20
 BLOCK_WORDS = 1 << 20
 
 
@@ -295,15 +297,15 @@ def find_hits(data: np.ndarray, offsets: np.ndarray, blocks: list[str], key: int
     return hits
 
 
-def shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """Batches joined to about SHARD_BYTES of text."""
+def shards(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about limit bytes of text."""
     held, size = [], 0
     for batch in batches:
         lo = 0
         sizes = np.diff(utf8(batch.column(text_at))[1])
         for i, s in enumerate(sizes):
             size += int(s)
-            if size >= SHARD_BYTES:
+            if size >= limit:
                 held.append(batch.slice(lo, i + 1 - lo))
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size, lo = [], 0, i + 1
@@ -323,7 +325,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     blocks = write_blocks(bench, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shards(batches, 1):
+        for batch in shards(batches, 1, SHARD_BYTES):
             data, offsets = utf8(batch.column(1))
             hits = find_hits(data, offsets, blocks, key)
             total = np.concatenate([[0], np.cumsum(hits.mask)])
@@ -360,7 +362,7 @@ def without_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> D
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shards(batches, at):
+        for batch in shards(batches, at, CUT_BYTES):
             data, offsets = utf8(batch.column(at))
             hits = find_hits(data, offsets, blocks, key)
             total = np.concatenate([[0], np.cumsum(hits.mask)])
