@@ -2,8 +2,8 @@
 
 Tables of a store: sources, pages (id, source_id, url, content_hash, ...), chunks
 (chunk_id, page_id, source_id, url, heading_path, chunk_index, content, embedding,
-fts_config), sync_runs, search_log and, once `index` has run, postings in blocks, cells,
-centroids and index_settings. Every change commits all tables that it touches at once, as
+fts_config), sync_runs, search_log and, once `index` has run, postings in blocks, cells
+(codes of the vectors), centroids, codebooks and index_settings. Every change commits all tables that it touches at once, as
 rows added and page ids deleted; postings and cells follow the chunks in the same commit.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions import formats, text, urls
-from skarn.operators import blocks, catalog, chunk, health, ivf, search, sync
+from skarn.operators import blocks, catalog, chunk, health, ivf, pq, search, sync
 from skarn.sources import configs, uploads
 from skarn.sources.store import Conflict, Store, difference
 
@@ -27,8 +27,8 @@ def search_chunks(store: Store, query: str, source: str | None = None, limit: in
     """(chunk_id, source, url, heading_path, content, rrf) of the best chunks, best first; the limit is held to 1..most.
 
     The text arm reads the query as a web search does. The query prompt is the model's
-    unless another is given. Stored postings and cells are used where the store has them;
-    content is read only from the files that hold the best chunks.
+    unless another is given. Stored postings and codes are used where the store has them;
+    vectors and content are read only from the files that hold the best chunks.
     """
     query, limit, version = search.checked_query(query), search.clamp(limit, most), store.version()
     dim, _, _, own, _ = configs.resolve_model(model)
@@ -39,9 +39,9 @@ def search_chunks(store: Store, query: str, source: str | None = None, limit: in
         sid = row[0] if row else -1
     have = store.tables(version)
     if "cells" in have:
-        centres = np.array([r["v"] for r in store.read("centroids", version).orderBy("cell").collect()])
         cells = store.read("cells", version)
-        near = ivf.search(cells if sid is None else cells.where(F.col("source_id") == sid), centres, vec)
+        coarse = pq.nearest(cells if sid is None else cells.where(F.col("source_id") == sid), _codebooks(store, version), vec, pq.RERANK * search.CANDIDATES)
+        near = search.vector_candidates(store.lookup("chunks", [r[0] for r in coarse.collect()], version), vec)
     else:
         near = search.vector_candidates(store.read("chunks", version), vec, sid)
     found = blocks.top(*store.raw("postings", version), query, sid) if "postings" in have else None
@@ -72,7 +72,7 @@ def log_searches(store: Store, lines: list[dict]) -> None:
 
 
 def index(store: Store, cells: int = 64) -> int:
-    """Write postings in blocks and vectors by cell for searches; the version they are in. Later commits keep them up."""
+    """Write postings in blocks and codes of the vectors by cell for searches; the version they are in. Later commits keep them up."""
     base = store.version()
     chunks = store.read("chunks", base)
     spread = blocks.cells_for(chunks.count())
@@ -80,13 +80,21 @@ def index(store: Store, cells: int = 64) -> int:
     tables = {"postings": store.staged(blocks.build(chunks, spread), "postings"), "index_settings": store.spark.createDataFrame([(spread,)], "cells int")}
     if not with_vectors.isEmpty():
         centres = ivf.fit(chunks, cells)
-        tables["cells"] = _celled(with_vectors, centres)
+        books = pq.fit(chunks)
+        tables["cells"] = _celled(with_vectors, centres, books)
+        tables["codebooks"] = store.spark.createDataFrame([(p, c, [float(x) for x in v]) for p, b in enumerate(books) for c, v in enumerate(b)], "part int, code int, v array<double>")
         tables["centroids"] = store.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, v array<double>")
     return store.commit(tables, based_on=base)
 
 
-def _celled(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
-    return ivf.assign(chunks.where("embedding is not null").select("chunk_id", "page_id", "source_id", "embedding"), centres)
+def _codebooks(store: Store, version: int) -> np.ndarray:
+    rows = store.read("codebooks", version).orderBy("part", "code").collect()
+    return np.array([r["v"] for r in rows]).reshape(rows[-1]["part"] + 1, rows[-1]["code"] + 1, -1)
+
+
+def _celled(chunks: DataFrame, centres: np.ndarray, books: np.ndarray) -> DataFrame:
+    rows = ivf.assign(chunks.where("embedding is not null").select("chunk_id", "page_id", "source_id", "embedding"), centres)
+    return pq.encode(rows, books).drop("embedding")
 
 
 def _commit_change(store: Store, base: int, gone: DataFrame, fresh: DataFrame | None, tables: dict | None = None, added: dict | None = None, deleted: dict | None = None) -> int:
@@ -99,7 +107,8 @@ def _commit_change(store: Store, base: int, gone: DataFrame, fresh: DataFrame |
             spread = store.read("index_settings", base).first()[0]
             added["postings"] = store.staged(blocks.build(fresh, spread), "postings")
         if "cells" in have:
-            added["cells"] = _celled(fresh, np.array([r["v"] for r in store.read("centroids", base).orderBy("cell").collect()]))
+            centres = np.array([r["v"] for r in store.read("centroids", base).orderBy("cell").collect()])
+            added["cells"] = _celled(fresh, centres, _codebooks(store, base))
     version = store.commit(tables, based_on=base, added=added, deleted=deleted)
     _tidy(store)
     return version

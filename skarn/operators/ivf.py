@@ -27,10 +27,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def sample(chunks: DataFrame) -> np.ndarray:
+    """At most SAMPLE unit vectors, those of smallest id hash."""
+    rows = chunks.where("embedding is not null").select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).collect()
+    return _unit(np.array([r[1] for r in rows], np.float64))
+
+
 def fit(chunks: DataFrame, cells: int = 64, seed: int = 1) -> np.ndarray:
     """Unit centroids (cells x dim)."""
-    rows = chunks.where("embedding is not null").select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).collect()
-    x = _unit(np.array([r[1] for r in rows], np.float64))
+    x = sample(chunks)
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(ROUNDS):

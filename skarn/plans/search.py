@@ -208,3 +208,22 @@ def vector_topk_ivf(spark, sf):
     c = fx.chunks(spark, sf)
     centres = ivf.fit(c, 32)
     return ivf.batch_search(ivf.assign(c, centres), centres, batch_vectors(spark, sf))
+
+
+@query("vector_topk_pq")
+def vector_topk_pq(spark, sf):
+    """Every 20th vector against the codes of all; vectors are read for the best of them."""
+    from skarn.operators import pq
+
+    c = fx.chunks(spark, sf)
+    books = pq.fit(c)
+    return pq.batch_search(pq.encode(c, books), c, books, batch_vectors(spark, sf))
+
+
+@query("vector_topk_pq_exact", _chain("ck", _VEC % "", "SELECT chunk_id, distance FROM va"))
+def vector_topk_pq_exact(spark, sf):
+    from skarn.operators import pq
+
+    c = fx.chunks(spark, sf)
+    books = pq.fit(c)
+    return pq.exact(pq.encode(c, books), c, books, query_vector(spark, sf))
