@@ -101,3 +101,11 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), body)
     by = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
     return by.select("conv_id", F.concat(F.lit("# conv\n"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n")).alias("body"))
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, name, at, value): counters of four sources by the hour, which restart at every 50th event."""
+    e = table(spark, sf, "events")
+    by = e.groupBy(F.concat(F.lit("b"), (F.col("user_id") % 4).cast("string")).alias("source"), F.col("event_type").alias("name"), F.date_trunc("hour", "ts").alias("at")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("source", "name").orderBy("at"))
+    return by.select("source", "name", "at", (so_far % 50).cast("double").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skarn.functions import formats, urls
-from skarn.operators import catalog, discovery
+from skarn.operators import catalog, counters, discovery
 from skarn.sources import configs
 
 from . import fixtures as fx
@@ -120,3 +120,36 @@ _REGISTRY = "(VALUES ('BAAI/bge-small-en-v1.5', 384, 'bge-small-en-v1.5', true,
 @query("model_registry", f"SELECT * FROM {_REGISTRY}")
 def model_registry(spark, sf):
     return configs.models(spark)
+
+
+_SAMPLES = """sm AS (SELECT source, name, "at", (sum(n) OVER (PARTITION BY source, name ORDER BY "at") % 50)::DOUBLE AS value FROM (
+  SELECT 'b' || user_id % 4 AS source, event_type AS name, date_trunc('hour', ts) AS "at", count(*) AS n FROM events GROUP BY 1, 2, 3))"""
+_INCREASE = f"""WITH {_SAMPLES},
+ask AS (SELECT DISTINCT source, name, time_bucket(INTERVAL 2 HOURS, "at") + INTERVAL (2 * k) HOURS AS t FROM sm, range(0, 16) r(k)),
+met AS (SELECT a.source, a.name, a.t, s."at", s.value, lag(s.value) OVER (PARTITION BY a.source, a.name, a.t ORDER BY s."at") AS was
+  FROM ask a JOIN sm s ON s.source = a.source AND s.name = a.name AND s."at" > a.t - INTERVAL 30 HOURS AND s."at" <= a.t),
+one AS (SELECT source, name, t, count(*) AS n, arg_min(value, "at") AS v0, arg_max(value, "at") - arg_min(value, "at") + sum(CASE WHEN value < was THEN was ELSE 0 END) AS grown,
+  date_diff('second', min("at"), max("at"))::DOUBLE AS seen, date_diff('second', t - INTERVAL 30 HOURS, min("at"))::DOUBLE AS d0, date_diff('second', max("at"), t)::DOUBLE AS d1 FROM met GROUP BY 1, 2, 3 HAVING count(*) > 1),
+two AS (SELECT *, CASE WHEN d0 >= 1.1 * seen / (n - 1) THEN seen / (n - 1) / 2 ELSE d0 END AS e0, CASE WHEN d1 >= 1.1 * seen / (n - 1) THEN seen / (n - 1) / 2 ELSE d1 END AS e1 FROM one),
+inc AS (SELECT source, name, t AS "at", grown * (seen + e1 + CASE WHEN grown > 0 THEN least(e0, seen * v0 / grown) ELSE e0 END) / seen AS increase FROM two)"""
+
+
+def _increases(spark, sf):
+    return counters.increases(fx.samples(spark, sf), ["source", "name"], step=7200)
+
+
+@query("counter_increase", f"""{_INCREASE} SELECT source, name, "at"::TIMESTAMP AS "at", round(increase, 6) AS increase FROM inc""")
+def counter_increase(spark, sf):
+    return _increases(spark, sf).select("source", "name", F.col("at").cast("timestamp_ntz").alias("at"), F.round("increase", 6).alias("increase"))
+
+
+@query("counter_ratio_firing", f"""{_INCREASE},
+wide AS (SELECT source, "at", max(increase) FILTER (name = 'purchase') AS a, max(increase) FILTER (name = 'view') AS b, max(increase) FILTER (name = 'click') AS c, max(increase) FILTER (name = 'error') AS d FROM inc GROUP BY 1, 2),
+bad AS (SELECT source, "at", row_number() OVER (PARTITION BY source ORDER BY "at") AS i FROM wide WHERE d / greatest(a + b + c + d, 1) > 0.2 AND a + b + c + d > 20),
+isle AS (SELECT source, "at", min("at") OVER (PARTITION BY source, "at" - INTERVAL (2 * i) HOURS) AS since FROM bad)
+SELECT source, "at"::TIMESTAMP AS "at", since::TIMESTAMP AS since FROM isle WHERE "at" - since >= INTERVAL 4 HOURS""")
+def counter_ratio_firing(spark, sf):
+    named = F.create_map(*[F.lit(x) for x in ("purchase", "fetched", "view", "skipped", "click", "not_modified", "error", "soft_failed")])
+    inc = _increases(spark, sf).withColumn("name", F.element_at(named, F.col("name")))
+    out = counters.firing(counters.ratio_high(inc, "soft_failed"), 4 * 3600, step=7200)
+    return out.select("source", F.col("at").cast("timestamp_ntz").alias("at"), F.col("since").cast("timestamp_ntz").alias("since"))
