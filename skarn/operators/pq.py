@@ -25,6 +25,8 @@ from .search import CANDIDATES, vector_candidates
 DIMS, CODES, ROUNDS, RERANK = 4, 256, 12, 10
 #: Codes and queries in a block of a batch search: about 0.4 MB and 0.1 MB at 64 dimensions.
 BLOCK, ASKED = 16_384, 256
+#: Scores and ids that a task of a batch search holds, 16 bytes each.
+HELD = 4_000_000
 #: Above the rounding of scores summed in another order.
 SLACK = 1e-6
 
@@ -136,45 +138,77 @@ def exact(coded: DataFrame, vectors: DataFrame, books: np.ndarray, query: list[f
     return vector_candidates(vectors.join(left.distinct(), "chunk_id", "left_semi"), query, limit=limit)
 
 
-def _packed(names: tuple[str, ...], rows: int, width: int | None):
-    """Rows (id, value) in blocks of so many: ids and values as bytes; values are codes of a width, or vectors."""
+def _dealt(slots: int):
+    """Codes (chunk_id, code) in blocks by slot of the id: (slot, ids, codes), at most BLOCK rows each."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), rows):
-                part = batch.slice(lo, rows)
-                value = b"".join(part.column(1).to_pylist()) if width else np.array(part.column(1).to_pylist(), np.float64).tobytes()
-                ids = part.column(0).to_numpy().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([value], pa.binary())], list(names))
+            ids, codes = batch.column(0).to_numpy().astype(np.int64), np.array(batch.column(1).to_pylist(), object)
+            own = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(slots)
+            for slot in range(slots):
+                at = np.flatnonzero(own == slot)
+                for lo in range(0, len(at), BLOCK):
+                    part = at[lo : lo + BLOCK]
+                    yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([b"".join(codes[part])], pa.binary())], ["slot", "ids", "codes"])
 
     return run
 
 
-def batch_search(coded: DataFrame, vectors: DataFrame, books: np.ndarray, queries: DataFrame, limit: int = CANDIDATES, rerank: int = RERANK, slots: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, rnk, distance) of many query vectors (query_id, vector).
+def _asked(batches):
+    """Queries (query_id, vector) in blocks: (q, query_ids, vectors)."""
+    for batch in batches:
+        for lo in range(0, len(batch), ASKED):
+            part = batch.slice(lo, ASKED)
+            ids = part.column(0).to_numpy().astype(np.int64)
+            vectors = np.array(part.column(1).to_pylist(), np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], ["q", "query_ids", "vectors"])
 
-    Codes lie in blocks, each in one of `slots` (the session's shuffle partitions); blocks of queries go
-    to every slot. A pair of blocks gives limit * rerank rows a query at most, of which
-    partial limits before each shuffle leave as many; only those meet their vectors.
-    """
-    n, slots = limit * rerank, slots or int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    codes = coded.where("code is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "code").mapInArrow(_packed(("first", "ids", "codes"), BLOCK, len(books)), "first long, ids binary, codes binary")
-    codes = codes.select(F.pmod(F.xxhash64("first"), F.lit(slots)).alias("slot"), "ids", "codes")
-    blocks = asked.mapInArrow(_packed(("q", "query_ids", "vectors"), ASKED, None), "q long, query_ids binary, vectors binary")
-    blocks = blocks.select("query_ids", "vectors", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
+
+def _best_of_pairs(books: np.ndarray, n: int):
+    """The n best codes of every query over all pairs of blocks of a task; beyond HELD rows what is held is given out early."""
+
+    def given(held):
+        for q, (score, ids) in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], ["query_id", "chunk_id", "score"])
 
     def run(batches):
+        held: dict = {}
         for batch in batches:
             for ids, code, asks, vecs in zip(*(batch.column(c).to_pylist() for c in ("ids", "codes", "query_ids", "vectors"))):
                 i, q = np.frombuffer(ids, np.int64), np.frombuffer(asks, np.int64)
                 x = _decoded(np.frombuffer(code, np.uint8).reshape(len(i), -1), books)
                 v = _parts(np.frombuffer(vecs, np.float64).reshape(len(q), -1), books.shape[2]).reshape(len(q), -1)
-                score = v @ x.T
-                best = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(i) else np.broadcast_to(np.arange(len(i)), score.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, best.shape[1])), pa.array(i[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query_id", "chunk_id", "score"])
+                score, i = v @ x.T, np.broadcast_to(i, (len(q), len(i)))
+                if asks in held:
+                    score, i = np.concatenate([held[asks][1][0], score], 1), np.concatenate([held[asks][1][1], i], 1)
+                if n < score.shape[1]:
+                    best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                    score, i = np.take_along_axis(score, best, 1), np.take_along_axis(i, best, 1)
+                held[asks] = (q, (score, i))
+                if sum(h[1][0].size for h in held.values()) > HELD:
+                    yield from given(held)
+                    held = {}
+        yield from given(held)
 
-    pairs = codes.join(blocks, "slot").select("ids", "codes", "query_ids", "vectors").mapInArrow(run, "query_id long, chunk_id long, score double")
+    return run
+
+
+def batch_search(coded: DataFrame, vectors: DataFrame, books: np.ndarray, queries: DataFrame, limit: int = CANDIDATES, rerank: int = RERANK, slots: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, rnk, distance) of many query vectors (query_id, vector).
+
+    Codes lie in blocks by slot, queries in blocks by group, and each slot meets each group;
+    there are as many of both, so that their pairs are about the session's shuffle
+    partitions. A pair of slot and group gives limit * rerank rows a query, of which partial
+    limits before the shuffle leave as many a task; only the best of all meet their vectors.
+    """
+    n, slots = limit * rerank, slots or max(1, int(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))
+    asked = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    codes = coded.where("code is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "code").mapInArrow(_dealt(slots), "slot long, ids binary, codes binary")
+    codes = codes.select("slot", each.alias("grp"), "ids", "codes")
+    blocks = asked.mapInArrow(_asked, "q long, query_ids binary, vectors binary")
+    blocks = blocks.select(F.pmod(F.xxhash64("q"), F.lit(slots)).alias("grp"), each.alias("slot"), "query_ids", "vectors")
+    pairs = codes.join(blocks, ["slot", "grp"]).select("ids", "codes", "query_ids", "vectors").mapInArrow(_best_of_pairs(books, n), "query_id long, chunk_id long, score double")
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     pairs = pairs.withColumn("r", F.row_number().over(first)).where(F.col("r") <= n).select("query_id", "chunk_id")
     met = vectors.where("embedding is not null").select("chunk_id", "embedding").join(pairs, "chunk_id").join(asked, "query_id")

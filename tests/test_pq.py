@@ -1,6 +1,7 @@
 """Product-quantised vectors against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,22 @@ def test_a_store_keeps_codes_and_no_second_copy_of_the_vectors(spark, tmp_path):
     assert "embedding" not in cells.columns and cells.where("length(code) = 4 and err >= 0").count() == 600
     for q, want in plain.items():
         assert [r.chunk_id for r in api.search_chunks(s, "zzz", embedder=lambda _: [x[q].tolist()]).collect()] == want
+
+
+@pytest.mark.parametrize("held", [1, 10**9])
+def test_pairs_of_blocks_keep_the_best(monkeypatch, held):
+    """Many small blocks in one task, with and without early output."""
+    monkeypatch.setattr(pq, "HELD", held)
+    monkeypatch.setattr(pq, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    books, codes, q = rng.normal(size=(2, 8, 4)), rng.integers(0, 8, (60, 2)).astype(np.uint8), rng.normal(size=(3, 8))
+    dealt = list(pq._dealt(3)([pa.record_batch({"chunk_id": np.arange(60), "code": [c.tobytes() for c in codes]})]))
+    assert sorted(i for b in dealt for i in np.frombuffer(b.column("ids")[0].as_py(), np.int64)) == list(range(60)) and len(dealt) > 8
+    asked = list(pq._asked([pa.record_batch({"query_id": np.arange(3), "vector": q.tolist()})]))[0]
+    pairs = [pa.record_batch({c: pa.concat_arrays([b.column(c) if c in b.schema.names else asked.column(c) for b in dealt]) for c in ("ids", "codes", "query_ids", "vectors")})]
+    got = pa.Table.from_batches(list(pq._best_of_pairs(books, 5)(pairs))).to_pylist()
+    score = pq._parts(q, 4).reshape(3, -1) @ pq._decoded(codes, books).T
+    assert (len(got) == 15) == (held > 1)
+    for k in range(3):
+        mine = sorted((-r["score"] for r in got if r["query_id"] == k))[:5]
+        assert np.allclose(mine, np.sort(-score[k])[:5])
