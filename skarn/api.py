@@ -38,7 +38,7 @@ def search_chunks(store: Store, query: str, source: str | None = None, limit: in
         row = sources.where(F.col("name") == source).select("id").first()
         sid = row[0] if row else -1
     have = store.tables(version)
-    if "cells" in have:
+    if "codebooks" in have:  # cells of an older index hold no codes: all vectors are read
         cells = store.read("cells", version)
         coarse = pq.nearest(cells if sid is None else cells.where(F.col("source_id") == sid), _codebooks(store, version), vec, pq.RERANK * search.CANDIDATES)
         near = search.vector_candidates(store.lookup("chunks", [r[0] for r in coarse.collect()], version), vec)
@@ -106,7 +106,7 @@ def _commit_change(store: Store, base: int, gone: DataFrame, fresh: DataFrame |
         if "postings" in have:
             spread = store.read("index_settings", base).first()[0]
             added["postings"] = store.staged(blocks.build(fresh, spread), "postings")
-        if "cells" in have:
+        if "codebooks" in have:  # cells of an older index hold no codes: all vectors are read
             centres = np.array([r["v"] for r in store.read("centroids", base).orderBy("cell").collect()])
             added["cells"] = _celled(fresh, centres, _codebooks(store, base))
     version = store.commit(tables, based_on=base, added=added, deleted=deleted)
