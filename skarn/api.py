@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.functions import formats, text, urls
+from skarn.functions import formats, stems, text, urls
 from skarn.operators import blocks, catalog, chunk, health, ivf, pq, search, sync
 from skarn.sources import configs, uploads
 from skarn.sources.store import Conflict, Store, difference
@@ -44,7 +44,7 @@ def search_chunks(store: Store, query: str, source: str | None = None, limit: in
         near = search.vector_candidates(store.lookup("chunks", [r[0] for r in coarse.collect()], version), vec)
     else:
         near = search.vector_candidates(store.read("chunks", version), vec, sid)
-    found = blocks.top(*store.raw("postings", version), query, sid) if "postings" in have else None
+    found = blocks.top(*store.raw("postings", version), query, sid) if _stemmed(store, version) else None
     if found is None:
         matched = search.text_candidates(store.read("chunks", version), query, sid)
     else:
@@ -77,7 +77,7 @@ def index(store: Store, cells: int = 64) -> int:
     chunks = store.read("chunks", base)
     spread = blocks.cells_for(chunks.count())
     with_vectors = chunks.where("embedding is not null")
-    tables = {"postings": store.staged(blocks.build(chunks, spread), "postings"), "index_settings": store.spark.createDataFrame([(spread,)], "cells int")}
+    tables = {"postings": store.staged(blocks.build(chunks, spread), "postings"), "index_settings": store.spark.createDataFrame([(spread, stems.VERSION)], "cells int, stems int")}
     if not with_vectors.isEmpty():
         centres = ivf.fit(chunks, cells)
         books = pq.fit(chunks)
@@ -87,6 +87,14 @@ def index(store: Store, cells: int = 64) -> int:
     return store.commit(tables, based_on=base)
 
 
+def _stemmed(store: Store, version: int) -> bool:
+    """Whether the store's postings hold the stems that queries are read as; if not, chunks are scanned until indexed again."""
+    if not {"postings", "index_settings"} <= set(store.tables(version)):
+        return False
+    row = store.read("index_settings", version).first().asDict()
+    return row.get("stems") == stems.VERSION
+
+
 def _codebooks(store: Store, version: int) -> np.ndarray:
     rows = store.read("codebooks", version).orderBy("part", "code").collect()
     return np.array([r["v"] for r in rows]).reshape(rows[-1]["part"] + 1, rows[-1]["code"] + 1, -1)
@@ -103,8 +111,8 @@ def _commit_change(store: Store, base: int, gone: DataFrame, fresh: DataFrame |
     deleted |= {t: gone for t in ("chunks", "postings", "cells") if t in have}
     if fresh is not None:
         added["chunks"] = fresh
-        if "postings" in have:
-            spread = store.read("index_settings", base).first()[0]
+        if _stemmed(store, base):
+            spread = store.read("index_settings", base).first()["cells"]
             added["postings"] = store.staged(blocks.build(fresh, spread), "postings")
         if "codebooks" in have:  # cells of an older index hold no codes: all vectors are read
             centres = np.array([r["v"] for r in store.read("centroids", base).orderBy("cell").collect()])

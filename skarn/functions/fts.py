@@ -5,18 +5,27 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from skarn.functions import stems
 
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
+#: A language with its stop words but without stems.
+EXACT = "_exact"
+#: All configurations; chunks of any other are simple.
+CONFIGS = ["simple", *LANGUAGES.values(), *[c + EXACT for c in LANGUAGES.values()]]
 _ZETA2 = 1.64493406685
 MAX_TF = 255
 #: Later positions count as this one.
 MAX_POSITION = 16_383
 
 
+def known(config: Column) -> Column:
+    """A chunk's configuration, simple where it is none of CONFIGS."""
+    return F.when(config.isin(CONFIGS), config).otherwise("simple")
+
+
 def tokens(text: Column) -> Column:
     """Words of letters and digits in lower case, in order (the 'simple' configuration)."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
@@ -27,7 +36,7 @@ def stop_words(config: str) -> list[str]:
     from pyspark.ml.feature import StopWordsRemover
 
     try:
-        return [] if config == "simple" else list(StopWordsRemover.loadDefaultStopWords(config))
+        return [] if config == "simple" else list(StopWordsRemover.loadDefaultStopWords(config.removesuffix(EXACT)))
     except Exception:  # noqa: BLE001  py4j reports unknown languages by several types
         return []
 
@@ -41,7 +50,7 @@ def _measure(stem: str) -> int:
 
 
 def porter(word: str) -> str:
-    """The Porter stemmer (1980)."""
+    """The Porter stemmer (1980), the forerunner of stems.english."""
     w = word
     if len(w) < 3 or not w.isascii():
         return w
@@ -86,23 +95,13 @@ def porter(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems_english(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [porter(w) for w in ws])
-
-
-@F.pandas_udf(T.StringType())
-def stem_english(words: pd.Series) -> pd.Series:
-    return words.map(porter, na_action="ignore")
-
-
 def postings(chunks: DataFrame, config: str | Column = "simple", id_col: str = "chunk_id", text_col: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
     """(chunk_id, lexeme, tf, positions) and the carried columns: positions from 1, counted before stop words go."""
     words = chunks.select(id_col, *carry, F.posexplode(tokens(F.col(text_col))).alias("p", "lexeme"))
-    if config == "english":
-        words = words.where(~F.col("lexeme").isin(stop_words("english"))).withColumn("lexeme", stem_english("lexeme"))
-    elif isinstance(config, str) and config != "simple":
+    if isinstance(config, str) and config != "simple":
         words = words.where(~F.col("lexeme").isin(stop_words(config)))
+        if config in stems.STEMMERS:
+            words = words.withColumn("lexeme", stems.stemmed("lexeme", F.lit(config)))
     return words.groupBy(id_col, "lexeme").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"), *[F.first(c).alias(c) for c in carry])
 
 
@@ -116,12 +115,11 @@ def parse_query(text: str, config: str = "simple") -> Query:
     """
     groups: Query = [[]]
     stops = set(stop_words(config))
-    stem = porter if config == "english" else (lambda w: w)
     for sign, quoted, phrase, word in re.findall(r'(-?)(?:("([^"]*)")|(\S+))', text):
         if word.lower() == "or" and not sign:
             groups.append([])
             continue
-        found: list[str | None] = [None if w in stops else stem(w) for w in re.split(r"[^\w]+|_", (phrase if quoted else word).lower()) if w]
+        found: list[str | None] = [None if w in stops else stems.stem(w, config) for w in re.split(r"[^\w]+|_", (phrase if quoted else word).lower()) if w]
         while found and found[0] is None:
             found.pop(0)
         while found and found[-1] is None:
@@ -131,6 +129,14 @@ def parse_query(text: str, config: str = "simple") -> Query:
     return [g for g in groups if g]
 
 
+def grouped(queries: dict) -> list[tuple[list, Query]]:
+    """Queries by configuration, those that read alike together."""
+    out: dict[str, tuple[list, Query]] = {}
+    for config, query in queries.items():
+        out.setdefault(repr(query), ([], query))[0].append(config)
+    return list(out.values())
+
+
 def words_of(query: Query) -> list[str]:
     return sorted({w for g in query for _, p in g for w in p if w is not None})
 
@@ -190,14 +196,6 @@ def _pair(d: Column) -> Column:
     return F.log(F.lit(1.0) - F.sqrt(0.1 * 0.1 * near))
 
 
-def may_stem_to(token: Column, stems: list[str]) -> Column:
-    """Whether a token can have one of the English stems: all but the stem's last two letters begin it."""
-    out = F.lit(False)
-    for s in stems:
-        out = out | token.startswith(s[: max(1, len(s) - 2)])
-    return out
-
-
 def evaluate(index: DataFrame, query: Query, id_col: str = "chunk_id") -> DataFrame:
     """Ids of chunks that match: postings of the query's words only, gathered for each chunk."""
     return matched(index, {None: query}, id_col).select(id_col)
@@ -212,9 +210,9 @@ def matched(index: DataFrame, queries: dict[str | None, Query], id_col: str = "c
     none = F.array().cast("array<int>")
     wanted, ok, score = F.lit(False), F.lit(False), F.lit(0.0)
     at = lambda w: F.coalesce(F.try_element_at("m", F.lit(w)), none)
-    for config, query in queries.items():
+    for configs, query in grouped(queries):
         words = words_of(query)
-        own = F.lit(True) if config is None else F.col("fts_config") == config
+        own = F.lit(True) if None in configs else F.col("fts_config").isin(configs)
         if not words:
             continue
         wanted = wanted | (own & F.col("lexeme").isin(words))
@@ -240,8 +238,8 @@ def weights() -> list[float]:
 
 
 def weight_table() -> Column:
-    """The weights as one array literal: one call to the JVM instead of one for each."""
-    return F.expr(f"array({', '.join(f'{w!r}D' for w in weights())})")
+    """The weights as one constant, of four nodes in a plan however many words a query has."""
+    return F.split(F.lit(",".join(map(repr, weights()))), ",").cast("array<double>")
 
 
 def rank_any(index: DataFrame, words: list[str], id_col: str = "chunk_id") -> DataFrame:
@@ -269,20 +267,20 @@ def stored(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content
 def by_language(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
     """(chunk_id, lexeme, tf, positions, fts_config) and the carried columns, each chunk in its own language; unknown ones are simple.
 
-    Two scans: only English tokens leave the JVM, for their stems.
+    Two scans: only tokens of languages with a stemmer leave the JVM.
     """
-    known = list(LANGUAGES.values())
-    config = F.when(F.col("fts_config").isin(known), F.col("fts_config")).otherwise("simple")
+    config = known(F.col("fts_config"))
     rows = chunks.select(id_col, *[c for c in carry if c != id_col], F.col(text_col), config.alias("fts_config"))
-    english = rows.where("fts_config = 'english'")
-    words = rows.where("fts_config <> 'english'").select(id_col, *carry, "fts_config", F.posexplode(tokens(F.col(text_col))).alias("p", "lexeme"))
-    for c in known:
-        stops = stop_words(c)
-        if c != "english" and stops:
-            words = words.where((F.col("fts_config") != c) | ~F.col("lexeme").isin(stops))
+    words = rows.select(id_col, *carry, "fts_config", F.posexplode(tokens(F.col(text_col))).alias("p", "lexeme"))
+    for c in LANGUAGES.values():
+        words = words.where(~F.col("fts_config").isin([c, c + EXACT]) | ~F.col("lexeme").isin(stop_words(c)))
+    has_stems = F.col("fts_config").isin(list(stems.STEMMERS))
     kept = [F.first(c).alias(c) for c in (*carry, "fts_config")]
-    plain = words.groupBy(id_col, "lexeme").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"), *kept)
-    return plain.unionByName(postings(english, "english", id_col, text_col, carry).withColumn("fts_config", F.lit("english")))
+
+    def by(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(id_col, "lexeme").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"), *kept)
+
+    return by(words.where(~has_stems)).unionByName(by(words.where(has_stems).withColumn("lexeme", stems.stemmed("lexeme", "fts_config"))))
 
 
 SHARDS = 64

@@ -82,7 +82,7 @@ def top(blocks: DataFrame, dead: DataFrame | None, text: str, source_id: int | N
 
     None where an alternative of the query is made of negations alone, which postings can't answer.
     """
-    queries = {c: q for c, q in queries_of(text, ["simple", *fts.LANGUAGES.values()]).items() if fts.words_of(q)}
+    queries = {c: q for c, q in queries_of(text, fts.CONFIGS).items() if fts.words_of(q)}
     words = sorted({w for q in queries.values() for w in fts.words_of(q)})
     if any(all(neg for neg, _ in g) for q in queries.values() for g in q):
         return None
@@ -94,14 +94,14 @@ def top(blocks: DataFrame, dead: DataFrame | None, text: str, source_id: int | N
     by = heads.groupBy("fts_config", "cell").agg(*most, F.min("first_id").alias("first_id"), F.count("*").alias("blocks"))
     at = lambda w: F.coalesce(f"m{words.index(w)}", F.lit(0))
     best = F.lit(None).cast("double")
-    for config, query in queries.items():
+    for configs, query in fts.grouped(queries):
         can = F.lit(False)
         for g in query:
             ok = F.lit(True)
             for w in {w for neg, p in g if not neg for w in p if w is not None}:
                 ok = ok & (at(w) > 0)
             can = can | ok
-        best = F.when((F.col("fts_config") == config) & can, _bound(query, at)).otherwise(best)
+        best = F.when(F.col("fts_config").isin(configs) & can, _bound(query, at)).otherwise(best)
     cells = by.withColumn("bound", best).groupBy("cell").agg(F.max("bound").alias("bound"), F.min("first_id").alias("first_id"), F.sum("blocks").alias("blocks")).persist()
     try:
         total = cells.agg(F.sum("blocks")).first()[0] or 0

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.functions import fts, vector
+from skarn.functions import fts, stems, vector
 
 # Fixed values of the fusion.
 RRF_K, CANDIDATES = 60, 30
@@ -36,14 +36,16 @@ def text_candidates(chunks: DataFrame, text: str, source_id: int | None = None,
     """
     if source_id is not None:
         chunks = chunks.where(F.col("source_id") == source_id)
-    chunks = chunks.withColumn("fts_config", F.coalesce("fts_config", F.lit("simple")) if "fts_config" in chunks.columns else F.lit("simple"))
-    queries = queries_of(text, ["simple", *fts.LANGUAGES.values()])
-    stemmed, plain = queries.pop("english"), {c: q for c, q in queries.items() if fts.words_of(q)}
+    chunks = chunks.withColumn("fts_config", fts.known(F.col("fts_config")) if "fts_config" in chunks.columns else F.lit("simple"))
+    queries = {c: q for c, q in queries_of(text, fts.CONFIGS).items() if fts.words_of(q)}
+    has_stems = F.col("fts_config").isin(list(stems.STEMMERS))
+    stemmed = {c: q for c, q in queries.items() if c in stems.STEMMERS}
+    plain = {c: q for c, q in queries.items() if c not in stems.STEMMERS}
     parts = []
     if plain:
-        parts.append(_scanned(chunks.where(F.col("fts_config") != "english"), plain))
-    if fts.words_of(stemmed):
-        parts.append(_scanned(chunks.where(F.col("fts_config") == "english"), {"english": stemmed}))
+        parts.append(_scanned(chunks.where(~has_stems), plain))
+    if stemmed:
+        parts.append(_scanned(chunks.where(has_stems), stemmed))
     if not parts:
         return chunks.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -51,12 +53,13 @@ def text_candidates(chunks: DataFrame, text: str, source_id: int | None = None,
 
 
 def _scanned(rows: DataFrame, queries: dict[str, fts.Query]) -> DataFrame:
-    """(chunk_id, rank) of the rows that match the query of their language; unknown languages are simple."""
+    """(chunk_id, rank) of the rows that match the query of their language."""
     words = sorted({w for q in queries.values() for w in fts.words_of(q)})
-    if "english" in queries:
+    if set(queries) <= set(stems.STEMMERS):
         # only tokens that a stem can come from leave the JVM
-        near = F.filter(F.transform(fts.tokens(F.col("content")), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), lambda p: fts.may_stem_to(p["x"], words))
-        found = rows.select("chunk_id", "fts_config", near.alias("near")).select("chunk_id", "fts_config", F.col("near.i").alias("at"), fts.stems_english(F.col("near.x")).alias("t"))
+        spelt = F.transform(fts.tokens(F.col("content")), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"), stems.fold(x).alias("f")))
+        near = F.filter(spelt, lambda p: stems.may_stem_to(p["f"], words))
+        found = rows.select("chunk_id", "fts_config", near.alias("near")).select("chunk_id", "fts_config", F.col("near.i").alias("at"), stems.stemmed_once(F.col("near.x"), F.col("fts_config")).alias("t"))
         places = [_where(F.col("at"), F.col("t"), w).alias(f"w{k}") for k, w in enumerate(words)]
     else:
         found = rows.select("chunk_id", "fts_config", fts.tokens(F.col("content")).alias("t"))
@@ -64,8 +67,8 @@ def _scanned(rows: DataFrame, queries: dict[str, fts.Query]) -> DataFrame:
     found = found.select("chunk_id", "fts_config", *places)
     at = lambda w: F.col(f"w{words.index(w)}")
     ok, score = F.lit(False), F.lit(0.0)
-    for config, query in queries.items():
-        own = F.col("fts_config") == config if config != "simple" else ~F.col("fts_config").isin(list(fts.LANGUAGES.values()))
+    for configs, query in fts.grouped(queries):
+        own = F.col("fts_config").isin(configs)
         ok = F.when(own, fts.matches(query, at)).otherwise(ok)
         score = F.when(own, fts.rank(query, at)).otherwise(score)
     return found.where(ok).select("chunk_id", score.alias("rank"))
@@ -83,7 +86,7 @@ def _places(tokens: Column, word: str) -> Column:
 
 def indexed_candidates(index: DataFrame, text: str, source_id: int | None = None, limit: int = CANDIDATES) -> DataFrame:
     """The same from stored postings (fts.stored): a search reads the shards of the query's words only."""
-    queries = queries_of(text, ["simple", *fts.LANGUAGES.values()])
+    queries = queries_of(text, fts.CONFIGS)
     words = sorted({w for q in queries.values() for w in fts.words_of(q)})
     if not words:
         return index.select("chunk_id", F.lit(0.0).alias("rank")).limit(0)

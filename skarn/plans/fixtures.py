@@ -90,8 +90,8 @@ def plain_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def language_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks in their languages, English ones in the simple configuration, for SQL has no stems."""
-    return chunks(spark, sf).withColumn("fts_config", F.when(F.col("fts_config") == "english", "simple").otherwise(F.col("fts_config")))
+    """Chunks in their languages without stems, which SQL lacks, English ones in the simple configuration."""
+    return chunks(spark, sf).withColumn("fts_config", F.when(F.col("fts_config") == "english", "simple").otherwise(F.concat("fts_config", F.lit("_exact"))))
 
 
 def markdown(spark: SparkSession, sf: str) -> DataFrame:

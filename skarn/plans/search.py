@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skarn.functions import fts, text
+from skarn.functions import fts, stems, text
 from skarn.operators import blocks, search
 from skarn.sources.store import Store, scratch_folder
 
@@ -180,6 +180,25 @@ def fts_english_stems(spark, sf):
     return fts.postings(fx.chunks(spark, sf).where("fts_config = 'english'"), "english").groupBy("lexeme").agg(F.count("*").alias("chunks"))
 
 
+#: Inflected words of four languages; an index and a scan read them by their stems.
+INFLECTED = '"the nations" or enables or eaux or heiten or ciones or mentes -lying'
+
+
+@query("fts_topk_inflected")
+def fts_topk_inflected(spark, sf):
+    """Each row in its own language: inflected words find other forms of theirs."""
+    return search.text_candidates(fx.chunks(spark, sf), INFLECTED)
+
+
+@query("fts_stem_families")
+def fts_stem_families(spark, sf):
+    """Stems of each language with the forms that share them, of all chunks."""
+    c = fx.chunks(spark, sf).select(fts.known(F.col("fts_config")).alias("fts_config"), F.explode(fts.tokens(F.col("content"))).alias("form"))
+    forms = c.groupBy("fts_config", "form").agg(F.count("*").alias("n"))  # a form is stemmed once, not each of its places
+    by = forms.withColumn("stem", stems.stemmed("form", "fts_config")).groupBy("fts_config", "stem")
+    return by.agg(F.count("*").alias("forms"), F.sum("n").alias("occurrences"), F.max_by("form", F.struct("n", "form")).alias("commonest")).where("forms > 1")
+
+
 @query("recall_by_source", _chain("tok", "cs AS (SELECT b.item_id AS case_id, b.text AS snippet, 'src' || b.item_id % 20 AS expected_source FROM benchmark b)", rf"""SELECT expected_source, count(*) AS cases, count(*) FILTER (ok)::BIGINT AS passed FROM (
   SELECT cs.case_id, expected_source, coalesce(bool_or(contains(lower(c.content), lower(snippet))), false) AS ok FROM cs LEFT JOIN (
     SELECT case_id, chunk_id, row_number() OVER (PARTITION BY case_id ORDER BY rank DESC, chunk_id) AS rnk FROM (
