@@ -382,3 +382,28 @@ def test_rank_of_words_beyond_a_long_texts_first_positions(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, content string")
     got = {r.chunk_id: r["rank"] for r in fts.rank_all(fts.postings(chunks), ["by", "from"]).collect()}
     assert got[2] == got[1] > 0.09 and got[4] == got[5] == got[3] < 0.01
+
+
+def test_batch_ivf_makes_no_row_of_each_pair(spark, monkeypatch):
+    """Vectors and queries meet in blocks: a join sees blocks, a task gives its best rows; the result does not depend on the blocks."""
+    from skarn.operators import ivf
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    twins = e.where("chunk_id < 40").select((F.col("chunk_id") + 10_000).alias("chunk_id"), "embedding")  # ties by id
+    e = e.unionByName(twins).unionByName(spark.createDataFrame([(20_000, None), (20_001, [0.0] * 64)], "chunk_id long, embedding array<float>").select("chunk_id", F.col("embedding").cast(e.schema["embedding"].dataType)))
+    asked = e.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    centres = ivf.fit(e, 8)
+    index = ivf.assign(e, centres).cache()
+    found = ivf.batch_search(index, centres, asked, probes=8, limit=5)
+    rows = lambda df: sorted((r.query_id, r.rnk, r.chunk_id) for r in df.collect())
+    want = rows(search.batch_nearest(e, asked, limit=5))
+    assert rows(found) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")  # what the join makes are blocks
+    whole = rows(ivf.batch_search(index, centres, asked, probes=3, limit=5))
+    monkeypatch.setattr(ivf, "BLOCK", 7)
+    monkeypatch.setattr(ivf, "ASKED", 3)
+    monkeypatch.setattr(ivf, "HELD", 10)
+    assert rows(ivf.batch_search(index, centres, asked, probes=8, limit=5, slots=3)) == want
+    assert rows(ivf.batch_search(index, centres, asked, probes=3, limit=5, slots=2)) == whole
+    assert ivf.batch_search(index, centres, asked.limit(0)).isEmpty() and ivf.batch_search(index.limit(0), centres, asked).isEmpty()
