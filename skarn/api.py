@@ -77,14 +77,14 @@ def index(store: Store, cells: int = 64) -> int:
     chunks = store.read("chunks", base)
     spread = blocks.cells_for(chunks.count())
     with_vectors = chunks.where("embedding is not null")
-    tables = {"postings": store.staged(blocks.build(chunks, spread), "postings"), "index_settings": store.spark.createDataFrame([(spread, stems.VERSION)], "cells int, stems int")}
+    tables = {"postings": blocks.build(chunks, spread), "index_settings": store.spark.createDataFrame([(spread, stems.VERSION)], "cells int, stems int")}
     if not with_vectors.isEmpty():
         centres = ivf.fit(chunks, cells)
         books = pq.fit(chunks)
         tables["cells"] = _celled(with_vectors, centres, books)
         tables["codebooks"] = store.spark.createDataFrame([(p, c, [float(x) for x in v]) for p, b in enumerate(books) for c, v in enumerate(b)], "part int, code int, v array<double>")
         tables["centroids"] = store.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "cell int, v array<double>")
-    return store.commit(tables, based_on=base)
+    return store.commit(tables, based_on=base, dealt=("postings",))
 
 
 def _stemmed(store: Store, version: int) -> bool:
@@ -113,11 +113,11 @@ def _commit_change(store: Store, base: int, gone: DataFrame, fresh: DataFrame |
         added["chunks"] = fresh
         if _stemmed(store, base):
             spread = store.read("index_settings", base).first()["cells"]
-            added["postings"] = store.staged(blocks.build(fresh, spread), "postings")
+            added["postings"] = blocks.build(fresh, spread)
         if "codebooks" in have:  # cells of an older index hold no codes: all vectors are read
             centres = np.array([r["v"] for r in store.read("centroids", base).orderBy("cell").collect()])
             added["cells"] = _celled(fresh, centres, _codebooks(store, base))
-    version = store.commit(tables, based_on=base, added=added, deleted=deleted)
+    version = store.commit(tables, based_on=base, added=added, deleted=deleted, dealt=("postings",))
     _tidy(store)
     return version
 

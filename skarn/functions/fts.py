@@ -281,6 +281,20 @@ def by_language(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
     return by(words.where(~has_stems)).unionByName(by(words.where(has_stems).withColumn("lexeme", stems.stemmed("lexeme", "fts_config"))))
 
 
+def words(text: Column, config: Column) -> Column:
+    """The words of a text as its language indexes them, each at its place; stop words leave theirs empty.
+
+    Only texts of languages with a stemmer leave the JVM.
+    """
+    found = tokens(text)
+    kept = found
+    without = lambda stops: F.transform(found, lambda x: F.when(x.isin(stops), "").otherwise(x))
+    for c in LANGUAGES.values():
+        kept = F.when(config.isin([c, c + EXACT]), without(stop_words(c))).otherwise(kept)
+    has_stems = config.isin(list(stems.STEMMERS))
+    return F.when(has_stems, stems.stemmed_once(F.when(has_stems, kept), config)).otherwise(kept)
+
+
 SHARDS = 64
 
 

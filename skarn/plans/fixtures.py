@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LANG = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
+#: Sources that are broadcast.
+FEW = 300_000
 _LANG_SQL = "CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' ELSE 'simple' END"
 
 SQL = {
@@ -48,14 +50,15 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     return names.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", F.concat(F.lit("https://"), "name", F.lit(".example-docs.dev/")).alias("base_url"))
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
+def pages(spark: SparkSession, sf: str, few: bool = False) -> DataFrame:
+    """The pages of all sources, which are broadcast if they are few."""
     lang = F.lit("simple")
     for k, v in LANG.items():
         lang = F.when(F.col("lang") == k, v).otherwise(lang)
     d = table(spark, sf, "documents")
     s = sources(spark, sf).withColumnRenamed("id", "source_id")
     url = F.concat("base_url", F.lit("docs/"), F.col("doc_id").cast("string"))
-    return d.join(s, d["source"] == s["name"]).select(F.col("doc_id").alias("id"), "source_id", url.alias("url"), F.sha2("text", 256).alias("content_hash"), "text", lang.alias("fts_config"), "n_chars")
+    return d.join(F.broadcast(s) if few else s, d["source"] == s["name"]).select(F.col("doc_id").alias("id"), "source_id", url.alias("url"), F.sha2("text", 256).alias("content_hash"), "text", lang.alias("fts_config"), "n_chars")
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +94,20 @@ def plain_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def language_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks in their languages without stems, which SQL lacks, English ones in the simple configuration."""
-    return chunks(spark, sf).withColumn("fts_config", F.when(F.col("fts_config") == "english", "simple").otherwise(F.concat("fts_config", F.lit("_exact"))))
+    return chunks(spark, sf).withColumn("fts_config", _without_stems(F.col("fts_config")))
+
+
+def _without_stems(config: Column) -> Column:
+    return F.when(config == "english", "simple").otherwise(F.concat(config, F.lit("_exact")))
+
+
+def language_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """language_chunks without vectors. Where no vec_id comes twice, their join changes no row, and no content is shuffled for it or for few sources."""
+    twice = table(spark, sf, "embeddings").where("vec_id is not null").groupBy("vec_id").count().where("count > 1")
+    if not twice.isEmpty():
+        return language_chunks(spark, sf).drop("embedding")
+    p = pages(spark, sf, few=sources(spark, sf).count() <= FEW)
+    return p.select(F.col("id").alias("chunk_id"), F.col("id").alias("page_id"), "source_id", "url", F.col("text").alias("content"), _without_stems(F.col("fts_config")).alias("fts_config"))
 
 
 def markdown(spark: SparkSession, sf: str) -> DataFrame:

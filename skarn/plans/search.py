@@ -76,7 +76,7 @@ def fts_topk_web_stored(spark, sf):
 @query("fts_topk_blocks", _chain("ck", _WEB, "SELECT chunk_id, rank FROM ta"))
 def fts_topk_blocks(spark, sf):
     """The same from blocks, of which those below the last place stay closed."""
-    chunks = fx.language_chunks(spark, sf)
+    chunks = fx.language_texts(spark, sf)
     made = Store(spark, scratch_folder(spark)).staged(blocks.build(chunks, blocks.cells_for(chunks.count())), "postings")
     return spark.createDataFrame(blocks.top(made, None, QUERY)[0], "chunk_id long, rank double")
 

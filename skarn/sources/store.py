@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 FANOUT, SMALL = 8, 1 << 20
 #: Keys of delete vectors that are broadcast to the reads; more are joined by a shuffle, and compaction is due.
 FEW = 300_000
+#: Spark's setting by which an execution removes its shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Conflict(RuntimeError):
@@ -200,9 +202,18 @@ class Store:
     def staged(self, df: DataFrame, name: str) -> DataFrame:
         """A frame that several tables of a commit read, written once; swept by `sweep`."""
         path = f"{self.root}/_staged/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        self._written(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _written(self, df: DataFrame, path: str, *partition: str) -> None:
+        """Files of a frame; its shuffle files go when they are written, not when the driver collects its garbage."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").partitionBy(*partition).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+
     def sweep(self) -> None:
         """Remove staged frames; no commit may be under way."""
         self._fs.delete(self._path(f"{self.root}/_staged"), True)
@@ -210,15 +221,15 @@ class Store:
     def _size(self, path: str) -> int:
         return self._fs.getContentSummary(self._path(path)).getLength()
 
-    def _segment(self, name: str, df: DataFrame, seq: int) -> dict | None:
+    def _segment(self, name: str, df: DataFrame, seq: int, dealt: bool = False) -> dict | None:
         """Written rows; None where there are none."""
         layout, mark = self.layouts.get(name, Layout()), uuid.uuid4().hex[:12]
         path = f"{self.root}/{name}/_seq={seq}/_w={mark}"
         if layout.cluster:
             df = df.repartitionByRange(F.col(layout.cluster)).sortWithinPartitions(layout.cluster)
         elif layout.order:
-            df = df.repartition(*layout.deal).sortWithinPartitions(*layout.partition, *layout.order)
-        df.write.partitionBy(*layout.partition).parquet(path)
+            df = (df if dealt else df.repartition(*layout.deal)).sortWithinPartitions(*layout.partition, *layout.order)
+        self._written(df, path, *layout.partition)
         written = self.spark.read.schema(df.schema).option("basePath", path).parquet(path)
         if layout.cluster:
             zones = f"{self.root}/_zones/{name}/{seq}-{mark}"
@@ -241,9 +252,11 @@ class Store:
         oldest = min((s["seq"] for s in held["segments"]), default=None)
         return held | {"deletes": [d for d in held["deletes"] if oldest is not None and oldest < d["seq"]]}
 
-    def commit(self, tables: dict[str, DataFrame] | None = None, based_on: int | None = None, added: dict[str, DataFrame] | None = None, deleted: dict[str, DataFrame] | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame] | None = None, based_on: int | None = None, added: dict[str, DataFrame] | None = None, deleted: dict[str, DataFrame] | None = None, dealt: tuple[str, ...] = ()) -> int:
         """A new version: tables replaced as a whole, rows added, keys (frames of one column) deleted before that.
 
+        dealt has the tables whose frames lie as their layout deals rows already.
+
         Segments are written first and the log entry last, so readers see all of a commit
         or none of it.
         """
@@ -252,7 +265,7 @@ class Store:
             raise Conflict(f"version {base + 1} exists")
         entry, seq = dict(self._entry(base)), base + 1
         for name, df in (tables or {}).items():
-            made = self._segment(name, df, seq)
+            made = self._segment(name, df, seq, name in dealt)
             entry[name] = {"schema": json.loads(df.schema.json()), "segments": [made] if made else [], "deletes": []}
         for name, keys in (deleted or {}).items():
             key = self.layouts[name].key
@@ -266,7 +279,7 @@ class Store:
             fields = {f.name: f for f in T.StructType.fromJson(entry[name]["schema"]).fields}
             new = [f for f in df.schema.fields if f.name not in fields]
             shape = T.StructType([*fields.values(), *new])
-            made = self._segment(name, df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape.fields if f.name in df.columns]), seq)
+            made = self._segment(name, df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape.fields if f.name in df.columns]), seq, name in dealt)
             entry[name] = entry[name] | {"schema": json.loads(shape.json()), "segments": [*entry[name]["segments"], *([made] if made else [])]}
         return self._put(seq, entry)
 

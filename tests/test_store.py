@@ -193,3 +193,20 @@ def test_searches_follow_the_data(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [isnotnull(shard" in plan and "rows" not in plan.split("ReadSchema")[1]
     with pytest.raises(Conflict):
         s.commit({"x": spark.range(1)}, based_on=1)
+
+
+def test_blocks_take_one_shuffle(spark, big, monkeypatch):
+    """A chunk's words are grouped where it is read; blocks are those of grouped rows, whatever the pieces they travel in."""
+    odd = spark.createDataFrame([(1, None, None, "n", "", 0, "the spark the", None, "simple"), (2, 5, 1, "e", "", 0, None, None, "french"), (9, 5, 1, "t", "", 0, "la window", None, "simple"), (9, 5, 1, "t", "", 0, "window rare", None, "simple"), (70, 6, 1, "s", "", 0, "la de la", None, "french")], CHUNK)
+    rows = big.unionByName(odd)
+    cell = F.pmod(F.xxhash64("chunk_id"), F.lit(100)).cast("int")
+    by_hand = blocks.blocked(fts.by_language(rows, carry=("page_id", "source_id")).withColumn("cell", cell))
+    plain = lambda df: sorted(map(str, df.select(*by_hand.columns).collect()))
+    want = plain(by_hand)
+    made = blocks.build(rows, 100)
+    assert plain(made) == want and made.dtypes == [(c, dict(by_hand.dtypes)[c]) for c in made.columns]
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    monkeypatch.setattr(blocks, "PIECE", 50)
+    monkeypatch.setattr(blocks, "SPAN", 2)
+    assert plain(blocks.build(rows, 100)) == want
+    assert blocks.build(rows.limit(0), 100).isEmpty()
