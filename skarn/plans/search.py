@@ -84,17 +84,17 @@ def fts_topk_blocks(spark, sf):
 @query("search_after_sync", _chain("ck", _WEB, "SELECT chunk_id, rank FROM ta"))
 def search_after_sync(spark, sf):
     """A store of yesterday's pages is indexed, then pages change, come and go in one commit; its postings find today's."""
-    store, now = Store(spark, scratch_folder(spark)), fx.language_chunks(spark, sf).drop("embedding")
+    store, now = Store(spark, scratch_folder(spark)), fx.language_texts(spark, sf)
     old = F.when(F.col("chunk_id") % 5 == 0, F.concat(F.lit("the water re eau "), "content")).otherwise(F.col("content"))
     before = now.where("chunk_id % 7 <> 0").withColumn("content", old)
     # pages that are no more: each with the words of the query
     stale = now.where("chunk_id % 11 = 0").select((-F.col("chunk_id") - 1).alias("chunk_id"), (-F.col("page_id") - 1).alias("page_id"), "source_id", "url", F.lit("the with re eau de la").alias("content"), "fts_config")
     before = before.unionByName(stale)
     spread = blocks.cells_for(before.count())
-    store.commit({"chunks": before, "postings": store.staged(blocks.build(before, spread), "postings")})
+    store.commit({"chunks": before, "postings": blocks.build(before, spread)}, dealt=("postings",))
     fresh = store.staged(now.where("chunk_id % 7 = 0 or chunk_id % 5 = 0"), "fresh")
     gone = store.staged(fresh.select("page_id").unionByName(stale.select("page_id")), "gone")
-    store.commit(added={"chunks": fresh, "postings": store.staged(blocks.build(fresh, spread), "postings")}, deleted={"chunks": gone, "postings": gone})
+    store.commit(added={"chunks": fresh, "postings": blocks.build(fresh, spread)}, deleted={"chunks": gone, "postings": gone}, dealt=("postings",))
     return spark.createDataFrame(blocks.top(*store.raw("postings"), QUERY)[0], "chunk_id long, rank double")
 
 

@@ -210,3 +210,24 @@ def test_blocks_take_one_shuffle(spark, big, monkeypatch):
     monkeypatch.setattr(blocks, "SPAN", 2)
     assert plain(blocks.build(rows, 100)) == want
     assert blocks.build(rows.limit(0), 100).isEmpty()
+
+
+def test_a_sync_writes_its_postings_once(spark, tmp_path, monkeypatch):
+    """No copy of the postings is staged, and they are not dealt again."""
+    import os
+
+    from skarn.plans import search as plans
+
+    root, exchanges, segment = f"file://{tmp_path}/s", [], Store._segment
+    monkeypatch.setattr(plans, "scratch_folder", lambda _: root)
+
+    def seen(self, name, df, *more):
+        exchanges.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(shard")))
+        return segment(self, name, df, *more)
+
+    monkeypatch.setattr(Store, "_segment", seen)
+    assert plans.search_after_sync(spark, "/root/testdata/sf0.001").count() > 0
+    assert [n for name, n in exchanges if name == "postings"] == [1, 1]
+    assert not [d for d in os.listdir(tmp_path / "s/_staged") if d.startswith("postings")]
+    files = [f for d, _, fs in os.walk(tmp_path / "s/postings") for f in fs if f.endswith(".parquet")]
+    assert files and all(".zstd." in f for f in files)
